@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.llm import decontaminate, mixing, sharding, url_filter
+from pricescope.llm import chat_format, crf_quality, decontaminate, license_scan, mixing, near_dedup, quality_rules, sharding, token_count, url_filter
 from pricescope.llm.common import read
 from pricescope.llm.oracles import ORACLES
 
@@ -46,6 +46,63 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = crf_quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: The conversation that the contract adds.
+ADDED = "</s>[INST] ok [/INST]"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-1, 0, "user", ADDED), (-1, 1, "assistant", ADDED)], "conv_id long, turn long, role string, text string")
+    formatted = chat_format.format_conversations(rows.unionByName(added))
+    turns = formatted.select(
+        "conv_id",
+        chat_format.read_back(F.col("formatted")).alias("turns"),
+        chat_format.loss_text(F.col("segments")).alias("loss_text"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return turns.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+        "valid",
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.find_licenses(read(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"))))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"),
+        best["license"].alias("best_license"),
+        F.round(best["dice"], 6).alias("best_dice"),
+    )
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_groups(read(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -53,4 +110,10 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_count": op5_token_count,
+    "op6_crf_quality": op6_crf_quality,
+    "op7_chat_format": op7_chat_format,
+    "op8_license_scan": op8_license_scan,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
