@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pricescope.plans import grid, history, pricing
+from pricescope.plans import grid, history, pricing, text
 
-MODULES = [pricing, history, grid]
+MODULES = [pricing, history, grid, text]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
