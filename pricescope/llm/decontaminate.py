@@ -30,7 +30,7 @@ from pricescope.llm.common import materialize
 AUTOMATON_BYTES = 32 << 20
 #: Windows that a document may contain: item words, joined by one space, with a space at either end.
 SPANS = "array<struct<item: string, first: bigint, last: bigint>>"
-HITS = T._parse_datatype_string(f"struct<n_words: bigint, spans: {SPANS}>")
+HITS = f"struct<n_words: bigint, spans: {SPANS}>"
 
 #: What every byte of a text becomes: bytes of word characters stay (A to Z in lower case), others are a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
