@@ -73,7 +73,7 @@ def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20) -> tuple[Data
 
     # The range in which each source's missing words are reached.
     edge = by_range.selectExpr("source", "rank_range", "words", "sum(words) OVER (PARTITION BY source ORDER BY rank_range) - words AS before")
-    edge = edge.join(sources.select(F.col("source").alias("s"), "missing"), F.col("source").eqNullSafe(F.col("s"))).where("before <= missing AND missing < before + words").drop("s", "words")
+    edge = edge.join(sources.select(F.col("source").alias("s"), "missing"), F.col("source").eqNullSafe(F.col("s"))).where("missing > 0 AND before <= missing AND missing < before + words").drop("s", "words")
     edge = edge.groupBy("source", "missing").agg(F.min("rank_range").alias("edge_range"), F.min_by("before", "rank_range").alias("before"))
     edge = broadcast_small(edge.select(F.col("source").alias("s"), "edge_range", "before", "missing"))
     inside = ranked.join(edge, ranked["source"].eqNullSafe(F.col("s")) & (F.col("rank_range") == F.col("edge_range"))).drop("s")
