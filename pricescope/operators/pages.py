@@ -43,12 +43,8 @@ def _text(value) -> str | None:
 
 def products_of(script: str) -> list[dict]:
     """The products of one JSON-LD script, with their offers; comments and trailing commas are forgiven."""
-    try:
-        data = json.loads(_TRAILING.sub(r"\1", _COMMENTS.sub("", script)).strip())
-    except ValueError:
-        return []
     found = []
-    for node in _nodes(data):
+    for node in _nodes(_loose(script)):
         kinds = node.get("@type")
         if not any(str(k).lower() in ("product", "productgroup", "individualproduct", "productmodel") for k in (kinds if isinstance(kinds, list) else [kinds])):
             continue
@@ -73,16 +69,91 @@ def products_of(script: str) -> list[dict]:
     return found
 
 
+def scripts_of(html: str = "html") -> Column:
+    """The texts of a page's JSON-LD scripts."""
+    return F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+
+
+def _loose(script: str):
+    try:
+        return json.loads(_TRAILING.sub(r"\1", _COMMENTS.sub("", script)).strip())
+    except ValueError:
+        return None
+
+
+def _of_type(value, kinds: set[str], depth: int = 0) -> Iterator[dict]:
+    """Every node of a kind, however deep below keys of any name (12 levels)."""
+    if depth <= 12 and isinstance(value, list):
+        for x in value:
+            yield from _of_type(x, kinds, depth + 1)
+    elif depth <= 12 and isinstance(value, dict):
+        own = value.get("@type")
+        if kinds & {str(k) for k in (own if isinstance(own, list) else [own])}:
+            yield value
+        for x in value.values():
+            yield from _of_type(x, kinds, depth + 1)
+
+
+def faq_questions(pages: DataFrame) -> DataFrame:
+    """(page_id, place, question) of FAQ markup, each question once, in order."""
+
+    @F.arrow_udf("array<string>")
+    def ask(found: pa.Array) -> pa.Array:
+        return pa.array([[q for s in row or [] for n in _of_type(_loose(s), {"Question"}) if (q := _text(n.get("name")) or _text(n.get("text")))] for row in found.to_pylist()], pa.list_(pa.string()))
+
+    return pages.where(F.lower("html").contains("ld+json")).select("page_id", F.posexplode(F.array_distinct(ask(scripts_of()))).alias("place", "question"))
+
+
+def structured_reviews(pages: DataFrame, most: int = 50) -> DataFrame:
+    """Reviews of JSON-LD markup: author, rating (of 100 as of 5), text of 8 characters or more, date, hash.
+
+    Equal reviews of a page count once; at most ``most`` of a page are taken, in order.
+    """
+    shape = "struct<author: string, rating: double, body: string, published: string>"
+
+    @F.arrow_udf(f"array<{shape}>")
+    def collect(found: pa.Array) -> pa.Array:
+        rows = []
+        for row in found.to_pylist():
+            out = []
+            for n in (n for s in row or [] for n in _of_type(_loose(s), {"Review", "UserReview", "CriticReview"})):
+                rating = _first(n.get("reviewRating") or n.get("rating"))
+                number = rating.get("ratingValue") if isinstance(rating, dict) else None
+                body = next((t for k in ("reviewBody", "description", "text", "name") if (t := _text(n.get(k)))), None)
+                out.append({"author": _text(n.get("author")), "rating": float(number) if re.fullmatch(r"\d+(\.\d+)?", str(number)) else None, "body": body, "published": _text(n.get("datePublished")) or _text(n.get("dateCreated"))})
+            rows.append(out)
+        return pa.array(rows, pa.list_(pa.struct([("author", pa.string()), ("rating", pa.float64()), ("body", pa.string()), ("published", pa.string())])))
+
+    found = pages.where(F.lower("html").contains("ld+json")).select("page_id", F.posexplode(collect(scripts_of())).alias("place", "r")).select("page_id", "place", "r.*")
+    body = F.substring(F.trim(F.regexp_replace("body", r"\s+", " ")), 1, 1000)
+    scaled = F.when((F.col("rating") > 5) & (F.col("rating") <= 100), F.col("rating") / 20).otherwise(F.col("rating"))
+    clean = found.withColumn("body", body).where(F.length("body") >= 8).withColumn("rating", F.when(scaled.between(0, 5), F.floor(scaled * 10 + 0.5) / 10))
+    digest = F.substring(F.sha2(F.concat(F.coalesce("author", F.lit("")), F.lit("\0"), F.coalesce("published", F.lit("")), F.lit("\0"), F.col("body")), 256), 1, 32)
+    once = clean.withColumn("hash", digest).withColumn("copy", F.expr("row_number() OVER (PARTITION BY page_id, hash ORDER BY place)")).where("copy = 1")
+    numbered = once.withColumn("n", F.expr("row_number() OVER (PARTITION BY page_id ORDER BY place)")).where(F.col("n") <= most)
+    return numbered.select("page_id", "n", "author", "rating", "body", "published", "hash")
+
+
+def page_availability(pages: DataFrame) -> DataFrame:
+    """(page_id, availability): markup first, then meta tags, then what the text says in English or Arabic."""
+    micro = F.regexp_extract("html", r"""(?is)itemprop=["']availability["'][^>]*(?:href|content)=["']([^"']+)["']""", 1)
+    meta = F.regexp_extract("html", r"""(?is)property=["'](?:product|og):availability["'][^>]*content=["']([^"']+)["']""", 1)
+    seen = F.lower(visible_text(F.col("html")))
+    # Phrases of shops.
+    out = seen.rlike("out of stock|sold out|currently unavailable|غير متوفر|نفدت الكمية")
+    stocked = seen.rlike("in stock|add to cart|add to bag|متوفر|أضف إلى السلة")
+    named = [F.nullif(web.normalize_availability(x), F.lit("unknown")) for x in (micro, meta)]
+    return pages.select("page_id", F.coalesce(*named, F.when(out, "out_of_stock").when(stocked, "in_stock"), F.lit("unknown")).alias("availability"))
+
+
 def structured_offers(pages: DataFrame) -> DataFrame:
     """(page_id, place, offer fields) of every JSON-LD product; the graph walk alone runs in Python."""
-    scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-
     @F.arrow_udf(f"array<{OFFER}>")
     def parse(found: pa.Array) -> pa.Array:
         fields = [(n, pa.float64() if n.startswith("rating") else pa.string()) for n in ("name", "brand", "sku", "price", "currency", "availability", "list_price", "rating", "rating_count")]
         return pa.array([[p for script in row or [] for p in products_of(script)] for row in found.to_pylist()], pa.list_(pa.struct(fields)))
 
-    with_scripts = pages.where(F.lower("html").contains("ld+json")).select("page_id", scripts.alias("scripts"))
+    with_scripts = pages.where(F.lower("html").contains("ld+json")).select("page_id", scripts_of().alias("scripts"))
     exploded = with_scripts.select("page_id", F.posexplode(parse("scripts")).alias("place", "o"))
     return exploded.select(
         "page_id",

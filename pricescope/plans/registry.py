@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pricescope.plans import edges, grid, history, ingest, pricing, text
+from pricescope.plans import edges, grid, history, ingest, pricing, slices, text
 
-MODULES = [pricing, history, grid, text, ingest, edges]
+MODULES = [pricing, history, grid, text, ingest, edges, slices]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
