@@ -33,7 +33,7 @@ from pricescope.llm.common import materialize, pieces, utf8_bytes
 from pricescope.llm.segments import LOWER_CODES, find_words, hash_runs, mix, multipliers
 
 BANDS, ROWS = 48, 6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Attempts after which an empty bin takes the next full one.
 ATTEMPTS = 4096
 
@@ -165,17 +165,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``rest`` (node, comp) of different components that share one of their rarest shingles: no similar pair is missed."""
+    """Pairs of ``rest`` (node, comp) of different components that share one of their rarest shingles: no similar pair is missed.
+
+    Shingles are ordered by frequency, rarest first. With sets of n and m, a similar pair shares at least
+    t / (1 + t) (n + m) of them; so the first one that it shares stands early enough in both for so many to follow. The
+    places are part of the join's condition, and pairs of which no shared shingle stands so early never become rows.
+    """
     tokens = sets.join(rest, F.col("doc_id") == F.col("node")).select("node", "comp", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     known = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle that one node alone has pairs nothing, but takes its place among the rarest.
     common = tokens.join(known, "shingle")
     rank = F.expr("row_number() OVER (PARTITION BY node ORDER BY df, shingle)")
     held = common.withColumn("rank", rank + F.col("n") - F.expr("count(*) OVER (PARTITION BY node)"))
-    prefix = held.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "comp", "n", "shingle")
+    prefix = held.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "comp", "n", "shingle", (F.col("n") - F.col("rank") + 1).alias("follow"))
     prefix = materialize(prefix, "dedup-prefix")
-    other = prefix.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "shingle")
-    joined = prefix.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & (100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
+    other = prefix.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "shingle", F.col("follow").alias("follow_b"))
+    early = (100 + percent) * F.least("follow", "follow_b") >= percent * (F.col("n") + F.col("n_b"))
+    joined = prefix.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & early)
     return joined.select(F.col("node").alias("a"), "b").distinct()
 
 
