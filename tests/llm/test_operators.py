@@ -375,7 +375,7 @@ def test_rules_limit_false_rejection(spark, odd, nothing):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
     rows, labels = [], []
     for i in range(3000):
-        good = i % 4 > 0
+        good = i % 5 > 0
         text = " ".join(word() + ("" if good else "##") for _ in range(60))
         rows.append((i, text, "en" if i % 2 else None))
         labels.append((i, int(good)))
