@@ -3,7 +3,8 @@
 Each source's target is a number of words. A document's expected number of copies is target / source size: its whole
 part is given to every document, and the rest is an inclusion probability p. Documents are ranked by
 ``odds(u) / odds(p)`` with u an even hash of the row, and the first are taken up to the words still missing
-(a sample of fixed size, counted in words). The last place goes to the document whose size best closes the gap.
+(a sample of fixed size, counted in words). The document at the threshold would exceed them; so what it leaves open goes to
+two documents that fit, the largest first, and the last place to the one whose size best closes the gap.
 
 Ranks are compared with one threshold for each source, which is found without sorting a source: words are summed by
 range of rank, and only the range in which the threshold falls is sorted.
@@ -82,30 +83,43 @@ def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20) -> tuple[Data
         F.max(F.when(F.col("taken") <= F.col("missing"), F.struct("rank", "doc_id", "digest"))).alias("last"),
         F.max(F.when(F.col("taken") <= F.col("missing"), F.col("taken"))).alias("reached"),
     )
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    no_extras = F.array().cast(f"array<struct<rank: double, doc_id: {kind}, digest: bigint>>")
     joined = edge.join(cuts, F.col("s").eqNullSafe(cuts["source"]), "left").select(
         F.col("s").alias("cut_source"), "edge_range", "last", (F.col("missing") - F.coalesce("reached", "before")).alias("gap")
     )
-    cut = materialize(joined, "mix-cuts")
-
-    # The document beyond the threshold whose size best closes what is left, if that is better than none.
-    beyond = ranked.join(broadcast_small(cut), ranked["source"].eqNullSafe(F.col("cut_source"))).where(~is_taken() & (F.col("size") > 0) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
-    closing = beyond.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("rank"), F.col("doc_id"), F.col("digest"))).alias("closing"))
-    closing = closing.select(F.col("source").alias("c"), "closing")
-    plan = sources.join(cut, sources["source"].eqNullSafe(F.col("cut_source")), "left").join(closing, sources["source"].eqNullSafe(F.col("c")), "left")
-    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", "edge_range", "last", "closing")
+    cut = materialize(joined.withColumn("extras", no_extras), "mix-cuts")
+    for last in (False, False, True):
+        cut = materialize(_fill(ranked, cut, last), "mix-cuts")
+    plan = sources.join(cut, sources["source"].eqNullSafe(F.col("cut_source")), "left")
+    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", "edge_range", "last", "extras")
     return ranked, materialize(plan, "mix-plan")
 
 
+def _fill(ranked: DataFrame, cut: DataFrame, last: bool) -> DataFrame:
+    """Give each source one more document: the largest that fits into its gap; at last the one that closes it best, if any does."""
+    here = F.struct("rank", "doc_id", "digest")
+    free = ranked.join(broadcast_small(cut), ranked["source"].eqNullSafe(F.col("cut_source"))).where(~_is_taken() & (F.col("size") > 0))
+    off = F.abs(F.col("size") - F.col("gap"))
+    free = free.where(off < F.col("gap")) if last else free.where(F.col("size") <= F.col("gap"))
+    best = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), here.alias("row"), F.col("size").alias("size"))).alias("best"))
+    best = best.select(F.col("source").alias("best_source"), "best")
+    joined = cut.join(best, F.col("cut_source").eqNullSafe(F.col("best_source")), "left")
+    extras = F.when(F.col("best").isNotNull(), F.concat("extras", F.array("best.row"))).otherwise(F.col("extras"))
+    return joined.select("cut_source", "edge_range", "last", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"), extras.alias("extras"))
+
+
 def with_rank(slim: DataFrame, seed: int) -> DataFrame:
     """Rank odds. Within a source p is the same for all, so the order of odds(u) / odds(p) is the order of odds(u)."""
     u = even_hash(F.col("doc_id"), F.col("digest"), F.col("size"), seed=seed)
     return slim.withColumn("u", u).withColumn("rank", F.col("u") / (1 - F.col("u"))).withColumn("rank_range", F.floor(F.col("u") * RANK_RANGES)).drop("u")
 
 
-def is_taken() -> Column:
-    """Whether a ranked row, joined with its source's plan, comes before or on the source's threshold."""
+def _is_taken() -> Column:
+    """Whether a ranked row, joined with its source's plan, comes before or on the source's threshold, or fills its gap."""
     here = F.struct("rank", "doc_id", "digest")
-    return F.coalesce((F.col("rank_range") < F.col("edge_range")) | ((F.col("rank_range") == F.col("edge_range")) & F.coalesce(here <= F.col("last"), F.lit(False))), F.lit(False))
+    inside = (F.col("rank_range") == F.col("edge_range")) & F.coalesce(here <= F.col("last"), F.lit(False))
+    return F.coalesce((F.col("rank_range") < F.col("edge_range")) | inside | F.exists("extras", lambda x: x.eqNullSafe(here)), F.lit(False))
 
 
 def broadcast_small(table: DataFrame) -> DataFrame:
@@ -114,10 +128,7 @@ def broadcast_small(table: DataFrame) -> DataFrame:
 
 
 def _copies() -> Column:
-    here = F.struct(F.col("rank"), F.col("doc_id"), F.col("digest"))
-    closing = F.struct(F.col("closing.rank").alias("rank"), F.col("closing.doc_id").alias("doc_id"), F.col("closing.digest").alias("digest"))
-    extra = is_taken() | F.coalesce(F.col("closing").isNotNull() & here.eqNullSafe(closing), F.lit(False))
-    return F.coalesce(F.col("whole") + extra.cast("long"), F.lit(0)).cast("long")
+    return F.coalesce(F.col("whole") + _is_taken().cast("long"), F.lit(0)).cast("long")
 
 
 def mix(docs: DataFrame, max_copies: int = 3, seed: int = 20) -> DataFrame:
