@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricescope.functions.numeric import is_valid_price, percent_over
 
-#: The position names shown to readers, and the product lines that come first among categories.
+#: The position names shown to readers.
 POSITION_LABELS = {
     "UNDERPRICED": "Underpriced",
     "SLIGHTLY_UNDERPRICED": "Slightly underpriced",
@@ -15,7 +15,6 @@ POSITION_LABELS = {
     "SLIGHTLY_OVERPRICED": "Slightly overpriced",
     "OVERPRICED": "Overpriced",
 }
-CATEGORY_ORDER = ["HYALUBALANCE", "SUNSCREAM", "SERUMS", "CICA", "HYALUWHITE", "TONERS"]
 MAX_PRODUCTS = 500
 
 
@@ -87,9 +86,9 @@ def build_columns(cells: DataFrame) -> DataFrame:
     return stores.withColumn("place", F.expr("row_number() OVER (ORDER BY is_own_store DESC, mean_order, retailer_name COLLATE UNICODE, retailer_id)"))
 
 
-def sort_categories(categories: DataFrame) -> DataFrame:
-    """(category, place): known lines in their own order, then the others by name regardless of case."""
-    known = F.array_position(F.array(*[F.lit(c) for c in CATEGORY_ORDER]), F.upper("category"))
+def sort_categories(categories: DataFrame, first: list[str]) -> DataFrame:
+    """(category, place): the lines in ``first`` (upper case) in their order, then the others by name regardless of case."""
+    known = F.array_position(F.array(*[F.lit(c) for c in first]), F.upper("category"))
     ranked = categories.withColumn("line", F.when(known > 0, known).otherwise(999))
     return ranked.withColumn("place", F.expr("row_number() OVER (ORDER BY line, category COLLATE UNICODE_CI, category)")).drop("line")
 

@@ -50,7 +50,7 @@ def g03_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g05_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.sort_categories(Domain(spark, sf_dir).products.select("category").distinct())
+    return matrix.sort_categories(Domain(spark, sf_dir).products.select("category").distinct(), ["STANDARD", "ECONOMY"])
 
 
 def x03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +294,7 @@ ORACLES = {
         DOMAIN, select="SELECT product_id, name, brand FROM products WHERE NOT coalesce(is_demo, FALSE) AND (contains(lower(name), 'a') OR contains(lower(brand), 'a')) ORDER BY lower(name), product_id LIMIT 501"
     ),
     "g03_truncation": with_layers(DOMAIN, select="SELECT least(count(*), 500) AS shown, count(*) > 500 AS truncated FROM products WHERE NOT coalesce(is_demo, FALSE)"),
-    "g05_a04_categories": with_layers(DOMAIN, select="SELECT category, row_number() OVER (ORDER BY lower(category), category) AS place FROM (SELECT DISTINCT category FROM products)"),
+    "g05_a04_categories": with_layers(DOMAIN, select="SELECT category, row_number() OVER (ORDER BY CASE upper(category) WHEN 'STANDARD' THEN 1 WHEN 'ECONOMY' THEN 2 ELSE 999 END, lower(category), category) AS place FROM (SELECT DISTINCT category FROM products)"),
     "x01_x03_csv_rows": with_layers(
         *_ALL,
         _CELLS,

@@ -131,6 +131,15 @@ def n03_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.drift(cells, live, "USD").select("product_id", "verdict", "new_price")
 
 
+def n04_keep_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After a round of checks in which every seventh source fails, for passing and for lasting reasons."""
+    sources = Domain(spark, sf_dir).sources.select("source_id", "scraping_status")
+    code = F.when(F.col("source_id") % 2 == 0, "TIMEOUT").otherwise("UNAVAILABLE")
+    failed = F.col("source_id") % 7 == 0
+    after = sources.withColumns({"error_code": F.when(failed, code), "scraping_status": F.when(failed, "failed").otherwise("success")})
+    return imports.keep_status(sources, after, ["BLOCKED", "TIMEOUT", "RENDER_FAILURE", "EMPTY_PAGE"]).groupBy("scraping_status", "error_code").agg(F.count("*").alias("n"))
+
+
 def n05_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Newest observations audited against list prices, counted by store and verdict."""
     d = Domain(spark, sf_dir)
@@ -244,6 +253,7 @@ QUERIES = {
     "n01_sheet_errors": n01_errors,
     "n02_import_sheet": n02_import,
     "n03_drift": n03_drift,
+    "n04_keep_status": n04_keep_status,
     "n05_c13_d19_audit": n05_audit,
     "a06_insert_if_absent": a06_insert,
     "a07_upsert": a07_upsert,
@@ -329,6 +339,11 @@ ORACLES = {
           FROM (SELECT l.product_id, l.price, floor(p_retailprice * CASE WHEN p_partkey % 5 = 0 THEN 2.5::DOUBLE WHEN p_partkey % 5 = 1 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END * 100 + 0.5) / 100 AS live
                 FROM listed l JOIN part ON p_partkey = l.product_id WHERE is_own_store))""",
     ),
+    "n04_keep_status": with_layers(
+        DOMAIN,
+        select="""SELECT CASE WHEN source_id % 7 <> 0 OR (source_id % 2 = 0 AND scraping_status = 'success') THEN 'success' ELSE 'failed' END AS scraping_status,
+            CASE WHEN source_id % 7 = 0 THEN CASE WHEN source_id % 2 = 0 THEN 'TIMEOUT' ELSE 'UNAVAILABLE' END END AS error_code, count(*) AS n FROM sources GROUP BY ALL""",
+    ),
     "n05_c13_d19_audit": with_layers(
         DOMAIN,
         LATEST,
