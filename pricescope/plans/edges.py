@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pricescope.operators import alerts
 from pricescope.plans.history import _PAIRS, alert_table
 from pricescope.plans.sql import DOMAIN, with_layers
+from pricescope.session import shared_dir
 from pricescope.sources import fixtures
 from pricescope.sources.domain import Domain
 from pricescope.streaming.alerts import alert_stream
@@ -97,8 +97,7 @@ def b05_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch alerts of competitors' observations, found by a stream that reads them in order of time, in four parts."""
     d = Domain(spark, sf_dir)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pricescope-")
-    folder = f"{shared}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows = alerts.with_own_flag(d.observations, d.sources).where("NOT is_own_store AND product_id % 20 = 0").drop("is_own_store")
     bounds = ["1900-01-01", "1997-01-01", "1998-06-01", "2000-01-01", "2100-01-01"]
     for low, high in zip(bounds, bounds[1:], strict=False):

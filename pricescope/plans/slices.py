@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pricescope.plans import text as text_plans
 from pricescope.plans.grid import _S, _analysis, _cells, _shelf
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, with_layers
 from pricescope.plans.text import _GOOD, _VERSIONS, _of_pages, _over, _themes
+from pricescope.session import shared_dir
 from pricescope.sources import fixtures
 from pricescope.sources.domain import Domain
 
@@ -173,8 +173,7 @@ def x04_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pricescope-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def a16_csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
