@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from pricescope.llm.common import materialize
 
-#: Bytes of windows in one automaton.
-AUTOMATON_BYTES = 32 << 20
+#: Bytes of windows in one automaton. It takes about 43 times as much memory in each Python worker: 180 MB.
+AUTOMATON_BYTES = 4 << 20
 #: Windows that a document may contain: item words, joined by one space, with a space at either end.
 SPANS = "array<struct<item: string, first: bigint, last: bigint>>"
 HITS = f"struct<n_words: bigint, spans: {SPANS}>"
