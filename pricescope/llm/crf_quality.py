@@ -5,10 +5,12 @@ chain also scores equal labels side by side. Forward-backward gives each line's
 mean of these, weighted by the lines' length in bytes, is the document's score.
 
 The model is fitted to documents whose lines all get the document's label. It is fitted on the driver, to at most
-``max_rows`` documents of each label, those with the smallest hash of their id; everything else runs on executors.
+``max_rows`` documents of each label, those with the smallest hash of their id, and to at most ``max_lines`` of their lines
+of each label; everything else runs on executors.
 
 Defined cases: a null or empty text is one empty line; labels that are neither 0 nor 1 are ignored, and of several labels
-of a document the lowest counts; without documents of both labels every score is 0.5.
+of a document the lowest counts; of several texts of a doc_id the smallest is fitted to; without documents of both labels
+every score is 0.5.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from pricescope.llm.segments import find_lines, find_words, hash_runs
 
 #: Labelled documents of either label to fit to, at most.
 MAX_ROWS = 1500
+#: Lines of either label to fit to, at most; a document of more than a hundredth of them isn't fitted to.
+MAX_LINES = 400_000
 STEPS = 150
 PENALTY = 1e-3
 
@@ -176,8 +180,8 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
-    """Fit to documents that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES) -> Model | None:
+    """Fit to documents that aren't held out; what the driver gets is bounded by ``max_rows`` and ``max_lines``."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
     one = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [one.where(F.col("quality") == q).orderBy("h", "doc_id").limit(max_rows) for q in (0, 1)]
@@ -194,7 +198,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     # At most 2 x max_rows ids.
     matched = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("chosen_id"))
-    rows = matched.select("h", "doc_id", "quality", measure("text").alias("m")).select("h", "doc_id", "quality", F.size("m.lines").alias("n"), "m.features").toPandas()
+    texts = matched.groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text"))
+    counted = texts.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.translate("text", "\n", "")), F.lit(0)) + 1)
+    summed = counted.where(100 * F.col("n_lines") <= max_lines).withColumn("total", F.expr("sum(n_lines) OVER (PARTITION BY quality ORDER BY h, doc_id)"))
+    held = summed.where(F.col("total") <= max_lines)
+    rows = held.select("h", "doc_id", "quality", measure("text").alias("m")).select("h", "doc_id", "quality", F.size("m.lines").alias("n"), "m.features").toPandas()
     rows = rows.sort_values(["h", "doc_id", "n"], kind="stable")
     if not len(rows):
         return None

@@ -243,6 +243,20 @@ def test_quality_scores(spark, odd, nothing, sf_dir):
     assert kept.columns == docs.columns
 
 
+def test_quality_fit_is_bounded(spark, sf_dir):
+    docs, known = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    whole = crf_quality.train(docs, known)
+    # Repeated rows and texts of more lines than the fit takes change nothing.
+    huge = spark.createDataFrame([(-5, "line\n" * 5_000)], "doc_id bigint, text string")
+    labelled = known.select("doc_id", "quality").unionByName(spark.createDataFrame([(-5, 0)], "doc_id bigint, quality int").select("doc_id", F.col("quality").cast(known.schema["quality"].dataType)))
+    slim = docs.select("doc_id", "text")
+    again = crf_quality.train(slim.unionAll(slim).unionAll(huge), labelled)
+    assert np.allclose(whole.weights, again.weights)
+    few = crf_quality.train(docs, known, max_lines=2_000)
+    assert few is not None and not np.allclose(whole.weights, few.weights)
+    assert crf_quality.train(docs, known, max_lines=0) is None
+
+
 # Chat formatting
 
 

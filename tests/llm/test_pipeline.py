@@ -3,6 +3,8 @@
 import hashlib
 
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
 from test_operators import groups_by_brute_force, jump
 
 from pricescope.llm import crf_quality, decontaminate
@@ -36,3 +38,24 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     result = corpus_pipeline.run(spark, sf_dir)
     assert "shard" in result.columns and result.count() > 0
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_on_odd_documents(spark, sf_dir, kind):
+    rows = [(1, None, None), (2, "", "a"), (3, "same text of a few words here", "a"), (4, "same text of a few words here", "b"), (5, "word " * 50_000, "b"), (6, "twice", None), (6, "twice", None), (None, "no id", "c"), (None, None, None)]
+    docs = spark.createDataFrame(rows if kind == "odd" else [], "doc_id bigint, text string, source string")
+    # Columns named as the operators' own, null throughout.
+    names = ["size", "shard", "rank", "node", "n", "row", "copies", "score", "target", "key", "lang"]
+    docs = docs.select("*", *[F.lit(None).cast("bigint").alias(name) for name in names])
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert {x for x in got} <= {(i, t) for i, t, _ in rows} and (kind == "odd" or not got)
+        if i == 1 and got:
+            # Copies go, rows without a doc_id and without words stay.
+            assert sorted(t or "" for i, t in got if i is None) == ["", "no id"]
+            assert [i for i, t in got if t == "same text of a few words here"] == [3]
+            assert {1, 2, 5, 6} <= {i for i, _ in got}
+        if i == 4:
+            assert len(got) == docs.count() and all(0 <= r["shard"] < 24 for r in out.collect())
