@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,8 +26,10 @@ def _valid(price) -> bool:
 def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     before = state.get if state.exists else None
     found = []
-    rows = pd.concat(list(frames)).sort_values(["scraped_at", "order_key", "order_line", "price"], kind="stable")
-    for price, availability, at in zip(rows["price"], rows["availability"], rows["scraped_at"], strict=True):
+    rows = pd.concat(list(frames))
+    prices, availabilities, times = list(rows["price"]), list(rows["availability"]), list(rows["scraped_at"])
+    for i in np.lexsort([rows[c].to_numpy() for c in ("price", "order_line", "order_key", "scraped_at")]):
+        price, availability, at = prices[i], availabilities[i], times[i]
         if before is not None:
             if at < before[2]:
                 continue
@@ -37,7 +40,8 @@ def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
         before = (price, availability, at)
     if before is not None:
         state.update(before)
-    yield pd.DataFrame(found, columns=["type", "source_id", "previous_price", "price", "scraped_at"])
+    if found:
+        yield pd.DataFrame(found, columns=["type", "source_id", "previous_price", "price", "scraped_at"])
 
 
 def alert_stream(observations: DataFrame) -> DataFrame:
