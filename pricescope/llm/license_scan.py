@@ -4,7 +4,15 @@ A text's units are its lines, its paragraphs of two lines or more (between blank
 with a bigrams reaches a coefficient t with a template of b bigrams only if b lies between a t / (2 - t) and
 a (2 - t) / t, so only templates in these bounds are compared; an index from bigrams to templates counts what is shared.
 
-Words are runs of letters and digits, lower-cased. A one-word unit or template has its word as its only bigram.
+Licences that are no unit (a notice in a longer line, a licence of some paragraphs in a longer text) are found as spans:
+of all runs of words that reach the threshold with a template, regardless of lines and paragraphs, the best (highest
+coefficient, then shortest, then first), then the best of those without a bigram in common with it, and so on. A span isn't
+reported inside a unit that matches the same template, nor inside a match of a larger template that has the span's hits, too
+(the header of the Apache License begins with the words of its notice).
+
+Words are runs of letters and digits, lower-cased. A one-word unit or template has its word as its only bigram; a
+template of one word is sought in units only. The templates are eight notices and short licences, see ``TEMPLATES``;
+others can be given.
 
 Defined cases: null and empty texts, and units without words, match nothing; templates without words are ignored;
 of templates that reach the threshold in a unit all are reported; repeated rows are judged alike.
@@ -66,6 +74,7 @@ class Index:
         self.threshold = threshold
         self.sizes = [size for size, _, _ in sets]
         self.names = [name for _, name, _ in sets]
+        self.sets = [s for _, _, s in sets]
         self.of: dict = {}
         for i, (_, _, s) in enumerate(sets):
             for b in s:
@@ -86,6 +95,47 @@ class Index:
         dice = ((self.names[low + i], 2 * n / (a + self.sizes[low + i])) for i, n in enumerate(shared) if n)
         return [(name, d) for name, d in dice if d >= t]
 
+    def present(self, whole: set) -> list[int]:
+        """Templates of which a text with these bigrams has enough for a span to reach the threshold, the largest first."""
+        shared: dict[int, int] = {}
+        for b in whole & self.of.keys():
+            for i in self.of[b]:
+                shared[i] = shared.get(i, 0) + 1
+        return sorted((i for i, n in shared.items() if n >= self.sizes[i] * self.threshold / (2 - self.threshold) - 1e-9 and len(next(iter(self.sets[i]))) > 1), reverse=True)
+
+    def spans(self, run: list[tuple], i: int) -> list[tuple[int, int, float]]:
+        """(first, last, coefficient) of the best disjoint spans of template i in a text's bigrams in order.
+
+        The best begin and end with a bigram of the template that they hold once, as without it they would be as good and
+        shorter. So a search ends where its first bigram comes again: at most one pass over the text for each bigram.
+        """
+        wanted, size, t = self.sets[i], self.sizes[i], self.threshold
+        most = size * (2 - t) / t + 1e-9
+        found = []
+        for first in [k for k, b in enumerate(run) if b in wanted]:
+            seen, shared = {run[first]}, 1
+            last = first
+            while True:
+                if last == first or fresh and hit:
+                    dice = 2 * shared / (len(seen) + size)
+                    if dice >= t:
+                        found.append((-dice, last - first, first))
+                last += 1
+                if last == len(run) or run[last] == run[first]:
+                    break
+                fresh, hit = run[last] not in seen, run[last] in wanted
+                if fresh:
+                    seen.add(run[last])
+                    shared += hit
+                    if len(seen) > most:
+                        break
+        taken: list[tuple[int, int, float]] = []
+        for minus, length, first in sorted(found):
+            k = bisect_left(taken, (first,))
+            if (k == 0 or taken[k - 1][1] < first) and (k == len(taken) or taken[k][0] > first + length):
+                taken.insert(k, (first, first + length, -minus))
+        return taken
+
 
 def units(text: str):
     """(first line, last line, text) of the lines, the paragraphs and the whole."""
@@ -104,15 +154,46 @@ def units(text: str):
         yield 0, len(lines) - 1, text
 
 
+def matches_of(index: Index, text: str) -> list[tuple[str, float, int, int]]:
+    """(template, coefficient, first line, last line) of the units that match, then of the spans beyond them."""
+    found, own = [], set()
+    for first, last, unit in units(text):
+        own = bigrams(unit)
+        found += [(name, d, first, last) for name, d in index.matches(own)]
+    # The last unit is the whole text.
+    present = index.present(own)
+    if not present:
+        return found
+    lowered = text.lower()
+    places = [(m.start(), m.group()) for m in _WORDS.finditer(lowered)]
+    run = [(a, b) for (_, a), (_, b) in zip(places, places[1:], strict=False)]
+    breaks = [k for k, c in enumerate(lowered) if c == "\n"]
+    sets = dict(zip(index.names, index.sets, strict=True))
+    inside = [(sets[name], first, last) for name, _, first, last in found]
+    wider: list[tuple[set, int, int]] = []
+    for i in present:
+        taken = []
+        for a, b, d in index.spans(run, i):
+            first, last = bisect_left(breaks, places[a][0]), bisect_left(breaks, places[b + 1][0])
+            hits = index.sets[i].intersection(run[a : b + 1])
+            held = any(low <= first and last <= high and hits <= s and len(s) >= index.sizes[i] for s, low, high in inside)
+            held |= any(low <= a and b <= high and hits <= s for s, low, high in wider)
+            if not held:
+                taken.append((index.sets[i], a, b))
+                found.append((index.names[i], d, first, last))
+        wider += taken
+    return found
+
+
 def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id and ``matches``: license, dice, first_line and last_line (from 0) of every unit that matches."""
+    """doc_id and ``matches``: license, dice, first_line and last_line (from 0) of every unit and span that matches."""
     index = Index(TEMPLATES if templates is None else templates, threshold)
 
     @F.arrow_udf("array<struct<license: string, dice: double, first_line: int, last_line: int>>")
     def scan(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts:
-            rows.append([{"license": name, "dice": d, "first_line": a, "last_line": b} for a, b, unit in units(t.as_py() or "") for name, d in index.matches(bigrams(unit))])
+            rows.append([{"license": name, "dice": d, "first_line": a, "last_line": b} for name, d, a, b in matches_of(index, t.as_py() or "")])
         return pa.array(rows, pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())])))
 
     return docs.select("doc_id", scan("text").alias("matches"))
