@@ -7,13 +7,20 @@ the character is unknown at the lowest score less 10; unknown characters side by
 spelled in its UTF-8 bytes if the vocabulary has byte pieces.
 
 Words start at spaces, which are written U+2581; one stands before the first word, too. The vocabulary is a file's
-pieces and scores; it is read on the driver and broadcast (its size is that of the file).
+pieces and scores; it is read on the driver and broadcast (its size is that of the file). Scores must be log-probabilities,
+as in a unigram model: the scores of a BPE model are ranks of its merges, and counts over them are no tokenizer's. The
+default file lies beside this module and is made by ``fit_vocabulary`` of all texts in TESTDATA's documents at sf0.1.
+
+The names of control pieces (``<unk>``, ``<s>``, ``</s>``) and byte pieces match nothing in a text, as in SentencePiece.
 
 Defined cases: a null or empty text has no tokens; runs of spaces give words of a space alone; texts are counted whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from pathlib import Path
+
 import ahocorasick
 import pyarrow as pa
 import sentencepiece
@@ -21,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = str(Path(__file__).with_name("unigram_8k.model"))
 SPACE = "▁"
+CONTROL = {"<unk>", "<s>", "</s>"}
+BYTES = {f"<0x{b:02X}>" for b in range(256)}
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a worker remembers.
 REMEMBERED = 400_000
@@ -34,14 +43,25 @@ def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+def fit_vocabulary(texts: Iterable[str], path: str, size: int = 8_000) -> None:
+    """Fit a unigram model with byte fallback to the texts' lines, as they are, and write it to ``path``."""
+    lines = (line for t in texts for line in t.split("\n") if line.strip())
+    with open(path, "wb") as file:
+        sentencepiece.SentencePieceTrainer.train(
+            sentence_iterator=lines, model_writer=file, model_type="unigram", vocab_size=size, hard_vocab_limit=False, byte_fallback=True, normalization_rule_name="identity",
+            remove_extra_whitespaces=False, max_sentence_length=1 << 20, character_coverage=0.9999, minloglevel=2,
+        )
+
+
 class Counter:
     def __init__(self, vocabulary: list[tuple[str, float]]):
-        self.pieces = {piece for piece, _ in vocabulary}
-        self.bytes = all(f"<0x{b:02X}>" in self.pieces for b in range(256))
+        every = {piece for piece, _ in vocabulary}
+        self.bytes = every >= BYTES
+        self.pieces = every - CONTROL - (BYTES if self.bytes else set())
         self.unknown = min((score for _, score in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
-            if piece:
+            if piece and piece in self.pieces:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.known: dict[str, int] = {}
