@@ -16,6 +16,9 @@ POSITION_LABELS = {
     "OVERPRICED": "Overpriced",
 }
 MAX_PRODUCTS = 500
+#: Titles of the CSV export's fields before and after its stores.
+CSV_FIRST = ["Product", "Brand", "Size", "Currency"]
+CSV_LAST = ["Market median", "Gap vs median (%)", "Position", "Suggested price"]
 
 
 def cell_state() -> Column:
@@ -109,20 +112,41 @@ def csv_cell(state: Column, price: Column) -> Column:
     return F.when(state == "out_of_stock", "Out of stock").when(state.isin("current", "stale"), csv_number(price)).otherwise("")
 
 
+def csv_export(products: DataFrame, cells: DataFrame, analysis: DataFrame) -> DataFrame:
+    """(place, line): the header at place 0, then a line for each product by name, with a column for every store of the cells.
+
+    ``products`` are those shown (at most ``MAX_PRODUCTS``), ``cells`` theirs. Stores are never pivoted: a product's texts are
+    kept by their column's place, and spread over the number of columns.
+    """
+    columns = build_columns(cells)
+    kind = F.when(F.col("is_brand_store"), " (official price)").otherwise(" (your price)")
+    title = csv_text(F.when(F.col("is_own_store"), F.concat("retailer_name", kind)).otherwise(F.col("retailer_name")))
+    head = columns.agg(F.count("*").cast("int").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("place", title.alias("title")))), lambda c: c["title"]).alias("titles"))
+    first, last = (F.array(*[F.lit(x) for x in titles]) for titles in (CSV_FIRST, CSV_LAST))
+    header = head.select(F.lit(0).alias("place"), F.array_join(F.concat(first, "titles", last), ",").alias("line"))
+    texts = cells.join(columns.select("retailer_id", "place"), "retailer_id").groupBy("product_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("place", csv_cell(F.col("state"), F.col("price"))))).alias("texts")
+    )
+    facts = analysis.select("product_id", F.col("currency").alias("analysed"), "market_median", "gap_percentage", "position", "suggested_price")
+    joined = products.join(texts, "product_id", "left").join(facts, "product_id", "left").crossJoin(F.broadcast(head.select("n")))
+    spread = F.transform(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>")), lambda i: F.coalesce(F.try_element_at("texts", i), F.lit("")))
+    before, after = csv_ends()
+    lines = joined.withColumn("place", F.expr("row_number() OVER (ORDER BY lower(name), product_id)"))
+    return header.unionByName(lines.select("place", F.array_join(F.concat(F.array(*before), spread, F.array(*after)), ",").alias("line")))
+
+
+def csv_ends() -> tuple[list[Column], list[Column]]:
+    """A line's fields before and after its stores."""
+    labels = F.create_map(*[F.lit(x) for pair in POSITION_LABELS.items() for x in pair])
+    before = [csv_text(F.col("name")), csv_text(F.col("brand")), csv_text(F.col("size")), csv_text(F.coalesce("analysed", "currency"))]
+    after = [csv_number(F.col("market_median")), csv_number(F.col("gap_percentage")), csv_text(F.try_element_at(labels, F.col("position"))), csv_number(F.col("suggested_price"))]
+    return before, after
+
+
 def csv_rows(products: DataFrame, cells: DataFrame, columns: list[tuple[int, str]], analysis: DataFrame) -> DataFrame:
-    """One line of CSV for each product; ``columns`` are the stores (id, header) in order, known from ``build_columns``."""
+    """One line of CSV for each product with the given stores (id, header) in order; ``csv_export`` has all stores."""
     wide = cells.withColumn("text", csv_cell(F.col("state"), F.col("price"))).groupBy("product_id").pivot("retailer_id", [r for r, _ in columns]).agg(F.first("text"))
     joined = products.join(wide, "product_id", "left").join(analysis.select("product_id", F.col("currency").alias("analysed"), "market_median", "gap_percentage", "position", "suggested_price"), "product_id", "left")
-    labels = F.create_map(*[F.lit(x) for pair in POSITION_LABELS.items() for x in pair])
-    fields = [
-        csv_text(F.col("name")),
-        csv_text(F.col("brand")),
-        csv_text(F.col("size")),
-        csv_text(F.coalesce("analysed", "currency")),
-        *[F.coalesce(F.col(f"`{r}`"), F.lit("")) for r, _ in columns],
-        csv_number(F.col("market_median")),
-        csv_number(F.col("gap_percentage")),
-        csv_text(F.try_element_at(labels, F.col("position"))),
-        csv_number(F.col("suggested_price")),
-    ]
+    before, after = csv_ends()
+    fields = [*before, *[F.coalesce(F.col(f"`{r}`"), F.lit("")) for r, _ in columns], *after]
     return joined.select("product_id", F.concat_ws(",", *fields).alias("line"))

@@ -54,12 +54,20 @@ def g05_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV lines with the first six stores; the header's columns are collected, one row for each store shown."""
+    """CSV lines with the six stores that this key's SQL asks for; ``x01_csv`` has all stores."""
     d = Domain(spark, sf_dir)
     cells = _cells(d).where("retailer_id <= 6")
     return matrix.csv_rows(d.products, cells, [(i, f"Supplier {i}") for i in range(1, 7)], _analysis(d))
 
 
+def x01_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole CSV export: header and lines of the products shown (the first 500 by name), with all their stores."""
+    d = Domain(spark, sf_dir)
+    shown = matrix.select_products(d.products, demo=False).orderBy(F.lower("name"), "product_id").limit(matrix.MAX_PRODUCTS)
+    analysis = _analysis(d)
+    return matrix.csv_export(shown, matrix.build_cells(shown, _listed(d), d.retailers, analysis), analysis)
+
+
 def q10_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
     return listing.product_list(d.products, _analysis(d), listing.source_counts(d.sources), sort="gap", descending=True, page=3).drop("last_checked_at")
@@ -193,6 +201,7 @@ QUERIES = {
     "g03_truncation": g03_truncation,
     "g05_a04_categories": g05_categories,
     "x01_x03_csv_rows": x03_csv,
+    "x01_csv_export": x01_csv,
     "q10_g01_product_list": q10_products,
     "b12_b03_page_summary": b12_pages,
     "d02_source_counts": d02_source_counts,
@@ -306,6 +315,24 @@ ORACLES = {
               WHEN 'SLIGHTLY_OVERPRICED' THEN 'Slightly overpriced' WHEN 'OVERPRICED' THEN 'Overpriced' ELSE '' END, {_T.format("suggested_price")}) AS line
           FROM products p LEFT JOIN analysis a USING (product_id)""",
     ),
+    "x01_csv_export": with_layers(
+        *_ALL,
+        _CELLS,
+        "shown AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY lower(name), product_id) AS line_place FROM products WHERE NOT coalesce(is_demo, FALSE)) WHERE line_place <= 500)",
+        "shown_cells AS (SELECT * FROM cells WHERE product_id IN (SELECT product_id FROM shown))",
+        """stores AS (SELECT *, row_number() OVER (ORDER BY own DESC, m, retailer_name, retailer_id) AS column_place
+          FROM (SELECT retailer_id, retailer_name, is_brand_store, bool_or(is_own_store) AS own, avg(sort_order) AS m FROM shown_cells GROUP BY ALL))""",
+        f"""texts AS (SELECT product_id, string_agg(coalesce(t, ''), ',' ORDER BY column_place) AS t FROM (SELECT s.product_id, column_place,
+            CASE WHEN state = 'out_of_stock' THEN 'Out of stock' WHEN state IN ('current', 'stale') THEN {_T.format("price")} ELSE '' END AS t
+          FROM shown s CROSS JOIN stores LEFT JOIN shown_cells c ON c.product_id = s.product_id AND c.retailer_id = stores.retailer_id) GROUP BY product_id)""",
+        select=f"""SELECT 0 AS place, 'Product,Brand,Size,Currency,' || string_agg(retailer_name || CASE WHEN NOT own THEN '' WHEN is_brand_store THEN ' (official price)' ELSE ' (your price)' END, ',' ORDER BY column_place)
+            || ',Market median,Gap vs median (%),Position,Suggested price' AS line FROM stores
+          UNION ALL SELECT line_place, concat_ws(',', coalesce(name, ''), coalesce(brand, ''), coalesce(size, ''), coalesce(a.currency, p.currency, ''), t,
+            {_T.format("market_median")}, {_T.format("gap_percentage")},
+            CASE position WHEN 'UNDERPRICED' THEN 'Underpriced' WHEN 'SLIGHTLY_UNDERPRICED' THEN 'Slightly underpriced' WHEN 'MARKET_ALIGNED' THEN 'Market aligned'
+              WHEN 'SLIGHTLY_OVERPRICED' THEN 'Slightly overpriced' WHEN 'OVERPRICED' THEN 'Overpriced' ELSE '' END, {_T.format("suggested_price")})
+          FROM shown p LEFT JOIN analysis a USING (product_id) LEFT JOIN texts USING (product_id)""",
+    ),
     "q10_g01_product_list": with_layers(
         *_ALL,
         select="""SELECT p.product_id, name, brand, category, size, p.currency, is_demo, status, position, own_price, market_median, gap_percentage, suggested_price, source_count

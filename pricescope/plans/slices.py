@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricescope.functions import lexicon, text
-from pricescope.operators import content, matrix, opportunities, pages, pricing, reviews
+from pricescope.operators import content, opportunities, pages, pricing, reviews
 from pricescope.operators.reports import KPIS
 from pricescope.operators.tables import upsert
-from pricescope.plans import ingest
+from pricescope.plans import grid, ingest
 from pricescope.plans import text as text_plans
-from pricescope.plans.grid import _S, _analysis, _cells, _shelf
+from pricescope.plans.grid import _S, _analysis, _shelf
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, with_layers
 from pricescope.plans.text import _GOOD, _VERSIONS, _of_pages, _over, _themes
 from pricescope.session import shared_dir
@@ -177,11 +177,10 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def a16_csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grid's lines written as text, under their header, and read back."""
-    d = Domain(spark, sf_dir)
-    lines = matrix.csv_rows(d.products, _cells(d).where("retailer_id <= 2"), [(1, "Supplier 1"), (2, "Supplier 2")], _analysis(d))
+    """The whole export written as one text file, its header first and marked as UTF-8, and read back (which drops the mark). It has 501 lines at most."""
+    lines = grid.x01_csv(spark, sf_dir).repartition(1).sortWithinPartitions("place")
     folder = _folder(spark, "matrix-csv")
-    lines.select("line").write.option("lineSep", "\r\n").text(folder)
+    lines.select(F.when(F.col("place") == 0, F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line")).alias("line")).write.option("lineSep", "\r\n").text(folder)
     return spark.read.option("lineSep", "\r\n").text(folder).agg(F.count("*").alias("lines"), F.sum(F.length("value")).alias("characters"))
 
 

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from pricescope.operators import alerts
-from pricescope.plans import edges
+from pricescope.operators import alerts, matrix
+from pricescope.plans import edges, slices
+from pricescope.plans import grid as grid_plans
 from pricescope.sources.domain import Domain
 
 
@@ -14,3 +15,23 @@ def test_stream_takes_every_observation(spark, sf_dir):
     want = {(r["type"], r["source_id"]): r["n"] for r in batch.groupBy("type", "source_id").agg(F.count("*").alias("n")).collect()}
     got = {(r["type"], r["source_id"]): r["n"] for r in edges.whole_stream(spark, sf_dir).collect()}
     assert got == want and len({source // 1_000_000 % 20 for _, source in got}) == 20
+
+
+def test_csv_has_every_store(spark):
+    products = spark.createDataFrame([(1, "b, x", "B", "5", "USD"), (2, "A", None, None, None), (3, "c", "B", "7", "USD")], "product_id bigint, name string, brand string, size string, currency string")
+    cells = [(1, r, f"Store {r:02}", r == 10, r == 10, 0 if r == 10 else 1, "out_of_stock" if r == 9 else "current", r + 0.5) for r in range(1, 31)] + [(2, 31, "Store, 31", False, False, 1, "failed", 4.0)]
+    grid = spark.createDataFrame(cells, "product_id bigint, retailer_id bigint, retailer_name string, is_brand_store boolean, is_own_store boolean, sort_order int, state string, price double")
+    analysis = spark.createDataFrame([(1, "EUR", 10.0, -2.5, "MARKET_ALIGNED", 9.99)], "product_id bigint, currency string, market_median double, gap_percentage double, position string, suggested_price double")
+    got = [r["line"] for r in matrix.csv_export(products, grid, analysis).orderBy("place").collect()]
+    rest = [r for r in range(1, 31) if r != 10]
+    assert got == [
+        ",".join(["Product,Brand,Size,Currency,Store 10 (official price)", *(f"Store {r:02}" for r in rest), '"Store, 31",Market median,Gap vs median (%),Position,Suggested price']),
+        "A,,," + "," * 32 + ",,,",
+        ",".join(['"b, x",B,5,EUR,10.5', *("Out of stock" if r == 9 else f"{r}.5" for r in rest), ",10,-2.5,Market aligned,9.99"]),
+        "c,B,7,USD" + "," * 32 + ",,,",
+    ]
+
+
+def test_csv_sink_writes_the_whole_export(spark, sf_dir):
+    lines = [r["line"] for r in grid_plans.x01_csv(spark, sf_dir).collect()]
+    assert slices.a16_csv_sink(spark, sf_dir).first() == (len(lines), sum(map(len, lines)))
