@@ -1,10 +1,14 @@
 """Queries that must take in all their rows, held against plain versions."""
 
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
+from pricescope.functions import text
 from pricescope.operators import alerts, matrix
 from pricescope.plans import edges, slices
 from pricescope.plans import grid as grid_plans
+from pricescope.plans import text as text_plans
 from pricescope.sources.domain import Domain
 
 
@@ -35,3 +39,17 @@ def test_csv_has_every_store(spark):
 def test_csv_sink_writes_the_whole_export(spark, sf_dir):
     lines = [r["line"] for r in grid_plans.x01_csv(spark, sf_dir).collect()]
     assert slices.a16_csv_sink(spark, sf_dir).first() == (len(lines), sum(map(len, lines)))
+
+
+def test_keywords_of_any_script(spark, sf_dir):
+    rows = text_plans._reviews(spark).where("sentiment <> 'neutral'").select("brand", "sentiment", text.tokens(F.col("body")).alias("tokens")).collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        counts[r["brand"], r["sentiment"]].update(r["tokens"])
+    got = defaultdict(dict)
+    for r in text_plans.QUERIES["g10_all_keywords"](spark, sf_dir).collect():
+        got[r["brand"], r["sentiment"]][r["term"]] = r["n"]
+    assert set(got) == {k for k, c in counts.items() if c}
+    for key, terms in got.items():
+        assert sorted(terms.values()) == sorted(counts[key].values())[-8:] and all(counts[key][t] == n for t, n in terms.items())
+    assert any(not t.isascii() for terms in got.values() for t in terms)
