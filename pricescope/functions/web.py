@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,12 @@ def _word(symbol: str) -> str:
     return rf"(?<![A-Za-z0-9_]){symbol}(?![A-Za-z0-9_])"
 
 
+def tagged_amount() -> str:
+    """A pattern of an amount with a currency before or after it."""
+    token = "|".join([_word(c) for c in CODES] + [_word(s) if s.isascii() and s.isalpha() else re.escape(s) for s, _ in SYMBOLS])
+    return rf"(?:{token})\s*(?:{AMOUNT})|(?:{AMOUNT})\s*(?:{token})"
+
+
 def detect_currency(text: Column) -> Column:
     """The first currency code in a text, or else the first symbol of the list that occurs."""
     code = F.regexp_extract(text, _word(f"({'|'.join(CODES)})"), 1)

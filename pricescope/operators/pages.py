@@ -196,11 +196,34 @@ def price_candidates(pages: DataFrame) -> DataFrame:
     return raw.select("page_id", "place", "strategy", web.parse_amount(F.col("raw_price")).alias("price"), currency.alias("currency")).where("price IS NOT NULL")
 
 
+def page_currencies(pages: DataFrame) -> DataFrame:
+    """(page_id, currency) of pages that tell one: by a meta tag or attribute, or else the most frequent beside an amount of the text.
+
+    Of currencies as frequent, the one seen first. Matches are rows, so the count is one aggregation by page and currency.
+    """
+    named = lambda name: F.regexp_extract("html", rf"""(?is)<meta(?=[^>]*\sproperty=["']{name}["'])[^>]*\scontent=["']([^"']*)["']""", 1)
+    data = lambda name: F.regexp_extract("html", rf"""(?is)<[a-z][^>]*\s{name}=["']([^"']*)["']""", 1)
+    item = r"""(?is)(<[a-z][^>]*\sitemprop=["']priceCurrency["'][^>]*>)([^<]*)"""
+    content = F.regexp_extract(F.regexp_extract("html", item, 1), r"""(?is)\scontent=["']([^"']*)["']""", 1)
+    sources = [named("product:price:currency"), named("og:price:currency"), F.coalesce(F.nullif(content, F.lit("")), F.regexp_extract("html", item, 2)), data("data-currency"), data("data-price-currency")]
+    explicit = pages.select("page_id", F.posexplode(F.array(*sources)).alias("place", "raw")).withColumn("currency", web.normalize_currency(F.col("raw")))
+    body = visible_text(F.regexp_replace("html", r"(?is)<(head|title)\b.*?</\1>", " "))
+    matches = F.regexp_extract_all(body, F.lit(web.tagged_amount()), F.lit(0))
+    seen = pages.select("page_id", F.posexplode(matches).alias("place", "raw")).withColumn("currency", web.detect_currency(F.col("raw"))).where("currency IS NOT NULL")
+    counts = seen.groupBy("page_id", "currency").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    # Whatever is explicit stands before all counts.
+    rated = explicit.where("currency IS NOT NULL").select("page_id", "currency", F.struct(F.lit(1).alias("explicit"), F.lit(0).cast("long").alias("n"), (-F.col("place")).alias("first")).alias("rank"))
+    rated = rated.unionByName(counts.select("page_id", "currency", F.struct(F.lit(0).alias("explicit"), "n", (-F.col("first")).alias("first")).alias("rank")))
+    return rated.groupBy("page_id").agg(F.max_by("currency", "rank").alias("currency"))
+
+
 def page_prices(pages: DataFrame) -> DataFrame:
-    """The first strategy's price for each page: structured data before all others."""
+    """The first strategy's price for each page: structured data before all others. A price without a currency has the page's."""
     structured = choose_offer(structured_offers(pages)).select("page_id", F.lit(-1).alias("place"), F.lit("json-ld").alias("strategy"), "price", "currency")
     both = structured.unionByName(price_candidates(pages))
-    return both.groupBy("page_id").agg(F.min_by(F.struct("strategy", "price", "currency"), "place").alias("p")).select("page_id", "p.*")
+    first = both.groupBy("page_id").agg(F.min_by(F.struct("strategy", "price", "currency"), "place").alias("p")).select("page_id", "p.*")
+    known = page_currencies(pages).withColumnRenamed("currency", "page_currency")
+    return first.join(known, "page_id", "left").select("page_id", "strategy", "price", F.coalesce("currency", "page_currency").alias("currency"))
 
 
 def unescape_html(text: Column) -> Column:
