@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pricescope.llm import crf_quality, decontaminate, mixing, near_dedup, sharding
 from pricescope.llm.common import read
-from pricescope.session import shared_dir
+from pricescope.session import remove, shared_dir
 
 SHARDS = 24
 
@@ -52,12 +52,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over the table of documents. A stage's table goes when the next one is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
 
 

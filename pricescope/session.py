@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -18,12 +19,24 @@ def session(name: str = "pricescope", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which driver and executors share; a private one, gone at exit, only where it is unset."""
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Where it is unset, a session on one machine (master ``local``) gets a private one, gone at exit; a cluster has no folder
+    that could be guessed, so that is an error.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share: intermediate tables are written there.")
         own = tempfile.mkdtemp(prefix="pricescope-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         context.setCheckpointDir(own)
         named = context.getCheckpointDir()
     return named
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever that is."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
