@@ -60,4 +60,58 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
-ORACLES = {"op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7}
+_UPPER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GRID = "([0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[])"
+_BUDGETS = "([0.0, 0.0025, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04]::DOUBLE[])"
+
+OP10 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS times FROM (SELECT r, i, w[i:i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d))),
+again AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM win WHERE times > 1) GROUP BY r),
+counted AS (
+  SELECT d.r, doc_id, lang, md5(t) AS digest, len(w) AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+    length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    coalesce(again.n, 0) AS n_repeat_words, length(t) - length(translate(t, '!', '')) AS n_exclaims, length(t) - length(translate(t, '{_UPPER_CASE}', '')) AS n_upper
+  FROM d LEFT JOIN again USING (r)),
+m AS (
+  SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
+levels AS (
+  SELECT *, list_transform([coalesce(n_symbols::DOUBLE / nullif(word_chars, 0), 0), coalesce(n_dup_lines::DOUBLE / nullif(len(lines), 0), 0),
+    coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0), coalesce(n_exclaims::DOUBLE / nullif(n_words, 0), 0), coalesce(n_upper::DOUBLE / nullif(word_chars, 0), 0)],
+    lambda v: len(list_filter({_GRID}, lambda c: v > c))) AS lv
+  FROM m),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id),
+texts AS (
+  SELECT lang, digest, lv, min(quality) AS q, ('0x' || digest[1:8])::BIGINT % 3 = 0 AS tuning FROM levels JOIN known USING (doc_id) WHERE NOT base_failed GROUP BY lang, digest, lv),
+tune AS (SELECT lang, rule, lv[rule] AS level, q FROM (SELECT *, unnest(range(1, 6)) AS rule FROM texts WHERE tuning)),
+above AS (
+  SELECT lang, rule, place, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND level > place) AS good, count(*) FILTER (q = 0 AND level > place) AS bad
+  FROM tune, range(0, len({_GRID}) + 1) AS p(place) GROUP BY lang, rule, place),
+tried AS (
+  SELECT lang, rule, j, count(*) FILTER (good > n * {_BUDGETS}[j]) AS place FROM above, range(1, len({_BUDGETS}) + 1) AS b(j) WHERE place < len({_GRID}) GROUP BY lang, rule, j),
+chain AS (
+  SELECT lang, rule, 0::BIGINT AS j, len({_GRID})::BIGINT AS place FROM (SELECT DISTINCT lang, rule FROM above)
+  UNION ALL
+  SELECT c.lang, c.rule, t.j, CASE WHEN (x.bad - y.bad) - (x.good - y.good) > 0 THEN t.place ELSE c.place END
+  FROM chain c JOIN tried t ON t.lang IS NOT DISTINCT FROM c.lang AND t.rule = c.rule AND t.j = c.j + 1
+  JOIN above x ON x.lang IS NOT DISTINCT FROM c.lang AND x.rule = c.rule AND x.place = t.place
+  JOIN above y ON y.lang IS NOT DISTINCT FROM c.lang AND y.rule = c.rule AND y.place = c.place),
+sets AS (SELECT lang, j, list(place ORDER BY rule) AS places FROM chain WHERE j > 0 GROUP BY lang, j),
+tested AS (
+  SELECT t.lang, j, any_value(places) AS places, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 1 AND out) AS good, count(*) FILTER (q = 0 AND out) AS bad
+  FROM (SELECT t.lang, s.j, s.places, t.q, len(list_filter(range(1, 6), lambda i: t.lv[i] > s.places[i])) > 0 AS out FROM texts t JOIN sets s ON s.lang IS NOT DISTINCT FROM t.lang WHERE NOT t.tuning) t
+  GROUP BY t.lang, j),
+judged AS (
+  SELECT *, CASE WHEN good >= n * 0.05 THEN 1 ELSE list_sum(list_transform(range(0, good + 1),
+    lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.05::DOUBLE) + (n - k) * ln(0.95::DOUBLE)))) END AS p,
+    0.05 / (SELECT count(*) FROM (SELECT DISTINCT lang FROM tested)) AS level
+  FROM tested),
+certified AS (SELECT *, bool_and(p <= level) OVER (PARTITION BY lang ORDER BY j) AS certified FROM judged),
+chosen AS (SELECT lang, places FROM certified WHERE certified AND bad > good QUALIFY row_number() OVER (PARTITION BY lang ORDER BY bad - good DESC, j) = 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(len(list_filter(range(1, 6), lambda i: lv[i] > places[i])) > 0, false) AS kept
+FROM levels l LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM l.lang
+"""
+
+ORACLES = {"op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op10_quality_rules": OP10}
