@@ -1,16 +1,19 @@
-"""Mixing sources to target weights by Pareto order sampling.
+"""Mixing sources to target weights by Pareto order sampling. DataFrame operations only.
 
-Each source's target is a number of words. A document's expected number of copies is target / source size: its whole
-part is given to every document, and the rest is an inclusion probability p. Documents are ranked by
-``odds(u) / odds(p)`` with u an even hash of the row, and the first are taken up to the words still missing
-(a sample of fixed size, counted in words). The document at the threshold would exceed them; so what it leaves open goes to
-two documents that fit, the largest first, and the last place to the one whose size best closes the gap.
+Each source's target is a number of words. A document's expected number of copies is proportional to its weight (equal
+weights unless given), at most ``max_copies``, and such that the source's expected words are its target. The whole part is
+allocated for certain; the rest is the document's inclusion probability p. Documents are ranked by ``odds(u) / odds(p)``, u being
+an even hash of the row, and a source's first documents in this order are taken: a sample of fixed size with unequal
+probabilities. The size is counted in words, so the source's missing words end inside some document; from there on the next
+``LOOK_AHEAD`` documents are taken in order of rank if they fit into the words still missing, and at last the first that brings
+the sum nearer to its target. A document larger than what is missing at its rank is thus somewhat less likely than p.
 
-Ranks are compared with one threshold for each source, which is found without sorting a source: words are summed by
-range of rank, and only the range in which the threshold falls is sorted.
+A source is never sorted: words and documents are summed by range of rank, and only the ranges in which the missing words end,
+and those of the next ``LOOK_AHEAD`` documents, are sorted. Ranks use MD5, so that other engines can repeat them.
 
 Defined cases: null texts have no words; a null source is a source, the last in order; equal rows are taken together;
-sources without words have target 0; an empty table gives an empty result.
+sources without words have target 0; weights are rounded to eighths and lie between 1/8 and 8, null is 1; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +25,12 @@ from pricescope.llm.common import WORD, materialize
 
 #: Ranges of rank in which a source's words are summed.
 RANK_RANGES = 4096
+#: Documents that are tried in the words left open, in order of rank.
+LOOK_AHEAD = 64
 #: The table of sources is broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
 
 
-def even_hash(*columns: Column, seed: int) -> Column:
-    """An even number in (0, 1) for each row, the same in every run."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 12)
-    return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
-
-
 def targets(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
     """Add weight and target to (source, source_size).
 
@@ -39,6 +38,9 @@ def targets(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
     ``max_copies`` times its size; what is above is shared again by weight. In the end the sources below their cap
     have target = weight * level. Sources are capped in order of cap / weight as long as the level, had they not been
     capped, would put them above it.
+
+    The windows order the table of sources, one row each, in one task: sources are collections of documents, thousands at
+    most. Where they are many (web hosts, say), mix groups of them.
     """
     ranked = sizes.selectExpr("source", "source_size", "1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight", f"{max_copies} * source_size AS cap")
     ordered = ranked.selectExpr(
@@ -53,103 +55,117 @@ def targets(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
     return judged.selectExpr("*", f"{first_open} AS open").selectExpr("source", "source_size", "weight", "CASE WHEN is_capped THEN cast(cap AS double) ELSE weight * open.level END AS target")
 
 
-def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """The slim table of documents (written to the shared folder) and the table of sources with their thresholds."""
-    slim = materialize(
-        docs.select(
-            "doc_id",
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest"),
-        ),
-        "mix-sizes",
-    )
-    ranked = with_rank(slim, seed)
-    by_range = ranked.groupBy("source", "rank_range").agg(F.sum("size").alias("words"))
-    by_range = materialize(by_range, "mix-ranges")
-    sources = targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies)
-    sources = sources.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    sources = sources.withColumn("whole", F.floor("expected")).withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
-    sources = materialize(sources, "mix-sources")
-
-    # The range in which each source's missing words are reached.
-    edge = by_range.selectExpr("source", "rank_range", "words", "sum(words) OVER (PARTITION BY source ORDER BY rank_range) - words AS before")
-    edge = edge.join(sources.select(F.col("source").alias("s"), "missing"), F.col("source").eqNullSafe(F.col("s"))).where("missing > 0 AND before <= missing AND missing < before + words").drop("s", "words")
-    edge = edge.groupBy("source", "missing").agg(F.min("rank_range").alias("edge_range"), F.min_by("before", "rank_range").alias("before"))
-    edge = broadcast_small(edge.select(F.col("source").alias("s"), "edge_range", "before", "missing"))
-    inside = ranked.join(edge, ranked["source"].eqNullSafe(F.col("s")) & (F.col("rank_range") == F.col("edge_range"))).drop("s")
-    summed = inside.selectExpr("source", "rank", "size", "doc_id", "digest", "missing", "before + sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, digest RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS taken")
-    cuts = summed.groupBy("source").agg(
-        F.max(F.when(F.col("taken") <= F.col("missing"), F.struct("rank", "doc_id", "digest"))).alias("last"),
-        F.max(F.when(F.col("taken") <= F.col("missing"), F.col("taken"))).alias("reached"),
+def expected_copies(classes: DataFrame, sources: DataFrame, max_copies: int) -> DataFrame:
+    """(source, weight_class, whole, odds): copies for certain and the odds of one more, for each source and weight.
+
+    With w the weight, a document is expected min(max_copies, w * level) times; the level makes the expected words of the source its
+    target. The largest weights are capped as long as the level, had they not been, would put them above the cap.
+    """
+    joined = classes.join(sources.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    summed = joined.selectExpr(
+        "*",
+        f"target - coalesce(sum({max_copies} * words) OVER (PARTITION BY source ORDER BY weight_class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_words",
+        "sum(words * weight_class) OVER (PARTITION BY source ORDER BY weight_class ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS weighed",
     )
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    no_extras = F.array().cast(f"array<struct<rank: double, doc_id: {kind}, digest: bigint>>")
-    joined = edge.join(cuts, F.col("s").eqNullSafe(cuts["source"]), "left").select(
-        F.col("s").alias("cut_source"), "edge_range", "last", (F.col("missing") - F.coalesce("reached", "before")).alias("gap")
+    judged = summed.selectExpr("*", f"open_words * weight_class >= {max_copies} * weighed AS is_capped")
+    level = judged.selectExpr("*", "max(CASE WHEN NOT is_capped THEN struct(weight_class, open_words / weighed AS level) END) OVER (PARTITION BY source) AS open")
+    expected = level.selectExpr("source", "weight_class", "words", f"CASE WHEN weighed = 0 THEN 0D WHEN is_capped THEN {max_copies}D ELSE weight_class * open.level END AS expected")
+    return expected.selectExpr("source", "weight_class", "words", "floor(expected) AS whole", "(expected - floor(expected)) / (1 - (expected - floor(expected))) AS odds")
+
+
+def slim_columns(weight: Column | None, seed: int) -> list[Column]:
+    """doc_id, source, size, weight_class, and u, an even number in (0, 1) that is the same in every run."""
+    eighths = F.lit(8) if weight is None else F.coalesce(F.greatest(F.lit(1), F.least(F.lit(64), F.round(weight * 8))), F.lit(8))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)).cast("binary"))
+    u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return [F.col("doc_id"), F.col("source"), size.alias("size"), eighths.cast("int").alias("weight_class"), u.alias("u")]
+
+
+def ranked_rows(slim: DataFrame, classes: DataFrame) -> DataFrame:
+    """The slim rows with their class's copies and odds, their rank, and its range. Without odds a row isn't ranked."""
+    joined = slim.join(broadcast_small(classes.selectExpr("source AS s", "weight_class AS w", "whole", "odds")), slim["source"].eqNullSafe(F.col("s")) & (F.col("weight_class") == F.col("w")))
+    rank = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds"))
+    return joined.drop("s", "w").withColumn("rank", rank).withColumn("rank_range", F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_RANGES))
+
+
+def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The slim table of documents (written to the shared folder), the table of classes, and that of sources with what each takes."""
+    slim = materialize(docs.select(*slim_columns(weight, seed)), "mix-sizes")
+    classes = materialize(slim.groupBy("source", "weight_class").agg(F.sum("size").alias("words")), "mix-classes")
+    sources = materialize(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies), "mix-sources")
+    classes = materialize(expected_copies(classes, sources, max_copies), "mix-copies")
+    whole = classes.groupBy("source").agg(F.sum(F.col("whole") * F.col("words")).alias("whole_words"))
+    missing = sources.join(whole.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("whole_words")).alias("missing"))
+
+    # The range of rank in which each source's missing words end, and the one by which LOOK_AHEAD more documents have come.
+    ranked = ranked_rows(slim, classes).where("rank IS NOT NULL AND size > 0")
+    by_range = materialize(ranked.groupBy("source", "rank_range").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-ranges")
+    order = "PARTITION BY source ORDER BY rank_range"
+    summed = by_range.selectExpr("source", "rank_range", f"sum(words) OVER ({order}) - words AS before", f"sum(words) OVER ({order}) AS upto", f"sum(n) OVER ({order}) - n AS n_before", f"sum(n) OVER ({order}) AS n_upto")
+    summed = summed.join(missing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    begin = "min(CASE WHEN upto > missing THEN struct(rank_range, before, n_upto) END) OVER (PARTITION BY source)"
+    edges = summed.selectExpr("*", f"{begin} AS edge").where(f"edge IS NOT NULL AND rank_range >= edge.rank_range AND n_before < edge.n_upto + {LOOK_AHEAD}")
+    edge = edges.groupBy("source").agg(F.first("missing").alias("missing"), F.first("edge.rank_range").alias("low"), F.first("edge.before").alias("before"), F.max("rank_range").alias("high"))
+    edge = materialize(edge.withColumnRenamed("source", "s"), "mix-edges")
+
+    # Inside these ranges: equal rows are one, and the first that doesn't fit begins the list of those that are tried.
+    inside = ranked.join(broadcast_small(edge), ranked["source"].eqNullSafe(F.col("s")) & F.col("rank_range").between(F.col("low"), F.col("high")))
+    inside = inside.groupBy("source", "rank", "u", "doc_id").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"), F.first("before").alias("before"))
+    placed = inside.selectExpr("*", "before + sum(size) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto")
+    late = placed.selectExpr("*", "count_if(upto > missing) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS late").where(f"late <= {LOOK_AHEAD}")
+    tried = F.transform(F.sort_array(F.collect_list(F.when(F.col("late") > 0, F.struct("late", "size", "u", "doc_id")))), lambda x: F.struct(x["size"].alias("size"), x["u"].alias("u"), x["doc_id"].alias("doc_id")))
+    lists = late.groupBy("source").agg(
+        F.max(F.when(F.col("late") == 0, F.struct("rank", "u", "doc_id"))).alias("last"),
+        (F.first("missing") - F.coalesce(F.max(F.when(F.col("late") == 0, F.col("upto"))), F.first("before"))).alias("gap"),
+        tried.alias("tried"),
     )
-    cut = materialize(joined.withColumn("extras", no_extras), "mix-cuts")
-    for last in (False, False, True):
-        cut = materialize(_fill(ranked, cut, last), "mix-cuts")
-    plan = sources.join(cut, sources["source"].eqNullSafe(F.col("cut_source")), "left")
-    plan = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole", "edge_range", "last", "extras")
-    return ranked, materialize(plan, "mix-plan")
-
 
-def _fill(ranked: DataFrame, cut: DataFrame, last: bool) -> DataFrame:
-    """Give each source one more document: the largest that fits into its gap; at last the one that closes it best, if any does."""
-    here = F.struct("rank", "doc_id", "digest")
-    free = ranked.join(broadcast_small(cut), ranked["source"].eqNullSafe(F.col("cut_source"))).where(~_is_taken() & (F.col("size") > 0))
-    off = F.abs(F.col("size") - F.col("gap"))
-    free = free.where(off < F.col("gap")) if last else free.where(F.col("size") <= F.col("gap"))
-    best = free.groupBy("source").agg(F.min(F.struct(off.alias("off"), here.alias("row"), F.col("size").alias("size"))).alias("best"))
-    best = best.select(F.col("source").alias("best_source"), "best")
-    joined = cut.join(best, F.col("cut_source").eqNullSafe(F.col("best_source")), "left")
-    extras = F.when(F.col("best").isNotNull(), F.concat("extras", F.array("best.row"))).otherwise(F.col("extras"))
-    return joined.select("cut_source", "edge_range", "last", (F.col("gap") - F.coalesce("best.size", F.lit(0))).alias("gap"), extras.alias("extras"))
+    def fits(acc: Column, x: Column) -> Column:
+        return F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.concat(acc["taken"], F.array(F.struct(x["u"].alias("u"), x["doc_id"].alias("doc_id")))).alias("taken"))).otherwise(acc)
 
-
-def with_rank(slim: DataFrame, seed: int) -> DataFrame:
-    """Rank odds. Within a source p is the same for all, so the order of odds(u) / odds(p) is the order of odds(u)."""
-    u = even_hash(F.col("doc_id"), F.col("digest"), F.col("size"), seed=seed)
-    return slim.withColumn("u", u).withColumn("rank", F.col("u") / (1 - F.col("u"))).withColumn("rank_range", F.floor(F.col("u") * RANK_RANGES)).drop("u")
-
-
-def _is_taken() -> Column:
-    """Whether a ranked row, joined with its source's plan, comes before or on the source's threshold, or fills its gap."""
-    here = F.struct("rank", "doc_id", "digest")
-    inside = (F.col("rank_range") == F.col("edge_range")) & F.coalesce(here <= F.col("last"), F.lit(False))
-    return F.coalesce((F.col("rank_range") < F.col("edge_range")) | inside | F.exists("extras", lambda x: x.eqNullSafe(here)), F.lit(False))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast(f"array<struct<u: double, doc_id: {kind}>>").alias("taken"))
+    key = lambda x: F.struct(x["u"].alias("u"), x["doc_id"].alias("doc_id"))
+    near = lambda x: (x["size"] < 2 * F.col("filled.gap")) & ~F.exists("filled.taken", lambda y: y.eqNullSafe(key(x)))
+    filled = lists.select(F.col("source").alias("e"), "last", "tried", F.aggregate("tried", start, fits).alias("filled"))
+    extras = filled.select("e", "last", F.concat("filled.taken", F.transform(F.slice(F.filter("tried", near), 1, 1), key)).alias("extras"))
+    plan = sources.select(F.col("source").alias("plan_source"), "source_size", "target").join(edge.select("s", "low"), F.col("plan_source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = plan.join(extras, F.col("plan_source").eqNullSafe(F.col("e")), "left").drop("e")
+    return slim, classes, materialize(plan, "mix-plan")
 
 
 def broadcast_small(table: DataFrame) -> DataFrame:
-    """Broadcast a table with one row for each source if it has few rows, counted first; else leave the join to shuffle."""
+    """Broadcast a table with one row for each source or class if it has few rows, counted first; else leave the join to shuffle."""
     return F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
 
 
-def _copies() -> Column:
-    return F.coalesce(F.col("whole") + _is_taken().cast("long"), F.lit(0)).cast("long")
+def _with_copies(slim: DataFrame, classes: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``slim``, their source's plan, and how often each is taken. A source without an edge takes all it ranks."""
+    ranked = ranked_rows(slim, classes)
+    joined = ranked.join(broadcast_small(plan), ranked["source"].eqNullSafe(F.col("plan_source")))
+    first = F.col("low").isNull() | (F.col("rank_range") < F.col("low")) | F.coalesce(F.struct("rank", "u", "doc_id") <= F.col("last"), F.lit(False))
+    late = F.exists(F.coalesce("extras", F.array().cast(plan.schema["extras"].dataType)), lambda x: x.eqNullSafe(F.struct("u", "doc_id")))
+    taken = F.col("rank").isNotNull() & (F.col("size") > 0) & (F.coalesce(first, F.lit(False)) | late)
+    return joined.withColumn("copies", (F.col("whole") + taken.cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, max_copies: int = 3, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
     """One slim row for each row of ``docs``: its words, its source's size and target, and the copies that the mix takes."""
-    ranked, plan = plan_mix(docs, max_copies, seed)
-    joined = ranked.join(broadcast_small(plan), ranked["source"].eqNullSafe(F.col("plan_source")))
-    return joined.select("doc_id", "source", "size", "digest", "source_size", "target", _copies().alias("copies"))
+    slim, classes, plan = plan_mix(docs, max_copies, seed, weight)
+    return _with_copies(slim, classes, plan).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
-def mix_documents(docs: DataFrame, max_copies: int = 3, seed: int = 20) -> DataFrame:
+def mix_documents(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes, each as often as it takes it, with the columns of ``docs``.
 
     Ranks are recomputed beside the text, and compared with the sources' thresholds: the texts aren't shuffled while
     the table of sources is small.
     """
-    _, plan = plan_mix(docs, max_copies, seed)
+    _, classes, plan = plan_mix(docs, max_copies, seed, weight)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    measured = docs.select(
-        row.alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("digest")
-    )
-    ranked = with_rank(measured, seed)
-    joined = ranked.join(broadcast_small(plan), ranked["source"].eqNullSafe(F.col("plan_source")))
-    repeated = joined.select("row", F.explode(F.sequence(F.lit(1), F.lit(max_copies))).alias("copy"), _copies().alias("copies"))
-    return repeated.where("copy <= copies").select("row.*")
+    measured = docs.select(row.alias("__row"), *slim_columns(weight, seed))
+    joined = _with_copies(measured, classes, plan)
+    repeated = joined.select("__row", F.explode(F.sequence(F.lit(1), F.lit(max_copies))).alias("copy"), "copies")
+    return repeated.where("copy <= copies").select("__row.*")

@@ -23,6 +23,47 @@ SELECT page_id, host, path,
 FROM u
 """
 
+OP2 = r"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    (('0x' || md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * CAST(sum(size) AS BIGINT) AS cap
+  FROM rows GROUP BY source),
+levels AS (
+  SELECT b, (any_value(total) - coalesce(sum(cap) FILTER (cap / weight <= b), 0)::DOUBLE) / (sum(weight) FILTER (cap / weight > b))::DOUBLE AS level, min(cap / weight) FILTER (cap / weight > b) AS next
+  FROM sources, (SELECT -1.0 AS b UNION SELECT DISTINCT cap / weight FROM sources), (SELECT sum(source_size)::DOUBLE AS total FROM sources) GROUP BY b),
+goals AS (
+  SELECT *, target / source_size AS e, floor(target / source_size)::BIGINT AS whole
+  FROM (SELECT source, source_size, least(cap, weight * level) AS target FROM sources, (SELECT level FROM levels WHERE level >= b AND level < next ORDER BY b LIMIT 1))),
+parts AS (SELECT *, (e - whole) / nullif(1 - (e - whole), 0) AS odds, target - whole * source_size AS missing FROM goals),
+ranked AS (
+  SELECT rows.*, missing, CASE WHEN odds > 0 THEN u / (1 - u) / odds END AS rank
+  FROM rows JOIN parts ON rows.source IS NOT DISTINCT FROM parts.source WHERE size > 0),
+units AS (SELECT source, rank, u, doc_id, sum(size)::BIGINT AS size, any_value(missing) AS missing FROM ranked WHERE rank IS NOT NULL GROUP BY source, rank, u, doc_id),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM units),
+tried AS (SELECT *, count(*) FILTER (upto > missing) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS UNBOUNDED PRECEDING) AS late FROM summed),
+walk AS (
+  SELECT source, 0::BIGINT AS late, missing - coalesce(max(upto) FILTER (late = 0), 0) AS gap, false AS takes FROM (SELECT *, any_value(missing) OVER (PARTITION BY source) FROM tried) GROUP BY source, missing
+  UNION ALL
+  SELECT w.source, t.late, CASE WHEN t.size <= w.gap THEN w.gap - t.size ELSE w.gap END, t.size <= w.gap
+  FROM walk w JOIN tried t ON t.source IS NOT DISTINCT FROM w.source AND t.late = w.late + 1 AND t.late <= 64),
+ends AS (SELECT source, arg_min(gap, -late) AS gap FROM walk GROUP BY source),
+last AS (
+  SELECT w.source, min(w.late) AS late FROM walk w JOIN tried t ON t.source IS NOT DISTINCT FROM w.source AND t.late = w.late JOIN ends e ON e.source IS NOT DISTINCT FROM w.source
+  WHERE w.late > 0 AND NOT w.takes AND t.size < 2 * e.gap GROUP BY w.source),
+chosen AS (
+  SELECT t.source, t.u, t.doc_id FROM tried t WHERE t.late = 0
+  UNION ALL
+  SELECT t.source, t.u, t.doc_id FROM tried t JOIN walk w ON t.source IS NOT DISTINCT FROM w.source AND t.late = w.late AND w.takes AND w.late > 0
+  UNION ALL
+  SELECT t.source, t.u, t.doc_id FROM tried t JOIN last l ON t.source IS NOT DISTINCT FROM l.source AND t.late = l.late)
+SELECT rows.doc_id, rows.size::BIGINT AS size, g.source_size, g.target, rows.size * (coalesce(g.whole, 0) + (c.u IS NOT NULL)::BIGINT) AS taken
+FROM rows JOIN goals g ON rows.source IS NOT DISTINCT FROM g.source
+LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM rows.source AND c.u = rows.u AND c.doc_id IS NOT DISTINCT FROM rows.doc_id
+"""
+
 _OP4_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 OP4 = f"""
@@ -114,4 +155,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM levels l LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM l.lang
 """
 
-ORACLES = {"op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op10_quality_rules": OP10}
+ORACLES = {"op2_mixing": OP2, "op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op10_quality_rules": OP10}
