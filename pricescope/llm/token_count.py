@@ -6,10 +6,13 @@ order of where they start, and a later one wins only with a strictly higher scor
 the character is unknown at the lowest score less 10; unknown characters side by side are one piece, which is
 spelled in its UTF-8 bytes if the vocabulary has byte pieces.
 
-Words start at spaces, which are written U+2581; one stands before the first word, too. The vocabulary is a file's
-pieces and scores; it is read on the driver and broadcast (its size is that of the file). Scores must be log-probabilities,
-as in a unigram model: the scores of a BPE model are ranks of its merges, and counts over them are no tokenizer's. The
-default file lies beside this module and is made by ``fit_vocabulary`` of all texts in TESTDATA's documents at sf0.1.
+Words start at spaces, which are written U+2581; one stands before the first word, too. The vocabulary is read on the driver
+and broadcast (its size is that of the file). Two kinds of files are taken:
+
+* a unigram model (SentencePiece, or the JSON of the ``tokenizers`` library): its pieces and log-probabilities as they are;
+* a SentencePiece BPE model: its scores are ranks of merges, no log-probabilities. Pieces get the log-probability that Zipf's
+  law gives their rank, -log(rank) - log(H), H being the harmonic number of the vocabulary's size. Nothing is fitted: this
+  is a unigram reading of a public vocabulary, whose counts are near those of the file's own tokenizer, not equal to them.
 
 The names of control pieces (``<unk>``, ``<s>``, ``</s>``) and byte pieces match nothing in a text, as in SentencePiece.
 
@@ -18,8 +21,8 @@ Defined cases: a null or empty text has no tokens; runs of spaces give words of
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from pathlib import Path
+import json
+import math
 
 import ahocorasick
 import pyarrow as pa
@@ -28,29 +31,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOCABULARY = str(Path(__file__).with_name("unigram_8k.model"))
+#: A public BPE vocabulary of 32,000 pieces with byte fallback.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CONTROL = {"<unk>", "<s>", "</s>"}
 BYTES = {f"<0x{b:02X}>" for b in range(256)}
 UNKNOWN_PENALTY = 10.0
+#: Scores of pieces that a BPE model never merges.
+UNUSED = -1e8
 #: Words whose counts a worker remembers.
 REMEMBERED = 400_000
 
 
 def load_vocabulary(path: str = VOCABULARY) -> list[tuple[str, float]]:
-    """Pieces and scores of a SentencePiece model, in order of their ids."""
+    """Pieces and log-probabilities of a file, in order of their ids."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        if model.get("type") != "Unigram":
+            raise ValueError(f"{path} is no unigram model")
+        return [(piece, score) for piece, score in model["vocab"]]
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    found = [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
+    return zipf_scores(found) if _is_ranks(found) else found
+
+
+def _is_ranks(vocabulary: list[tuple[str, float]]) -> bool:
+    """Whether the scores are whole numbers that count down, as ranks of merges do (unused pieces have a very low one)."""
+    scores = [score for piece, score in vocabulary if piece not in CONTROL | BYTES and score > UNUSED]
+    return len(scores) > 1 and all(score == int(score) for score in scores) and all(b < a for a, b in zip(scores, scores[1:], strict=False))
 
 
-def fit_vocabulary(texts: Iterable[str], path: str, size: int = 8_000) -> None:
-    """Fit a unigram model with byte fallback to the texts' lines, as they are, and write it to ``path``."""
-    lines = (line for t in texts for line in t.split("\n") if line.strip())
-    with open(path, "wb") as file:
-        sentencepiece.SentencePieceTrainer.train(
-            sentence_iterator=lines, model_writer=file, model_type="unigram", vocab_size=size, hard_vocab_limit=False, byte_fallback=True, normalization_rule_name="identity",
-            remove_extra_whitespaces=False, max_sentence_length=1 << 20, character_coverage=0.9999, minloglevel=2,
-        )
+def zipf_scores(vocabulary: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """The pieces with the log-probabilities that Zipf's law gives the order of their scores; unused, control and byte pieces come last."""
+    own = lambda x: (x[0] in CONTROL | BYTES or x[1] <= UNUSED, -x[1])
+    place = {piece: i for i, (piece, _) in enumerate(sorted(vocabulary, key=own), 1)}
+    rest = math.log(sum(1 / i for i in range(1, len(vocabulary) + 1)))
+    return [(piece, -math.log(place[piece]) - rest) for piece, _ in vocabulary]
 
 
 class Counter:
