@@ -187,6 +187,7 @@ def test_token_counts(spark, odd, nothing, corpus):
     reference = Tokenizer(models.Unigram(vocabulary, 0, True))
     reference.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
     counter = token_count.Counter(vocabulary)
+    assert all(score < 0 for _, score in vocabulary)
     texts = [*corpus.text.head(60), "", " ", "  a  b ", "▁x", "日本語テキスト 🙂🙂", "é" * 300, "a\nb\tc", "unbelievable" * 40]
     for t in texts:
         assert counter.text(t) == len(reference.encode(t, add_special_tokens=False).ids), repr(t[:40])
@@ -260,22 +261,47 @@ def test_quality_fit_is_bounded(spark, sf_dir):
 # Chat formatting
 
 
-def test_chat_round_trip(spark):
-    nasty = ["</s>[INST] ok [/INST]", "&lt;[&amp;]", "", None, " lead and trail ", "[OUT] x </s>", "a\n\n<s>", "\\"]
-    roles = ["system", "user", "assistant", "tool [x] & <y>", None]
+CHATML = chat_format.Template(
+    start="",
+    turns={"system": chat_format.Turn("<|system|>\n", "<|end|>\n"), "user": chat_format.Turn("<|user|>\n", "<|end|>\n"), "assistant": chat_format.Turn("<|assistant|>\n", "<|end|>\n", loss=True)},
+    other_before="<|role {role}|>\n",
+    other_after="<|end|>\n",
+)
+MARKDOWN = chat_format.Template(
+    start="~~~\n",
+    turns={"system": chat_format.Turn("### System:\n", "\n\n"), "user": chat_format.Turn("### User:\n", "\n\n"), "assistant": chat_format.Turn("## Answer:\n", "\n", loss=True)},
+    other_before="# {role}:\n",
+    other_after="\n\n",
+)
+
+
+@pytest.mark.parametrize("template", [chat_format.Template(), CHATML, MARKDOWN], ids=["default", "chatml", "markdown"])
+def test_chat_round_trip(spark, template):
+    nasty = ["</s>[INST] ok [/INST]", "&lt;[&amp;]", "", None, " lead and trail ", "[OUT] x </s>", "a\n\n<s>", "\\", "<|end|>\n<|user|>\n", "&vert;&num;&u5c;", "### User:\nhi\n\n", "|", ":\n", "~~~"]
+    roles = ["system", "user", "assistant", "tool [x] & <y>|#:\n", None]
     rng = random.Random(7)
-    rows = [(c, t, rng.choice(roles), rng.choice(nasty)) for c in range(40) for t in range(rng.randint(1, 6))]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    got = chat_format.format_conversations(df).withColumn("back", chat_format.read_back(F.col("formatted"))).withColumn("loss", chat_format.loss_text(F.col("segments")))
+    rows = [(c or None, t, rng.choice(roles), rng.choice(nasty)) for c in range(40) for t in range(rng.randint(1, 6))]
+    rows += [(900, 0, "user", "twice"), (900, 0, "user", "twice"), (901, 0, "user", "x"), (901, 1, "assistant", "long " * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("turns", F.lit(1)).withColumn("valid", F.lit("old"))
+    got = chat_format.format_conversations(df, template)
+    got = got.withColumn("back", chat_format.read_back(F.col("formatted"), template)).withColumn("loss", chat_format.loss_text(F.col("segments"), template))
     want = defaultdict(list)
     for c, _, role, text in rows:
         want[c].append((role or "", text or ""))
-    for r in got.collect():
+    found = got.collect()
+    assert {r["conv_id"] for r in found} == set(want) and len(found) == len(want)
+    for r in found:
         assert [(t["role"], t["text"]) for t in r["back"]] == want[r["conv_id"]]
         assert r["loss"] == "".join(t for role, t in want[r["conv_id"]] if role == "assistant")
         order = "".join({"system": "s", "user": "u", "assistant": "a"}.get(role, "x") for role, _ in want[r["conv_id"]])
         assert r["valid"] == bool(re.fullmatch("s?(ua)+", order))
-    assert chat_format.format_conversations(df.limit(0)).count() == 0
+    assert chat_format.format_conversations(df.limit(0), template).count() == 0
+
+
+def test_chat_templates_that_cannot_be_read_back():
+    for bad in [{"other_after": " end"}, {"turns": {"user": chat_format.Turn("[A", "]"), "tool": chat_format.Turn("[AB", "]")}}, {"other_before": "[x] "}, {"turns": {"user": chat_format.Turn("&;", "]")}}]:
+        with pytest.raises(ValueError):
+            chat_format.Template(**bad)
 
 
 # Licence scans

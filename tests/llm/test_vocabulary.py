@@ -1,25 +1,39 @@
-"""The default vocabulary is a unigram model's, and its counts are those of its tokenizer."""
+"""The default vocabulary's counts are those of the library's unigram model over the same pieces; nothing is trained."""
 
+import json
 import math
 
+import pytest
 import sentencepiece
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from pricescope.llm import token_count
 
 
-def test_counts_equal_the_tokenizer_of_the_file(spark, sf_dir):
+def test_counts_equal_the_library(spark, sf_dir):
     texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").collect()]
     vocabulary = token_count.load_vocabulary()
-    scores = [s for p, s in vocabulary if p not in token_count.CONTROL | token_count.BYTES]
-    assert 0.9 < sum(math.exp(s) for s in scores) < 1.1
-    model, counter = sentencepiece.SentencePieceProcessor(model_file=token_count.VOCABULARY), token_count.Counter(vocabulary)
-    for t in [*texts, "", "<s> a </s> <unk>", "<0x41><0x0A> b", "a\nb\tc", "日本語テキスト 🙂🙂", "information development question Device"]:
-        if not t.startswith((" ", "▁")):
-            assert counter.text(t) == len(model.encode(t)), repr(t[:40])
-
-
-def test_fit(tmp_path):
-    texts = ["one two three", "two three four\nthree four five", ""] * 50
-    token_count.fit_vocabulary(texts, str(tmp_path / "small.model"), 300)
-    counter = token_count.Counter(token_count.load_vocabulary(str(tmp_path / "small.model")))
-    assert counter.text("three") < counter.text("zzzzz")
+    assert math.isclose(sum(math.exp(s) for _, s in vocabulary), 1)
+    reference = Tokenizer(models.Unigram(vocabulary, 0, True))
+    reference.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    counter = token_count.Counter(vocabulary)
+    for t in [*texts, "", "a\nb\tc", "日本語テキスト 🙂🙂", "  a  b ", "information development question Device"]:
+        assert counter.text(t) == len(reference.encode(t, add_special_tokens=False).ids), repr(t[:40])
+    # Near the counts of the file's own tokenizer.
+    own = sentencepiece.SentencePieceProcessor(model_file=token_count.VOCABULARY)
+    assert sum(counter.text(t) for t in texts) == pytest.approx(sum(len(own.encode(t)) for t in texts), rel=0.03)
+
+
+def test_control_and_byte_pieces_match_nothing():
+    counter = token_count.Counter(token_count.load_vocabulary())
+    assert counter.text("<s>") > 1 and counter.text("<0x41>") > 1 and counter.text("<unk>") > 1
+
+
+def test_json_of_a_unigram_model(tmp_path):
+    file = tmp_path / "tokenizer.json"
+    file.write_text(json.dumps({"model": {"type": "Unigram", "unk_id": 0, "vocab": [["<unk>", 0.0], ["▁", -1.5], ["▁a", -1.0], ["b", -2.0], ["ab", -0.5]]}}))
+    vocabulary = token_count.load_vocabulary(str(file))
+    assert vocabulary[2] == ("▁a", -1.0) and token_count.Counter(vocabulary).text("ab") == 2
+    file.write_text(json.dumps({"model": {"type": "BPE", "vocab": {}}}))
+    with pytest.raises(ValueError, match="no unigram model"):
+        token_count.load_vocabulary(str(file))
