@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pricescope.llm import license_scan
 
 
@@ -60,3 +62,51 @@ def test_licenses_across_lines_and_in_lines(spark):
         6: [],
         7: [("mit", 0, 0), ("mit-notice", 0, 0)],
     }
+
+
+def best_by_brute_force(text, templates, threshold=0.9):
+    """(licences, best licence, its coefficient) over all runs of words of a short text."""
+    words = license_scan._WORDS.findall((text or "").lower())
+    bests = {}
+    for name, body in templates.items():
+        wanted = license_scan.bigrams(body)
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + 2 * len(wanted) + 4) + 1):
+                s = license_scan.bigrams(" ".join(words[a:b]))
+                if 0.8 * len(wanted) <= len(s) <= 1.25 * len(wanted):
+                    dice = 2 * len(s & wanted) / (len(s) + len(wanted))
+                    if dice >= threshold:
+                        bests[name] = max(bests.get(name, 0), dice)
+    return bests
+
+
+def test_licences_of_short_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) < 2500")
+    notices = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("notice")}
+    rows = {r["doc_id"]: {m["license"]: m["dice"] for m in sorted(r["matches"], key=lambda m: m["dice"])} for r in license_scan.find_licenses(docs, notices).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert any(rows.values()) and set(rows) == set(texts)
+    for i, text in texts.items():
+        assert rows[i] == best_by_brute_force(text, notices), i
+
+
+def test_heads_of_source_files(spark):
+    code = "\n".join(f"def function_{i}(a, b):\n    return a * {i} + b" for i in range(60))
+    heads = {name: body for name, body in license_scan.TEMPLATES.items() if not name.endswith("notice")}
+    wrap = lambda body: "\n".join("# " + " ".join(body.split()[i : i + 12]) for i in range(0, len(body.split()), 12))
+    docs = [(i, f"#!/usr/bin/env python\n# Copyright 2001 the owners\n\n{wrap(body)}\n{code}") for i, body in enumerate(heads.values())]
+    got = {r["doc_id"]: r["matches"] for r in license_scan.find_licenses(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for i, (name, body) in enumerate(heads.items()):
+        last = 3 + len(wrap(body).split("\n")) - 1
+        assert (name, 3, last) in [(m["license"], m["first_line"], m["last_line"]) for m in got[i]], name
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("own", "use it as you like but name us"), (None, "x"), ("empty", None)], "license string, text string")
+    templates = license_scan.read_templates(table)
+    assert templates == {"own": "use it as you like but name us"}
+    found = license_scan.find_licenses(spark.createDataFrame([(1, "please use it as you like but name us thank you"), (2, None)], "doc_id bigint, text string"), templates)
+    assert {r["doc_id"]: [m["license"] for m in r["matches"]] for r in found.collect()} == {1: ["own"], 2: []}
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATE_CHARS", 3)
+    with pytest.raises(ValueError, match="at most 3"):
+        license_scan.read_templates(table)
