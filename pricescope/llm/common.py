@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.session import shared_dir
+from pricescope.session import remove, shared_dir
 
 #: Whitespace that separates words in most contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,61 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator writes to the shared folder and removes when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back. A table of the same name stays until ``drop``."""
+        paths = self.made.setdefault(name, [])
+        path = f"{self.folder}/{name}-{len(paths)}"
+        df.write.parquet(path)
+        paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str, but_last: bool = False) -> None:
+        """Remove the tables of these names, but for the newest of each if ``but_last``."""
+        for name in names:
+            paths = self.made.get(name, [])
+            gone = paths[:-1] if but_last else paths
+            for path in gone:
+                if path:
+                    remove(self.spark, path)
+            self.made[name] = [*[""] * len(gone), *paths[len(gone) :]]
+
+    def keep(self, *names: str) -> None:
+        """Remove all tables but the newest of each of these names."""
+        self.drop(*[n for n in self.made if n not in names])
+        self.drop(*names, but_last=True)
+
+
+#: Keys with more rows than this are dealt to several tasks; the largest HOT_KEYS keys are known to every task.
+HOT_ROWS, HOT_KEYS, HOT_PARTS = 1000, 10_000, 4096
+
+
+def hot_keys(counted: DataFrame, key: list[str], scratch: Scratch) -> DataFrame | None:
+    """The keys of ``counted`` (with rows in column n) that need several tasks, and ``__parts``, in how many; None if there are none."""
+    parts = F.least(F.lit(HOT_PARTS), F.ceil(F.col("n") / HOT_ROWS)).cast("int")
+    largest = counted.where(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *key).limit(HOT_KEYS).select(*key, parts.alias("__parts"))
+    found = scratch.table(largest, "hot")
+    return None if found.isEmpty() else found
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: list[str], hot: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """An equi-join on ``key`` whose hot keys are split: rows of ``big`` by a hash of column ``by``, rows of ``small`` repeated.
+
+    ``hot`` has HOT_KEYS rows at most, so it is broadcast.
+    """
+    if hot is None:
+        return big.join(small, key, how)
+    part = F.coalesce(F.pmod(F.xxhash64(by), "__parts"), F.lit(0)).cast("int")
+    left = big.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__parts")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*key, "__part"], how).drop("__part")
+
+
 def ascii_lower(column):
     return F.translate(column, UPPER, LOWER)
 

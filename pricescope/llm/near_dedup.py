@@ -14,7 +14,9 @@ sets is at least ``percent`` / 100, which is confirmed on the full sets; a group
 5. What then remains is settled exactly: the nodes of such buckets are paired by a prefix filter (two sets this similar
    share one of their rarest shingles, in a common order by frequency), if of different components.
 
-Sets and buckets are written to the shared folder, links and components are tables; nothing is collected.
+Sets and buckets are written to the shared folder, links and components are tables; nothing is collected. Every join in which
+one key may hold many rows (copies of one text, a large bucket, the root of a large component, a frequent shingle) deals the
+rows of such a key to several tasks, see ``spread_join``.
 
 Defined cases: null texts and texts without words have an empty set and no links; fewer words than a shingle are one
 shingle; rows that share a doc_id are one document, linked by whichever of their texts is similar; rows without a doc_id
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricescope.llm.common import materialize, pieces, utf8_bytes
+from pricescope.llm.common import Scratch, hot_keys, pieces, spread_join, utf8_bytes
 from pricescope.llm.segments import LOWER_CODES, find_words, hash_runs, mix, multipliers
 
 BANDS, ROWS = 48, 6
@@ -133,115 +135,150 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("doc_id", collect("text").alias("set"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node with a link, the root being the smallest node of its connected component.
 
     Alternates the large-star and small-star steps until the edges stay the same; each is one join and one aggregation.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "components")
+    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.drop("edges", but_last=True)
+        scratch.drop("lowest", "large")
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "components")
+        lowest = scratch.table(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), "lowest")
+        joined = spread_join(both.where("v > u"), lowest.drop("n"), ["u"], hot_keys(lowest, ["u"], scratch), "v")
+        large = scratch.table(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        lowest = scratch.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        small = spread_join(large, lowest.drop("n"), ["u"], hot_keys(lowest, ["u"], scratch), "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = scratch.table(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
     sizes = sets.select("doc_id", F.size("set").alias("n"))
-    near = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
+    pairs = scratch.table(pairs, "pairs")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], scratch)
+    near = spread_join(pairs, sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a")), ["a"], hot, "b").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b")), "b")
     near = near.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b")
-    shared = near.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
+    shared = spread_join(near, left, ["a"], hot, "b").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
     return shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct()
 
 
-def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs of ``rest`` (node, comp) of different components that share one of their rarest shingles: no similar pair is missed.
 
     Shingles are ordered by frequency, rarest first. With sets of n and m, a similar pair shares at least
-    t / (1 + t) (n + m) of them; so the first one that it shares stands early enough in both for so many to follow. The
-    places are part of the join's condition, and pairs of which no shared shingle stands so early never become rows.
+    t / (1 + t) (n + m) of them; so the first one that it shares stands early enough in both for so many to follow. A row
+    (node, shingle) with f shingles from there on has partners of at most f (1 + t) / t - n shingles. Of a pair, the smaller set (by
+    node, if equal) is looked up, so of it only rows are kept whose partners may be as large as itself: in a crowd that shares a
+    passage but is less similar than t, none are.
     """
     tokens = sets.join(rest, F.col("doc_id") == F.col("node")).select("node", "comp", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    known = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    known = scratch.table(tokens.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingles")
     # A shingle that one node alone has pairs nothing, but takes its place among the rarest.
-    common = tokens.join(known, "shingle")
+    common = spread_join(tokens, known.withColumnRenamed("n", "df"), ["shingle"], hot_keys(known, ["shingle"], scratch), "node")
     rank = F.expr("row_number() OVER (PARTITION BY node ORDER BY df, shingle)")
     held = common.withColumn("rank", rank + F.col("n") - F.expr("count(*) OVER (PARTITION BY node)"))
-    prefix = held.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "comp", "n", "shingle", (F.col("n") - F.col("rank") + 1).alias("follow"))
-    prefix = materialize(prefix, "dedup-prefix")
-    other = prefix.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), "shingle", F.col("follow").alias("follow_b"))
-    early = (100 + percent) * F.least("follow", "follow_b") >= percent * (F.col("n") + F.col("n_b"))
-    joined = prefix.join(other, "shingle").where((F.col("node") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & early)
-    return joined.select(F.col("node").alias("a"), "b").distinct()
+    follow = F.col("n") - F.col("rank") + 1
+    most = F.floor((100 + percent) * follow / percent + 1e-6) - F.col("n")
+    prefix = held.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("node", "comp", "n", "shingle", most.alias("most"))
+    prefix = scratch.table(prefix, "prefix")
+    smaller = prefix.where("most >= n").select("shingle", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"))
+    hot = hot_keys(smaller.groupBy("shingle").agg(F.count("*").alias("n")), ["shingle"], scratch)
+    joined = spread_join(smaller, prefix, ["shingle"], hot, "b")
+    ordered = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("b") < F.col("node")))
+    fits = (F.col("n_b") <= F.col("most")) & (F.col("n") <= F.col("most_b")) & (100 * F.col("n_b") >= percent * F.col("n"))
+    return joined.where(ordered & fits & (F.col("comp") != F.col("comp_b"))).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def find_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept (the component's smallest doc_id stays)."""
-    docs = docs.select("doc_id", "text")
-    prof = materialize(profile(docs, shingle), "dedup-profile")
+    docs, scratch = docs.select("doc_id", "text"), Scratch(docs.sparkSession, "dedup")
+    prof = scratch.table(profile(docs, shingle), "profile")
     usable = prof.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "dedup-nodes")
+    nodes = scratch.table(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "nodes")
 
     # Buckets of two nodes or more, with their centre.
     keyed = usable.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    buckets = keyed.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")).distinct()
-    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).where("centre < last").drop("last")
-    live = materialize(buckets.join(centres, "key"), "dedup-buckets")
+    keyed = keyed.groupBy("doc_id", "k1", "k2").agg(F.first("bands").alias("bands"))
+    buckets = keyed.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node"))
+    centres = buckets.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("n")).where("centre < last").drop("last")
+    centres = scratch.table(centres, "centres")
+    hot = hot_keys(centres, ["key"], scratch)
+    live = scratch.table(spread_join(buckets, centres.drop("n"), ["key"], hot, "node"), "buckets")
     wanted = live.select("node").distinct()
-    sets = materialize(full_sets(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), shingle), "dedup-sets")
+    sets = scratch.table(full_sets(docs.join(wanted, F.col("doc_id") == F.col("node"), "left_semi"), shingle), "sets")
 
-    # Different texts of one doc_id belong together.
     pairs = live.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(confirm(pairs, sets, percent), "dedup-links")
-    roots = components(links)
+    links = scratch.table(confirm(pairs, sets, percent, scratch).unionByName(_twins(usable, nodes, scratch)), "links")
+    roots = components(links, scratch)
     live = live.where("node <> centre").drop("centre")
     for _ in range(STAR_ROUNDS - 1):
-        live, split = _unsettled(live, roots)
+        live, split = _unsettled(live, roots, hot, scratch)
         if not split:
             break
         degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
         ranked = live.join(degree, "node", "left").select("key", "node", "comp", F.coalesce("degree", F.lit(0)).alias("degree"))
         best = ranked.groupBy("key").agg(F.max(F.struct("degree", -F.col("node"), "comp")).alias("best")).selectExpr("key", "-best.col2 AS centre", "best.comp AS centre_comp")
-        star = materialize(live.join(best, "key"), "dedup-star")
+        star = scratch.table(spread_join(live, best, ["key"], hot, "node"), "star")
         pairs = star.where("comp <> centre_comp").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        fresh = confirm(pairs, sets, percent)
-        links = materialize(links.unionByName(fresh), "dedup-links")
-        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        fresh = confirm(pairs, sets, percent, scratch)
+        links = scratch.table(links.unionByName(fresh), "links")
+        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch)
         live = star.where("node <> centre").select("key", "node")
-    live, split = _unsettled(live, roots)
+    live, split = _unsettled(live, roots, hot, scratch)
     if split:
-        rest = materialize(live.select("node", "comp").distinct(), "dedup-rest")
-        fresh = confirm(prefix_pairs(rest, sets, percent), sets, percent)
-        links = materialize(links.unionByName(fresh), "dedup-links")
-        roots = components(links)
+        rest = scratch.table(live.select("node", "comp").distinct(), "rest")
+        fresh = confirm(prefix_pairs(rest, sets, percent, scratch), sets, percent, scratch)
+        links = scratch.table(links.unionByName(fresh), "links")
+        roots = components(links, scratch)
 
     named = nodes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    out = prof.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"), "k2").join(named, ["k1", "k2"], "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    copies = hot_keys(nodes, ["k1", "k2"], scratch)
+    known = spread_join(usable.select("doc_id", "n", "k1", "k2"), named, ["k1", "k2"], copies, "doc_id").select("doc_id", "n", "root")
+    alone = prof.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("root"))
+    out = scratch.table(known.unionByName(alone), "groups")
+    scratch.keep("groups")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("root"), F.lit(True)).alias("kept"))
 
 
-def _unsettled(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, bool]:
+def _twins(usable: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between the nodes of different texts of one doc_id."""
+    several = usable.groupBy("doc_id").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).where("low <> high").select("doc_id")
+    found = usable.join(several, "doc_id").join(nodes.drop("n"), ["k1", "k2"]).select("doc_id", "node").distinct()
+    found = scratch.table(found, "twins")
+    first = found.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return found.join(first, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def _unsettled(live: DataFrame, roots: DataFrame, hot: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, bool]:
     """The buckets (key, node, comp) that hold several components, and whether there are any."""
     labelled = live.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
-    labelled = materialize(labelled, "dedup-live")
+    labelled = scratch.table(labelled, "labelled")
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    found = materialize(labelled.join(mixed, "key", "left_semi"), "dedup-mixed")
+    found = scratch.table(spread_join(labelled, mixed, ["key"], hot, "node", "left_semi"), "mixed")
     return found, not found.isEmpty()
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that have a near duplicate of smaller doc_id, with the columns of ``docs``."""
+    """One row of ``docs`` for each group, that of the smallest doc_id, with the columns of ``docs``.
+
+    Of several rows of that doc_id the one with the smallest text stays. Rows without words or without a doc_id all stay.
+    """
     groups = find_groups(docs, shingle, percent)
     gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    again = groups.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"))
+    if again.isEmpty():
+        return kept
+    same = F.col("doc_id") == F.col("__again")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
+    return kept.join(again, same, "left_anti").unionByName(one)

@@ -12,7 +12,7 @@ import pytest
 from conftest import plain
 from pyspark.sql import functions as F
 
-from pricescope.llm import chat_format, crf_quality, decontaminate, entries, license_scan, mixing, near_dedup, quality_rules, sharding, token_count, url_filter
+from pricescope.llm import chat_format, common, crf_quality, decontaminate, entries, license_scan, mixing, near_dedup, quality_rules, sharding, token_count, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -381,7 +381,34 @@ def test_near_duplicates_odd(odd, nothing):
     assert set(got[~got.kept].doc_id) == {5, 7}
     assert near_dedup.find_groups(nothing).count() == 0
     kept = near_dedup.keep_one(odd)
-    assert kept.columns == odd.columns and kept.count() == 7
+    assert kept.columns == odd.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6]
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one doc_id are one document: its texts link whatever is similar to either, and one row of it stays."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, a + " end"), (None, a), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.find_groups(docs, 4).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (None, None)}
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.keep_one(docs, 4).collect()) == [(0, a), (0, a), (1, a), (4, c)]
+
+
+def test_near_duplicates_with_hot_keys(spark, monkeypatch):
+    """Groups stay the same where large buckets, copies, roots and shingles are dealt to several tasks."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, passage = [word() for _ in range(100)], [word() for _ in range(88)]
+    texts = {i: " ".join(base) for i in range(60)}
+    for i in range(100, 180):
+        copy = list(base)
+        for p in rng.sample(range(100), 3):
+            copy[p] = word()
+        texts[i] = " ".join(copy)
+    texts |= {i: " ".join([*passage, *(word() for _ in range(15))]) for i in range(200, 320)}
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.find_groups(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), 4, 80).collect()}
+    assert got == groups_by_brute_force(texts, 4)
 
 
 # Quality rules
