@@ -1,11 +1,13 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Benchmark texts and documents are normalised alike: A to Z lower-cased, runs of ASCII characters that are neither letters
-nor digits made one space. The automaton holds every window of ``window`` consecutive item words (a shorter item is
-one window); each document is scanned once, and hits are mapped back to offsets in the original text.
+Benchmark texts and documents are normalised alike: A to Z lower-cased, words separated by ASCII characters that are neither
+letters nor digits. The automaton's alphabet are the benchmark's words, by number (all others are one number that no
+pattern holds); its patterns are every window of ``size`` consecutive item words (a shorter item is one window). Each document
+is scanned once, and hits are mapped back to offsets in the original text.
 
-The automaton is built from at most ``AUTOMATON_BYTES`` of windows, which bounds what each executor holds. A larger
-benchmark is scanned block by block, and the spans found so far are written between the blocks.
+Workers get the normalised items and build the automaton, of at most ``BLOCK_WORDS`` words of them: about 150 MB. A larger
+benchmark is cut into blocks (a longer item into overlapping parts); each is a scan of the texts that writes only the spans
+found, by a 128-bit hash of the text, and these are joined to the documents in the end. Texts are never rewritten.
 
 Defined cases: a null or empty text has no words and no hits; items without words have no windows; windows that several
 items share count for each of them; a null item id is named ``null``; repeated rows are judged alike; an empty benchmark
@@ -15,20 +17,21 @@ leaves every document clean.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricescope.llm.common import materialize
+from pricescope.llm.common import Scratch, hot_keys, spread_join
 
-#: Bytes of windows in one automaton. It takes about 43 times as much memory in each Python worker: 180 MB.
-AUTOMATON_BYTES = 4 << 20
-#: Windows that a document may contain: item words, joined by one space, with a space at either end.
+#: Item words (and so windows, at most) in one automaton; a window takes about 500 bytes in each Python worker.
+BLOCK_WORDS = 300_000
+#: Texts with hits that are broadcast to the documents where there are several blocks; beyond, they are joined by shuffle.
+BROADCAST_TEXTS = 20_000
 SPANS = "array<struct<item: string, first: bigint, last: bigint>>"
 HITS = f"struct<n_words: bigint, spans: {SPANS}>"
 
@@ -41,101 +44,112 @@ def normal_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(NORMAL).split()
 
 
-def windows(text: str | None, size: int) -> set[str]:
-    words = [w.decode() for w in normal_words(text)]
-    return {" ".join(["", *words[i : i + size], ""]) for i in range(max(1, len(words) - size + 1))} if words else set()
+def windows(words: list[bytes], size: int):
+    """(first word, words) of every window of an item."""
+    for i in range(max(1, len(words) - size + 1) if words else 0):
+        yield i, words[i : i + size]
 
 
-def window_blocks(benchmark: DataFrame, size: int):
-    """(window, items) in blocks of AUTOMATON_BYTES. The rows come to the driver partition by partition."""
+def item_blocks(benchmark: DataFrame, size: int):
+    """(item, normalised text) in blocks of BLOCK_WORDS words. The rows come to the driver partition by partition."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([sorted(windows(t, size)) for t in texts.to_pylist()], pa.list_(pa.string()))
+    def parts(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            words = normal_words(t)
+            step = max(1, BLOCK_WORDS // 4)
+            rows.append([b" ".join(words[i : i + step + size - 1]).decode() for i in range(0, max(1, len(words) - size + 1), step)] if words else [])
+        return pa.array(rows, pa.list_(pa.string()))
 
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.explode(of("text")).alias("window"))
-    shared = named.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.explode(parts("text")).alias("part")).distinct()
     block, used = [], 0
-    for row in shared.toLocalIterator():
-        if used > AUTOMATON_BYTES:
+    for row in named.toLocalIterator():
+        words = row["part"].count(" ") + 1
+        if block and used + words > BLOCK_WORDS:
             yield block
             block, used = [], 0
-        block.append((row["window"], tuple(row["items"])))
-        used += len(row["window"]) + 64
+        block.append((row["item"], row["part"]))
+        used += words
     if block:
         yield block
 
 
-def scan(automaton: ahocorasick.Automaton, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
-    """The number of words, and (item, first word, last word) of every run of overlapping or adjoining windows of an item."""
-    words = normal_words(text)
-    if not words:
-        return 0, []
-    joined = f" {b' '.join(words).decode()} "
-    found = list(automaton.iter(joined))
-    if not found:
-        return len(words), []
-    # The number of the word that starts behind each space.
-    spaces = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)
-    open_span: dict[str, list[int]] = {}
-    spans = []
-    for end, (length, n, items) in found:
-        first = int(np.searchsorted(spaces, end - length + 1))
-        for item in items:
-            span = open_span.get(item)
-            if span and span[0] <= first <= span[1] + 1:
-                span[1] = max(span[1], first + n - 1)
-            else:
-                spans.append((item, span := [first, first + n - 1]))
-                open_span[item] = span
-    return len(words), [(item, *span) for item, span in spans]
+class Scanner:
+    """The automaton over the words of a block of items."""
+
+    def __init__(self, block: list[tuple[str, str]], size: int):
+        self.numbers: dict[bytes, int] = {}
+        found: dict[tuple[int, ...], set[str]] = {}
+        for item, text in block:
+            words = text.encode().split(b" ")
+            for w in words:
+                self.numbers.setdefault(w, len(self.numbers) + 1)
+            for _, window in windows(words, size):
+                found.setdefault(tuple(self.numbers[w] for w in window), set()).add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, items in found.items():
+            self.automaton.add_word(window, (len(window), tuple(sorted(items))))
+        self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
+        """The number of words, and (item, first word, last word) of every run of overlapping or adjoining windows of an item."""
+        words = normal_words(text)
+        if not words or not self.numbers:
+            return len(words), []
+        number = self.numbers.get
+        open_span: dict[str, list[int]] = {}
+        spans = []
+        for end, (length, items) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+            first = end - length + 1
+            for item in items:
+                span = open_span.get(item)
+                if span and span[0] <= first <= span[1] + 1:
+                    span[1] = max(span[1], end)
+                else:
+                    spans.append((item, span := [first, end]))
+                    open_span[item] = span
+        return len(words), [(item, *span) for item, span in spans]
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """``docs`` with column ``__hits``: the number of words, and spans of words by item."""
-    out, first = docs, True
-    for block in window_blocks(benchmark, size):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        out = (out if first else materialize(out, "decontaminate-block")).withColumn("__hits", _scan_block(held, None if first else "__hits"))
-        first = False
-    return out if not first else docs.withColumn("__hits", _scan_block(docs.sparkSession.sparkContext.broadcast([]), None))
-
-
-def _scan_block(held, earlier: str | None):
-    cache: dict = {}
-
-    def automaton():
-        if "made" not in cache:
-            made = ahocorasick.Automaton()
-            for window, items in held.value:
-                made.add_word(window, (len(window), window.count(" ") - 1, items))
-            made.make_automaton()
-            cache["made"] = made
-        return cache["made"]
-
-    def judge(texts: pa.Array, *before: pa.Array) -> pa.Array:
-        made = automaton() if held.value else None
-        rows = []
-        for i, t in enumerate(texts):
-            text = t.as_py()
-            n, spans = scan(made, text) if made is not None else (len(normal_words(text)), [])
-            known = (before[0][i].as_py() or {}).get("spans") or [] if before else []
-            rows.append({"n_words": n, "spans": known + [{"item": s, "first": a, "last": b} for s, a, b in spans]})
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("last", pa.int64())])))]))
-
-    if earlier:
-
-        @F.arrow_udf(HITS)
-        def more(texts: pa.Array, before: pa.Array) -> pa.Array:
-            return judge(texts, before)
-
-        return more(F.col("text"), F.col(earlier))
+    blocks = item_blocks(benchmark, size)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.withColumn("__hits", _scan_block(docs, first, size)(F.col("text")))
+    scratch = Scratch(docs.sparkSession, "decontaminate")
+    found = None
+    for block in chain([first, second], blocks):
+        texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("__h1"), F.xxhash64(F.lit(1), "text").alias("__h2"), _scan_block(docs, block, size)(F.col("text"))["spans"].alias("spans"))
+        part = scratch.table(texts.where(F.size("spans") > 0).groupBy("__h1", "__h2").agg(F.first("spans").alias("spans")), "spans")
+        found = part if found is None else found.unionByName(part)
+    spans = scratch.table(found.groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("spans")).alias("__spans")), "all")
+    scratch.keep("all")
+    counted = docs.withColumn("__n", _scan_block(docs, [], size)(F.col("text"))["n_words"]).withColumn("__h1", F.xxhash64("text")).withColumn("__h2", F.xxhash64(F.lit(1), "text"))
+    if spans.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS:
+        joined = counted.join(F.broadcast(spans), ["__h1", "__h2"], "left")
+    else:
+        copies = hot_keys(counted.groupBy("__h1", "__h2").agg(F.count("*").alias("n")), ["__h1", "__h2"], scratch)
+        joined = spread_join(counted, spans, ["__h1", "__h2"], copies, "doc_id", "left")
+    none = F.array().cast(SPANS)
+    return joined.withColumn("__hits", F.struct(F.col("__n").alias("n_words"), F.coalesce("__spans", none).alias("spans"))).drop("__n", "__h1", "__h2", "__spans")
+
+
+def _scan_block(docs: DataFrame, block: list[tuple[str, str]], size: int):
+    held = docs.sparkSession.sparkContext.broadcast(block)
+    made: dict[str, Scanner] = {}
 
     @F.arrow_udf(HITS)
-    def one(texts: pa.Array) -> pa.Array:
-        return judge(texts)
+    def scan(texts: pa.Array) -> pa.Array:
+        scanner = made.get("scanner") or made.setdefault("scanner", Scanner(held.value, size))
+        rows = []
+        for t in texts:
+            n, spans = scanner.scan(t.as_py())
+            rows.append({"n_words": n, "spans": [{"item": s, "first": a, "last": b} for s, a, b in spans]})
+        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("last", pa.int64())])))]))
 
-    return one(F.col("text"))
+    return scan
 
 
 def count_hit(spans: list[dict]) -> int:

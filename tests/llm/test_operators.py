@@ -169,12 +169,20 @@ def test_decontamination_odd(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, bench).columns == odd.columns
 
 
-def test_decontamination_in_blocks(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("small", [20_000, 0])
+def test_decontamination_in_blocks(spark, sf_dir, monkeypatch, small):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.unionAll(docs.limit(5)).unionByName(spark.createDataFrame([(None, None)], "doc_id bigint, text string"), allowMissingColumns=True)
+    long = bench.agg(F.concat_ws(" ", F.collect_list("text")).alias("text")).select(F.lit(-1).cast(bench.schema["item_id"].dataType).alias("item_id"), "text")
+    bench = bench.unionByName(long)
     whole = plain(decontaminate.contamination(docs, bench).toPandas())
-    monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 40_000)
-    assert len(list(decontaminate.window_blocks(bench, 10))) > 1
+    kept = decontaminate.drop_contaminated(docs, bench).count()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3_000)
+    monkeypatch.setattr(decontaminate, "BROADCAST_TEXTS", small)
+    blocks = list(decontaminate.item_blocks(bench, 10))
+    assert len(blocks) > 1 and all(sum(len(t.split()) for _, t in block) <= 3_000 for block in blocks)
     assert plain(decontaminate.contamination(docs, bench).toPandas()) == whole
+    assert decontaminate.drop_contaminated(docs, bench).count() == kept
 
 
 # Token counts
