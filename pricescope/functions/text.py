@@ -25,7 +25,7 @@ def strip_article(token: Column) -> Column:
     tail = lambda k: F.substring(token, k + 1, 2**31 - 1)
     attached = F.substring(token, 1, 3).isin(lexicon.ARTICLES) & (n >= 6)
     plain = F.substring(token, 1, 2).isin("لل", "ال") & (n >= 5)
-    return F.when(~token.rlike("[\\u0600-\\u06FF]"), token).when(attached, tail(3)).when(plain, tail(2)).otherwise(token)
+    return F.when(attached, tail(3)).when(plain, tail(2)).otherwise(token)
 
 
 def _python_normal(word: str) -> str:
@@ -43,15 +43,24 @@ NEGATIVE = sorted({w.translate(str.maketrans(_LETTERS_FROM, _LETTERS_TO)) for w
 
 
 def is_meaningful(token: Column) -> Column:
-    short = F.when(token.rlike("^[a-z]+$"), F.length(token) < 3).otherwise(F.length(token) < 2)
-    return ~token.isin(STOPWORDS) & ~token.rlike("^[0-9]+$") & ~short
+    n = F.length(token)
+    short = (n < 2) | ((n == 2) & token.rlike("^[a-z]+$"))
+    return ~short & ~token.isin(STOPWORDS) & ~token.rlike("^[0-9]+$")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(normalize_arabic(F.coalesce(text, F.lit(""))), F.lit(WORD_RUN), F.lit(0))
+
+
+def _token(word: Column) -> Column:
+    """A word of a text without diacritics, normalised; null if it says nothing."""
+    normal = strip_article(F.translate(F.lower(word), _LETTERS_FROM, _LETTERS_TO))
+    return F.when(is_meaningful(normal), normal)
 
 
 def token_sequence(text: Column) -> Column:
     """Every word, normalised; null where a word says nothing, so that phrases don't reach across it."""
-    words = F.regexp_extract_all(normalize_arabic(F.coalesce(text, F.lit(""))), F.lit(WORD_RUN), F.lit(0))
-    normal = F.transform(words, lambda w: strip_article(normalize_arabic(F.lower(w))))
-    return F.transform(normal, lambda w: F.when(is_meaningful(w), w))
+    return F.transform(_words(text), _token)
 
 
 def tokens(text: Column) -> Column:
@@ -63,20 +72,29 @@ def count_words(text: Column) -> Column:
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, term, n): words, and pairs of adjoining words."""
-    sequenced = rows.select(*keys, token_sequence(F.col(text)).alias("seq"))
-    pair = lambda t, i: F.concat_ws(" ", t, F.get("seq", i + 1))
-    both = F.transform("seq", lambda t, i: F.when(t.isNotNull(), F.array(t, F.when(F.get("seq", i + 1).isNotNull(), pair(t, i)))))
-    terms = sequenced.select(*keys, F.explode(F.flatten(F.filter(both, lambda x: x.isNotNull()))).alias("term")).where("term IS NOT NULL")
+    """(keys, term, n): words, and pairs of adjoining words.
+
+    A text's words become rows, each with the next one beside it, before they are judged: so rules run as compiled code.
+    """
+    held = rows.select(*keys, _words(F.col(text)).alias("words"))
+    beside = F.arrays_zip("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("next"))
+    pairs = held.select(*keys, F.explode(beside).alias("w")).select(*keys, F.col("w.words").alias("word"), F.col("w.next").alias("next"))
+    judged = pairs.select(*keys, _token(F.col("word")).alias("token"), _token(F.col("next")).alias("next")).where("token IS NOT NULL")
+    phrase = F.when(F.col("next").isNotNull(), F.concat_ws(" ", "token", "next"))
+    terms = judged.select(*keys, F.explode(F.array("token", phrase)).alias("term")).where("term IS NOT NULL")
     return terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
 
 
+def vocabulary_overlap(n: Column, terms: Column, other_n: Column, other_terms: Column) -> Column:
+    """Of two texts' numbers of tokens and distinct tokens: the share of the smaller vocabulary that the other has, in whole percent; null for short texts."""
+    enough = (n >= lexicon.LEAST_TOKENS) & (other_n >= lexicon.LEAST_TOKENS)
+    shared = F.size(F.array_intersect(terms, other_terms))
+    return F.when(enough, round_half_up(shared / F.least(F.size(terms), F.size(other_terms)) * 100))
+
+
 def similarity(a: Column, b: Column) -> Column:
-    """Of two token arrays: the share of the smaller vocabulary that the other has, in whole percent; null for short texts."""
-    enough = (F.size(a) >= lexicon.LEAST_TOKENS) & (F.size(b) >= lexicon.LEAST_TOKENS)
-    shared = F.size(F.array_intersect(a, b))
-    smaller = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
-    return F.when(enough, round_half_up(shared / smaller * 100))
+    """The overlap of two token arrays."""
+    return vocabulary_overlap(F.size(a), F.array_distinct(a), F.size(b), F.array_distinct(b))
 
 
 def java_pattern(pattern: str) -> str:

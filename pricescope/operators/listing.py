@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pricescope.session import checkpointed
+
 #: The positions, in the order in which they are shown.
 POSITIONS = ["UNDERPRICED", "SLIGHTLY_UNDERPRICED", "MARKET_ALIGNED", "SLIGHTLY_OVERPRICED", "OVERPRICED"]
 
@@ -84,3 +86,19 @@ def page_window(current: int, total: int, radius: int = 1) -> list[int | None]:
     shown = sorted({1, total, *near}) if total >= 1 else []
     with_gaps = [[n] if n == 1 or n - 1 in shown else [None, n] for n in shown]
     return [n for part in with_gaps for n in part]
+
+
+def with_place(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """``rows`` numbered from 1 in an order without ties, with no task that holds them all.
+
+    Rows are dealt by ranges of the order and sorted there; a range starts where those before it end. The table of ranges has one
+    row for each partition.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The lower 33 bits count the rows of a partition, the bits above them the partitions.
+    held = checkpointed(ranged.withColumn("__at", F.monotonically_increasing_id()))
+    ranges = held.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count("*").alias("__n"))
+    starts = ranges.selectExpr("__range", "sum(__n) OVER (ORDER BY __range) - __n AS __start")
+    numbered = held.withColumn("__range", F.shiftright("__at", 33)).join(F.broadcast(starts), "__range")
+    place = F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return numbered.withColumn(name, place.cast("int")).drop("__at", "__range", "__start")

@@ -141,12 +141,3 @@ def csv_ends() -> tuple[list[Column], list[Column]]:
     before = [csv_text(F.col("name")), csv_text(F.col("brand")), csv_text(F.col("size")), csv_text(F.coalesce("analysed", "currency"))]
     after = [csv_number(F.col("market_median")), csv_number(F.col("gap_percentage")), csv_text(F.try_element_at(labels, F.col("position"))), csv_number(F.col("suggested_price"))]
     return before, after
-
-
-def csv_rows(products: DataFrame, cells: DataFrame, columns: list[tuple[int, str]], analysis: DataFrame) -> DataFrame:
-    """One line of CSV for each product with the given stores (id, header) in order; ``csv_export`` has all stores."""
-    wide = cells.withColumn("text", csv_cell(F.col("state"), F.col("price"))).groupBy("product_id").pivot("retailer_id", [r for r, _ in columns]).agg(F.first("text"))
-    joined = products.join(wide, "product_id", "left").join(analysis.select("product_id", F.col("currency").alias("analysed"), "market_median", "gap_percentage", "position", "suggested_price"), "product_id", "left")
-    before, after = csv_ends()
-    fields = [*before, *[F.coalesce(F.col(f"`{r}`"), F.lit("")) for r, _ in columns], *after]
-    return joined.select("product_id", F.concat_ws(",", *fields).alias("line"))

@@ -101,14 +101,21 @@ def store_cards(rows: DataFrame, limit: int = CARD_LIMIT) -> DataFrame:
 
 
 def store_briefs(shelf: Shelf) -> DataFrame:
-    """One row for each brand and partner: what is listed, in stock, out, missing, could be pitched, and coverage in percent."""
-    at_partner = shelf.listings.where(~F.col("official")).groupBy("brand", "retailer_id").agg(
-        F.count_if(F.col("state") == "in_stock").alias("in_stock"), F.count_if(F.col("state") == "out_of_stock").alias("out_of_stock")
+    """One row for each brand and partner: what is listed, in stock, out, missing, could be pitched, and coverage in percent.
+
+    Pitches are counted, not listed: the brand's products in stock somewhere, less those of them that the partner lists.
+    """
+    placed = shelf.listings.join(shelf.stock.select("product_id", "in_stock_stores"), "product_id")
+    partner, stocked, out = ~F.col("official"), F.col("in_stock_stores") > 0, F.col("state") == "out_of_stock"
+    at_store = placed.groupBy("brand", "retailer_id").agg(
+        F.count_if(partner).alias("listed"),
+        F.count_if(partner & (F.col("state") == "in_stock")).alias("in_stock"),
+        F.count_if(partner & out).alias("out_of_stock"),
+        F.count_if(stocked).alias("listed_in_stock"),
+        F.count_if(partner & out & stocked).alias("actionable_restocks"),
     )
-    pitched = pitches(shelf).groupBy("brand", "retailer_id").agg(F.count("*").alias("pitches"))
-    actionable = restocks(shelf).where("tone <> 'supply_gap'").groupBy("brand", "retailer_id").agg(F.count("*").alias("actionable_restocks"))
-    rows = _with_catalog_size(shelf).join(at_partner, ["brand", "retailer_id"]).join(pitched, ["brand", "retailer_id"], "left").join(actionable, ["brand", "retailer_id"], "left")
-    rows = rows.fillna(0, ["pitches", "actionable_restocks"])
+    brands = shelf.catalog.join(shelf.stock.select("product_id", "in_stock_stores"), "product_id", "left").groupBy("brand").agg(F.count("*").alias("catalog_size"), F.count_if(stocked).alias("brand_in_stock"))
+    rows = at_store.where("listed > 0").join(brands, "brand").withColumn("pitches", F.col("brand_in_stock") - F.col("listed_in_stock"))
     return rows.select(
         "brand",
         "retailer_id",
@@ -133,7 +140,9 @@ def unopened_products(shelf: Shelf) -> DataFrame:
 def unopened_doors(shelf: Shelf) -> DataFrame:
     """Partner stores of other brands that list nothing of a brand, with the number of products that they list of others.
 
-    The catalog of brands is one row, a map from brand to size; each store unfolds the brands that it lacks.
+    The result is all pairs that lack, stores times brands less what is listed: it is meant for the few brands that a team looks
+    after; take the top of it (``DOOR_LIMIT``) by brand. The catalog of brands is one row, a map from brand to size; each
+    store unfolds the brands that it lacks.
     """
     sizes = shelf.catalog.where("brand IS NOT NULL").groupBy("brand").agg(F.count("*").alias("n"))
     catalog = sizes.agg(F.map_from_entries(F.collect_list(F.struct("brand", "n"))).alias("catalog"))
@@ -144,12 +153,12 @@ def unopened_doors(shelf: Shelf) -> DataFrame:
 
 def summary(shelf: Shelf) -> DataFrame:
     """One row of counts over all brands."""
-    briefs = store_briefs(shelf)
+    counts = store_briefs(shelf).agg(
+        F.coalesce(F.sum("out_of_stock"), F.lit(0)).alias("restocks"), F.coalesce(F.sum("pitches"), F.lit(0)).alias("new_listings"), F.count_if(~F.col("covered")).alias("stores_with_gaps")
+    )
     return (
         shelf.catalog.agg(F.count("*").alias("products"))
         .join(shelf.partners.agg(F.countDistinct("retailer_id").alias("partner_stores")))
-        .join(restocks(shelf).agg(F.count("*").alias("restocks")))
-        .join(pitches(shelf).agg(F.count("*").alias("new_listings")))
-        .join(briefs.agg(F.count_if(~F.col("covered")).alias("stores_with_gaps")))
+        .join(counts)
         .join(unopened_products(shelf).agg(F.count("*").alias("unopened_products")))
     )

@@ -53,13 +53,6 @@ def g05_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrix.sort_categories(Domain(spark, sf_dir).products.select("category").distinct(), ["STANDARD", "ECONOMY"])
 
 
-def x03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CSV lines with the six stores that this key's SQL asks for; ``x01_csv`` has all stores."""
-    d = Domain(spark, sf_dir)
-    cells = _cells(d).where("retailer_id <= 6")
-    return matrix.csv_rows(d.products, cells, [(i, f"Supplier {i}") for i in range(1, 7)], _analysis(d))
-
-
 def x01_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole CSV export: header and lines of the products shown (the first 500 by name), with all their stores."""
     d = Domain(spark, sf_dir)
@@ -200,8 +193,7 @@ QUERIES = {
     "q09_b02_matrix_products": q09_select,
     "g03_truncation": g03_truncation,
     "g05_a04_categories": g05_categories,
-    "x01_x03_csv_rows": x03_csv,
-    "x01_csv_export": x01_csv,
+    "x01_x03_csv_export": x01_csv,
     "q10_g01_product_list": q10_products,
     "b12_b03_page_summary": b12_pages,
     "d02_source_counts": d02_source_counts,
@@ -304,18 +296,7 @@ ORACLES = {
     ),
     "g03_truncation": with_layers(DOMAIN, select="SELECT least(count(*), 500) AS shown, count(*) > 500 AS truncated FROM products WHERE NOT coalesce(is_demo, FALSE)"),
     "g05_a04_categories": with_layers(DOMAIN, select="SELECT category, row_number() OVER (ORDER BY CASE upper(category) WHEN 'STANDARD' THEN 1 WHEN 'ECONOMY' THEN 2 ELSE 999 END, lower(category), category) AS place FROM (SELECT DISTINCT category FROM products)"),
-    "x01_x03_csv_rows": with_layers(
-        *_ALL,
-        _CELLS,
-        f"texts AS (SELECT product_id, retailer_id, CASE WHEN state = 'out_of_stock' THEN 'Out of stock' WHEN state IN ('current', 'stale') THEN {_T.format('price')} ELSE '' END AS t FROM cells WHERE retailer_id <= 6)",
-        select=f"""SELECT product_id, concat_ws(',', coalesce(name, ''), coalesce(brand, ''), coalesce(size, ''), coalesce(a.currency, p.currency, ''),
-            {", ".join(f"coalesce((SELECT t FROM texts WHERE texts.product_id = p.product_id AND retailer_id = {i}), '')" for i in range(1, 7))},
-            {_T.format("market_median")}, {_T.format("gap_percentage")},
-            CASE position WHEN 'UNDERPRICED' THEN 'Underpriced' WHEN 'SLIGHTLY_UNDERPRICED' THEN 'Slightly underpriced' WHEN 'MARKET_ALIGNED' THEN 'Market aligned'
-              WHEN 'SLIGHTLY_OVERPRICED' THEN 'Slightly overpriced' WHEN 'OVERPRICED' THEN 'Overpriced' ELSE '' END, {_T.format("suggested_price")}) AS line
-          FROM products p LEFT JOIN analysis a USING (product_id)""",
-    ),
-    "x01_csv_export": with_layers(
+    "x01_x03_csv_export": with_layers(
         *_ALL,
         _CELLS,
         "shown AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY lower(name), product_id) AS line_place FROM products WHERE NOT coalesce(is_demo, FALSE)) WHERE line_place <= 500)",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricescope.functions import lexicon, text
 from pricescope.operators import content, opportunities, pages, pricing, reviews
+from pricescope.operators.listing import with_place
 from pricescope.operators.reports import KPIS
 from pricescope.operators.tables import upsert
 from pricescope.plans import grid, ingest
@@ -62,7 +63,7 @@ def u17_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     stores = reviews.store_issues(rows).select(F.lit("our_weakness").alias("type"), F.concat_ws(":", F.lit("store"), "brand", "retailer_id").alias("subject"), "priority")
     rivals = reviews.competitor_weaknesses(rows, "Brand A").select("type", F.col("theme").alias("subject"), "priority")
     every = themes.unionByName(stores).unionByName(rivals)
-    return every.withColumn("place", F.expr("row_number() OVER (ORDER BY priority DESC, type, subject)"))
+    return with_place(every, F.col("priority").desc(), F.col("type"), F.col("subject"))
 
 
 def d17_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +74,8 @@ def u06_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clamped page of filtered reviews, with the number of pages; the page asked for lies beyond the end."""
     found = reviews.find_reviews(text_plans._reviews(spark), sentiment="negative")
     size, asked = 10, 99
-    total = found.agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("pages"))
-    numbered = found.withColumn("n", F.expr("row_number() OVER (ORDER BY review_id)")).join(total)
-    page = F.least(F.lit(asked), F.col("pages"))
-    return numbered.where((F.col("n") > (page - 1) * size) & (F.col("n") <= page * size)).select("review_id", "pages")
+    pages = max(1, -(-found.count() // size))
+    return found.orderBy("review_id").offset((min(asked, pages) - 1) * size).limit(size).select("review_id", F.lit(pages).cast("bigint").alias("pages"))
 
 
 def d16_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pricescope.functions import lexicon, text
 from pricescope.operators import content, reviews
+from pricescope.operators.listing import with_place
+from pricescope.session import checkpointed
 from pricescope.sources import fixtures
 
 
@@ -27,10 +29,10 @@ def t06_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t08_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the next one by id."""
-    docs = documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("tokens"))
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("tokens").alias("next_tokens"))
-    return docs.join(other, "doc_id").select("doc_id", text.similarity(F.col("tokens"), F.col("next_tokens")).alias("similarity"))
+    """Each document against the next one by id. Tokens are written once, as both sides of the join read them."""
+    docs = checkpointed(documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.array_distinct("tokens").alias("terms")))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("next_n"), F.col("terms").alias("next_terms"))
+    return docs.join(other, "doc_id").select("doc_id", text.vocabulary_overlap(F.col("n"), F.col("terms"), F.col("next_n"), F.col("next_terms")).alias("similarity"))
 
 
 def _reviews(spark: SparkSession) -> DataFrame:
@@ -75,11 +77,6 @@ def g12_praised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g10_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top keywords in the letters a to z, as this key's SQL asks for; ``g10_all`` has all."""
-    return g10_all(spark, sf_dir).where("term rlike '^[a-z]+$'")
-
-
-def g10_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top keywords in any script."""
     return reviews.top_keywords(_reviews(spark), ["brand"]).select("brand", "sentiment", "term", "n")
 
@@ -174,7 +171,7 @@ def t19_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g04_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By score descending; products without one come last, ties by id."""
-    return t14_scores(spark, sf_dir).withColumn("place", F.expr("row_number() OVER (ORDER BY score DESC NULLS LAST, product_id)")).select("product_id", "score", "place")
+    return with_place(t14_scores(spark, sf_dir).select("product_id", "score"), F.col("score").desc_nulls_last(), F.col("product_id"))
 
 
 def l03_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,7 +234,6 @@ QUERIES = {
     "u18_review_hash": u18_hash,
     "d15_theme_stats": d15_themes,
     "g10_keywords": g10_keywords,
-    "g10_all_keywords": g10_all,
     "g12_top_themes": g12_praised,
     "b06_b07_find_reviews": b06_find,
     "e09_recent_reviews": e09_recent,
@@ -485,8 +481,8 @@ FROM lists a JOIN lists b ON b.doc_id = a.doc_id + 1""",
     "u18_review_hash": _over("SELECT review_id, left(sha256('author' || chr(0) || chr(0) || body), 32) AS hash FROM r"),
     "d15_theme_stats": _over(_themes("brand")),
     "g10_keywords": _over(
-        """SELECT brand, sentiment, term, n FROM (SELECT *, row_number() OVER (PARTITION BY brand, sentiment ORDER BY n DESC, regexp_matches(term, '^[a-z]+$') DESC, term) AS place FROM (
-             SELECT brand, sentiment, t AS term, count(*) AS n FROM words JOIN r USING (review_id) WHERE t IS NOT NULL AND sentiment <> 'neutral' GROUP BY ALL)) WHERE place <= 8 AND regexp_matches(term, '^[a-z]+$')"""
+        """SELECT brand, sentiment, term, n FROM (SELECT *, row_number() OVER (PARTITION BY brand, sentiment ORDER BY n DESC, term) AS place FROM (
+             SELECT brand, sentiment, t AS term, count(*) AS n FROM words JOIN r USING (review_id) WHERE t IS NOT NULL AND sentiment <> 'neutral' GROUP BY ALL)) WHERE place <= 8"""
     ),
     "g12_top_themes": _over(
         f"""SELECT kind, retailer_id, theme, place FROM (

@@ -7,7 +7,7 @@ import re
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "pricescope", **settings: str) -> SparkSession:
@@ -36,6 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder: whatever reads it twice doesn't compute it twice, and a lost executor costs nothing."""
+    spark = df.sparkSession
+    named = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whichever that is."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

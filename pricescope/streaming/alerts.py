@@ -1,53 +1,57 @@
 """Price-change and stock-out alerts over a stream of observations.
 
 State is one observation for each source: the newest by its own time. A late row never replaces a newer one and raises
-no alert, so a stream whose rows come in order of time gives the batch rules' alerts.
+no alert, so a stream whose rows come in order of time gives the batch rules' alerts. Sources are dealt to buckets by a hash,
+and a bucket's sources are one state, so that a call of the state function compares whole arrays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pricescope.operators.alerts import LEAST_CHANGE
 
 ALERTS = "type string, source_id bigint, previous_price double, price double, scraped_at timestamp"
-STATE = "price double, availability string, scraped_at timestamp"
-
-
-def _valid(price) -> bool:
-    return price is not None and price == price and 0 < price < float("inf")
+#: Times are kept in microseconds.
+STATE = "source_id array<bigint>, price array<double>, availability array<string>, scraped_at array<bigint>"
+COLUMNS = ["source_id", "price", "availability", "scraped_at"]
+#: Buckets of sources. A bucket's state is rewritten when one of its sources is seen: some thousand sources each are well.
+BUCKETS = 64
 
 
 def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    before = state.get if state.exists else None
-    found = []
-    rows = pd.concat(list(frames))
-    prices, availabilities, times = list(rows["price"]), list(rows["availability"]), list(rows["scraped_at"])
-    for i in np.lexsort([rows[c].to_numpy() for c in ("price", "order_line", "order_key", "scraped_at")]):
-        price, availability, at = prices[i], availabilities[i], times[i]
-        if before is not None:
-            if at < before[2]:
-                continue
-            if _valid(before[0]) and _valid(price) and abs(price - before[0]) >= LEAST_CHANGE:
-                found.append(("PRICE_CHANGE", key[0], before[0], price, at))
-            if availability == "out_of_stock" and before[1] != "out_of_stock":
-                found.append(("OUT_OF_STOCK", key[0], None, price, at))
-        before = (price, availability, at)
-    if before is not None:
-        state.update(before)
-    if found:
-        yield pd.DataFrame(found, columns=["type", "source_id", "previous_price", "price", "scraped_at"])
-
-
-def alert_stream(observations: DataFrame) -> DataFrame:
+    fresh = pd.concat(list(frames)).sort_values(["source_id", "scraped_at", "order_key", "order_line", "price"], kind="stable")
+    rows = fresh[COLUMNS]
+    if state.exists:
+        known = pd.DataFrame(dict(zip(COLUMNS, map(list, state.get), strict=True))).astype({"source_id": "int64", "price": "float64"})
+        known["scraped_at"] = pd.to_datetime(known["scraped_at"], unit="us").astype(rows["scraped_at"].dtype)
+        since = rows["source_id"].map(known.set_index("source_id")["scraped_at"])
+        rows = rows[~(rows["scraped_at"] < since)]
+        # A source's known observation comes before its fresh ones.
+        rows = pd.concat([known, rows]).sort_values("source_id", kind="stable")
+    rows = rows.reset_index(drop=True)
+    before = rows.groupby("source_id")[["price", "availability"]].shift()
+    seen = rows["source_id"].eq(rows["source_id"].shift())
+    valid = lambda x: x.gt(0) & x.lt(float("inf"))
+    changed = seen & valid(before["price"]) & valid(rows["price"]) & (rows["price"] - before["price"]).abs().ge(LEAST_CHANGE)
+    gone = seen & rows["availability"].eq("out_of_stock") & before["availability"].ne("out_of_stock")
+    moves = rows[changed].assign(type="PRICE_CHANGE", previous_price=before["price"])
+    outs = rows[gone].assign(type="OUT_OF_STOCK", previous_price=float("nan"))
+    last = rows.groupby("source_id").tail(1)
+    state.update((last["source_id"].tolist(), last["price"].tolist(), last["availability"].tolist(), last["scraped_at"].astype("datetime64[us]").astype("int64").tolist()))
+    yield from (found[["type", "source_id", "previous_price", "price", "scraped_at"]] for found in (moves, outs) if len(found))
+
+
+def alert_stream(observations: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Alerts of a streaming table of competitors' observations."""
     wanted = observations.select("source_id", "price", "availability", "scraped_at", "order_key", "order_line")
-    return wanted.groupBy("source_id").applyInPandasWithState(_judge, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    dealt = wanted.withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_judge, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def version_stream(snapshots: DataFrame, delay: str = "30 days") -> DataFrame:

@@ -17,7 +17,7 @@ def test_stream_takes_every_observation(spark, sf_dir):
     pairs = alerts.with_previous(alerts.with_own_flag(d.observations, d.sources))
     batch = alerts.price_changes(pairs).select("type", "source_id").unionAll(alerts.stock_outs(pairs).select("type", "source_id"))
     want = {(r["type"], r["source_id"]): r["n"] for r in batch.groupBy("type", "source_id").agg(F.count("*").alias("n")).collect()}
-    got = {(r["type"], r["source_id"]): r["n"] for r in edges.whole_stream(spark, sf_dir).collect()}
+    got = {(r["type"], r["source_id"]): r["n"] for r in edges.stream_alerts(spark, sf_dir).collect()}
     assert got == want and len({source // 1_000_000 % 20 for _, source in got}) == 20
 
 
@@ -47,7 +47,7 @@ def test_keywords_of_any_script(spark, sf_dir):
     for r in rows:
         counts[r["brand"], r["sentiment"]].update(r["tokens"])
     got = defaultdict(dict)
-    for r in text_plans.QUERIES["g10_all_keywords"](spark, sf_dir).collect():
+    for r in text_plans.QUERIES["g10_keywords"](spark, sf_dir).collect():
         got[r["brand"], r["sentiment"]][r["term"]] = r["n"]
     assert set(got) == {k for k, c in counts.items() if c}
     for key, terms in got.items():
