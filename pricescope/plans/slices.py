@@ -18,7 +18,7 @@ from pricescope.plans.grid import _S, _analysis, _shelf
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, with_layers
 from pricescope.plans.text import _GOOD, _VERSIONS, _of_pages, _over, _themes
 from pricescope.session import shared_dir
-from pricescope.sources import fixtures
+from pricescope.sources import written
 from pricescope.sources.domain import Domain
 
 #: The sections of each audience's report, in order, and names of content fields.
@@ -58,7 +58,7 @@ def v07_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u17_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All insights of all rules as one list, the most urgent first."""
-    rows = text_plans._reviews(spark)
+    rows = text_plans._reviews(spark, sf_dir)
     themes = reviews.brand_theme_insights(rows).select("type", F.concat_ws(":", "brand", "theme").alias("subject"), "priority")
     stores = reviews.store_issues(rows).select(F.lit("our_weakness").alias("type"), F.concat_ws(":", F.lit("store"), "brand", "retailer_id").alias("subject"), "priority")
     rivals = reviews.competitor_weaknesses(rows, "Brand A").select("type", F.col("theme").alias("subject"), "priority")
@@ -72,14 +72,14 @@ def d17_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u06_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clamped page of filtered reviews, with the number of pages; the page asked for lies beyond the end."""
-    found = reviews.find_reviews(text_plans._reviews(spark), sentiment="negative")
+    found = reviews.find_reviews(text_plans._reviews(spark, sf_dir), sentiment="negative")
     size, asked = 10, 99
     pages = max(1, -(-found.count() // size))
     return found.orderBy("review_id").offset((min(asked, pages) - 1) * size).limit(size).select("review_id", F.lit(pages).cast("bigint").alias("pages"))
 
 
 def d16_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = text_plans._reviews(spark).where("usable")
+    used = text_plans._reviews(spark, sf_dir).where("usable")
     return used.agg(F.countDistinct("product_id").alias("products"), F.countDistinct("retailer_id").alias("stores"), F.countDistinct(F.concat_ws(":", "product_id", "retailer_id", "body")).alias("reviews"))
 
 
@@ -90,7 +90,7 @@ def e11_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g15_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that anyone mentions: those the own page lacks first, then by competitors."""
-    rows = content.attribute_table(text_plans._pages(spark)).where("own OR competitors_with > 0")
+    rows = content.attribute_table(text_plans._pages(spark, sf_dir)).where("own OR competitors_with > 0")
     label = F.create_map(*[F.lit(x) for name, label, _ in lexicon.ATTRIBUTES for x in (name, label)])
     ranked = rows.withColumn("label", F.try_element_at(label, F.col("attribute")))
     place = F.expr("row_number() OVER (PARTITION BY product_id ORDER BY (own IS NULL OR own), competitors_with DESC, label)")
@@ -100,13 +100,13 @@ def g15_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g19_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checks as shown: failures, warnings, notes, passes."""
     rank = F.array_position(F.array(*[F.lit(s) for s in ("fail", "warn", "info", "pass")]), F.col("status"))
-    rows = content.check_table(text_plans._pages(spark)).withColumn("rank", rank)
+    rows = content.check_table(text_plans._pages(spark, sf_dir)).withColumn("rank", rank)
     return rows.withColumn("shown", F.expr("row_number() OVER (PARTITION BY product_id ORDER BY rank, place)")).select("product_id", "check", "shown")
 
 
 def k05_content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An alert for each new version of a competitor's page, with the fields that changed in words."""
-    found = content.versions(fixtures.frame(spark, fixtures.VERSION_COLUMNS, fixtures.VERSIONS)).where("source_id % 2 = 1 AND size(changed) > 0")
+    found = content.versions(written.snapshots(spark, sf_dir).where("NOT is_own_store")).where("size(changed) > 0")
     labels = F.create_map(*[F.lit(x) for pair in FIELD_LABELS.items() for x in pair])
     named = text.english_list(F.transform("changed", lambda f: F.try_element_at(labels, f)))
     return found.select(F.lit("CONTENT_CHANGE").alias("type"), "source_id", "version", named.alias("fields"))
@@ -240,8 +240,8 @@ insights AS (
     CASE WHEN positive >= 2 AND positive > negative THEN 60 + 3 * positive ELSE 72 + 4 * negative END AS priority
   FROM ({_themes("brand", _GOOD)}) WHERE (positive >= 2 AND positive > negative) OR (negative >= 1 AND negative >= positive)
   UNION ALL SELECT 'our_weakness', 'store:' || brand || ':' || retailer_id, 68 + 5 * count(*) FROM r WHERE usable AND store_issue AND sentiment = 'negative' GROUP BY brand, retailer_id
-  UNION ALL SELECT 'competitor_weakness', theme, 78 + 3 * b.negative FROM ({_themes("brand", _GOOD)}) a JOIN ({_themes("brand", _GOOD)}) b USING (theme)
-    WHERE a.brand = 'Brand A' AND b.brand <> 'Brand A' AND a.positive >= 1 AND b.negative >= 1),
+  UNION ALL SELECT 'competitor_weakness', theme, 78 + 3 * b.negative FROM ({_themes("brand = 'Brand A' AS ours", _GOOD)}) a JOIN ({_themes("brand = 'Brand A' AS ours", _GOOD)}) b USING (theme)
+    WHERE a.ours AND NOT b.ours AND a.positive >= 1 AND b.negative >= 1),
 campaign AS (SELECT *, row_number() OVER (ORDER BY priority DESC, type, subject) AS place FROM insights)"""
 
 
@@ -284,7 +284,7 @@ ORACLES = {
     + ",".join(_VERSIONS)
     + """
 SELECT 'CONTENT_CHANGE' AS type, source_id, version, CASE len(f) WHEN 1 THEN f[1] WHEN 2 THEN f[1] || ' and ' || f[2] ELSE f[1] || ', ' || f[2] || ', and ' || f[3] END AS fields
-FROM (SELECT *, string_split(replace(changed, 'bullets', 'bullet points'), ',') AS f FROM versions WHERE source_id % 2 = 1 AND changed <> '')""",
+FROM (SELECT *, string_split(replace(changed, 'bullets', 'bullet points'), ',') AS f FROM versions WHERE NOT is_own_store AND changed <> '')""",
     "q02_chart_ticks": """SELECT days, place, tick FROM (
         SELECT 7 AS days, i AS place, CAST(epoch(TIMESTAMP '2001-11-05 00:00:00') AS BIGINT) - (6 - i) * 86400 AS tick FROM range(7) t(i)
         UNION ALL SELECT d, i, CAST(epoch(TIMESTAMP '2001-11-05 12:00:00') AS BIGINT) - d * 86400 + CAST(floor(i * d * 86400 / 5) AS BIGINT) FROM range(6) t(i), (VALUES (30), (90), (182), (365)) r(d))""",

@@ -9,7 +9,7 @@ from pricescope.functions import lexicon, text
 from pricescope.operators import content, reviews
 from pricescope.operators.listing import with_place
 from pricescope.session import checkpointed
-from pricescope.sources import fixtures
+from pricescope.sources import written
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,134 +35,131 @@ def t08_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(other, "doc_id").select("doc_id", text.vocabulary_overlap(F.col("n"), F.col("terms"), F.col("next_n"), F.col("next_terms")).alias("similarity"))
 
 
-def _reviews(spark: SparkSession) -> DataFrame:
-    rows = fixtures.frame(spark, fixtures.REVIEW_COLUMNS, fixtures.REVIEWS)
-    products = spark.createDataFrame(fixtures.REVIEW_PRODUCTS, "product_id bigint, name string, brand string")
-    stores = spark.createDataFrame(fixtures.REVIEW_STORES, "retailer_id bigint, retailer_name string")
-    return reviews.enrich(rows).withColumn("is_official", F.col("is_own_store")).join(products, "product_id").join(stores, "retailer_id")
+def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reviews.enrich(written.reviews(spark, sf_dir)).withColumn("is_official", F.col("is_own_store"))
+    return rows.join(written.review_products(spark, sf_dir), "product_id").join(written.review_stores(spark, sf_dir), "retailer_id")
 
 
 def t04_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reviews(spark).select("review_id", F.array_join(text.tokens(F.col("body")), " ").alias("tokens"))
+    return _reviews(spark, sf_dir).select("review_id", F.array_join(text.tokens(F.col("body")), " ").alias("tokens"))
 
 
 def u01_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reviews(spark).select("review_id", "sentiment", text.text_sentiment(F.col("body")).alias("by_words"), F.array_join("themes", ",").alias("themes"))
+    return _reviews(spark, sf_dir).select("review_id", "sentiment", text.text_sentiment(F.col("body")).alias("by_words"), F.array_join("themes", ",").alias("themes"))
 
 
 def t23_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reviews(spark).select("review_id", text.review_language(F.col("body"), F.when(F.col("review_id") % 2 == 0, "FR-fr")).alias("language"))
+    return _reviews(spark, sf_dir).select("review_id", text.review_language(F.col("body"), F.when(F.col("review_id") % 2 == 0, "FR-fr")).alias("language"))
 
 
 def u10_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reviews(spark).select("review_id", "usable", "store_issue", text.clip_quote(F.col("body")).alias("quote"))
+    return _reviews(spark, sf_dir).select("review_id", "usable", "store_issue", text.clip_quote(F.col("body")).alias("quote"))
 
 
 def u05_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.summarize(_reviews(spark), ["product_id"])
+    return reviews.summarize(_reviews(spark, sf_dir), ["product_id"])
 
 
 def u07_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.summarize(_reviews(spark), ["retailer_id", "retailer_name"])
+    return reviews.summarize(_reviews(spark, sf_dir), ["retailer_id", "retailer_name"])
 
 
 def d15_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.theme_stats(_reviews(spark), ["brand"])
+    return reviews.theme_stats(_reviews(spark, sf_dir), ["brand"])
 
 
 def g12_praised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = reviews.theme_stats(_reviews(spark), ["retailer_id"])
+    stats = reviews.theme_stats(_reviews(spark, sf_dir), ["retailer_id"])
     both = [reviews.top_themes(stats, ["retailer_id"], kind).withColumn("kind", F.lit(kind)) for kind in ("praised", "complained")]
     return both[0].unionByName(both[1]).select("kind", "retailer_id", "theme", "place")
 
 
 def g10_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The top keywords in any script."""
-    return reviews.top_keywords(_reviews(spark), ["brand"]).select("brand", "sentiment", "term", "n")
+    return reviews.top_keywords(_reviews(spark, sf_dir), ["brand"]).select("brand", "sentiment", "term", "n")
 
 
 def b06_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.find_reviews(_reviews(spark), "STORE 3", "scent", "positive").select("review_id")
+    return reviews.find_reviews(_reviews(spark, sf_dir), "STORE 3", "scent", "positive").select("review_id")
 
 
 def e09_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight newest negative reviews, by publication or else by first sight."""
-    dated = _reviews(spark).withColumn("seen", F.coalesce(F.when(F.col("review_id") % 3 == 0, F.col("review_id") * 7 % 31), F.col("review_id") % 31))
+    dated = _reviews(spark, sf_dir).withColumn("seen", F.coalesce(F.when(F.col("review_id") % 3 == 0, F.col("review_id") * 7 % 31), F.col("review_id") % 31))
     return dated.where("sentiment = 'negative'").orderBy(F.col("seen").desc(), "review_id").limit(8).select("review_id", "seen")
 
 
 def u08_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = spark.createDataFrame(fixtures.REVIEW_PRODUCTS, "product_id bigint, name string, brand string")
-    return reviews.review_gaps(_reviews(spark), products.select("product_id", "name"))
+    products = written.review_products(spark, sf_dir)
+    return reviews.review_gaps(_reviews(spark, sf_dir), products.select("product_id", "name"))
 
 
 def u12_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    angles = reviews.product_angles(_reviews(spark))
+    angles = reviews.product_angles(_reviews(spark, sf_dir))
     return angles.withColumns({"praise": F.array_join("praise", "|"), "complaints": F.array_join("complaints", "|")})
 
 
 def u13_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.brand_theme_insights(_reviews(spark))
+    return reviews.brand_theme_insights(_reviews(spark, sf_dir))
 
 
 def u14_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.competitor_weaknesses(_reviews(spark), "brand a")
+    return reviews.competitor_weaknesses(_reviews(spark, sf_dir), "brand a")
 
 
 def u15_store_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.store_issues(_reviews(spark))
+    return reviews.store_issues(_reviews(spark, sf_dir))
 
 
 def u16_gap_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = spark.createDataFrame(fixtures.REVIEW_PRODUCTS, "product_id bigint, name string, brand string")
-    return reviews.review_gap_products(_reviews(spark), products).select("product_id", "name")
+    products = written.review_products(spark, sf_dir)
+    return reviews.review_gap_products(_reviews(spark, sf_dir), products).select("product_id", "name")
 
 
 def u18_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.concat_ws("\x00", F.lit("author"), F.lit(""), "body")
-    return _reviews(spark).select("review_id", F.substring(F.sha2(parts, 256), 1, 32).alias("hash"))
+    return _reviews(spark, sf_dir).select("review_id", F.substring(F.sha2(parts, 256), 1, 32).alias("hash"))
 
 
-def _pages(spark: SparkSession) -> DataFrame:
-    return fixtures.frame(spark, fixtures.CONTENT_COLUMNS, fixtures.CONTENT)
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written.content_pages(spark, sf_dir)
 
 
 def t09_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark).select("source_id", F.array_join(text.detect_attributes(content.content_text()), ",").alias("attributes"))
+    return _pages(spark, sf_dir).select("source_id", F.array_join(text.detect_attributes(content.content_text()), ",").alias("attributes"))
 
 
 def t11_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = ["source_id", "words", "title_length", "meta_length", "h1_count", "h2_count", "bullet_count", "faq_count", "alt_coverage", "has_rating"]
-    return content.metrics(_pages(spark)).select(*wanted)
+    return content.metrics(_pages(spark, sf_dir)).select(*wanted)
 
 
 def t12_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pages(spark).select("source_id", content.content_text().alias("copy"))
+    return _pages(spark, sf_dir).select("source_id", content.content_text().alias("copy"))
 
 
 def t10_store_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.store_tokens(_pages(spark))
+    return content.store_tokens(_pages(spark, sf_dir))
 
 
 def t07_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.keyword_gap(_pages(spark)).drop("place")
+    return content.keyword_gap(_pages(spark, sf_dir)).drop("place")
 
 
 def t15_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.missing_facts(content.attribute_table(_pages(spark)), _pages(spark))
+    return content.missing_facts(content.attribute_table(_pages(spark, sf_dir)), _pages(spark, sf_dir))
 
 
 def t16_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.similarities(_pages(spark)).drop("retailer_name")
+    return content.similarities(_pages(spark, sf_dir)).drop("retailer_name")
 
 
 def t13_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.check_table(_pages(spark))
+    return content.check_table(_pages(spark, sf_dir))
 
 
 def t14_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = spark.createDataFrame([(p,) for p in range(1, 15)], "product_id bigint")
-    return content.overview(_pages(spark), products)
+    return content.overview(_pages(spark, sf_dir), written.review_products(spark, sf_dir).select("product_id"))
 
 
 def t19_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,12 +172,12 @@ def g04_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l03_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = content.versions(fixtures.frame(spark, fixtures.VERSION_COLUMNS, fixtures.VERSIONS))
+    rows = content.versions(written.snapshots(spark, sf_dir))
     return rows.withColumn("changed", F.array_join("changed", ","))
 
 
 def l04_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.latest_versions(fixtures.frame(spark, fixtures.VERSION_COLUMNS, fixtures.VERSIONS))
+    return content.latest_versions(written.snapshots(spark, sf_dir))
 
 
 def l01_pages_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +192,7 @@ def t21_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d18_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _reviews(spark).select("review_id", text.english_list(F.col("themes")).alias("listed"))
+    rows = _reviews(spark, sf_dir).select("review_id", text.english_list(F.col("themes")).alias("listed"))
     return rows
 
 
@@ -272,9 +269,7 @@ def terms_sql(name: str, words: str, keys: str) -> str:
 
 _THEME_LIST = ", ".join(f"CASE WHEN regexp_matches(nb, '\\b(?:{en})\\b|{ar}') THEN '{name}' END" for name, _, en, ar in lexicon.THEMES)
 _REVIEWS = (
-    fixtures.values_sql("raw", fixtures.REVIEW_COLUMNS, fixtures.REVIEWS),
-    fixtures.values_sql("review_products", "product_id bigint, name string, brand string", fixtures.REVIEW_PRODUCTS),
-    fixtures.values_sql("review_stores", "retailer_id bigint, retailer_name string", fixtures.REVIEW_STORES),
+    written.REVIEWS_SQL,
     words_sql("words", "raw", "review_id", "body"),
     f"""
 scored AS (SELECT review_id, count(*) FILTER (t IN ({_quoted(text.POSITIVE)})) AS pos, count(*) FILTER (t IN ({_quoted(text.NEGATIVE)})) AS neg FROM words GROUP BY 1),
@@ -315,7 +310,7 @@ def _themes(keys: str, where: str = "TRUE") -> str:
 _GOOD = "usable AND NOT store_issue"
 _ATTRIBUTES = ", ".join(f"CASE WHEN regexp_matches(copy, '(?i){p.replace('(?![a-z])', '(?:[^a-zA-Z]|$)')}') THEN '{name}' END" for name, _, p in lexicon.ATTRIBUTES)
 _CONTENT = (
-    fixtures.values_sql("pages0", fixtures.CONTENT_COLUMNS, fixtures.CONTENT),
+    written.CONTENT_SQL,
     f"""
 pages1 AS (
   SELECT *, coalesce(len(regexp_extract_all(description, '[\\p{{L}}\\p{{M}}\\p{{N}}]+')), 0) AS words, coalesce(length(title), 0) AS title_length, coalesce(length(meta), 0) AS meta_length,
@@ -381,7 +376,7 @@ checks AS (
   WHERE status IS NOT NULL),
 overview AS (
   SELECT product_id, score, fails, warnings, CASE WHEN score IS NULL THEN 'not_captured' WHEN score >= 85 THEN 'good' ELSE 'needs_work' END AS band, fails * 100 + warnings AS issues
-  FROM (SELECT unnest(range(1, 15)) AS product_id) LEFT JOIN (
+  FROM (SELECT p_partkey AS product_id FROM part) LEFT JOIN (
     SELECT product_id, count(*) FILTER (status = 'fail') AS fails, count(*) FILTER (status = 'warn') AS warnings,
       CAST(floor(count(*) FILTER (status = 'pass') / nullif(count(*) FILTER (status <> 'info'), 0) * 100 + 0.5) AS BIGINT) AS score FROM checks GROUP BY 1) USING (product_id))"""
 
@@ -391,7 +386,7 @@ def _of_pages(select: str) -> str:
 
 
 _VERSIONS = (
-    fixtures.values_sql("snaps", fixtures.VERSION_COLUMNS, fixtures.VERSIONS),
+    written.SNAPSHOTS_SQL,
     """
 lagged AS (
   SELECT *, row_number() OVER w AS k, lag(title) OVER w AS lt, lag(description) OVER w AS ld, lag(bullets) OVER w AS lb FROM snaps WINDOW w AS (PARTITION BY source_id ORDER BY captured_at, snapshot_id)),
@@ -399,9 +394,9 @@ marked AS (
   SELECT *, k = 1 OR title IS DISTINCT FROM lt OR description IS DISTINCT FROM ld OR bullets IS DISTINCT FROM lb AS fresh FROM lagged),
 numbered AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY source_id ORDER BY captured_at, snapshot_id) AS version FROM marked),
 versions AS (
-  SELECT source_id, version, CASE WHEN bool_or(k = 1) THEN '' ELSE any_value(concat_ws(',', CASE WHEN title IS DISTINCT FROM lt THEN 'title' END, CASE WHEN description IS DISTINCT FROM ld THEN 'description' END,
+  SELECT source_id, any_value(is_own_store) AS is_own_store, version, CASE WHEN bool_or(k = 1) THEN '' ELSE any_value(concat_ws(',', CASE WHEN title IS DISTINCT FROM lt THEN 'title' END, CASE WHEN description IS DISTINCT FROM ld THEN 'description' END,
       CASE WHEN bullets IS DISTINCT FROM lb THEN 'bullets' END)) FILTER (fresh) END AS changed, min(captured_at) AS since, max(captured_at) AS last_seen
-  FROM numbered GROUP BY ALL)""",
+  FROM numbered GROUP BY source_id, version)""",
 )
 
 ORACLES = {
@@ -445,7 +440,7 @@ FROM lists a JOIN lists b ON b.doc_id = a.doc_id + 1""",
            ELSE array_to_string(themes[1:len(themes) - 1], ', ') || ', and ' || themes[len(themes)] END AS listed FROM r"""
     ),
     "l01_page_digests": "SELECT sha256(html) AS hash, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1",
-    "l02_l03_e06_versions": "WITH " + ",".join(_VERSIONS) + "\nSELECT * FROM versions",
+    "l02_l03_e06_versions": "WITH " + ",".join(_VERSIONS) + "\nSELECT * EXCLUDE (is_own_store) FROM versions",
     "l04_d06_latest_versions": "WITH " + ",".join(_VERSIONS) + "\nSELECT source_id, max(version) AS version_count, max_by(since, version) AS content_since FROM versions GROUP BY 1",
     "u01_u04_sentiment_themes": _over("SELECT review_id, sentiment, by_words, array_to_string(themes, ',') AS themes FROM r"),
     "u05_summaries": _over(_summary("product_id")),
@@ -472,7 +467,7 @@ FROM lists a JOIN lists b ON b.doc_id = a.doc_id + 1""",
     ),
     "u14_competitor_weaknesses": _over(
         f"""SELECT 'competitor_weakness' AS type, theme, a.positive AS our_praise, b.negative AS their_complaints, 78 + 3 * b.negative AS priority, a.mentions + b.negative AS review_count
-           FROM ({_themes("brand", _GOOD)}) a JOIN ({_themes("brand", _GOOD)}) b USING (theme) WHERE a.brand = 'Brand A' AND b.brand <> 'Brand A' AND a.positive >= 1 AND b.negative >= 1"""
+           FROM ({_themes("brand = 'Brand A' AS ours", _GOOD)}) a JOIN ({_themes("brand = 'Brand A' AS ours", _GOOD)}) b USING (theme) WHERE a.ours AND NOT b.ours AND a.positive >= 1 AND b.negative >= 1"""
     ),
     "u15_store_issues": _over(
         "SELECT brand, retailer_id, count(*) AS n, bool_and(is_official) AS official, 68 + 5 * count(*) AS priority FROM r WHERE usable AND store_issue AND sentiment = 'negative' GROUP BY 1, 2"

@@ -1,84 +1,7 @@
-"""Small tables for rules that the sales tables can't exercise. The same rows serve Spark and the oracle SQL."""
+"""The SQL of small tables of expected rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-REVIEW_COLUMNS = "review_id bigint, product_id bigint, retailer_id bigint, is_own_store boolean, rating double, body string"
-_TEXTS = [
-    (5.0, "Love this shampoo, excellent texture and great smell"),
-    (1.0, "Arrived late and the bottle was broken, terrible packaging"),
-    (None, "Amazing results, my hair is soft and shiny, worth the price"),
-    (None, "Bad smell and greasy texture, a waste"),
-    (3.0, "It is ok"),
-    (None, "ممتاز وسريع التوصيل"),
-    (None, "لا أنصح به، رائحة سيئة وغالي"),
-    (4.0, "Authentic product, fast shipping and helpful support Read more"),
-    (2.0, "My scalp was itchy, a burning reaction and hair loss"),
-    (None, "منتج رائع جداً للشعر الجاف وملمس ناعم"),
-    (None, "Delivery was slow and customer service rude, disappointed"),
-    (5.0, "read more"),
-    (None, "The price is fine, nothing special about the box"),
-    (float("nan"), "Expensive but effective, recommended"),
-    (4.5, "تقليد؟ لا، أصلي ومناسب"),
-    (None, ""),
-]
-#: Each product has a run of the texts above, told apart by its number; stores alternate, and store 1 is the own one.
-REVIEWS = [
-    (p * 100 + i, p, 1 + (p + i) % 4, (p + i) % 4 == 0, rating, text)
-    for p in range(1, 13)
-    for i, (rating, text) in enumerate(_TEXTS)
-    if (p * 7 + i * 3) % 5 < 3
-]
-REVIEW_PRODUCTS = [(p, f"Product {p:02d}", f"Brand {'AB'[p % 2]}") for p in range(1, 15)]
-REVIEW_STORES = [(r, f"Store {r}") for r in range(1, 5)]
-
-_COPY = [
-    "Argan oil shampoo for dry hair, sulfate free and gentle, with keratin and vitamin e for soft and shiny hair every day of the week after washing",
-    "Argan oil shampoo for dry hair, sulfate free and gentle, with keratin and vitamin e for soft and shiny hair each day of the year, made in Morocco",
-    "Hydrating conditioner with shea butter and biotin. How to use: apply to wet hair, leave on for two minutes and rinse well. Paraben-free and vegan formula, 400 ml bottle, dermatologically tested",
-    "شامبو بزيت الأرجان للشعر الجاف، بدون سلفات، مناسب لجميع أنواع الشعر. طريقة الاستخدام: يوضع على الشعر المبلل",
-    "Short copy",
-]
-CONTENT_COLUMNS = (
-    "product_id bigint, source_id bigint, retailer_name string, url string, is_own_store boolean, title string, meta string, description string, "
-    "h1 array<string>, h2 array<string>, bullets array<string>, faq array<string>, images int, with_alt int, rating double, rating_count int"
-)
-
-
-def _page(p: int, s: int) -> tuple:
-    k = p * 5 + s
-    own = s == 0
-    title = None if k % 7 == 0 else f"Argan Oil Shampoo number {p} for dry and damaged hair {'| Store ' + str(s) if s else ''}"[: 24 + k % 45]
-    meta = None if k % 5 == 1 else ("A gentle shampoo for dry hair with argan oil and keratin. " * 3)[: 60 + k % 120]
-    return (
-        p,
-        p * 10 + s,
-        f"Store {s}",
-        f"https://www.store{s}.example.com/p/{p}",
-        own,
-        title,
-        meta,
-        None if k % 11 == 3 else _COPY[(p + s) % len(_COPY)] + (" " + _COPY[(p + s + 1) % len(_COPY)] if k % 3 else ""),
-        [f"Shampoo {p}"] * (k % 3),
-        [f"Benefits {i}" for i in range(k % 4)],
-        [f"Point {i} argan" for i in range(k % 5 % 3)],
-        [f"Question {i}?" for i in range(1 if k % 6 == 0 else 0)],
-        k % 5,
-        min(k % 5, k % 4),
-        4.5 if k % 4 == 0 else None,
-        12 if k % 8 == 2 else None,
-    )
-
-
-CONTENT = [_page(p, s) for p in range(1, 13) for s in range(5) if (p + s) % 9]
-
-VERSION_COLUMNS = "snapshot_id bigint, source_id bigint, captured_at timestamp, title string, description string, bullets array<string>"
-VERSIONS = [
-    (i, i % 4, f"2024-01-{1 + i:02d} 00:00:00", None if i % 6 == 5 else f"Title {'AABBA'[i // 4 % 5]}", f"Text {i // 8}", [f"b{i // 12}"])
-    for i in range(28)
-]
-
 
 def _literal(value) -> str:
     if value is None:
@@ -101,14 +24,3 @@ def values_sql(name: str, columns: str, rows: list[tuple]) -> str:
     casts = ", ".join(f"CAST({n} AS {kinds[k]}) AS {n}" for n, k in split)
     names = ", ".join(n for n, _ in split)
     return f"{name} AS (SELECT {casts} FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({names}))"
-
-
-def frame(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
-    """The rows as a table; timestamps are given as text."""
-    texts = columns.replace("timestamp", "string")
-    df = spark.createDataFrame(rows, texts)
-    for c in columns.split(", "):
-        name, kind = c.split(" ", 1)
-        if kind == "timestamp":
-            df = df.withColumn(name, df[name].cast("timestamp"))
-    return df
