@@ -17,6 +17,7 @@ SYMBOLS = [
     ("€", "EUR"), ("£", "GBP"), ("¥", "JPY"), ("₹", "INR"), ("₺", "TRY"), ("₩", "KRW"), ("zł", "PLN"), ("$", "USD"),
 ]
 AMOUNT = r"\d{1,3}(?:[.,' ]\d{3})+(?:[.,]\d{1,3})?|\d+(?:[.,]\d{1,3})?"
+#: Words of markup for stock, phrases of challenge and not-found pages, and hosts that aren't public.
 AVAILABILITY = {
     "in_stock": ["instock", "instoreonly", "onlineonly", "available"],
     "limited": ["limitedavailability", "lowstock"],
@@ -26,8 +27,9 @@ AVAILABILITY = {
 BLOCK_TITLE = r"(?i)just a moment|attention required|access denied|robot check|are you a robot|security check|pardon our interruption|request blocked"
 BLOCK_TEXT = r"(?i)verify you are (?:a )?human|unusual traffic|enable cookies to continue|captcha|press (?:and|&) hold|bot detection"
 BLOCK_HTML = r"(?i)action=\"[^\"]*validateCaptcha|opfcaptcha\.amazon"
+NOT_FOUND_TITLE = r"(?i)\bnot found\b|\b404\b|no longer available|لم يتم العثور|غير موجود"
 PRIVATE_HOST = r"(?i)^(localhost|.*\.local|.*\.internal|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2\d|3[01])\.\d+\.\d+|0\.0\.0\.0|\[?::1\]?|169\.254\.\d+\.\d+)$"
-#: Pattern of an error's message, and the code it stands for; the first that fits.
+#: Pattern of an error's message, and the code it stands for; the first that fits.
 ERRORS = [
     (r"(?i)timeout \d+ms exceeded|timed out", "TIMEOUT"),
     (r"(?i)executable doesn't exist|browsertype\.launch", "RENDER_FAILURE"),
@@ -38,6 +40,7 @@ ERRORS = [
     (r"(?i)err_too_many_redirects", "UNAVAILABLE"),
     (r"(?i)crash|target (page, context or browser )?closed|has been closed|navigation failed", "RENDER_FAILURE"),
 ]
+#: Second-level labels of country domains.
 SECOND_LEVEL = ["co", "com", "net", "org", "gov", "ac", "edu"]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pricescope.functions import web
 
-OFFER = "struct<name: string, brand: string, sku: string, price: string, currency: string, availability: string, list_price: string, rating: double, rating_count: double>"
+OFFER = "struct<name: string, brand: string, sku: string, image: string, price: string, currency: string, availability: string, list_price: string, rating: double, rating_count: double>"
 _KEYS = ("@graph", "mainEntity", "mainEntityOfPage", "itemListElement", "item", "hasVariant", "offers", "isVariantOf")
 _COMMENTS = re.compile(r"/\*.*?\*/|<!--|-->|//<!\[CDATA\[|//\]\]>|<!\[CDATA\[|\]\]>", re.S)
 _TRAILING = re.compile(r",\s*([}\]])")
@@ -41,6 +42,11 @@ def _text(value) -> str | None:
     return None if value in (None, "", []) else str(value)
 
 
+def _image(value) -> str | None:
+    value = _first(value)
+    return _text(value.get("url") or value.get("contentUrl")) if isinstance(value, dict) else _text(value)
+
+
 def products_of(script: str) -> list[dict]:
     """The products of one JSON-LD script, with their offers; comments and trailing commas are forgiven."""
     found = []
@@ -58,6 +64,7 @@ def products_of(script: str) -> list[dict]:
                     "name": _text(node.get("name")),
                     "brand": _text(node.get("brand")),
                     "sku": _text(node.get("sku")),
+                    "image": _image(node.get("image")),
                     "price": _text(offer.get("price", spec.get("price") if isinstance(spec, dict) else None)) or _text(offer.get("lowPrice")),
                     "currency": _text(offer.get("priceCurrency")) or (_text(spec.get("priceCurrency")) if isinstance(spec, dict) else None),
                     "availability": _text(offer.get("availability")),
@@ -150,7 +157,7 @@ def structured_offers(pages: DataFrame) -> DataFrame:
     """(page_id, place, offer fields) of every JSON-LD product; the graph walk alone runs in Python."""
     @F.arrow_udf(f"array<{OFFER}>")
     def parse(found: pa.Array) -> pa.Array:
-        fields = [(n, pa.float64() if n.startswith("rating") else pa.string()) for n in ("name", "brand", "sku", "price", "currency", "availability", "list_price", "rating", "rating_count")]
+        fields = [(n, pa.float64() if n.startswith("rating") else pa.string()) for n in ("name", "brand", "sku", "image", "price", "currency", "availability", "list_price", "rating", "rating_count")]
         return pa.array([[p for script in row or [] for p in products_of(script)] for row in found.to_pylist()], pa.list_(pa.struct(fields)))
 
     with_scripts = pages.where(F.lower("html").contains("ld+json")).select("page_id", scripts_of().alias("scripts"))
@@ -161,7 +168,9 @@ def structured_offers(pages: DataFrame) -> DataFrame:
         "o.name",
         "o.brand",
         "o.sku",
+        "o.image",
         web.parse_amount(F.col("o.price")).alias("price"),
+        web.parse_amount(F.col("o.list_price")).alias("high_price"),
         web.normalize_currency(F.col("o.currency")).alias("currency"),
         web.normalize_availability(F.col("o.availability")).alias("availability"),
         "o.rating",
@@ -292,3 +301,199 @@ def robots_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     fits = placed.join(rules, "origin").where(F.regexp_like("path", web.robots_pattern(F.col("pattern"))))
     best = fits.groupBy("url_id").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("allow"))
     return placed.join(best, "url_id", "left").select("url_id", F.coalesce("allow", F.lit(True)).alias("allowed"))
+
+
+#: Elements that hold a page's own price, in the order in which they are read, and hints of those that don't.
+MAIN_CLASSES = ["product__block--price", "product-info-price", "productView-price"]
+SUMMARIES = {"entry-summary", "summary"}
+FOREIGN = re.compile(r"related|recommend|upsell|cross-?sell|similar|recently|also-?bought|bought-?together|(?:^|[\s_-])(?:pbt|fbt)(?:$|[\s_-])|you-?may|(?:^|\s)carousel(?:\s|$)|products?-carousel", re.I)
+AUXILIARY = re.compile(r"product-card|card-wrapper|card-product|quick-view|quick-add|compare-drawer|compare-modal|predictive-search|search-modal|menu-drawer", re.I)
+FORMER = re.compile(r"old|was|compare|strike|regular|original|before|list|rrp|msrp|crossed", re.I)
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+STRUCK = {"del", "s", "strike"}
+
+
+class _Outline(HTMLParser):
+    """A page's elements in order: tag, class, id, the element around each, and its text."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.elements: list[dict] = []
+        self.open: list[int] = []
+
+    def handle_starttag(self, tag, attrs):
+        given = {k: v or "" for k, v in attrs}
+        self.elements.append({"tag": tag, "class": given.get("class", ""), "id": given.get("id", ""), "around": list(self.open), "text": []})
+        if tag not in VOID:
+            self.open.append(len(self.elements) - 1)
+
+    def handle_endtag(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.elements[self.open[i]]["tag"] == tag:
+                del self.open[i:]
+                break
+
+    def handle_data(self, data):
+        for i in self.open:
+            self.elements[i]["text"].append(data)
+
+
+def sale_texts(html: str) -> list[dict]:
+    """The sale prices in a page's own price block, in the order in which they count, each with the struck-through texts beside it."""
+    page = _Outline()
+    page.feed(html)
+    elements = page.elements
+    hint = lambda e: f"{e['tag']} {e['class']} {e['id']}"
+    text = lambda e: " ".join("".join(e["text"]).split())
+    inside = lambda i: [e for e in elements[i + 1 :] if i in e["around"]]
+
+    def main_rank(e: dict) -> int | None:
+        classes, outer = set(e["class"].split()), [elements[j] for j in e["around"]]
+        if any(FOREIGN.search(hint(o)) or AUXILIARY.search(hint(o)) for o in outer) or AUXILIARY.search(hint(e)):
+            return None
+        if e["id"].startswith("price-") and ("__main" in e["id"] or any("product__info-wrapper" in o["class"].split() for o in outer)):
+            return 0
+        if "price" in classes and any(SUMMARIES & set(o["class"].split()) for o in outer):
+            return 1 + MAIN_CLASSES.index("product-info-price")
+        return next((1 + n for n, name in enumerate(MAIN_CLASSES) if name in classes), None)
+
+    found = []
+    for _, i in sorted((rank, i) for i, e in enumerate(elements) if (rank := main_rank(e)) is not None):
+        parts = [j for j in range(i + 1, len(elements)) if i in elements[j]["around"] and "--on-sale" in elements[j]["class"]][:4]
+        for w in [*([] if "on-sale" in elements[i]["class"] else parts), i]:
+            struck = [text(e) for e in inside(w) if e["tag"] in STRUCK][:6]
+            for e in [e for e in inside(w) if "price-item--sale" in e["class"] or e["tag"] == "ins"][:8]:
+                if not any(elements[j]["tag"] in STRUCK for j in e["around"]) and not FORMER.search(f"{e['class']} {e['id']}") and 0 < len(text(e)) <= 60:
+                    explicit = "price-item--sale" in e["class"] or "on-sale" in elements[w]["class"]
+                    found.append({"text": text(e), "explicit": explicit, "struck": [s for s in struck if 0 < len(s) <= 40]})
+    return found
+
+
+def displayed_sales(pages: DataFrame) -> DataFrame:
+    """(page_id, sale_price, sale_currency, compare_at, explicit) of pages whose own price block shows a sale.
+
+    The compare-at price is the first struck-through one above the sale and below five times it. The outline of the page
+    alone is made in Python, of pages with the marks of a sale; texts become rows before they are parsed.
+    """
+    shape = "array<struct<text: string, explicit: boolean, struck: array<string>>>"
+
+    @F.arrow_udf(shape)
+    def outline(found: pa.Array) -> pa.Array:
+        return pa.array([sale_texts(h or "") for h in found.to_pylist()], pa.list_(pa.struct([("text", pa.string()), ("explicit", pa.bool_()), ("struck", pa.list_(pa.string()))])))
+
+    marked = pages.where(F.col("html").rlike("price-item--sale|(?i)<ins[ >]")).select("page_id", F.posexplode(outline("html")).alias("place", "w"))
+    sales = marked.select("page_id", "place", "w.explicit", "w.struck", web.parse_amount(F.col("w.text")).alias("sale_price"), web.detect_currency(F.col("w.text")).alias("sale_currency")).where("sale_price IS NOT NULL")
+    first = sales.groupBy("page_id").agg(F.min_by(F.struct("sale_price", "sale_currency", "explicit", "struck"), "place").alias("s")).select("page_id", "s.*")
+    beside = first.select("page_id", "sale_price", F.posexplode("struck").alias("place", "text")).withColumn("amount", web.parse_amount(F.col("text")))
+    former = beside.where("amount > sale_price AND amount < 5 * sale_price").groupBy("page_id").agg(F.min_by("amount", "place").alias("compare_at"))
+    return first.drop("struck").join(former, "page_id", "left")
+
+
+def reconcile_sale(priced: DataFrame, sales: DataFrame) -> DataFrame:
+    """Prices against what the page shows: the sale where the price is the former one, the former price beside a sale."""
+    joined = priced.join(sales, "page_id", "left")
+    same = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 0.02, F.lit(False))
+    lower = (F.col("sale_price") < F.col("price")) & (same("compare_at", "price") | (F.col("compare_at").isNull() & F.col("explicit")))
+    beside = same("sale_price", "price") & (F.col("compare_at") > F.col("price")) & (F.col("original_price").isNull() | (F.col("compare_at") > F.col("original_price")))
+    former = F.coalesce("compare_at", "price")
+    return joined.select(
+        *[c for c in priced.columns if c not in ("price", "currency", "original_price")],
+        F.when(lower, F.col("sale_price")).otherwise(F.col("price")).alias("price"),
+        F.when(lower, F.coalesce("currency", "sale_currency")).otherwise(F.col("currency")).alias("currency"),
+        F.when(lower & (former > F.col("sale_price")), former).when(beside, F.col("compare_at")).otherwise(F.col("original_price")).alias("original_price"),
+    )
+
+
+def snapshots(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html, and http_status if there is one) as a browser shows them: with title, visible text and final address."""
+    status = F.col("http_status") if "http_status" in pages.columns else F.lit(None).cast("int")
+    final = F.col("final_url") if "final_url" in pages.columns else F.col("url")
+    title = F.trim(F.regexp_replace(unescape_html(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), r"\s+", " "))
+    body = F.regexp_replace("html", r"(?is)<(head|title)\b.*?</\1>", " ")
+    return pages.select("page_id", "url", final.alias("final_url"), "html", title.alias("title"), visible_text(body).alias("visible_text"), status.alias("http_status"))
+
+
+def price_ranges(offers: DataFrame) -> DataFrame:
+    """(page_id, low_price, high_price) of pages whose offers differ in price."""
+    spans = offers.where("price IS NOT NULL").groupBy("page_id").agg(F.min("price").alias("low_price"), F.max(F.greatest("price", "high_price")).alias("high_price"))
+    return spans.where("low_price <> high_price")
+
+
+def analyze_pages(shown: DataFrame) -> DataFrame:
+    """One row for each snapshot: why it can't be used, or else price, currency, former price, range, availability, strategy and warnings."""
+    problem = web.page_problem(F.col("http_status"), F.col("title"), F.col("visible_text"), F.col("html"))
+    judged = shown.withColumn("problem", problem)
+    usable = judged.where("problem IS NULL")
+    offers = structured_offers(usable)
+    best = choose_offer(offers).select("page_id", F.lit(-1).alias("place"), F.lit("json-ld").alias("strategy"), "price", "currency", "availability")
+    others = price_candidates(usable).withColumn("availability", F.lit("unknown"))
+    first = best.unionByName(others).groupBy("page_id").agg(F.min_by(F.struct("strategy", "price", "currency", "availability"), "place").alias("p")).select("page_id", "p.*")
+    priced = reconcile_sale(first.withColumn("original_price", F.lit(None).cast("double")), displayed_sales(usable))
+    said = offers.where("availability <> 'unknown'").groupBy("page_id").agg(F.when(F.bool_or(F.col("availability").isin("in_stock", "limited")), "in_stock").otherwise(F.min_by("availability", "place")).alias("said"))
+    facts = priced.join(page_currencies(usable).withColumnRenamed("currency", "page_currency"), "page_id", "left").join(said, "page_id", "left")
+    facts = facts.join(page_availability(usable).withColumnRenamed("availability", "shown"), "page_id", "left").join(price_ranges(offers), "page_id", "left")
+    ranged = F.col("strategy") == "json-ld"
+    facts = facts.select(
+        "page_id",
+        "price",
+        F.coalesce("currency", "page_currency").alias("currency"),
+        "original_price",
+        F.when(ranged, F.col("low_price")).alias("low_price"),
+        F.when(ranged, F.col("high_price")).alias("high_price"),
+        F.coalesce(F.nullif("availability", F.lit("unknown")), "said", "shown", F.lit("unknown")).alias("availability"),
+        "strategy",
+    )
+    warnings = F.concat_ws(",", F.when(F.col("currency").isNull(), "CURRENCY_NOT_FOUND"), F.when(F.col("availability") == "unknown", "AVAILABILITY_UNKNOWN"), F.when(F.col("low_price").isNotNull(), "PRICE_RANGE"))
+    joined = judged.select("page_id", "title", "problem").join(facts.withColumn("warnings", warnings), "page_id", "left")
+    gone = F.when(F.col("title").rlike(web.NOT_FOUND_TITLE), "UNAVAILABLE").otherwise("PRICE_NOT_FOUND")
+    return joined.withColumn("problem", F.coalesce("problem", F.when(F.col("price").isNull(), gone))).drop("title")
+
+
+def product_info(shown: DataFrame) -> DataFrame:
+    """(page_id, product_name, brand, image_url): markup first, then microdata, meta tags, headings and the title."""
+    empty = F.lit("")
+    meta = lambda key: F.nullif(F.coalesce(*[F.nullif(F.regexp_extract("html", rf"""(?is)<meta(?=[^>]*\s{by}=["']{key}["'])[^>]*\scontent=["']([^"']*)["']""", 1), empty) for by in ("property", "name")]), empty)
+    item = lambda name: F.nullif(F.regexp_extract("html", rf"""(?is)itemprop=["']{name}["'][^>]*\scontent=["']([^"']+)["']""", 1), empty)
+    content = lambda name: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("html", rf"""(?is)<([a-z0-9]+)[^>]*itemprop=["']{name}["'][^>]*>(.*?)</\1>""", 2), r"(?s)<[^>]*>", " ")), empty)
+    offers = structured_offers(shown)
+    named = offers.groupBy("page_id").agg(F.min_by(F.struct("name", "brand", "image"), F.struct(F.col("name").isNull(), F.col("place"))).alias("ld"))
+    source = F.nullif(F.regexp_extract("html", r"""(?is)itemprop=["']image["'][^>]*\s(?:content|src)=["']([^"']+)["']""", 1), empty)
+    page = shown.join(named, "page_id", "left").select(
+        "page_id",
+        "final_url",
+        F.coalesce("ld.name", item("name"), content("name"), meta("og:title"), F.get(inner("h1"), F.lit(0)), F.nullif("title", empty)).alias("product_name"),
+        F.coalesce("ld.brand", item("brand"), content("brand"), meta("product:brand"), meta("og:brand")).alias("brand"),
+        F.coalesce("ld.image", meta("og:image"), meta("twitter:image"), source).alias("image"),
+    )
+    origin, folder = F.regexp_extract("final_url", r"^([a-z]+://[^/?#]*)", 1), F.regexp_extract("final_url", r"^([a-z]+://[^?#]*/)", 1)
+    absolute = F.when(F.col("image").rlike(r"^[a-z]+://"), F.col("image")).when(F.col("image").startswith("//"), F.concat(F.lit("https:"), "image")).when(F.col("image").startswith("/"), F.concat(origin, "image")).otherwise(F.concat(folder, "image"))
+    clean = lambda c, n: F.substring(F.trim(F.regexp_replace(unescape_html(F.col(c)), r"\s+", " ")), 1, n)
+    return page.select("page_id", clean("product_name", 300).alias("product_name"), clean("brand", 120).alias("brand"), absolute.alias("image_url"))
+
+
+def buy_box(analysed: DataFrame, shown: DataFrame) -> DataFrame:
+    """Marketplace pages sell at the price of their buy box: without one the product is out of stock, at price 0.
+
+    Which pages are a marketplace's is told by their host; all others stay as they are.
+    """
+    text = lambda name: F.regexp_extract("html", rf"""(?is)id=["']{name}["'][^>]*>(.*?)</div>""", 1)
+    cart = F.col("html").rlike(r"""id=["']add-to-cart-button["']""")
+    elsewhere = F.col("html").rlike(r"""id=["'](?:buybox-see-all-buying-choices|aod-ingress-link)["']|(?i)see all buying options""")
+    none = r"(?i)currently unavailable|out of stock|غير متوفر"
+    gone = text("availability").rlike(none) | (~cart & (elsewhere | text("buybox").rlike(none)))
+    core = F.regexp_extract("html", r"""(?is)id=["'](?:corePriceDisplay_desktop_feature_div|corePrice_feature_div)["'].*?class=["'][^"']*a-offscreen[^"']*["'][^>]*>([^<]*)<""", 1)
+    boxes = shown.where(F.lower("final_url").rlike(r"^[a-z]+://([^/?#]*\.)?amazon\.")).select("page_id", gone.alias("gone"), F.when(cart & ~gone, web.parse_amount(core)).alias("box_price"))
+    joined = analysed.join(boxes, "page_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)) & F.col("problem").isNull())
+    only = lambda c: F.when(~F.col("gone"), F.col(c)).alias(c)
+    return joined.select(
+        "page_id",
+        "problem",
+        F.when(F.col("gone"), 0.0).otherwise(F.coalesce("box_price", "price")).alias("price"),
+        "currency",
+        only("original_price"),
+        only("low_price"),
+        only("high_price"),
+        F.when(F.col("gone"), "out_of_stock").when(F.col("box_price").isNotNull(), "in_stock").otherwise(F.col("availability")).alias("availability"),
+        "strategy",
+        "warnings",
+    )

@@ -9,7 +9,7 @@ from pricescope.functions import web
 from pricescope.operators import alerts, imports, pages, pricing, reports, tables
 from pricescope.operators.matrix import select_products
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, with_layers
-from pricescope.sources import demo, fixtures
+from pricescope.sources import demo, fixtures, shop_pages
 from pricescope.sources.domain import Domain
 
 
@@ -67,7 +67,7 @@ HTML = [
 
 
 def h01_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.structured_offers(spark.createDataFrame(HTML, "page_id bigint, html string"))
+    return pages.structured_offers(spark.createDataFrame(HTML, "page_id bigint, html string")).drop("image", "high_price")
 
 
 def h03_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,40 @@ def h16_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy.select("page_id", "title", "language", F.size("h1").alias("h1"), F.size("h2").alias("h2"), F.size("bullets").alias("bullets"), F.length("description").alias("description_length"), "images", "with_alt")
 
 
+def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.snapshots(shop_pages.product_pages(spark, sf_dir))
+
+
+def h13_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product page: offers, sales shown, currency, stock, warnings, or why it can't be used."""
+    return pages.analyze_pages(_shown(spark, sf_dir))
+
+
+def h17_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.product_info(_shown(spark, sf_dir))
+
+
+def h06_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.displayed_sales(shop_pages.product_pages(spark, sf_dir))
+
+
+def a13_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = pages.snapshots(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return shown.select("page_id", "final_url", "title", F.length("visible_text").alias("text_length"), F.sha2("visible_text", 256).alias("text_hash"))
+
+
+#: Page, its address, its cart button, what it says of stock, and the price in its box.
+BOXES = [(1, "https://www.amazon.ae/dp/1", True, "In stock", "AED 19.50"), (2, "https://amazon.com/dp/2", False, "Currently unavailable.", ""), (3, "https://shop.com/3", False, "Currently unavailable.", "$ 5.00"), (4, "https://www.amazon.com/dp/4", True, "In stock", "")]
+
+
+def h19_buy_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(BOXES, "page_id bigint, url string, cart boolean, stock string, box string")
+    button = F.when(F.col("cart"), '<input id="add-to-cart-button">').otherwise("")
+    html = F.concat(F.lit("<main><p>Other sellers from AED 30.00</p></main><div id='availability'>"), "stock", F.lit("</div>"), button, F.lit('<div id="corePrice_feature_div"><span class="a-offscreen">'), "box", F.lit("</span></div>"))
+    shown = pages.snapshots(rows.select("page_id", "url", html.alias("html")))
+    return pages.buy_box(pages.analyze_pages(shown), shown).select("page_id", "price", "currency", "availability")
+
+
 ROBOTS = [
     ("https://a.com", "User-agent: *\nDisallow: /cart\nAllow: /cart/view\nCrawl-delay: 2\n\nUser-agent: PriceBot\nUser-agent: other\nDisallow: /private # no\nDisallow: /*.pdf$\nAllow: /private/ok"),
     ("https://b.com", "user-agent: *\r\ndisallow: /\r\nallow: /open\r\n"),
@@ -238,6 +272,11 @@ _ADDRESS, _ADDRESS_SQL = _one_column(ADDRESSES, "scrapable", "boolean", web.is_s
 _MESSAGE, _MESSAGE_SQL = _one_column(MESSAGES, "code", "string", web.classify_error)
 
 QUERIES = {
+    "h13_h03_h04_h07_page_analysis": h13_analysis,
+    "h17_product_info": h17_info,
+    "h06_displayed_sales": h06_sales,
+    "h19_h20_buy_box": h19_buy_box,
+    "a13_page_snapshots": a13_snapshots,
     "h09_amounts": _AMOUNT,
     "h10_currencies": _CURRENCY,
     "h11_availability": _STOCK,
@@ -285,7 +324,26 @@ def _inner(tag: str) -> str:
     return f"len(list_filter(list_transform(regexp_extract_all(b, '(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1), lambda x: trim(regexp_replace(replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g'))), lambda x: x <> ''))"
 
 
+_TEXT_OF = "html"
+for _tag in ("head", "title"):
+    _TEXT_OF = f"regexp_replace({_TEXT_OF}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+for _tag in ("script", "style", "noscript", "template"):
+    _TEXT_OF = f"regexp_replace({_TEXT_OF}, '(?is)<{_tag}\\b.*?</{_tag}>', ' ', 'g')"
+_TEXT_OF = f"regexp_replace(regexp_replace({_TEXT_OF}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+
+
+def _plain_html(x: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{char}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
 ORACLES = {
+    "h13_h03_h04_h07_page_analysis": "WITH " + shop_pages.ANALYSIS_SQL + "\nSELECT * FROM analysed",
+    "h17_product_info": shop_pages.INFO_SQL,
+    "h06_displayed_sales": "WITH " + shop_pages.ANALYSIS_SQL + "\nSELECT page_id, sale AS sale_price, 'USD' AS sale_currency, price AS compare_at, kind = 5 AS explicit FROM told WHERE kind IN (5, 6)",
+    "h19_h20_buy_box": _expected("page_id bigint, price double, currency string, availability string", [(1, 19.5, "AED", "in_stock"), (2, 0.0, "AED", "out_of_stock"), (3, 30.0, "AED", "out_of_stock"), (4, 30.0, "AED", "in_stock")]),
+    "a13_page_snapshots": f"""SELECT page_id, url AS final_url, {_plain_html("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, length({_plain_html(_TEXT_OF)}) AS text_length, sha256({_plain_html(_TEXT_OF)}) AS text_hash FROM pages""",
     "h09_amounts": _AMOUNT_SQL,
     "h10_currencies": _CURRENCY_SQL,
     "h11_availability": _STOCK_SQL,
