@@ -52,3 +52,15 @@ def compliance_report(compliance: DataFrame, n: int = 8) -> DataFrame:
     """The stores with most prices below the official one, brand stores left out."""
     below = compliance.where(~F.col("is_brand_store") & (F.col("below_official") > 0))
     return below.orderBy(F.col("below_official").desc(), "retailer_name", "brand").limit(n)
+
+
+def selected_brand(requests: DataFrame, brands: DataFrame) -> DataFrame:
+    """(request_id, selected): none for ``all``, the brand asked for in its known spelling, and the focus brand where none is asked for.
+
+    ``brands`` has name and is_focus, those that have products; a brand that isn't known stays as it is written.
+    """
+    asked = requests.withColumn("asked", F.nullif(F.trim("brand"), F.lit("")))
+    named = asked.join(brands.select("name", F.lower("name").alias("key")), F.lower("asked") == F.col("key"), "left")
+    focus = brands.where("is_focus").agg(F.min("name").alias("focus"))
+    chosen = F.when(F.lower("asked") == "all", None).when(F.col("asked").isNotNull(), F.coalesce("name", "asked")).otherwise(F.col("focus"))
+    return named.join(focus).select("request_id", chosen.alias("selected"))

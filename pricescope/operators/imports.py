@@ -60,6 +60,12 @@ def drift(cells: DataFrame, live: DataFrame, currency: str) -> DataFrame:
     return joined.withColumn("verdict", verdict).withColumn("new_price", F.when(verdict == "changed", now).otherwise(then))
 
 
+def write_back(cells: DataFrame, prices: DataFrame) -> DataFrame:
+    """The sheet's cells with the new prices (url, new_price) of their addresses, in whole cents; others stay."""
+    known = prices.groupBy("url").agg(F.max("new_price").alias("new_price"))
+    return cells.join(known, "url", "left").withColumn("price", F.coalesce(sheet_price(F.col("new_price")), "price")).drop("new_price")
+
+
 def keep_status(before: DataFrame, after: DataFrame, transient: list[str]) -> DataFrame:
     """After a failed check for a passing reason, a source that had a price keeps its former status."""
     joined = after.join(before.select("source_id", F.col("scraping_status").alias("status_before")), "source_id", "left")

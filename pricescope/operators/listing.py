@@ -80,12 +80,12 @@ def page_summary(rows: DataFrame, size: int = 20) -> DataFrame:
     return rows.agg(F.count("*").alias("total")).withColumn("pages", F.greatest(F.ceil(F.col("total") / size), F.lit(1)))
 
 
-def page_window(current: int, total: int, radius: int = 1) -> list[int | None]:
-    """Page numbers to show: first, last and those near the current one; None where some are left out."""
-    near = range(max(1, current - radius), min(total, current + radius) + 1)
-    shown = sorted({1, total, *near}) if total >= 1 else []
-    with_gaps = [[n] if n == 1 or n - 1 in shown else [None, n] for n in shown]
-    return [n for part in with_gaps for n in part]
+def page_numbers(current: Column, total: Column, radius: int = 1) -> Column:
+    """The page numbers to show, as texts: first, last and those near the current one, with a dot sign where some are left out."""
+    near = F.sequence(F.greatest(current - radius, F.lit(1)), F.least(current + radius, total))
+    shown = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(1), total), near)))
+    gap = lambda n, i: (i > 0) & (F.get(shown, i - 1) < n - 1)
+    return F.transform(shown, lambda n, i: F.concat(F.when(gap(n, i), "… ").otherwise(""), n.cast("string")))
 
 
 def with_place(rows: DataFrame, *order: Column, name: str = "place") -> DataFrame:

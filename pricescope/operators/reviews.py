@@ -148,3 +148,37 @@ def store_issues(reviews: DataFrame) -> DataFrame:
 def review_gap_products(reviews: DataFrame, products: DataFrame, n: int = 8) -> DataFrame:
     """The first products without a usable review."""
     return products.join(reviews.where("usable").select("product_id"), "product_id", "left_anti").orderBy("product_id").limit(n)
+
+
+def store_rules(stats: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Insights (type, subject, priority) from themes by store (``theme_stats`` with retailer_id and is_own_store) and review gaps in order.
+
+    The own store is the first of that kind. Each rule is a table; equal places go by theme. Limits are those of the lists.
+    """
+    first = stats.where("is_own_store").agg(F.min("retailer_id").alias("own_id"))
+    own = stats.where("is_own_store").join(first, F.col("retailer_id") == F.col("own_id")).drop("own_id")
+    rivals = stats.where("NOT is_own_store")
+    whole = lambda x: F.floor(x * 10 + 0.5).cast("bigint")
+    first_of = lambda rows, order, n: rows.orderBy(*order).limit(n)
+
+    weak = rivals.where("mentions >= 2 AND negative >= positive AND net_sentiment < -0.15").groupBy("theme").agg(F.count("*").alias("n"))
+    ours = F.coalesce("net_sentiment", F.lit(0.0))
+    against = weak.join(own.select("theme", "net_sentiment"), "theme", "left").where(ours >= 0)
+    rules = [against.select(F.lit("competitor_weakness").alias("type"), F.col("theme").alias("subject"), (80 + 5 * F.col("n") + whole(F.abs(ours))).alias("priority"))]
+    bad = first_of(own.where("mentions >= 2 AND negative > positive"), [F.col("negative").desc(), "net_sentiment", "theme"], 5)
+    rules.append(bad.select(F.lit("our_weakness"), "theme", 70 + 3 * F.col("negative")))
+    good = first_of(own.where("mentions >= 2 AND positive > negative AND net_sentiment > 0.2"), [F.col("positive").desc(), "theme"], 4)
+    rules.append(good.select(F.lit("strength"), "theme", 55 + 2 * F.col("positive")))
+
+    order = [F.coalesce("rating_gap", F.lit(0.0)), "count_gap", "name"]
+    product = F.concat(F.lit("product:"), "product_id")
+    better = first_of(gaps.where("rating_gap >= 0.3 AND own_reviews >= 2"), order, 5)
+    rules.append(better.select(F.lit("strength"), product, 50 + whole(F.col("rating_gap"))))
+    behind = first_of(gaps.where("count_gap < -2 OR (rating_gap < -0.3 AND competitor_reviews >= 2)"), order, 8)
+    rules.append(behind.select(F.lit("review_gap"), product, 60 + F.greatest(F.lit(0), -F.col("count_gap")) + F.greatest(F.lit(0), whole(-F.coalesce("rating_gap", F.lit(0.0))))))
+    dear = rivals.where("theme = 'price' AND mentions >= 2 AND negative > positive").agg(F.count("*").alias("n")).where("n > 0")
+    rules.append(dear.select(F.lit("price_value"), F.lit("market"), 65 + 4 * F.col("n")))
+    every = rules[0]
+    for rule in rules[1:]:
+        every = every.union(rule)
+    return every
