@@ -6,7 +6,7 @@ mean of these, weighted by the lines' length in bytes, is the document's score.
 
 The model is fitted to documents whose lines all get the document's label. It is fitted on the driver, to at most
 ``max_rows`` documents of each label, those with the smallest hash of their id, and to at most ``max_lines`` of their lines
-of each label; everything else runs on executors.
+of each label (a document of more than a hundredth of these isn't fitted to); everything else runs on executors.
 
 Defined cases: a null or empty text is one empty line; labels that are neither 0 nor 1 are ignored, and of several labels
 of a document the lowest counts; of several texts of a doc_id the smallest is fitted to; without documents of both labels
@@ -223,14 +223,14 @@ def score_of(text: Column, model: Model | None) -> Column:
     return score(text)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, whether its label was kept from the model, and its score."""
-    model = train(docs, labels, max_rows)
+    model = train(docs, labels, max_rows, max_lines)
     return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), score_of(F.col("text"), model).alias("score"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = MAX_ROWS, max_lines: int = MAX_LINES) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, with the columns of ``docs``."""
-    model = train(docs, labels, max_rows)
+    model = train(docs, labels, max_rows, max_lines)
     scored = docs.withColumn("__score", score_of(F.col("text"), model)).where(F.col("__score") >= threshold)
     return scored.select(*[F.col(f"`{c}`") for c in docs.columns])

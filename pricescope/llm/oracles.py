@@ -101,6 +101,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+OP9 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes na ON na.doc_id = a JOIN sizes nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS first_id, a AS here FROM ways UNION SELECT r.first_id, w.b FROM reach r JOIN ways w ON w.a = r.here),
+roots AS (SELECT first_id AS doc_id, min(here) AS root FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)
+"""
+
 _UPPER_CASE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GRID = "([0.0, 0.005, 0.01, 0.015, 0.02, 0.025, 0.03, 0.04, 0.05, 0.06, 0.08, 0.1, 0.12, 0.16, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[])"
 _BUDGETS = "([0.0, 0.0025, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04]::DOUBLE[])"
@@ -155,4 +167,4 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM levels l LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM l.lang
 """
 
-ORACLES = {"op2_mixing": OP2, "op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op10_quality_rules": OP10}
+ORACLES = {"op2_mixing": OP2, "op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op9_near_dedup": OP9, "op10_quality_rules": OP10}

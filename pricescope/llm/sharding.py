@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 #: Slots are counted in so many ranges of each shard; the table of their sizes has shards x SLOT_RANGES rows at most.
 SLOT_RANGES = 256
+#: That table is broadcast up to so many rows, and joined by shuffle beyond.
+BROADCAST_RANGES = 200_000
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -51,18 +53,19 @@ def shard_of(key: Column, shards: int) -> Column:
     return jump(key_hash(key))
 
 
-def with_slots(rows: DataFrame, shard: str, order: Column, slot: str) -> DataFrame:
+def with_slots(rows: DataFrame, shard: str, shards: int, order: Column, slot: str) -> DataFrame:
     """Number the rows of every shard from 0 without a gap.
 
     ``order`` is an even hash as lowercase hex text; a shard's rows are numbered by it. Rows are dealt by shard and
     leading hex digits, so that no task gets a whole shard; each range starts where the ranges before it end. The
-    ranges' sizes are shards x SLOT_RANGES rows at most, so they can be broadcast.
+    ranges' sizes are shards x SLOT_RANGES rows at most: they are broadcast if these are at most BROADCAST_RANGES.
     """
     digits = len(f"{SLOT_RANGES - 1:x}")
     ranged = rows.withColumn("__order", order).withColumn("__range", F.substring("__order", 1, digits))
     sizes = ranged.groupBy(F.col(shard).alias("__shard"), F.col("__range").alias("__of")).agg(F.count("*").alias("__n"))
     starts = sizes.selectExpr("__shard", "__of", "sum(__n) OVER (PARTITION BY __shard ORDER BY __of) - __n AS __start")
-    joined = ranged.join(F.broadcast(starts), (F.col(shard) == F.col("__shard")) & (F.col("__range") == F.col("__of")))
+    starts = F.broadcast(starts) if shards * SLOT_RANGES <= BROADCAST_RANGES else starts
+    joined = ranged.join(starts, (F.col(shard) == F.col("__shard")) & (F.col("__range") == F.col("__of")))
     numbered = joined.withColumn("__at", F.expr(f"row_number() OVER (PARTITION BY `{shard}`, __range ORDER BY __order)"))
     return numbered.withColumn(slot, (F.col("__start") + F.col("__at") - 1).cast("long")).drop("__order", "__range", "__shard", "__of", "__n", "__start", "__at")
 
@@ -84,4 +87,4 @@ def shard_index(docs: DataFrame, shards: int = 24) -> DataFrame:
     )
     placed = slim.select("*", F.lit("key").alias("law"), shard_of(F.col("doc_id"), shards).alias("shard"), shard_of(F.col("doc_id"), shards + 1).alias("grown_shard"))
     order = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text_crc32").cast("string"), F.lit("")), "size").cast("binary"))
-    return with_slots(placed, "shard", order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(placed, "shard", shards, order, "slot").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

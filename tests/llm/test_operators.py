@@ -67,6 +67,13 @@ def test_sharding(spark, sf_dir, corpus):
         assert sorted(part.slot) == list(range(len(part)))
 
 
+def test_slots_by_shuffle_are_the_same(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = plain(sharding.shard_index(docs, 5).toPandas())
+    monkeypatch.setattr(sharding, "BROADCAST_RANGES", 0)
+    assert plain(sharding.shard_index(docs, 5).toPandas()) == whole
+
+
 def test_sharding_odd(odd, nothing):
     got = sharding.shard_index(odd, 3).toPandas()
     assert len(got) == 9 and got[got.doc_id == 6].slot.nunique() == 2
@@ -152,6 +159,8 @@ def test_site_rules(spark):
     got = {r["page_id"]: (r["rule"], r["verdict"], r["host"], r["path"]) for r in url_filter.judge_urls(pages, entries.URL_RULES).collect()}
     assert [got[i][0] for i in range(len(urls))] == [None, None, None, "example.com/en/", "www.example.com/en/", "www.example.com/en/", "com/", "net/es/", None, "net/fr/", None, "com/", None]
     assert got[3][1:] == ("block", "example.com", "/en/x") and got[0][1:] == ("allow", "", "")
+    assert url_filter.judge_urls(pages.unionAll(pages), entries.URL_RULES).count() == 2 * len(urls)
+    assert url_filter.judge_urls(pages.limit(0), entries.URL_RULES).count() == 0
 
 
 # Decontamination
