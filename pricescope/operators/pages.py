@@ -132,6 +132,24 @@ def structured_reviews(pages: DataFrame, most: int = 50) -> DataFrame:
         return pa.array(rows, pa.list_(pa.struct([("author", pa.string()), ("rating", pa.float64()), ("body", pa.string()), ("published", pa.string())])))
 
     found = pages.where(F.lower("html").contains("ld+json")).select("page_id", F.posexplode(collect(scripts_of())).alias("place", "r")).select("page_id", "place", "r.*")
+    return _clean_reviews(found, most)
+
+
+def page_reviews(pages: DataFrame, most: int = 50) -> DataFrame:
+    """Reviews of a page: of JSON-LD markup, then of microdata, then of review widgets; equal ones once, at most ``most``."""
+    shape = "struct<author: string, rating: double, body: string, published: string>"
+
+    @F.arrow_udf(f"array<{shape}>")
+    def blocks(found: pa.Array) -> pa.Array:
+        return pa.array([review_blocks(h or "") for h in found.to_pylist()], pa.list_(pa.struct([("author", pa.string()), ("rating", pa.float64()), ("body", pa.string()), ("published", pa.string())])))
+
+    marked = pages.where(F.col("html").rlike(r"(?i)review|commentlist"))
+    found = marked.select("page_id", F.posexplode(blocks("html")).alias("place", "r")).select("page_id", (F.col("place") + 1_000_000).alias("place"), "r.*")
+    first = structured_reviews(pages, most).select("page_id", F.col("n").alias("place"), "author", "rating", "body", "published")
+    return _clean_reviews(first.unionByName(found), most)
+
+
+def _clean_reviews(found: DataFrame, most: int) -> DataFrame:
     body = F.substring(F.trim(F.regexp_replace("body", r"\s+", " ")), 1, 1000)
     scaled = F.when((F.col("rating") > 5) & (F.col("rating") <= 100), F.col("rating") / 20).otherwise(F.col("rating"))
     clean = found.withColumn("body", body).where(F.length("body") >= 8).withColumn("rating", F.when(scaled.between(0, 5), F.floor(scaled * 10 + 0.5) / 10))
@@ -311,6 +329,14 @@ AUXILIARY = re.compile(r"product-card|card-wrapper|card-product|quick-view|quick
 FORMER = re.compile(r"old|was|compare|strike|regular|original|before|list|rrp|msrp|crossed", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 STRUCK = {"del", "s", "strike"}
+HIDDEN = {"script", "style", "noscript", "template", "svg"}
+#: Marks of reviews and of their parts, by attribute, class or part of a class.
+WIDGETS = {"jdgm-rev", "yotpo-review", "okeReviews-review", "loox-review", "stamped-review", "spr-review"}
+LISTS = {"woocommerce-Reviews": {"review"}, "commentlist": {"review", "comment"}, "product-reviews": {"review"}, "salla-reviews": {"review"}, "zid-reviews": {"review"}}
+BODY = ("reviewBody", {"review-body", "review-content", "review-text", "jdgm-rev__body", "yotpo-review-content", "okeReviews-review-body", "loox-review-content", "comment-text", "woocommerce-review__body"}, r"review[-_]body|review-content")
+AUTHOR = ("author", {"review-author", "author", "jdgm-rev__author", "yotpo-user-name", "okeReviews-reviewerName", "comment-author"}, r"reviewer|author")
+STARS = ("reviewRating", {"stars", "rating", "jdgm-rev__rating", "yotpo-review-stars"}, r"star")
+FULL_STAR = {"on", "active", "jdgm--on", "yotpo-icon-star"}
 
 
 class _Outline(HTMLParser):
@@ -320,10 +346,11 @@ class _Outline(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[dict] = []
         self.open: list[int] = []
+        self.pieces: list[tuple[list[int], str]] = []
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
-        self.elements.append({"tag": tag, "class": given.get("class", ""), "id": given.get("id", ""), "around": list(self.open), "text": []})
+        self.elements.append({"tag": tag, "class": given.get("class", ""), "id": given.get("id", ""), "around": list(self.open), "text": [], "given": given})
         if tag not in VOID:
             self.open.append(len(self.elements) - 1)
 
@@ -334,6 +361,9 @@ class _Outline(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.open and self.elements[self.open[-1]]["tag"] in HIDDEN:
+            return
+        self.pieces.append((list(self.open), data))
         for i in self.open:
             self.elements[i]["text"].append(data)
 
@@ -369,6 +399,62 @@ def sale_texts(html: str) -> list[dict]:
     return found
 
 
+def _is_part(e: dict, part: tuple[str, set[str], str]) -> bool:
+    item, names, pattern = part
+    return e["given"].get("itemprop") == item or bool(names & set(e["class"].split())) or bool(re.search(pattern, e["class"], re.I))
+
+
+def _stars(around: list[dict]) -> float | None:
+    """A rating from the element (first) and those in it: what its label says, its value, or the number of full stars."""
+    label = next((e["given"]["aria-label"] for e in around if "aria-label" in e["given"]), "")
+    told = re.search(r"(\d+(?:[.,]\d+)?)\s*(?:out of|/|من)\s*5", label, re.I) or re.search(r"(\d+(?:[.,]\d+)?)\s*stars?", label, re.I)
+    values = [e["given"].get("content") or "".join(e["text"]) for e in around if e["given"].get("itemprop") == "ratingValue"] + [e["given"][k] for e in around for k in ("data-score", "data-rating") if k in e["given"]]
+    for raw in [told.group(1)] if told else values[:1]:
+        found = re.match(r"\s*\d+(?:[.,]\d+)?", raw)
+        if found:
+            return float(found.group().replace(",", "."))
+    full = sum(bool(FULL_STAR & (names := set(e["class"].split()))) or {"star", "filled"} <= names or bool(re.search("star[-_]full", e["class"])) for e in around[1:])
+    return float(full) if 0 < full <= 5 else None
+
+
+def review_blocks(html: str) -> list[dict]:
+    """Reviews of microdata, then those of widgets outside headers, footers and navigation."""
+    page = _Outline()
+    page.feed(html)
+    elements = page.elements
+
+    def text(i: int, without: set[int]) -> str | None:
+        return " ".join("".join(f"{piece}" for outer, piece in page.pieces if i in outer and not without.intersection(outer)).split()) or None
+
+    def is_widget(i: int) -> bool:
+        e = elements[i]
+        names, outer = set(e["class"].split()), [elements[j] for j in e["around"]]
+        if any(o["tag"] in ("header", "footer", "nav") for o in [e, *outer]):
+            return False
+        listed = any(inner & names and any(name in o["class"].split() for o in outer) for name, inner in LISTS.items())
+        return bool(WIDGETS & names) or listed or e["given"].get("data-testid") == "review" or bool(re.search("customer-review|product-review", e["class"], re.I))
+
+    def read(i: int) -> dict:
+        inside = [j for j in range(i + 1, len(elements)) if i in elements[j]["around"]]
+        first = lambda part: next((j for j in inside if _is_part(elements[j], part)), None)
+        body, author, stars = first(BODY), first(AUTHOR), first(STARS)
+        stars = stars if stars is not None else next((j for j in inside if "star" in elements[j]["given"].get("aria-label", "").lower()), None)
+        date = next((j for j in inside if elements[j]["tag"] == "time" or elements[j]["given"].get("itemprop") == "datePublished" or "datetime" in elements[j]["given"]), None)
+        rest = {j for j in inside if _is_part(elements[j], AUTHOR) or _is_part(elements[j], STARS) or elements[j]["tag"] == "time"}
+        given = elements[date]["given"] if date is not None else {}
+        at = i if stars is None else stars
+        name = text(author, set()) if author is not None else None
+        return {
+            "author": name and name[:120],
+            "rating": _stars([elements[at], *(elements[j] for j in range(at + 1, len(elements)) if at in elements[j]["around"])]),
+            "body": (text(body, set()) if body is not None else None) or text(i, rest),
+            "published": given.get("datetime") or given.get("content") or (text(date, set()) if date is not None else None),
+        }
+
+    micro = [i for i, e in enumerate(elements) if e["given"].get("itemprop") == "review"]
+    return [read(i) for i in [*micro, *(i for i in range(len(elements)) if is_widget(i))]]
+
+
 def displayed_sales(pages: DataFrame) -> DataFrame:
     """(page_id, sale_price, sale_currency, compare_at, explicit) of pages whose own price block shows a sale.
 

@@ -147,6 +147,20 @@ def h18_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.structured_reviews(_markup(spark)).drop("hash")
 
 
+WIDGET_PAGES = [
+    (1, '<div itemprop="review"><span itemprop="author">Sara</span><meta itemprop="datePublished" content="2024-03-01"><div itemprop="reviewRating"><meta itemprop="ratingValue" content="80"></div><p itemprop="reviewBody">Gentle and light on the hair.</p></div>'),
+    (2, '<div class="jdgm-rev"><span class="jdgm-rev__author">Nora</span><div class="jdgm-rev__rating" aria-label="5 stars"></div><div class="jdgm-rev__body">Best cream that I have tried.</div></div>'
+        '<ol class="commentlist"><li class="review"><strong class="woocommerce-review__author">Huda</strong><div class="star-rating" aria-label="Rated 3 out of 5"></div><div class="description">Average results, nothing special.</div></li></ol>'),
+    (3, '<nav><div class="product-review">A good link to reviews</div></nav><div class="product-review"><div class="stars"><i class="star on"></i><i class="star on"></i><i class="star"></i></div>Two stars for this one</div><div class="spr-review">short</div>'),
+    (4, '<div class="spr-review"><p class="review-text">The very same words</p></div><div class="spr-review"><p class="review-text">The very same words</p></div>'),
+    (5, "<p>No word of it</p>"),
+]
+
+
+def h18_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_reviews(spark.createDataFrame(WIDGET_PAGES, "page_id bigint, html string")).drop("hash")
+
+
 def h08_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.page_availability(_markup(spark))
 
@@ -224,6 +238,7 @@ QUERIES = {
     "q02_chart_ticks": q02_ticks,
     "h02_faq_questions": h02_faq,
     "h18_markup_reviews": h18_reviews,
+    "h18_widget_reviews": h18_widgets,
     "h08_page_availability": h08_availability,
     "v13_sections": v13_sections,
     "v18_links": v18_links,
@@ -292,6 +307,16 @@ FROM (SELECT *, string_split(replace(changed, 'bullets', 'bullet points'), ',')
     "h18_markup_reviews": ingest._expected(
         "page_id bigint, n int, author string, rating double, body string, published string", [(2, 1, "Ann", 4.0, "Lovely oil indeed", "2024-01-02"), (2, 2, "Cy", 4.3, "Works well for me", None)]
     ),
+    "h18_widget_reviews": ingest._expected(
+        "page_id bigint, n int, author string, rating double, body string, published string",
+        [
+            (1, 1, "Sara", 4.0, "Gentle and light on the hair.", "2024-03-01"),
+            (2, 1, "Nora", 5.0, "Best cream that I have tried.", None),
+            (2, 2, "Huda", 3.0, "Average results, nothing special.", None),
+            (3, 1, None, 2.0, "Two stars for this one", None),
+            (4, 1, None, None, "The very same words", None),
+        ],
+    ),
     "h08_page_availability": ingest._expected("page_id bigint, availability string", [(1, "unknown"), (2, "in_stock"), (3, "out_of_stock"), (4, "out_of_stock"), (5, "unknown")]),
     "v13_sections": ingest._expected("audience string, place int, section string, figures int", [(a, i, s, len(KPIS[a])) for a, sections in SECTIONS.items() for i, s in enumerate(sections)]),
     "v18_links": with_layers(DOMAIN, select="SELECT product_id, 'https://app.example.com/products?brand=' || replace(brand, '#', '%23') || '&sort=gap&order=desc' AS link FROM products"),
