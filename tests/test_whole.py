@@ -42,7 +42,7 @@ def test_csv_sink_writes_the_whole_export(spark, sf_dir):
 
 
 def test_keywords_of_any_script(spark, sf_dir):
-    rows = text_plans._reviews(spark).where("sentiment <> 'neutral'").select("brand", "sentiment", text.tokens(F.col("body")).alias("tokens")).collect()
+    rows = text_plans._reviews(spark, sf_dir).where("sentiment <> 'neutral'").select("brand", "sentiment", text.tokens(F.col("body")).alias("tokens")).collect()
     counts = defaultdict(Counter)
     for r in rows:
         counts[r["brand"], r["sentiment"]].update(r["tokens"])
