@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricescope.llm.common import WORD, materialize
+from pricescope.llm.common import WORD, Scratch
 
 #: Ranges of rank in which a source's words are summed.
 RANK_RANGES = 4096
@@ -92,23 +92,24 @@ def ranked_rows(slim: DataFrame, classes: DataFrame) -> DataFrame:
 
 def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The slim table of documents (written to the shared folder), the table of classes, and that of sources with what each takes."""
-    slim = materialize(docs.select(*slim_columns(weight, seed)), "mix-sizes")
-    classes = materialize(slim.groupBy("source", "weight_class").agg(F.sum("size").alias("words")), "mix-classes")
-    sources = materialize(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies), "mix-sources")
-    classes = materialize(expected_copies(classes, sources, max_copies), "mix-copies")
+    scratch = Scratch(docs.sparkSession, "mix")
+    slim = scratch.table(docs.select(*slim_columns(weight, seed)), "sizes")
+    classes = scratch.table(slim.groupBy("source", "weight_class").agg(F.sum("size").alias("words")), "classes")
+    sources = scratch.table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies), "sources")
+    classes = scratch.table(expected_copies(classes, sources, max_copies), "copies")
     whole = classes.groupBy("source").agg(F.sum(F.col("whole") * F.col("words")).alias("whole_words"))
     missing = sources.join(whole.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("whole_words")).alias("missing"))
 
     # The range of rank in which each source's missing words end, and the one by which LOOK_AHEAD more documents have come.
     ranked = ranked_rows(slim, classes).where("rank IS NOT NULL AND size > 0")
-    by_range = materialize(ranked.groupBy("source", "rank_range").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-ranges")
+    by_range = scratch.table(ranked.groupBy("source", "rank_range").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "ranges")
     order = "PARTITION BY source ORDER BY rank_range"
     summed = by_range.selectExpr("source", "rank_range", f"sum(words) OVER ({order}) - words AS before", f"sum(words) OVER ({order}) AS upto", f"sum(n) OVER ({order}) - n AS n_before", f"sum(n) OVER ({order}) AS n_upto")
     summed = summed.join(missing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     begin = "min(CASE WHEN upto > missing THEN struct(rank_range, before, n_upto) END) OVER (PARTITION BY source)"
     edges = summed.selectExpr("*", f"{begin} AS edge").where(f"edge IS NOT NULL AND rank_range >= edge.rank_range AND n_before < edge.n_upto + {LOOK_AHEAD}")
     edge = edges.groupBy("source").agg(F.first("missing").alias("missing"), F.first("edge.rank_range").alias("low"), F.first("edge.before").alias("before"), F.max("rank_range").alias("high"))
-    edge = materialize(edge.withColumnRenamed("source", "s"), "mix-edges")
+    edge = scratch.table(edge.withColumnRenamed("source", "s"), "edges")
 
     # Inside these ranges: equal rows are one, and the first that doesn't fit begins the list of those that are tried.
     inside = ranked.join(broadcast_small(edge), ranked["source"].eqNullSafe(F.col("s")) & F.col("rank_range").between(F.col("low"), F.col("high")))
@@ -133,7 +134,9 @@ def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Colum
     extras = filled.select("e", "last", F.concat("filled.taken", F.transform(F.slice(F.filter("tried", near), 1, 1), key)).alias("extras"))
     plan = sources.select(F.col("source").alias("plan_source"), "source_size", "target").join(edge.select("s", "low"), F.col("plan_source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.join(extras, F.col("plan_source").eqNullSafe(F.col("e")), "left").drop("e")
-    return slim, classes, materialize(plan, "mix-plan")
+    plan = scratch.table(plan, "plan")
+    scratch.keep("sizes", "copies", "plan")
+    return slim, classes, plan
 
 
 def broadcast_small(table: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricescope.llm.common import WORD, materialize
+from pricescope.llm.common import WORD, Scratch, materialize
 
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -159,7 +159,8 @@ def rule_chain(texts: DataFrame) -> DataFrame:
 
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """One row for each stratum with rules in force: its cutoffs as a map by rule, and the held-out counts they rest on."""
-    texts = materialize(labelled_levels(measured, labels), "rule-texts")
+    scratch = Scratch(measured.sparkSession, "rules")
+    texts = scratch.table(labelled_levels(measured, labels), "texts")
     chain = rule_chain(texts)
     counts = texts.where(~F.col("tuning")).groupBy("stratum", "levels").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad"))
     joined = counts.join(chain, F.col("stratum").eqNullSafe(F.col("chain_stratum")))
@@ -168,7 +169,7 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     stepped = joined.groupBy("stratum", step.alias("step")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.first("chain").alias("chain"))
     upto = lambda what, i: F.coalesce(F.sum(F.when(F.col("step") <= i, F.col(what))), F.lit(0))
     tried = F.array(*[F.struct(F.lit(i).alias("step"), upto("good", i).alias("good"), upto("bad", i).alias("bad")) for i in range(len(BUDGETS))])
-    table = materialize(stepped.groupBy("stratum").agg(F.sum("good").alias("n"), F.first("chain").alias("chain"), tried.alias("tried")), "rule-counts")
+    table = scratch.table(stepped.groupBy("stratum").agg(F.sum("good").alias("n"), F.first("chain").alias("chain"), tried.alias("tried")), "counts")
     level = delta / max(1, table.count())
     tested = F.transform("tried", lambda t: F.struct(t["step"].alias("step"), t["good"].alias("good"), t["bad"].alias("bad"), binomial_tail(F.col("n"), t["good"], alpha).alias("p_value")))
     first_failed = F.coalesce(F.array_min(F.transform(F.filter("tested", lambda t: t["p_value"] > level), lambda t: t["step"])), F.lit(len(BUDGETS)))
@@ -178,13 +179,16 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta:
     places = F.get("chain", -F.col("best.loose"))
     pairs = [F.struct(F.lit(name).alias("rule"), F.get(F.array(*[F.lit(c) for c in GRID]), places[i]).alias("cutoff")) for i, name in enumerate(rules())]
     cutoffs = F.map_from_entries(F.filter(F.array(*pairs), lambda x: x["cutoff"].isNotNull()))
-    return chosen.select(F.col("stratum").alias("rule_stratum"), cutoffs.alias("cutoffs"), F.col("n").alias("n_good"), F.col("best.good").alias("good_rejected"), F.col("best.bad").alias("bad_rejected"), F.col("best.p_value").alias("p_value"))
+    rows = chosen.select(F.col("stratum").alias("rule_stratum"), cutoffs.alias("cutoffs"), F.col("n").alias("n_good"), F.col("best.good").alias("good_rejected"), F.col("best.bad").alias("bad_rejected"), F.col("best.p_value").alias("p_value"))
+    out = scratch.table(rows, "cutoffs")
+    scratch.keep("cutoffs")
+    return out
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The counts of every row of ``docs``, whether it fails the base rules, and whether it is kept."""
     measured = materialize(measure(docs, stratum), "rule-measures")
-    cutoffs = materialize(certify(measured, labels, alpha, delta), "rule-cutoffs")
+    cutoffs = certify(measured, labels, alpha, delta)
     if cutoffs.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
     joined = measured.join(cutoffs, F.col("stratum").eqNullSafe(F.col("rule_stratum")), "left")
