@@ -1,11 +1,11 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 Benchmark texts and documents are normalised alike: A to Z lower-cased, words separated by ASCII characters that are neither
-letters nor digits. The automaton's alphabet are the benchmark's words, by number (all others are one number that no
-pattern holds); its patterns are every window of ``size`` consecutive item words (a shorter item is one window). Each document
+letters nor digits. In the automaton every word of the benchmark stands as two characters (other words as two that no pattern
+holds), so that it has few nodes and few ways on from each; its patterns are every window of ``size`` consecutive item words (a shorter item is one window). Each document
 is scanned once, and hits are mapped back to offsets in the original text.
 
-Workers get the normalised items and build the automaton, of at most ``BLOCK_WORDS`` words of them: about 150 MB. A larger
+Workers get the normalised items and build the automaton, of at most ``BLOCK_WORDS`` words of them: about 170 MB. A larger
 benchmark is cut into blocks (a longer item into overlapping parts); each is a scan of the texts that writes only the spans
 found, by a 128-bit hash of the text, and these are joined to the documents in the end. Texts are never rewritten.
 
@@ -16,8 +16,10 @@ leaves every document clean.
 
 from __future__ import annotations
 
+import math
 import re
-from itertools import chain
+from collections import Counter
+from itertools import chain, repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -28,8 +30,10 @@ from pyspark.sql import types as T
 
 from pricescope.llm.common import Scratch, hot_keys, spread_join
 
-#: Item words (and so windows, at most) in one automaton; a window takes about 500 bytes in each Python worker.
-BLOCK_WORDS = 300_000
+#: Item words (and so windows, at most) in one automaton; a window takes about 1,100 bytes in each Python worker.
+BLOCK_WORDS = 150_000
+#: First code points of a word's two characters, and what stands for a word that no item has.
+HIGH, LOW, OTHER = 0x4000, 0x100, "\x01\x01"
 #: Texts with hits that are broadcast to the documents where there are several blocks; beyond, they are joined by shuffle.
 BROADCAST_TEXTS = 20_000
 SPANS = "array<struct<item: string, first: bigint, last: bigint>>"
@@ -76,31 +80,31 @@ def item_blocks(benchmark: DataFrame, size: int):
 
 
 class Scanner:
-    """The automaton over the words of a block of items."""
+    """The automaton over the words of a block of items. Frequent words get the codes that are found first."""
 
     def __init__(self, block: list[tuple[str, str]], size: int):
-        self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in block:
-            words = text.encode().split(b" ")
-            for w in words:
-                self.numbers.setdefault(w, len(self.numbers) + 1)
+        texts = [(item, text.encode().split(b" ")) for item, text in block]
+        counts = Counter(w for _, words in texts for w in words)
+        base = math.isqrt(len(counts)) + 1
+        self.codes = {w: chr(HIGH + i // base) + chr(LOW + i % base) for i, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w)))}
+        found: dict[str, tuple[int, set[str]]] = {}
+        for item, words in texts:
             for _, window in windows(words, size):
-                found.setdefault(tuple(self.numbers[w] for w in window), set()).add(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for window, items in found.items():
-            self.automaton.add_word(window, (len(window), tuple(sorted(items))))
+                found.setdefault("".join([self.codes[w] for w in window]), (len(window), set()))[1].add(item)
+        self.automaton = ahocorasick.Automaton()
+        for window, (length, items) in found.items():
+            self.automaton.add_word(window, (length, tuple(sorted(items))))
         self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[str, int, int]]]:
         """The number of words, and (item, first word, last word) of every run of overlapping or adjoining windows of an item."""
         words = normal_words(text)
-        if not words or not self.numbers:
+        if not words or not self.codes:
             return len(words), []
-        number = self.numbers.get
         open_span: dict[str, list[int]] = {}
         spans = []
-        for end, (length, items) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+        for at, (length, items) in self.automaton.iter("".join(map(self.codes.get, words, repeat(OTHER)))):
+            end = at // 2
             first = end - length + 1
             for item in items:
                 span = open_span.get(item)
