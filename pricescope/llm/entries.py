@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.llm import chat_format, crf_quality, decontaminate, license_scan, mixing, near_dedup, quality_rules, sharding, token_count, url_filter
-from pricescope.llm.common import read
+from pricescope.llm import chat_format, collocations, crf_quality, decontaminate, license_scan, line_dedup, merkle, mixing, near_dedup, quality_rules, sharding, token_count, url_filter
+from pricescope.llm.common import ascii_lower, read
 from pricescope.llm.oracles import ORACLES
 
 
@@ -103,6 +103,27 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.find_collocations(read(spark, sf_dir, "documents"), top=2000, min_count=100, percent=100)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf_hash([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in fields])
+    touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
+    seen = F.when(touched, changed).otherwise(merkle.leaf_hash([F.col(c) for c in fields]))
+    proven = merkle.prove_rows(docs, group="lang", key="doc_id", fields=fields, extra={"seen": seen})
+    folded = proven.withColumn("folded_root", merkle.folded_root(F.col("seen"), F.col("proof")))
+    proof = F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256")
+    return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edited = line_dedup.edit_lines(read(spark, sf_dir, "documents"), min_chars=10)
+    return edited.select(F.col("__row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -116,4 +137,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_line_dedup": op13_line_dedup,
 }

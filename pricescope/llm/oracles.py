@@ -167,4 +167,87 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM levels l LEFT JOIN chosen c ON c.lang IS NOT DISTINCT FROM l.lang
 """
 
-ORACLES = {"op2_mixing": OP2, "op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op9_near_dedup": OP9, "op10_quality_rules": OP10}
+OP11 = rf"""
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, text FROM documents)),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) AS sizes(m) WHERE len(w) >= m)),
+counts AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, m, phrase, f AS a, k, string_split(phrase, ' ') AS w FROM (SELECT *, unnest(range(1, m)) AS k FROM counts WHERE m > 1)),
+scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN total USING (lang) JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1),
+kept AS (
+  SELECT * FROM scored s WHERE NOT EXISTS (
+    SELECT 1 FROM counts b WHERE b.lang = s.lang AND b.m > s.m AND 100 * b.f >= 100 * s.a AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+QUALIFY rank <= 2000
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS grp, {_leaf("text")} AS leaf,
+    CASE WHEN crc % 3 = 0 THEN {_leaf(LOWER.format("text"))} ELSE {_leaf("text")} END AS seen,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS width
+  FROM (SELECT *, crc FROM documents JOIN (SELECT DISTINCT doc_id AS crc_id, $CRC AS crc FROM documents) ON crc_id IS NOT DISTINCT FROM doc_id)),
+nodes AS (
+  SELECT grp, 0 AS level, idx, width, leaf AS h FROM leaves
+  UNION ALL
+  SELECT grp, level + 1, idx // 8, (width + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE width > 1 GROUP BY grp, level, width, idx // 8),
+subroots AS (SELECT grp, h AS subroot, level AS height, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS width FROM nodes WHERE width = 1),
+upper AS (
+  SELECT 0 AS level, idx, width, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 8, (width + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM upper WHERE width > 1 GROUP BY level, width, idx // 8),
+root AS (SELECT h AS root FROM upper WHERE width = 1),
+siblings AS (
+  SELECT l.r, n.level, n.idx, n.idx < l.idx // (8 ** n.level)::BIGINT AS is_left, n.idx = l.idx // (8 ** n.level)::BIGINT AS is_self, n.h
+  FROM leaves l JOIN nodes n ON n.grp = l.grp AND n.width > 1 AND n.idx // 8 = l.idx // (8 ** (n.level + 1))::BIGINT
+  UNION ALL
+  SELECT l.r, s.height + u.level, u.idx, u.idx < s.idx // (8 ** u.level)::BIGINT, u.idx = s.idx // (8 ** u.level)::BIGINT, u.h
+  FROM leaves l JOIN subroots s USING (grp) JOIN upper u ON u.width > 1 AND u.idx // 8 = s.idx // (8 ** (u.level + 1))::BIGINT),
+steps AS (
+  SELECT r, level, coalesce(string_agg(h, '' ORDER BY idx) FILTER (is_left), '') AS before, coalesce(string_agg(h, '' ORDER BY idx) FILTER (NOT is_left AND NOT is_self), '') AS after
+  FROM siblings GROUP BY r, level),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY level)) AS proof_sha256 FROM steps GROUP BY r),
+folds AS (
+  SELECT r, 0 AS level, seen AS h FROM leaves
+  UNION ALL
+  SELECT f.r, f.level + 1, sha256(before || h || after) FROM folds f JOIN steps s ON s.r = f.r AND s.level = f.level),
+folded AS (SELECT r, arg_max(h, level) AS folded_root FROM folds GROUP BY r)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (grp) JOIN folded USING (r) LEFT JOIN proofs USING (r), root
+"""
+
+# DuckDB has no CRC-32: eight shifts for each byte of the id.
+def _crc32(text: str) -> str:
+    step = "list_reduce(range(0, 8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, {0})"
+    each = step.format("xor(c, b)")
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: {each}, 4294967295::BIGINT), 4294967295)"
+
+
+OP12 = OP12.replace("$CRC", _crc32("CAST(doc_id AS VARCHAR)"))
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT r, doc_id, i, line, {LOWER.format(r"trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+  FROM (SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM d)),
+repeated AS (SELECT key, min(doc_id) AS keeper FROM l WHERE length(key) >= 10 GROUP BY key HAVING min(doc_id) < max(doc_id)),
+judged AS (SELECT l.*, coalesce(doc_id > keeper, false) AS gone FROM l LEFT JOIN repeated USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY r
+"""
+
+ORACLES = {"op2_mixing": OP2, "op3_url_filter": OP3, "op4_decontaminate": OP4, "op7_chat_format": OP7, "op9_near_dedup": OP9, "op10_quality_rules": OP10, "op11_collocations": OP11, "op12_merkle_manifest": OP12, "op13_line_dedup": OP13}

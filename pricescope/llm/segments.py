@@ -54,9 +54,9 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes:
     return out
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and length of every word (a run without white space inside one text), and each text's first word (n + 1)."""
-    space = IS_SPACE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and length of every word (a run without separators inside one text), and each text's first word (n + 1)."""
+    space = separators[data]
     begins = ~space
     begins[1:] &= space[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
