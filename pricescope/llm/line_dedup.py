@@ -11,8 +11,8 @@ that several documents hold are kept in the smallest doc_id only; there all thei
    more lines pass as suspects; it can't lose a repeat.
 3. Suspects alone are shuffled, as SHA-256 digests of their keys, first summed inside each task: a digest's smallest and largest
    doc_id confirm the repeat and choose the document that keeps it. Digests of many documents are dealt to several tasks.
-4. Documents get the digests that they lose by doc_id: broadcast while these lists take at most ``LIST_BYTES``, joined by
-   shuffle beyond.
+4. Documents get the digests that they lose by a join on doc_id. Only texts that may lose a line are shuffled for it: a bitmap of
+   hashed doc_ids, of at most ``FILTER_BYTES``, tells the others, which are passed on as they are read.
 
 Defined cases: a null or empty text has one empty line; equal rows, and rows with one doc_id, are one document; a row without
 doc_id can't be ordered, so it loses no line and repeats none; an empty table gives an empty result.
@@ -37,8 +37,8 @@ from pricescope.llm.segments import IS_SPACE, LOWER_CODES, find_lines, hash_runs
 BITS, HASHES, SEGMENT_BITS = 16, 2, 1 << 22
 #: Bits in one row of the folded filter; ``bitmap_or_agg`` works on bitmaps of this size.
 ROW_BITS = 1 << 15
-#: Bounds of what is broadcast: the filter of keys seen twice, and the lists of digests by doc_id.
-FILTER_BYTES, LIST_BYTES = 32 << 20, 16 << 20
+#: Bound of what is broadcast: the filter of keys seen twice, and the bitmap of documents that lose lines.
+FILTER_BYTES = 32 << 20
 #: Keys that a task gathers before it sends their bits.
 FLUSH = 1 << 21
 SPACE = " \t\n\v\f\r"
@@ -187,18 +187,30 @@ def _edited(texts: pa.Array, gone: pa.Array, min_chars: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(dropped, pa.int64()), pa.array(kept, pa.string())], ["n_dropped", "kept"])
 
 
+def _marked(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(__row, touched) for each row of ``docs``; where touched is false, the document isn't in ``lists``."""
+    n_bits = min(FILTER_BYTES * 8, max(ROW_BITS, 1 << (max(1, lists.count() * BITS) - 1).bit_length()))
+    bit = lambda key: F.pmod(F.xxhash64(key), F.lit(n_bits))
+    rows = lists.select(bit("doc_id").alias("bit")).groupBy(F.floor(F.col("bit") / ROW_BITS).alias("__bits_of"))
+    bitmap = rows.agg(F.bitmap_construct_agg(F.col("bit") % ROW_BITS).alias("__bits"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")).withColumn("__bit", bit("__row.doc_id"))
+    joined = row.join(F.broadcast(bitmap), F.floor(F.col("__bit") / ROW_BITS) == F.col("__bits_of"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") % ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1
+    return joined.select("__row", F.coalesce(is_set & F.col("__row.doc_id").isNotNull(), F.lit(False)).alias("touched"))
+
+
 def edit_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(__row, n_lines, n_dropped, kept) for each row of ``docs``: the row, its lines, those that it loses, and the text of the others."""
     lists = lines_to_drop(docs, min_chars)
-    size = lists.agg(F.coalesce(F.sum(32 * F.size("gone") + 64), F.lit(0))).head()[0]
-    found = lists.select(F.col("doc_id").alias("__id"), "gone")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    joined = row.join(F.broadcast(found) if size <= LIST_BYTES else found, F.col("__row.doc_id") == F.col("__id"), "left")
-    text = F.col("__row.text")
-    edited = joined.select("__row", F.when(F.col("gone").isNotNull(), _edited(F.when(F.col("gone").isNotNull(), text), "gone", F.lit(min_chars))).alias("edited"))
-    n_lines = F.length(F.coalesce(text, F.lit(""))) - F.length(F.translate(F.coalesce(text, F.lit("")), "\n", "")) + 1
-    kept = F.coalesce("edited.kept", text, F.lit(""))
-    return edited.select("__row", n_lines.cast("long").alias("n_lines"), F.coalesce("edited.n_dropped", F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+    marked = _marked(docs, lists)
+    joined = marked.where("touched").join(lists, F.col("__row.doc_id") == F.col("doc_id"), "left")
+    lost = _edited(F.col("__row.text"), F.coalesce("gone", F.array().cast("array<binary>")), F.lit(min_chars))
+    edited = joined.select("__row", lost.alias("edited")).select("__row", "edited.n_dropped", "edited.kept")
+    untouched = marked.where("NOT touched").select("__row", F.lit(0).cast("bigint").alias("n_dropped"), F.col("__row.text").alias("kept"))
+    text = F.coalesce("__row.text", F.lit(""))
+    n_lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    return untouched.unionByName(edited).select("__row", n_lines.cast("long").alias("n_lines"), "n_dropped", F.coalesce("kept", F.lit("")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
