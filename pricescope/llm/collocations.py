@@ -7,9 +7,10 @@ inside a piece; everything is counted by language.
    can only be too large, so no phrase that is frequent is lost. Tasks' sketches are cut into segments, which are added up in
    one task each; what is left of a counter is one bit: below ``min_count`` or not. The first sketch counts single words and
    pairs, the second longer phrases whose pairs all passed the first. The counters grow with the text up to
-   ``MAX_WIDTH``; beyond, more phrases pass than are frequent, which costs time, never a phrase. A task takes
-   many files, so that there are ``TASKS_PER_CORE`` sketches for each core, whatever the input.
+   ``MAX_WIDTH``; beyond, more phrases pass than are frequent, which costs time, never a phrase.
 2. Exact counts of the phrases that pass, and whose shorter parts pass: added up inside a task, then by phrase.
+   Each of these tasks takes many files, so that there are ``TASKS_PER_CORE`` sketches and tables of counts for each core, whatever
+   the input: what is shuffled grows with the phrases, not with the files that they stand in.
 3. Scores. A phrase of m words with count a, cut into parts with counts l and r in a language of n words, scores
    ``floor(1000 * a * n / (l * r))``; its lowest-scoring cut counts, the shortest first part at ties. Parts of a frequent phrase
    are frequent, so their counts are in the same table. A phrase goes if it lies inside a longer one with nearly its count.
@@ -37,7 +38,7 @@ from pricescope.llm.segments import LOWER_CODES, find_words, hash_runs, mix
 DEPTH, SEGMENT, MIN_WIDTH, MAX_WIDTH, BYTES_PER_COUNTER = 2, 1 << 15, 1 << 18, 1 << 26, 128
 TASKS_PER_CORE = 2
 #: Phrases that a task counts before it sends them.
-FLUSH = 200_000
+FLUSH = 400_000
 LONGEST = 5
 
 #: What ends a piece (``.,;:!?`` and the bytes 0A to 0D), and what separates words inside it.
@@ -73,6 +74,11 @@ def passes(sketch: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def dealt(texts: DataFrame) -> DataFrame:
+    """The texts in few partitions of many files: each adds up on its own before anything is shuffled."""
+    return texts.coalesce(texts.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE)
+
+
 def sketch_width(n_bytes: int) -> int:
     """Counters in a row for texts of so many bytes: a power of two."""
     return min(MAX_WIDTH, max(MIN_WIDTH, 1 << (max(1, n_bytes // BYTES_PER_COUNTER) - 1).bit_length()))
@@ -138,8 +144,7 @@ def build_sketch(texts: DataFrame, width: int, min_count: int, known: list) -> n
             total += np.frombuffer(counts, kind)
         return pd.DataFrame({"segment": parts["segment"].iloc[:1], "bits": [np.packbits(total >= min_count, bitorder="little").tobytes()]})
 
-    n_tasks = texts.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE
-    parts = texts.coalesce(n_tasks).mapInArrow(count, "segment bigint, counts binary")
+    parts = dealt(texts).mapInArrow(count, "segment bigint, counts binary")
     out = np.zeros((DEPTH * width // SEGMENT, SEGMENT // 8), np.uint8)
     for segment, bits in parts.groupBy("segment").applyInPandas(add, "segment bigint, bits binary").toLocalIterator():
         out[segment] = np.frombuffer(bits, np.uint8)
@@ -186,7 +191,7 @@ def exact_counts(texts: DataFrame, width: int, sketches: list) -> DataFrame:
                     yield send()
         yield send()
 
-    return texts.mapInArrow(run, "lang string, size int, phrase string, n bigint")
+    return dealt(texts).mapInArrow(run, "lang string, size int, phrase string, n bigint")
 
 
 def part_text(phrase, low, high):
