@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricescope.llm import chat_format, collocations, crf_quality, decontaminate, license_scan, line_dedup, merkle, mixing, near_dedup, quality_rules, sharding, token_count, url_filter
-from pricescope.llm.common import ascii_lower, read
+from pricescope.llm.common import WORD, ascii_lower, read
 from pricescope.llm.oracles import ORACLES
 
 
@@ -14,8 +14,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_index(read(spark, sf_dir, "documents"), shards=24)
 
 
+def word_length() -> Column:
+    """A document's weight in the mix grows with the length of its words: 1 at five characters a word, spaces included."""
+    return F.floor(F.try_divide(F.lit(8) * F.length("text"), F.lit(5) * F.regexp_count("text", F.lit(WORD)))) / 8
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mix(read(spark, sf_dir, "documents"), max_copies=3)
+    mix = mixing.mix(read(spark, sf_dir, "documents"), max_copies=3, weight=word_length())
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
@@ -113,7 +118,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = merkle.leaf_hash([ascii_lower(F.col(c)) if c == "text" else F.col(c) for c in fields])
     touched = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.lit(False))
     seen = F.when(touched, changed).otherwise(merkle.leaf_hash([F.col(c) for c in fields]))
-    proven = merkle.prove_rows(docs, group="lang", key="doc_id", fields=fields, extra={"seen": seen})
+    proven = merkle.prove(merkle.build_manifest(docs, group="lang", key="doc_id", fields=fields, extra={"seen": seen}))
     folded = proven.withColumn("folded_root", merkle.folded_root(F.col("seen"), F.col("proof")))
     proof = F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256")
     return folded.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -7,7 +7,7 @@ Rows are sorted by ranges into partitions, and a partition's rows of one group h
 partition. Each partition keeps a mountain range: one open run of nodes for each level. A run that fills up to a multiple
 of the fanout, or to the end of its level, becomes a node of the next level (a carry). Runs that begin or end in another
 partition can't be completed: their nodes are the peaks that a partition emits, at most two runs a level. Peaks are merged
-level by level, as joins of small tables. For proofs a partition builds its own runs again and gets those at its edges, a few
+level by level, as small tables. For proofs a partition builds its own runs again and gets those at its edges, a few
 for each level; so no node travels to more than the partitions it belongs to, and no table of all nodes is joined.
 
 Defined cases: rows without a group are a group, the first; rows without a key come first in theirs, equal keys go by leaf;
@@ -18,6 +18,7 @@ roots are numbered in one task.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from pricescope.llm.common import Scratch
 
 FANOUT = 8
+NODE = "grp string, level int, idx bigint, width bigint, hash string"
 #: Rows of a partition, about: its part of the tree and its proofs are in memory at once.
 PART_ROWS = 20_000
 
@@ -82,9 +84,11 @@ class MountainRange:
                 self.close(level)
 
 
-def _climb(leaves: pa.Table, start: int, total: int, fanout: int) -> MountainRange:
+def _climb(leaves: pa.Table, span: pa.Table, fanout: int) -> MountainRange:
+    """The mountain range over a partition's leaves of one group; ``span`` has one row."""
+    start, total = span["start"][0].as_py(), span["total"][0].as_py()
     mountains = MountainRange(total, fanout)
-    for i, digest in enumerate(leaves["leaf"].to_pylist()):
+    for i, digest in enumerate(leaves.sort_by("place")["leaf"].to_pylist()):
         mountains.push(0, start + i, digest)
     mountains.finish()
     return mountains
@@ -113,12 +117,24 @@ def tree_height(n: int, fanout: int) -> int:
     return height
 
 
-def prove_rows(docs: DataFrame, group: str, key: str, fields: list[str], extra: dict[str, Column] | None = None, fanout: int = FANOUT) -> DataFrame:
-    """The manifest's rows: key, ``extra`` columns, leaf, subroot (of the group), root, and proof.
-
-    A proof is an array of (before, after) from the leaf's level up to the root: the hex digests of the siblings on both sides,
-    one after another.
+@dataclass
+class Manifest:
+    """A tree over a table's rows: ``rows`` by partition and place, with key and leaf; ``spans`` of indexes by partition and group; the
+    ``runs`` that no partition completed; and for each group its root and the way from there to the root of all (``groups``).
     """
+
+    rows: DataFrame
+    spans: DataFrame
+    runs: DataFrame
+    groups: DataFrame
+    height: int
+    fanout: int
+    key: str
+    extra: list[str]
+
+
+def build_manifest(docs: DataFrame, group: str, key: str, fields: list[str], extra: dict[str, Column] | None = None, fanout: int = FANOUT) -> Manifest:
+    """Hash the ``fields`` of all rows, and build the tree of each group in order of ``key``. ``extra`` columns come along."""
     scratch = Scratch(docs.sparkSession, "merkle")
     extra = extra or {}
     grp = F.coalesce(F.concat(F.lit("="), F.col(f"`{group}`").cast("string")), F.lit("")).alias("grp")
@@ -135,13 +151,9 @@ def prove_rows(docs: DataFrame, group: str, key: str, fields: list[str], extra:
     spans = scratch.table(counted.selectExpr("part", "grp", "n", "sum(n) OVER (PARTITION BY grp ORDER BY part) - n AS start", "sum(n) OVER (PARTITION BY grp) AS total"), "spans")
 
     def peaks(rows: pa.Table, span: pa.Table) -> pa.Table:
-        start, total, group_name = (span[c][0].as_py() for c in ("start", "total", "grp"))
-        found = _climb(rows.sort_by("place"), start, total, fanout).peaks
-        columns = list(zip(*found, strict=True))
-        return pa.table([pa.array([group_name] * len(found), pa.string()), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:3]], pa.array(columns[3], pa.string())], ["grp", "level", "idx", "width", "hash"])
+        return _node_table(span, _climb(rows, span, fanout).peaks, NODE)
 
-    slim = placed.select("part", "grp", "place", "leaf")
-    found = slim.groupBy("part", "grp").cogroup(spans.groupBy("part", "grp")).applyInArrow(peaks, "grp string, level int, idx bigint, width bigint, hash string")
+    found = _by_part(rows_of(placed), spans).applyInArrow(peaks, NODE)
     found = scratch.table(found, "peaks")
     height = tree_height(spans.agg(F.coalesce(F.max("total"), F.lit(0))).head()[0], fanout)
     runs, subroots = merge_peaks(found, height, fanout, scratch)
@@ -152,29 +164,73 @@ def prove_rows(docs: DataFrame, group: str, key: str, fields: list[str], extra:
     numbered = scratch.table(numbered, "groups")
     top_height = tree_height(numbered.count(), fanout)
     top_runs, roots = merge_peaks(numbered.drop("name"), top_height, fanout, scratch)
-    at = lambda level: F.floor(F.col("idx") / F.pow(F.lit(fanout), F.col(level))).cast("bigint")
     climbed = numbered.select("name", "idx", F.explode(F.sequence(F.lit(0), F.lit(top_height))).alias("l")).where(F.col("l") < top_height)
-    on_way = climbed.select("name", F.col("l").alias("level"), at("l").alias("node"), F.floor(at("l") / fanout).alias("run")).join(top_runs.select("level", "run", "children"), ["level", "run"])
+    on_way = climbed.select("name", F.col("l").alias("level"), _at("l", fanout).alias("node"), F.floor(_at("l", fanout) / fanout).alias("run")).join(top_runs.select("level", "run", "children"), ["level", "run"])
     ways = on_way.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("level", "node", "children"))).alias("above"))
     tops = numbered.select("grp", "name", F.col("hash").alias("subroot")).join(ways, "name", "left").join(roots, "grp")
     tops = scratch.table(tops.drop("grp").withColumnRenamed("name", "grp"), "tops")
+    scratch.drop("peaks", "subroots", "groups")
+    return Manifest(placed, spans, runs, tops, height, fanout, key, list(extra))
+
+
+def rows_of(placed: DataFrame) -> DataFrame:
+    return placed.select("part", "grp", "place", "leaf")
+
+
+def _by_part(rows: DataFrame, others: DataFrame):
+    return rows.groupBy("part", "grp").cogroup(others.groupBy("part", "grp"))
+
+
+def _at(level: str, fanout: int) -> Column:
+    """The index of a leaf's node on a level."""
+    return F.floor(F.col("idx") / F.pow(F.lit(fanout), F.col(level))).cast("bigint")
+
 
+def _node_table(span: pa.Table, found: list[tuple[int, int, int, str]], schema: str) -> pa.Table:
+    columns = list(zip(*found, strict=True)) or [()] * 4
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return pa.table([pa.array([span["grp"][0].as_py()] * len(found), pa.string()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+
+def inner_nodes(manifest: Manifest) -> DataFrame:
+    """(grp, level, idx, hash) of all inner nodes of the groups' trees: those that partitions completed, and those over their edges.
+
+    A group's name follows an equals sign; the group of rows without one has none.
+    """
+    fanout = manifest.fanout
+
+    def records(rows: pa.Table, span: pa.Table) -> pa.Table:
+        return _node_table(span, [(level + 1, run, len(children), node(children)) for level, run, children in _climb(rows, span, fanout).records], NODE)
+
+    own = _by_part(rows_of(manifest.rows), manifest.spans).applyInArrow(records, NODE).drop("width")
+    merged = manifest.runs.select("grp", (F.col("level") + 1).alias("level"), F.col("run").alias("idx"), F.sha2(F.array_join("children", ""), 256).alias("hash"))
+    return own.unionByName(merged)
+
+
+def prove(manifest: Manifest) -> DataFrame:
+    """A row for each row of the table: key, ``extra`` columns, leaf, subroot (of the group), root, and proof.
+
+    A proof is an array of (before, after) from the leaf's level up to the root: the hex digests of the siblings on both sides,
+    one after another.
+    """
+    placed, spans, fanout = manifest.rows, manifest.spans, manifest.fanout
     # The runs that lie across a partition's edges: on each level those of its first and of its last row.
     ends = spans.select("part", "grp", F.explode(F.array("start", F.col("start") + F.col("n") - 1)).alias("idx"))
-    ends = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(height))).alias("level"))
-    ends = ends.select("part", "grp", "level", F.floor(at("level") / fanout).alias("run")).distinct()
-    edges = ends.join(runs, ["grp", "level", "run"]).groupBy("part", "grp").agg(F.collect_list(F.struct("level", "run", "children")).alias("edges"))
-    frames = spans.join(edges, ["part", "grp"], "left").join(tops, "grp")
+    ends = ends.select("*", F.explode(F.sequence(F.lit(0), F.lit(manifest.height))).alias("level"))
+    ends = ends.select("part", "grp", "level", F.floor(_at("level", fanout) / fanout).alias("run")).distinct()
+    edges = ends.join(manifest.runs, ["grp", "level", "run"]).groupBy("part", "grp").agg(F.collect_list(F.struct("level", "run", "children")).alias("edges"))
+    frames = spans.join(edges, ["part", "grp"], "left").join(manifest.groups, "grp")
 
-    fields_out = [T.StructField("key", docs.schema[key].dataType), *[f for f in placed.schema if f.name.startswith("extra_")], T.StructField("leaf", T.StringType())]
+    fields_out = [f for f in placed.schema if f.name in ("key", "leaf") or f.name.startswith("extra_")]
     step = T.StructType([T.StructField("before", T.StringType()), T.StructField("after", T.StringType())])
     schema = T.StructType([*fields_out, T.StructField("subroot", T.StringType()), T.StructField("root", T.StringType()), T.StructField("proof", T.ArrayType(step))])
     carried = [f.name for f in fields_out]
 
-    def prove(rows: pa.Table, frame: pa.Table) -> pa.Table:
+    def climb(rows: pa.Table, frame: pa.Table) -> pa.Table:
         span = frame.to_pylist()[0]
         rows = rows.sort_by("place")
-        mountains = _climb(rows, span["start"], span["total"], fanout)
+        mountains = _climb(rows, frame, fanout)
         known = {(level, run): children for level, run, children in mountains.records}
         known |= {(e["level"], e["run"]): e["children"] for e in span["edges"] or []}
         highest = len(mountains.widths) - 1
@@ -200,9 +256,8 @@ def prove_rows(docs: DataFrame, group: str, key: str, fields: list[str], extra:
         columns = [*[rows[c].combine_chunks() for c in carried], pa.array([span["subroot"]] * n, pa.string()), pa.array([span["root"]] * n, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), steps)]
         return pa.table(columns, [f.name for f in schema])
 
-    proven = placed.groupBy("part", "grp").cogroup(frames.groupBy("part", "grp")).applyInArrow(prove, schema)
-    scratch.drop("peaks", "hot")
-    return proven.select(F.col("key").alias(key), *[F.col(f"extra_{n}").alias(n) for n in extra], "leaf", "subroot", "root", "proof")
+    proven = _by_part(placed, frames).applyInArrow(climb, schema)
+    return proven.select(F.col("key").alias(manifest.key), *[F.col(f"extra_{n}").alias(n) for n in manifest.extra], "leaf", "subroot", "root", "proof")
 
 
 def proof_text(proof: Column) -> Column:

@@ -3,16 +3,19 @@
 Each source's target is a number of words. A document's expected number of copies is proportional to its weight (equal
 weights unless given), at most ``max_copies``, and such that the source's expected words are its target. The whole part is
 allocated for certain; the rest is the document's inclusion probability p. Documents are ranked by ``odds(u) / odds(p)``, u being
-an even hash of the row, and a source's first documents in this order are taken: a sample of fixed size with unequal
-probabilities. The size is counted in words, so the source's missing words end inside some document; from there on the next
-``LOOK_AHEAD`` documents are taken in order of rank if they fit into the words still missing, and at last the first that brings
-the sum nearer to its target. A document larger than what is missing at its rank is thus somewhat less likely than p.
+an even hash of the row, and the first in this order are taken: a sample of fixed size with unequal probabilities.
 
-A source is never sorted: words and documents are summed by range of rank, and only the ranges in which the missing words end,
-and those of the next ``LOOK_AHEAD`` documents, are sorted. Ranks use MD5, so that other engines can repeat them.
+A target is in words and documents differ in size, so each source is sampled in classes of size (words between two powers of
+two), the largest first. A class has the words that its documents are expected to give, and what the classes before it gave too few or
+too many. Its documents are taken in order of rank while their words fit; the group of ranks at which they run out is taken with the
+probability that its words are still missing, decided once for the class, and the difference goes to the next class. Inside a class no
+document is taken before one of a lower rank; what is left open in the end is about the size of the smallest documents.
 
-Defined cases: null texts have no words; a null source is a source, the last in order; equal rows are taken together;
-sources without words have target 0; weights are rounded to eighths and lie between 1/8 and 8, null is 1; an empty table
+A source is never sorted: words are summed by class and range of rank (``RANK_RANGES`` of them), and a class ends between two
+ranges. Ranks use MD5, so that other engines can repeat them.
+
+Defined cases: null texts have no words; a null source is a source, the last in order; equal rows have one rank and are taken
+together; sources without words have target 0; weights are rounded to eighths and lie between 1/8 and 8, null is 1; an empty table
 gives an empty result.
 """
 
@@ -23,10 +26,8 @@ from pyspark.sql import functions as F
 
 from pricescope.llm.common import WORD, Scratch
 
-#: Ranges of rank in which a source's words are summed.
-RANK_RANGES = 4096
-#: Documents that are tried in the words left open, in order of rank.
-LOOK_AHEAD = 64
+#: Ranges of rank in which the words of a source's class of size are summed.
+RANK_RANGES = 1 << 14
 #: The table of sources is broadcast up to so many rows, and joined by shuffle beyond.
 BROADCAST_SOURCES = 50_000
 
@@ -56,7 +57,7 @@ def targets(sizes: DataFrame, max_copies: int = 3) -> DataFrame:
 
 
 def expected_copies(classes: DataFrame, sources: DataFrame, max_copies: int) -> DataFrame:
-    """(source, weight_class, whole, odds): copies for certain and the odds of one more, for each source and weight.
+    """(source, weight_class, whole, p, odds): copies for certain, and the probability and odds of one more, for each source and weight.
 
     With w the weight, a document is expected min(max_copies, w * level) times; the level makes the expected words of the source its
     target. The largest weights are capped as long as the level, had they not been, would put them above the cap.
@@ -70,73 +71,80 @@ def expected_copies(classes: DataFrame, sources: DataFrame, max_copies: int) ->
     judged = summed.selectExpr("*", f"open_words * weight_class >= {max_copies} * weighed AS is_capped")
     level = judged.selectExpr("*", "max(CASE WHEN NOT is_capped THEN struct(weight_class, open_words / weighed AS level) END) OVER (PARTITION BY source) AS open")
     expected = level.selectExpr("source", "weight_class", "words", f"CASE WHEN weighed = 0 THEN 0D WHEN is_capped THEN {max_copies}D ELSE weight_class * open.level END AS expected")
-    return expected.selectExpr("source", "weight_class", "words", "floor(expected) AS whole", "(expected - floor(expected)) / (1 - (expected - floor(expected))) AS odds")
+    return expected.selectExpr("source", "weight_class", "floor(expected) AS whole", "expected - floor(expected) AS p").selectExpr("*", "p / (1 - p) AS odds")
 
 
 def slim_columns(weight: Column | None, seed: int) -> list[Column]:
-    """doc_id, source, size, weight_class, and u, an even number in (0, 1) that is the same in every run."""
+    """doc_id, source, size, weight_class, size_class (binary digits of the size), and u, an even number in (0, 1) that is the same in every run."""
     eighths = F.lit(8) if weight is None else F.coalesce(F.greatest(F.lit(1), F.least(F.lit(64), F.round(weight * 8))), F.lit(8))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)).cast("binary"))
-    u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return [F.col("doc_id"), F.col("source"), size.alias("size"), eighths.cast("int").alias("weight_class"), u.alias("u")]
+    return [F.col("doc_id"), F.col("source"), size.alias("size"), eighths.cast("int").alias("weight_class"), F.length(F.bin(size)).alias("size_class"), even(hashed).alias("u")]
+
+
+def even(digest: Column) -> Column:
+    """An even number in (0, 1) from a digest in hex."""
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
 
+def ranked_rows(slim: DataFrame, copies: DataFrame) -> DataFrame:
+    """The slim rows with their class's copies and odds, their rank, and its range. Without odds a row isn't ranked.
 
-def ranked_rows(slim: DataFrame, classes: DataFrame) -> DataFrame:
-    """The slim rows with their class's copies and odds, their rank, and its range. Without odds a row isn't ranked."""
-    joined = slim.join(broadcast_small(classes.selectExpr("source AS s", "weight_class AS w", "whole", "odds")), slim["source"].eqNullSafe(F.col("s")) & (F.col("weight_class") == F.col("w")))
+    A class ends near rank 1, where u is p: ranges are the narrower, the nearer to it.
+    """
+    joined = slim.join(broadcast_small(copies.selectExpr("source AS s", "weight_class AS w", "whole", "odds")), slim["source"].eqNullSafe(F.col("s")) & (F.col("weight_class") == F.col("w")))
     rank = F.try_divide(F.col("u") / (1 - F.col("u")), F.col("odds"))
-    return joined.drop("s", "w").withColumn("rank", rank).withColumn("rank_range", F.floor(F.col("rank") / (1 + F.col("rank")) * RANK_RANGES))
+    beyond = F.col("rank") / (1 + F.col("rank")) * 2 - 1
+    return joined.drop("s", "w").withColumn("rank", rank).withColumn("rank_range", F.floor((F.cbrt(beyond) + 1) * (RANK_RANGES // 2)))
+
+
+def fill(missing: Column, classes: Column) -> Column:
+    """(left, cuts) after all classes of a source: the words left open, and by class the number of its ranges of rank that are taken.
+
+    ``classes`` has (size_class, expected, v, words of its ranges in order, their sums up to each), the largest class first. v is even in (0, 1).
+    """
+
+    def take(acc: Column, c: Column) -> Column:
+        open_words = acc["left"] + c["expected"]
+        fits = F.size(F.filter(c["upto"], lambda x: x <= open_words))
+        given = F.coalesce(F.get(c["upto"], fits - 1), F.lit(0)).cast("double")
+        following = F.coalesce(F.get(c["words"], fits), F.lit(0)).cast("double")
+        more = (following > 0) & (open_words - given > c["v"] * following)
+        left = open_words - given - F.when(more, following).otherwise(0.0)
+        return F.struct(left.alias("left"), F.concat(acc["cuts"], F.array(F.struct(c["size_class"].alias("size_class"), (fits + more.cast("int")).alias("taken")))).alias("cuts"))
+
+    start = F.struct(missing.cast("double").alias("left"), F.array().cast("array<struct<size_class: int, taken: int>>").alias("cuts"))
+    return F.aggregate(classes, start, take)
 
 
 def plan_mix(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The slim table of documents (written to the shared folder), the table of classes, and that of sources with what each takes."""
+    """The slim table of documents (written to the shared folder), that of copies by weight, and that of sources with the last range of rank taken of each class."""
     scratch = Scratch(docs.sparkSession, "mix")
     slim = scratch.table(docs.select(*slim_columns(weight, seed)), "sizes")
-    classes = scratch.table(slim.groupBy("source", "weight_class").agg(F.sum("size").alias("words")), "classes")
+    classes = scratch.table(slim.groupBy("source", "weight_class", "size_class").agg(F.sum("size").alias("words")), "classes")
     sources = scratch.table(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), max_copies), "sources")
-    classes = scratch.table(expected_copies(classes, sources, max_copies), "copies")
-    whole = classes.groupBy("source").agg(F.sum(F.col("whole") * F.col("words")).alias("whole_words"))
-    missing = sources.join(whole.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select("source", (F.col("target") - F.col("whole_words")).alias("missing"))
-
-    # The range of rank in which each source's missing words end, and the one by which LOOK_AHEAD more documents have come.
-    ranked = ranked_rows(slim, classes).where("rank IS NOT NULL AND size > 0")
-    by_range = scratch.table(ranked.groupBy("source", "rank_range").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "ranges")
-    order = "PARTITION BY source ORDER BY rank_range"
-    summed = by_range.selectExpr("source", "rank_range", f"sum(words) OVER ({order}) - words AS before", f"sum(words) OVER ({order}) AS upto", f"sum(n) OVER ({order}) - n AS n_before", f"sum(n) OVER ({order}) AS n_upto")
-    summed = summed.join(missing.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    begin = "min(CASE WHEN upto > missing THEN struct(rank_range, before, n_upto) END) OVER (PARTITION BY source)"
-    edges = summed.selectExpr("*", f"{begin} AS edge").where(f"edge IS NOT NULL AND rank_range >= edge.rank_range AND n_before < edge.n_upto + {LOOK_AHEAD}")
-    edge = edges.groupBy("source").agg(F.first("missing").alias("missing"), F.first("edge.rank_range").alias("low"), F.first("edge.before").alias("before"), F.max("rank_range").alias("high"))
-    edge = scratch.table(edge.withColumnRenamed("source", "s"), "edges")
-
-    # Inside these ranges: equal rows are one, and the first that doesn't fit begins the list of those that are tried.
-    inside = ranked.join(broadcast_small(edge), ranked["source"].eqNullSafe(F.col("s")) & F.col("rank_range").between(F.col("low"), F.col("high")))
-    inside = inside.groupBy("source", "rank", "u", "doc_id").agg(F.sum("size").alias("size"), F.first("missing").alias("missing"), F.first("before").alias("before"))
-    placed = inside.selectExpr("*", "before + sum(size) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto")
-    late = placed.selectExpr("*", "count_if(upto > missing) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS late").where(f"late <= {LOOK_AHEAD}")
-    tried = F.transform(F.sort_array(F.collect_list(F.when(F.col("late") > 0, F.struct("late", "size", "u", "doc_id")))), lambda x: F.struct(x["size"].alias("size"), x["u"].alias("u"), x["doc_id"].alias("doc_id")))
-    lists = late.groupBy("source").agg(
-        F.max(F.when(F.col("late") == 0, F.struct("rank", "u", "doc_id"))).alias("last"),
-        (F.first("missing") - F.coalesce(F.max(F.when(F.col("late") == 0, F.col("upto"))), F.first("before"))).alias("gap"),
-        tried.alias("tried"),
-    )
-
-    def fits(acc: Column, x: Column) -> Column:
-        return F.when(x["size"] <= acc["gap"], F.struct((acc["gap"] - x["size"]).alias("gap"), F.concat(acc["taken"], F.array(F.struct(x["u"].alias("u"), x["doc_id"].alias("doc_id")))).alias("taken"))).otherwise(acc)
-
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast(f"array<struct<u: double, doc_id: {kind}>>").alias("taken"))
-    key = lambda x: F.struct(x["u"].alias("u"), x["doc_id"].alias("doc_id"))
-    near = lambda x: (x["size"] < 2 * F.col("filled.gap")) & ~F.exists("filled.taken", lambda y: y.eqNullSafe(key(x)))
-    filled = lists.select(F.col("source").alias("e"), "last", "tried", F.aggregate("tried", start, fits).alias("filled"))
-    extras = filled.select("e", "last", F.concat("filled.taken", F.transform(F.slice(F.filter("tried", near), 1, 1), key)).alias("extras"))
-    plan = sources.select(F.col("source").alias("plan_source"), "source_size", "target").join(edge.select("s", "low"), F.col("plan_source").eqNullSafe(F.col("s")), "left").drop("s")
-    plan = plan.join(extras, F.col("plan_source").eqNullSafe(F.col("e")), "left").drop("e")
+    copies = scratch.table(expected_copies(classes.groupBy("source", "weight_class").agg(F.sum("words").alias("words")), sources, max_copies), "copies")
+
+    # By class of size: the words expected beyond whole copies, and those of each range of rank.
+    chances = classes.join(copies.selectExpr("source AS s", "weight_class AS w", "p"), F.col("source").eqNullSafe(F.col("s")) & (F.col("weight_class") == F.col("w")))
+    expected = chances.groupBy("source", "size_class").agg(F.sum(F.col("words") * F.col("p")).alias("expected"))
+    ranked = ranked_rows(slim, copies).where("rank IS NOT NULL AND size > 0")
+    by_range = ranked.groupBy("source", "size_class", "rank_range").agg(F.sum("size").alias("words"))
+    by_range = scratch.table(by_range.selectExpr("*", "sum(words) OVER (PARTITION BY source, size_class ORDER BY rank_range) AS upto"), "ranges")
+    place = F.struct("rank_range", "words", "upto")
+    ranges = by_range.groupBy(F.col("source").alias("s"), F.col("size_class").alias("c")).agg(F.sort_array(F.collect_list(place)).alias("ranges"))
+    joined = expected.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("size_class") == F.col("c")))
+    v = even(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce("source", F.lit("")), "size_class").cast("binary")))
+    described = F.struct("size_class", "expected", v.alias("v"), F.col("ranges.words").alias("words"), F.col("ranges.upto").alias("upto"), F.col("ranges.rank_range").alias("ranges"))
+    by_source = joined.groupBy("source").agg(F.sort_array(F.collect_list(described), asc=False).alias("classes"))
+    filled = by_source.select("source", fill(F.lit(0.0), F.col("classes"))["cuts"].alias("cuts"), "classes")
+    last = F.zip_with("classes", "cuts", lambda c, cut: F.struct(c["size_class"].alias("size_class"), F.coalesce(F.get(c["ranges"], cut["taken"] - 1), F.lit(-1)).alias("last")))
+    cuts = filled.select(F.col("source").alias("s"), F.map_from_entries(last).alias("last"))
+    plan = sources.select(F.col("source").alias("plan_source"), "source_size", "target").join(cuts, F.col("plan_source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = scratch.table(plan, "plan")
     scratch.keep("sizes", "copies", "plan")
-    return slim, classes, plan
+    return slim, copies, plan
 
 
 def broadcast_small(table: DataFrame) -> DataFrame:
@@ -144,20 +152,18 @@ def broadcast_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
 
 
-def _with_copies(slim: DataFrame, classes: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of ``slim``, their source's plan, and how often each is taken. A source without an edge takes all it ranks."""
-    ranked = ranked_rows(slim, classes)
+def _with_copies(slim: DataFrame, copies: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``slim``, their source's plan, and how often each is taken."""
+    ranked = ranked_rows(slim, copies)
     joined = ranked.join(broadcast_small(plan), ranked["source"].eqNullSafe(F.col("plan_source")))
-    first = F.col("low").isNull() | (F.col("rank_range") < F.col("low")) | F.coalesce(F.struct("rank", "u", "doc_id") <= F.col("last"), F.lit(False))
-    late = F.exists(F.coalesce("extras", F.array().cast(plan.schema["extras"].dataType)), lambda x: x.eqNullSafe(F.struct("u", "doc_id")))
-    taken = F.col("rank").isNotNull() & (F.col("size") > 0) & (F.coalesce(first, F.lit(False)) | late)
+    taken = F.col("rank").isNotNull() & (F.col("size") > 0) & F.coalesce(F.col("rank_range") <= F.try_element_at("last", F.col("size_class")), F.lit(False))
     return joined.withColumn("copies", (F.col("whole") + taken.cast("long")).cast("long"))
 
 
 def mix(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
     """One slim row for each row of ``docs``: its words, its source's size and target, and the copies that the mix takes."""
-    slim, classes, plan = plan_mix(docs, max_copies, seed, weight)
-    return _with_copies(slim, classes, plan).select("doc_id", "source", "size", "source_size", "target", "copies")
+    slim, copies, plan = plan_mix(docs, max_copies, seed, weight)
+    return _with_copies(slim, copies, plan).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix_documents(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight: Column | None = None) -> DataFrame:
@@ -166,9 +172,9 @@ def mix_documents(docs: DataFrame, max_copies: int = 3, seed: int = 20, weight:
     Ranks are recomputed beside the text, and compared with the sources' thresholds: the texts aren't shuffled while
     the table of sources is small.
     """
-    _, classes, plan = plan_mix(docs, max_copies, seed, weight)
+    _, copies, plan = plan_mix(docs, max_copies, seed, weight)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     measured = docs.select(row.alias("__row"), *slim_columns(weight, seed))
-    joined = _with_copies(measured, classes, plan)
+    joined = _with_copies(measured, copies, plan)
     repeated = joined.select("__row", F.explode(F.sequence(F.lit(1), F.lit(max_copies))).alias("copy"), "copies")
     return repeated.where("copy <= copies").select("__row.*")

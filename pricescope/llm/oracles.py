@@ -25,43 +25,49 @@ FROM u
 
 OP2 = r"""
 WITH RECURSIVE rows AS (
-  SELECT row_number() OVER () AS r, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+  SELECT *, least(64, greatest(1, coalesce(floor(8 * length(text) / nullif(5 * size, 0)), 8)))::BIGINT AS weight_class, length(bin(size)) AS size_class
+  FROM (SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
     (('0x' || md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
-  FROM documents),
+    FROM documents)),
 sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * CAST(sum(size) AS BIGINT) AS cap
   FROM rows GROUP BY source),
 levels AS (
   SELECT b, (any_value(total) - coalesce(sum(cap) FILTER (cap / weight <= b), 0)::DOUBLE) / (sum(weight) FILTER (cap / weight > b))::DOUBLE AS level, min(cap / weight) FILTER (cap / weight > b) AS next
   FROM sources, (SELECT -1.0 AS b UNION SELECT DISTINCT cap / weight FROM sources), (SELECT sum(source_size)::DOUBLE AS total FROM sources) GROUP BY b),
-goals AS (
-  SELECT *, target / source_size AS e, floor(target / source_size)::BIGINT AS whole
-  FROM (SELECT source, source_size, least(cap, weight * level) AS target FROM sources, (SELECT level FROM levels WHERE level >= b AND level < next ORDER BY b LIMIT 1))),
-parts AS (SELECT *, (e - whole) / nullif(1 - (e - whole), 0) AS odds, target - whole * source_size AS missing FROM goals),
+goals AS (SELECT source, source_size, least(cap, weight * level) AS target FROM sources, (SELECT level FROM levels WHERE level >= b AND level < next ORDER BY b LIMIT 1)),
+weights AS (SELECT source, weight_class AS w, sum(size)::BIGINT AS words FROM rows GROUP BY source, weight_class),
+within AS (
+  SELECT a.source, a.w AS b, any_value(target) AS target, coalesce(sum(x.words) FILTER (x.w > a.w), 0)::BIGINT AS capped, sum(x.words * x.w) FILTER (x.w <= a.w)::BIGINT AS weighed, min(x.w) FILTER (x.w > a.w) AS next
+  FROM weights a JOIN weights x ON x.source IS NOT DISTINCT FROM a.source JOIN goals g ON g.source IS NOT DISTINCT FROM a.source GROUP BY a.source, a.w),
+open AS (
+  SELECT source, b, level FROM (SELECT *, (target - 3 * capped)::DOUBLE / nullif(weighed, 0) AS level FROM within)
+  WHERE level * b < 3 AND (next IS NULL OR level * next >= 3) QUALIFY row_number() OVER (PARTITION BY source ORDER BY b DESC) = 1),
+copies AS (
+  SELECT *, floor(e)::BIGINT AS whole, e - floor(e) AS p FROM (
+    SELECT g.source, w, words, CASE WHEN source_size = 0 THEN 0 WHEN o.source_found IS NULL OR w > o.b THEN 3 ELSE w * o.level END::DOUBLE AS e
+    FROM weights JOIN goals g ON g.source IS NOT DISTINCT FROM weights.source LEFT JOIN (SELECT *, true AS source_found FROM open) o ON o.source IS NOT DISTINCT FROM g.source)),
 ranked AS (
-  SELECT rows.*, missing, CASE WHEN odds > 0 THEN u / (1 - u) / odds END AS rank
-  FROM rows JOIN parts ON rows.source IS NOT DISTINCT FROM parts.source WHERE size > 0),
-units AS (SELECT source, rank, u, doc_id, sum(size)::BIGINT AS size, any_value(missing) AS missing FROM ranked WHERE rank IS NOT NULL GROUP BY source, rank, u, doc_id),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS upto FROM units),
-tried AS (SELECT *, count(*) FILTER (upto > missing) OVER (PARTITION BY source ORDER BY rank, u, doc_id ROWS UNBOUNDED PRECEDING) AS late FROM summed),
+  SELECT r, rows.source, size, size_class, whole, p, CASE WHEN p > 0 AND size > 0 THEN floor((cbrt(rank / (1 + rank) * 2 - 1) + 1) * 8192)::BIGINT END AS rank_range
+  FROM (SELECT *, u / (1 - u) / nullif(p / (1 - p), 0) AS rank FROM rows JOIN copies ON rows.source IS NOT DISTINCT FROM copies.source AND rows.weight_class = copies.w) rows),
+expected AS (SELECT source, size_class, sum(size * p) AS expected FROM ranked GROUP BY source, size_class),
+ranges AS (SELECT source, size_class, rank_range, sum(size)::BIGINT AS words FROM ranked WHERE rank_range IS NOT NULL GROUP BY source, size_class, rank_range),
+summed AS (SELECT *, sum(words) OVER (PARTITION BY source, size_class ORDER BY rank_range)::BIGINT AS upto FROM ranges),
+classes AS (
+  SELECT s.source, s.size_class, any_value(expected) AS expected, list(rank_range ORDER BY rank_range) AS cells, list(words ORDER BY rank_range) AS words, list(upto ORDER BY rank_range) AS upto,
+    (('0x' || md5('20:' || coalesce(s.source, '') || ':' || s.size_class)[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS v, row_number() OVER (PARTITION BY s.source ORDER BY s.size_class DESC) AS step
+  FROM summed s JOIN expected e ON e.source IS NOT DISTINCT FROM s.source AND e.size_class = s.size_class GROUP BY s.source, s.size_class),
 walk AS (
-  SELECT source, 0::BIGINT AS late, missing - coalesce(max(upto) FILTER (late = 0), 0) AS gap, false AS takes FROM (SELECT *, any_value(missing) OVER (PARTITION BY source) FROM tried) GROUP BY source, missing
+  SELECT DISTINCT source, 0::BIGINT AS step, NULL::INTEGER AS size_class, NULL::BIGINT AS last, 0::DOUBLE AS carried FROM classes
   UNION ALL
-  SELECT w.source, t.late, CASE WHEN t.size <= w.gap THEN w.gap - t.size ELSE w.gap END, t.size <= w.gap
-  FROM walk w JOIN tried t ON t.source IS NOT DISTINCT FROM w.source AND t.late = w.late + 1 AND t.late <= 64),
-ends AS (SELECT source, arg_min(gap, -late) AS gap FROM walk GROUP BY source),
-last AS (
-  SELECT w.source, min(w.late) AS late FROM walk w JOIN tried t ON t.source IS NOT DISTINCT FROM w.source AND t.late = w.late JOIN ends e ON e.source IS NOT DISTINCT FROM w.source
-  WHERE w.late > 0 AND NOT w.takes AND t.size < 2 * e.gap GROUP BY w.source),
-chosen AS (
-  SELECT t.source, t.u, t.doc_id FROM tried t WHERE t.late = 0
-  UNION ALL
-  SELECT t.source, t.u, t.doc_id FROM tried t JOIN walk w ON t.source IS NOT DISTINCT FROM w.source AND t.late = w.late AND w.takes AND w.late > 0
-  UNION ALL
-  SELECT t.source, t.u, t.doc_id FROM tried t JOIN last l ON t.source IS NOT DISTINCT FROM l.source AND t.late = l.late)
-SELECT rows.doc_id, rows.size::BIGINT AS size, g.source_size, g.target, rows.size * (coalesce(g.whole, 0) + (c.u IS NOT NULL)::BIGINT) AS taken
-FROM rows JOIN goals g ON rows.source IS NOT DISTINCT FROM g.source
-LEFT JOIN chosen c ON c.source IS NOT DISTINCT FROM rows.source AND c.u = rows.u AND c.doc_id IS NOT DISTINCT FROM rows.doc_id
+  SELECT source, step, size_class, cells[fits + CASE WHEN more THEN 1 ELSE 0 END], missing - given - CASE WHEN more THEN following ELSE 0 END FROM (
+    SELECT *, following > 0 AND missing - given > v * following AS more FROM (
+      SELECT *, coalesce(upto[fits], 0)::DOUBLE AS given, coalesce(words[fits + 1], 0)::DOUBLE AS following FROM (
+        SELECT c.*, carried + expected AS missing, len(list_filter(c.upto, lambda x: x <= carried + expected)) AS fits
+        FROM walk JOIN classes c ON c.source IS NOT DISTINCT FROM walk.source AND c.step = walk.step + 1))))
+SELECT rows.doc_id, rows.size, g.source_size, g.target, rows.size * (k.whole + coalesce(k.rank_range <= w.last, false)::BIGINT) AS taken
+FROM rows JOIN ranked k USING (r) JOIN goals g ON rows.source IS NOT DISTINCT FROM g.source
+LEFT JOIN walk w ON w.source IS NOT DISTINCT FROM rows.source AND w.size_class = rows.size_class
 """
 
 _OP4_WORDS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
