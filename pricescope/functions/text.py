@@ -42,29 +42,35 @@ POSITIVE = sorted({w.translate(str.maketrans(_LETTERS_FROM, _LETTERS_TO)) for w
 NEGATIVE = sorted({w.translate(str.maketrans(_LETTERS_FROM, _LETTERS_TO)) for w in lexicon.NEGATIVE.split()})
 
 
-def is_meaningful(token: Column) -> Column:
+def _has_substance(token: Column) -> Column:
+    """Neither too short nor a number."""
     n = F.length(token)
     short = (n < 2) | ((n == 2) & token.rlike("^[a-z]+$"))
-    return ~short & ~token.isin(STOPWORDS) & ~token.rlike("^[0-9]+$")
+    return ~short & ~token.rlike("^[0-9]+$")
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(normalize_arabic(F.coalesce(text, F.lit(""))), F.lit(WORD_RUN), F.lit(0))
+def is_meaningful(token: Column) -> Column:
+    return ~token.isin(STOPWORDS) & _has_substance(token)
 
 
-def _token(word: Column) -> Column:
-    """A word of a text without diacritics, normalised; null if it says nothing."""
-    normal = strip_article(F.translate(F.lower(word), _LETTERS_FROM, _LETTERS_TO))
-    return F.when(is_meaningful(normal), normal)
+#: The article at the beginning of a word, where three letters at least follow (see ``strip_article``).
+_ARTICLE = rf"(?<!{WORD_RUN[:-1]})(?:(?:{'|'.join(lexicon.ARTICLES)})|لل|ال)(?={WORD_RUN[:-1]}{{3}})"
 
 
-def token_sequence(text: Column) -> Column:
-    """Every word, normalised; null where a word says nothing, so that phrases don't reach across it."""
-    return F.transform(_words(text), _token)
+def normal_words(text: Column) -> Column:
+    """Every word of a text, normalised and without its article. The text is normalised as a whole, so that no word is touched on its own."""
+    plain = F.translate(F.lower(normalize_arabic(F.coalesce(text, F.lit("")))), _LETTERS_FROM, _LETTERS_TO)
+    return F.regexp_extract_all(F.regexp_replace(plain, _ARTICLE, ""), F.lit(WORD_RUN), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(token_sequence(text), lambda t: t.isNotNull())
+    """The words of a text that say something, normalised, in order."""
+    return F.filter(normal_words(text), is_meaningful)
+
+
+def distinct_tokens(text: Column) -> Column:
+    """The different tokens of a text. Stop words go all at once, before the other words are looked at."""
+    return F.filter(F.array_except(normal_words(text), F.array(*[F.lit(w) for w in STOPWORDS])), _has_substance)
 
 
 def count_words(text: Column) -> Column:
@@ -72,17 +78,22 @@ def count_words(text: Column) -> Column:
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, term, n): words, and pairs of adjoining words.
+    """(keys, term, n): words, and pairs of adjoining words, of each row. A row is one text: nothing is shuffled.
 
-    A text's words become rows, each with the next one beside it, before they are judged: so rules run as compiled code.
+    A text's terms are sorted inside its row, where equal ones are one run; runs become rows and are judged there, as compiled code.
+    Phrases don't reach across a word that says nothing.
     """
-    held = rows.select(*keys, _words(F.col(text)).alias("words"))
-    beside = F.arrays_zip("words", F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("next"))
-    pairs = held.select(*keys, F.explode(beside).alias("w")).select(*keys, F.col("w.words").alias("word"), F.col("w.next").alias("next"))
-    judged = pairs.select(*keys, _token(F.col("word")).alias("token"), _token(F.col("next")).alias("next")).where("token IS NOT NULL")
-    phrase = F.when(F.col("next").isNotNull(), F.concat_ws(" ", "token", "next"))
-    terms = judged.select(*keys, F.explode(F.array("token", phrase)).alias("term")).where("term IS NOT NULL")
-    return terms.groupBy(*keys, "term").agg(F.count("*").alias("n"))
+    held = rows.select(*keys, normal_words(F.col(text)).alias("words"))
+    follows = F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice("words", F.lit(1), F.greatest(F.size("words") - 1, F.lit(0))), follows, lambda a, b: F.concat(a, F.lit(" "), b))
+    held = held.where(F.size("words") > 0).select(*keys, F.sort_array(F.concat("words", pairs)).alias("terms"))
+    begins = F.filter(F.sequence(F.lit(0), F.size("terms") - 1), lambda i: (i == 0) | (F.get("terms", i - 1) != F.get("terms", i)))
+    held = held.select(*keys, "terms", begins.alias("begins"))
+    ends = F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(F.size("terms")))
+    runs = F.zip_with("begins", ends, lambda b, e: F.struct(F.get("terms", b).alias("term"), (e - b).cast("bigint").alias("n")))
+    terms = held.select(*keys, F.inline(runs))
+    one, other = F.substring_index("term", " ", 1), F.substring_index("term", " ", -1)
+    return terms.where(is_meaningful(one) & (~F.contains("term", F.lit(" ")) | is_meaningful(other)))
 
 
 def vocabulary_overlap(n: Column, terms: Column, other_n: Column, other_terms: Column) -> Column:

@@ -39,7 +39,10 @@ def store_compliance(listed: DataFrame, products: DataFrame, retailers: DataFram
 
 
 def brand_list(products: DataFrame, compliance: DataFrame, focus: list[str]) -> DataFrame:
-    """One row for each brand: products, stores and sums over stores (brand stores included); focus brands first."""
+    """One row for each brand: products, stores and sums over stores (brand stores included); focus brands first.
+
+    Brands are numbered in one task, after all sums: they are a list that people look through, thousands at most.
+    """
     counted = products.groupBy("brand").agg(F.count("*").alias("product_count"))
     sums = compliance.groupBy("brand").agg(
         F.count("*").alias("store_count"), *[F.sum(c).alias(c) for c in ("below_official", "above_official", "out_of_stock")]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricescope.functions import lexicon, text
 from pricescope.functions.numeric import round_half_up
+from pricescope.session import checkpointed
 
 TRACKED = ["title", "description", "bullets"]
+#: What an unchanged page may still tell anew: a version has it as it was seen last.
+REFRESHED = ["rating", "images", "language"]
+#: Products that the overview looks at.
+MOST_PRODUCTS = 500
 LIMITS = {"missing": 25, "shared": 20, "unique": 15}
 
 
@@ -20,14 +25,17 @@ def content_hash(fields: list[str]) -> Column:
 def versions(snapshots: DataFrame, fields: list[str] = TRACKED) -> DataFrame:
     """The snapshots that differ from the one before of their source, numbered, with the fields that changed.
 
-    A text that comes back is a new version. Snapshots without change only extend their version's last sight.
+    A text that comes back is a new version. Snapshots without change only extend their version's last sight, and refresh what isn't tracked.
     """
     over = "OVER (PARTITION BY source_id ORDER BY captured_at, snapshot_id)"
     hashed = snapshots.withColumn("hash", content_hash(fields))
     marked = hashed.withColumn("before", F.expr(f"lag(struct({', '.join(fields)}, hash)) {over}"))
     marked = marked.withColumn("fresh", F.col("before").isNull() | (F.col("before.hash") != F.col("hash")))
     marked = marked.withColumn("version", F.expr(f"count_if(fresh) {over}"))
-    spans = marked.groupBy("source_id", "version").agg(F.min("captured_at").alias("since"), F.max("captured_at").alias("last_seen"))
+    refreshed = [f for f in REFRESHED if f in snapshots.columns]
+    last = [F.max_by(F.struct(*refreshed), F.struct("captured_at", "snapshot_id")).alias("last")] if refreshed else []
+    spans = marked.groupBy("source_id", "version").agg(F.min("captured_at").alias("since"), F.max("captured_at").alias("last_seen"), *last)
+    spans = spans.select("source_id", "version", "since", "last_seen", *[F.col(f"last.{f}").alias(f) for f in refreshed])
     changed = F.filter(F.array(*[F.when(~F.col(f"before.{f}").eqNullSafe(F.col(f)), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     first = marked.where("fresh").select("source_id", "version", F.when(F.col("before").isNull(), F.array().cast("array<string>")).otherwise(changed).alias("changed"))
     return first.join(spans, ["source_id", "version"])
@@ -184,6 +192,19 @@ def scores(checks: DataFrame) -> DataFrame:
     return grouped.withColumn("score", round_half_up(F.try_divide(F.col("passes"), judged) * 100)).drop("passes")
 
 
+def capped_overview(pages: DataFrame, products: DataFrame, limit: int = MOST_PRODUCTS) -> DataFrame:
+    """The overview of the products that were checked last, at most ``limit``, and whether there are more (``truncated``).
+
+    They are chosen before any work on copy: of the pages, only theirs are read on.
+    """
+    first = products.orderBy(F.col("last_checked_at").desc(), F.col("product_id")).limit(limit + 1)
+    chosen = checkpointed(first.select("product_id", F.row_number().over(Window.orderBy(F.col("last_checked_at").desc(), F.col("product_id"))).alias("recency")))
+    truncated = chosen.agg((F.count("*") > limit).alias("truncated"))
+    shown = chosen.where(F.col("recency") <= limit)
+    rows = overview(pages.join(F.broadcast(shown.select("product_id")), "product_id", "left_semi"), shown.select("product_id"))
+    return rows.join(F.broadcast(shown), "product_id").join(F.broadcast(truncated))
+
+
 def overview(pages: DataFrame, products: DataFrame) -> DataFrame:
     """Every product with its score, band, and the key of each sort; nulls come last in either direction."""
     rows = products.join(scores(check_table(pages)), "product_id", "left")

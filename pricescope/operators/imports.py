@@ -16,7 +16,7 @@ def plan_sheet(stores: DataFrame, cells: DataFrame) -> DataFrame:
     """(row_id, store key, place, outcome, ...) of every filled cell.
 
     Stores go own first, then as listed. A cell with a price but no address, or with an address that is none, is skipped
-    with its reason; a cell without either is nothing.
+    with its reason; a cell without either is nothing. Stores are the columns of a sheet (some hundred at most): they are numbered in one task.
     """
     place = F.expr("row_number() OVER (ORDER BY is_own_store DESC, listed) - 1")
     ordered = stores.withColumn("sort_order", place)

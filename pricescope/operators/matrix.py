@@ -82,7 +82,10 @@ def build_cells(products: DataFrame, listed: DataFrame, retailers: DataFrame, an
 
 
 def build_columns(cells: DataFrame) -> DataFrame:
-    """One row for each store: own stores first, then by mean sort order, then by name."""
+    """One row for each store: own stores first, then by mean sort order, then by name.
+
+    Stores are numbered in one task, after all counts: they are the columns of a grid, thousands at most.
+    """
     stores = cells.groupBy("retailer_id", "retailer_name", "is_brand_store").agg(
         F.bool_or("is_own_store").alias("is_own_store"), F.count("*").alias("product_count"), F.avg("sort_order").alias("mean_order")
     )

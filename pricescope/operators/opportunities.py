@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from pricescope.functions.numeric import is_valid_price, round_half_up
+from pricescope.operators.listing import with_place
+from pricescope.session import checkpointed
 
 #: How many entries lists and cards show.
 LIST_LIMIT, CARD_LIMIT, PRODUCT_LIMIT, DOOR_LIMIT = 200, 5, 12, 20
@@ -76,15 +79,44 @@ def restocks(shelf: Shelf) -> DataFrame:
     return rows.select("brand", "retailer_id", "product_id", "in_stock_stores", tone.alias("tone"), rank.alias("rank"), (F.col("catalog_size") - F.col("listed")).alias("store_missing"))
 
 
-def pitches(shelf: Shelf) -> DataFrame:
-    """Products of a brand that a partner of the brand doesn't list and that are in stock somewhere. Joined on the brand."""
-    wanted = _with_catalog_size(shelf).join(shelf.catalog.select("product_id", "brand"), "brand")
-    missing = wanted.join(shelf.listings.select("product_id", "retailer_id"), ["product_id", "retailer_id"], "left_anti")
-    rows = missing.join(shelf.stock.where("in_stock_stores > 0"), "product_id")
-    tone = F.when(F.col("official_out"), "confirm_supply").otherwise("ready")
-    return rows.select(
-        "brand", "retailer_id", "product_id", "in_stock_stores", tone.alias("tone"), F.when(F.col("official_out"), 1).otherwise(2).alias("rank"), (F.col("catalog_size") - F.col("listed")).alias("store_missing")
-    )
+def _offered(shelf: Shelf) -> DataFrame:
+    """The catalog's products that are in stock somewhere, and how ready they are to be offered."""
+    stocked = shelf.catalog.select("product_id", "brand").join(shelf.stock.where("in_stock_stores > 0"), "product_id")
+    return stocked.select("product_id", "brand", "in_stock_stores", F.when(F.col("official_out"), "confirm_supply").otherwise("ready").alias("tone"), F.when(F.col("official_out"), 1).otherwise(2).alias("rank"))
+
+
+_GROUP = ["brand", "tone", "rank", "in_stock_stores"]
+
+
+def pitch_groups(shelf: Shelf) -> DataFrame:
+    """How many products each partner could be offered, by brand, tone and stores in stock: (brand, retailer_id, tone, rank, in_stock_stores, store_missing, n).
+
+    They are counted, never listed: a brand's products in stock less those of them that the partner lists. The hot brand is one row a
+    group before it meets its partners.
+    """
+    offered = _offered(shelf)
+    of_brand = offered.groupBy(*_GROUP).agg(F.count("*").alias("n"))
+    at_store = shelf.listings.select("product_id", "retailer_id").join(offered, "product_id").groupBy(*_GROUP, "retailer_id").agg(F.count("*").alias("listed_n"))
+    groups = _with_catalog_size(shelf).join(of_brand, "brand").join(at_store, [*_GROUP, "retailer_id"], "left")
+    counted = groups.withColumn("n", F.col("n") - F.coalesce("listed_n", F.lit(0))).where("n > 0")
+    return counted.select(*_GROUP, "retailer_id", (F.col("catalog_size") - F.col("listed")).alias("store_missing"), "n")
+
+
+def pitches_of(shelf: Shelf, groups: DataFrame) -> DataFrame:
+    """The products behind some groups of ``pitch_groups``: those that the partner doesn't list."""
+    listed = shelf.listings.select("product_id", "retailer_id")
+    return groups.drop("n").join(_offered(shelf), _GROUP).join(listed, ["product_id", "retailer_id"], "left_anti")
+
+
+def first_pitches(shelf: Shelf, products: DataFrame, retailers: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
+    """The first entries of the list of new listings. Only the groups that can reach it are listed.
+
+    A group has one pitch at least, so the first ``limit`` groups in order hold the list; groups equal to the last of them come along.
+    """
+    groups = pitch_groups(shelf)
+    key = F.struct("rank", "in_stock_stores", "store_missing")
+    least = groups.select(key.alias("key")).orderBy(F.desc("key")).limit(limit).agg(F.min("key").alias("least"))
+    return rank_opportunities(pitches_of(shelf, groups.join(F.broadcast(least), key >= F.col("least")).drop("least")), products, retailers, limit)
 
 
 def rank_opportunities(rows: DataFrame, products: DataFrame, retailers: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
@@ -137,18 +169,82 @@ def unopened_products(shelf: Shelf) -> DataFrame:
     return shelf.catalog.join(listed, "product_id", "left_anti").join(shelf.stock.where("in_stock_stores > 0").select("product_id"), "product_id", "left_semi")
 
 
-def unopened_doors(shelf: Shelf) -> DataFrame:
-    """Partner stores of other brands that list nothing of a brand, with the number of products that they list of others.
+def _stores(shelf: Shelf) -> DataFrame:
+    """Partner stores with the products that they list and the brands that they lack (each is one of another brand's partners)."""
+    brands = shelf.catalog.where("brand IS NOT NULL").agg(F.countDistinct("brand").alias("brands"))
+    stores = shelf.partners.groupBy("retailer_id").agg(F.sum("listed").alias("other_brand_listings"), F.count("brand").alias("has"))
+    return stores.join(F.broadcast(brands)).select("retailer_id", "other_brand_listings", (F.col("brands") - F.col("has")).alias("lacks"))
+
 
-    The result is all pairs that lack, stores times brands less what is listed: it is meant for the few brands that a team looks
-    after; take the top of it (``DOOR_LIMIT``) by brand. The catalog of brands is one row, a map from brand to size; each
-    store unfolds the brands that it lacks.
+def door_count(shelf: Shelf) -> DataFrame:
+    """One row: the number of pairs of a partner store and a brand that it lacks."""
+    return _stores(shelf).agg(F.coalesce(F.sum("lacks"), F.lit(0)).alias("doors"))
+
+
+def unopened_doors(shelf: Shelf, retailers: DataFrame, limit: int = DOOR_LIMIT) -> DataFrame:
+    """The first partner stores of other brands that list nothing of a brand: those that list most, then by name and brand.
+
+    Pairs are unfolded for the first ``limit`` stores only: each of them lacks a brand at least, so they hold the list.
+    """
+    named = _stores(shelf).where("lacks > 0").join(retailers.select("retailer_id", "retailer_name"), "retailer_id")
+    order = [F.col("other_brand_listings").desc(), F.collate("retailer_name", "UNICODE"), F.col("retailer_id")]
+    first = named.orderBy(*order).limit(limit).drop("lacks")
+    sizes = shelf.catalog.where("brand IS NOT NULL").groupBy("brand").agg(F.count("*").alias("catalog_size"))
+    lacking = sizes.join(F.broadcast(first)).join(shelf.partners.select("brand", "retailer_id"), ["brand", "retailer_id"], "left_anti")
+    return lacking.orderBy(*order, F.collate("brand", "UNICODE"), "brand").limit(limit)
+
+
+def ordered_briefs(shelf: Shelf, retailers: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """The briefs numbered in the order in which stores are shown: restocks to act on, pitches, stock-outs, then names; covered stores last."""
+    briefs = store_briefs(shelf).join(retailers.select("retailer_id", "retailer_name"), "retailer_id")
+    if observation:
+        counts = [F.coalesce(F.sum("out_of_stock"), F.lit(0)).alias("restocks"), F.coalesce(F.sum("pitches"), F.lit(0)).alias("new_listings"), F.count_if(~F.col("covered")).alias("stores_with_gaps")]
+        # Written before rows are dealt by ranges: sampling for ranges would count them twice.
+        briefs = checkpointed(briefs.observe(observation, *counts))
+    most = [F.col(c).desc() for c in ("actionable_restocks", "pitches", "out_of_stock")]
+    return with_place(briefs, F.col("covered"), *most, F.collate("retailer_name", "UNICODE"), F.collate("brand", "UNICODE"), F.col("retailer_id"), F.col("brand"))
+
+
+def overview(shelf: Shelf, products: DataFrame, retailers: DataFrame) -> DataFrame:
+    """All lists of opportunities as one table, (list, place, brand, retailer_id, product_id, tone, value), with the counts as list ``summary``.
+
+    What the lists leave out beyond their caps is counted while they are computed, by observations: no list is computed for its
+    count. ``value`` is the number that a list goes by; in the summary, ``tone`` names the count.
     """
-    sizes = shelf.catalog.where("brand IS NOT NULL").groupBy("brand").agg(F.count("*").alias("n"))
-    catalog = sizes.agg(F.map_from_entries(F.collect_list(F.struct("brand", "n"))).alias("catalog"))
-    stores = shelf.partners.groupBy("retailer_id").agg(F.sum("listed").alias("other_brand_listings"), F.collect_set("brand").alias("brands"))
-    lacking = stores.join(catalog).withColumn("brand", F.explode(F.array_except(F.map_keys("catalog"), "brands")))
-    return lacking.select("brand", "retailer_id", F.try_element_at("catalog", F.col("brand")).alias("catalog_size"), "other_brand_listings")
+    of_briefs, of_unopened = Observation(), Observation()
+    briefs = ordered_briefs(shelf, retailers, of_briefs)
+    # Numbering has computed the briefs, so their counts are known.
+    counts = dict(of_briefs.get)
+    shown = F.when(F.col("covered"), F.col("place") - counts["stores_with_gaps"]).otherwise(F.col("place"))
+    every = ["brand", "retailer_id", "product_id", "tone", "value"]
+
+    def tagged(rows: DataFrame, name: str | Column, *order: Column, place: Column | None = None, **values: Column) -> DataFrame:
+        """The rows of a capped list, numbered in one task: they are a few hundred."""
+        types = {"brand": "string", "retailer_id": "bigint", "product_id": "bigint", "tone": "string", "value": "bigint"}
+        number = F.row_number().over(Window.orderBy(*order)) if place is None else place
+        columns = [values.get(c, F.col(c) if c in rows.columns else F.lit(None)).cast(types[c]).alias(c) for c in every]
+        return rows.select((F.lit(name) if isinstance(name, str) else name).alias("list"), number.cast("int").alias("place"), *columns)
+
+    best = [F.col("rank").desc(), F.col("in_stock_stores").desc(), F.col("store_missing").desc(), F.collate("name", "UNICODE"), F.collate("retailer_name", "UNICODE"), F.col("product_id"), F.col("retailer_id")]
+    unopened = unopened_products(shelf).observe(of_unopened, F.count("*").alias("unopened_products"))
+    names = [F.collate("name", "UNICODE"), F.collate("brand", "UNICODE"), F.col("product_id")]
+    doors = [F.col("other_brand_listings").desc(), F.collate("retailer_name", "UNICODE"), F.col("retailer_id"), F.collate("brand", "UNICODE")]
+    one = lambda rows, name, column: rows.select(F.lit("summary").alias("list"), F.lit(None).cast("int").alias("place"), *[(F.lit(name) if c == "tone" else F.col(column) if c == "value" else F.lit(None)).cast("string" if c in ("brand", "tone") else "bigint").alias(c) for c in every])
+    lists = [
+        tagged(briefs, F.when(F.col("covered"), "covered_stores").otherwise("stores"), place=shown, value=F.when(F.col("covered"), F.col("catalog_size")).otherwise(F.col("pitches"))),
+        tagged(rank_opportunities(restocks(shelf), products, retailers), "restocks", *best, value=F.col("in_stock_stores")),
+        tagged(first_pitches(shelf, products, retailers), "new_listings", *best, value=F.col("in_stock_stores")),
+        tagged(unopened.orderBy(*names).limit(PRODUCT_LIMIT), "unopened_products", *names),
+        tagged(unopened_doors(shelf, retailers), "unopened_doors", *doors, value=F.col("other_brand_listings")),
+        one(door_count(shelf), "unopened_doors", "doors"),
+        one(shelf.catalog.agg(F.count("*").alias("n")), "products", "n"),
+        one(shelf.partners.agg(F.countDistinct("retailer_id").alias("n")), "partner_stores", "n"),
+    ]
+    written = checkpointed(reduce(DataFrame.unionByName, lists))
+    counts |= of_unopened.get
+    counts |= {f"{name}_truncated": int(counts[name] > LIST_LIMIT) for name in ("restocks", "new_listings")}
+    known = shelf.catalog.sparkSession.createDataFrame(list(counts.items()), "tone string, value bigint")
+    return written.unionByName(known.withColumn("list", F.lit("summary")), allowMissingColumns=True)
 
 
 def summary(shelf: Shelf) -> DataFrame:

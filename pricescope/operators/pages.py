@@ -5,15 +5,16 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricescope.functions import web
+from pricescope.operators.outline import STRUCK, Element, Outline
 
-OFFER = "struct<name: string, brand: string, sku: string, image: string, price: string, currency: string, availability: string, list_price: string, rating: double, rating_count: double>"
+OFFER = "struct<name: string, brand: string, sku: string, image: string, price: string, currency: string, availability: string, list_price: string, rating: double, rating_count: double, product: int, url: string, low: string, former: string>"
+OFFER_FIELDS = [(n, pa.float64() if n.startswith("rating") else pa.int32() if n == "product" else pa.string()) for n in re.findall(r"(\w+): ", OFFER)]
 _KEYS = ("@graph", "mainEntity", "mainEntityOfPage", "itemListElement", "item", "hasVariant", "offers", "isVariantOf")
 _COMMENTS = re.compile(r"/\*.*?\*/|<!--|-->|//<!\[CDATA\[|//\]\]>|<!\[CDATA\[|\]\]>", re.S)
 _TRAILING = re.compile(r",\s*([}\]])")
@@ -49,15 +50,19 @@ def _image(value) -> str | None:
 
 def products_of(script: str) -> list[dict]:
     """The products of one JSON-LD script, with their offers; comments and trailing commas are forgiven."""
-    found = []
+    found, n_products = [], 0
     for node in _nodes(_loose(script)):
         kinds = node.get("@type")
         if not any(str(k).lower() in ("product", "productgroup", "individualproduct", "productmodel") for k in (kinds if isinstance(kinds, list) else [kinds])):
             continue
         offers = node.get("offers")
         rating = _first(node.get("aggregateRating")) or {}
+        n_products += 1
         for offer in [o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict)] or [{}]:
-            spec = _first(offer.get("priceSpecification")) or {}
+            specs = offer.get("priceSpecification")
+            specs = [x for x in (specs if isinstance(specs, list) else [specs]) if isinstance(x, dict)]
+            listed = [x for x in specs if re.search("ListPrice|StrikethroughPrice|MSRP", str(x.get("priceType", "")), re.I)]
+            spec = next((x for x in specs if x not in listed), {})
             number = lambda x: float(x) if re.fullmatch(r"\d+(\.\d+)?", str(x)) else None
             found.append(
                 {
@@ -65,12 +70,16 @@ def products_of(script: str) -> list[dict]:
                     "brand": _text(node.get("brand")),
                     "sku": _text(node.get("sku")),
                     "image": _image(node.get("image")),
-                    "price": _text(offer.get("price", spec.get("price") if isinstance(spec, dict) else None)) or _text(offer.get("lowPrice")),
-                    "currency": _text(offer.get("priceCurrency")) or (_text(spec.get("priceCurrency")) if isinstance(spec, dict) else None),
+                    "price": _text(offer.get("price", spec.get("price"))) or _text(offer.get("lowPrice")),
+                    "currency": _text(offer.get("priceCurrency")) or next((c for x in specs if (c := _text(x.get("priceCurrency")))), None),
                     "availability": _text(offer.get("availability")),
                     "list_price": _text(offer.get("highPrice")),
                     "rating": number(rating.get("ratingValue")) if isinstance(rating, dict) else None,
                     "rating_count": number(rating.get("reviewCount", rating.get("ratingCount"))) if isinstance(rating, dict) else None,
+                    "product": n_products,
+                    "url": offer["url"] if isinstance(offer.get("url"), str) else None,
+                    "low": _text(offer.get("lowPrice")),
+                    "former": next((t for x in reversed(listed) if (t := _text(x.get("price")))), None),
                 }
             )
     return found
@@ -159,24 +168,27 @@ def _clean_reviews(found: DataFrame, most: int) -> DataFrame:
     return numbered.select("page_id", "n", "author", "rating", "body", "published", "hash")
 
 
-def page_availability(pages: DataFrame) -> DataFrame:
-    """(page_id, availability): markup first, then meta tags, then what the text says in English or Arabic."""
+def availability_of(text: Column) -> Column:
+    """What a page (column html) says of stock: markup first, then meta tags, then its text in English or Arabic."""
     micro = F.regexp_extract("html", r"""(?is)itemprop=["']availability["'][^>]*(?:href|content)=["']([^"']+)["']""", 1)
     meta = F.regexp_extract("html", r"""(?is)property=["'](?:product|og):availability["'][^>]*content=["']([^"']+)["']""", 1)
-    seen = F.lower(visible_text(F.col("html")))
+    seen = F.lower(text)
     # Phrases of shops.
     out = seen.rlike("out of stock|sold out|currently unavailable|غير متوفر|نفدت الكمية")
     stocked = seen.rlike("in stock|add to cart|add to bag|متوفر|أضف إلى السلة")
     named = [F.nullif(web.normalize_availability(x), F.lit("unknown")) for x in (micro, meta)]
-    return pages.select("page_id", F.coalesce(*named, F.when(out, "out_of_stock").when(stocked, "in_stock"), F.lit("unknown")).alias("availability"))
+    return F.coalesce(*named, F.when(out, "out_of_stock").when(stocked, "in_stock"), F.lit("unknown"))
+
+
+def page_availability(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", availability_of(visible_text(F.col("html"))).alias("availability"))
 
 
 def structured_offers(pages: DataFrame) -> DataFrame:
     """(page_id, place, offer fields) of every JSON-LD product; the graph walk alone runs in Python."""
     @F.arrow_udf(f"array<{OFFER}>")
     def parse(found: pa.Array) -> pa.Array:
-        fields = [(n, pa.float64() if n.startswith("rating") else pa.string()) for n in ("name", "brand", "sku", "image", "price", "currency", "availability", "list_price", "rating", "rating_count")]
-        return pa.array([[p for script in row or [] for p in products_of(script)] for row in found.to_pylist()], pa.list_(pa.struct(fields)))
+        return pa.array([[p for script in row or [] for p in products_of(script)] for row in found.to_pylist()], pa.list_(pa.struct(OFFER_FIELDS)))
 
     with_scripts = pages.where(F.lower("html").contains("ld+json")).select("page_id", scripts_of().alias("scripts"))
     exploded = with_scripts.select("page_id", F.posexplode(parse("scripts")).alias("place", "o"))
@@ -196,61 +208,13 @@ def structured_offers(pages: DataFrame) -> DataFrame:
     )
 
 
-def choose_offer(offers: DataFrame) -> DataFrame:
-    """One offer for each page: the cheapest in stock, or else the cheapest."""
-    place = F.expr("row_number() OVER (PARTITION BY page_id ORDER BY (availability IN ('in_stock', 'limited')) DESC, price, place)")
-    return offers.where("price IS NOT NULL").withColumn("rank", place).where("rank = 1").drop("rank", "place")
-
-
-def _attribute(tag: str, name: str) -> Column:
-    return F.regexp_extract("html", rf"(?is)<{tag}[^>]*{name}", 1)
-
-
-def price_candidates(pages: DataFrame) -> DataFrame:
-    """(page_id, strategy, price, currency), in the order in which strategies are tried: markup, then meta tags, then attributes, then text."""
-    text = visible_text(F.col("html"))
-    tagged = F.regexp_extract(text, rf"((?:{'|'.join(web.CODES)}|[$€£¥₹])\s*(?:{web.AMOUNT})|(?:{web.AMOUNT})\s*(?:{'|'.join(web.CODES)}|[$€£¥₹]))", 1)
-    strategies = [
-        ("microdata", _attribute("[a-z]+", r"""itemprop=["']price["'][^>]*content=["']([^"']+)["']"""), _attribute("[a-z]+", r"""itemprop=["']priceCurrency["'][^>]*content=["']([^"']+)["']""")),
-        ("meta", _attribute("meta", r"""property=["'](?:product|og):price:amount["'][^>]*content=["']([^"']+)["']"""), _attribute("meta", r"""property=["'](?:product|og):price:currency["'][^>]*content=["']([^"']+)["']""")),
-        ("attributes", _attribute("[a-z]+", r"""data-(?:product-)?price=["']([^"']+)["']"""), F.lit("")),
-        ("visible-text", tagged, F.lit("")),
-    ]
-    rows = [F.struct(F.lit(i).alias("place"), F.lit(n).alias("strategy"), p.alias("raw_price"), c.alias("raw_currency")) for i, (n, p, c) in enumerate(strategies)]
-    # Candidates become rows before they are parsed: the long parsing expressions then stand in the plan once.
-    raw = pages.select("page_id", F.inline(F.array(*rows))).where("raw_price <> ''")
-    currency = F.coalesce(web.normalize_currency(F.col("raw_currency")), web.detect_currency(F.col("raw_price")))
-    return raw.select("page_id", "place", "strategy", web.parse_amount(F.col("raw_price")).alias("price"), currency.alias("currency")).where("price IS NOT NULL")
-
-
-def page_currencies(pages: DataFrame) -> DataFrame:
-    """(page_id, currency) of pages that tell one: by a meta tag or attribute, or else the most frequent beside an amount of the text.
-
-    Of currencies as frequent, the one seen first. Matches are rows, so the count is one aggregation by page and currency.
-    """
+def currency_sources() -> list[Column]:
+    """Where a page (column html) names its currency: meta tags, microdata, attributes."""
     named = lambda name: F.regexp_extract("html", rf"""(?is)<meta(?=[^>]*\sproperty=["']{name}["'])[^>]*\scontent=["']([^"']*)["']""", 1)
     data = lambda name: F.regexp_extract("html", rf"""(?is)<[a-z][^>]*\s{name}=["']([^"']*)["']""", 1)
     item = r"""(?is)(<[a-z][^>]*\sitemprop=["']priceCurrency["'][^>]*>)([^<]*)"""
     content = F.regexp_extract(F.regexp_extract("html", item, 1), r"""(?is)\scontent=["']([^"']*)["']""", 1)
-    sources = [named("product:price:currency"), named("og:price:currency"), F.coalesce(F.nullif(content, F.lit("")), F.regexp_extract("html", item, 2)), data("data-currency"), data("data-price-currency")]
-    explicit = pages.select("page_id", F.posexplode(F.array(*sources)).alias("place", "raw")).withColumn("currency", web.normalize_currency(F.col("raw")))
-    body = visible_text(F.regexp_replace("html", r"(?is)<(head|title)\b.*?</\1>", " "))
-    matches = F.regexp_extract_all(body, F.lit(web.tagged_amount()), F.lit(0))
-    seen = pages.select("page_id", F.posexplode(matches).alias("place", "raw")).withColumn("currency", web.detect_currency(F.col("raw"))).where("currency IS NOT NULL")
-    counts = seen.groupBy("page_id", "currency").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    # Whatever is explicit stands before all counts.
-    rated = explicit.where("currency IS NOT NULL").select("page_id", "currency", F.struct(F.lit(1).alias("explicit"), F.lit(0).cast("long").alias("n"), (-F.col("place")).alias("first")).alias("rank"))
-    rated = rated.unionByName(counts.select("page_id", "currency", F.struct(F.lit(0).alias("explicit"), "n", (-F.col("first")).alias("first")).alias("rank")))
-    return rated.groupBy("page_id").agg(F.max_by("currency", "rank").alias("currency"))
-
-
-def page_prices(pages: DataFrame) -> DataFrame:
-    """The first strategy's price for each page: structured data before all others. A price without a currency has the page's."""
-    structured = choose_offer(structured_offers(pages)).select("page_id", F.lit(-1).alias("place"), F.lit("json-ld").alias("strategy"), "price", "currency")
-    both = structured.unionByName(price_candidates(pages))
-    first = both.groupBy("page_id").agg(F.min_by(F.struct("strategy", "price", "currency"), "place").alias("p")).select("page_id", "p.*")
-    known = page_currencies(pages).withColumnRenamed("currency", "page_currency")
-    return first.join(known, "page_id", "left").select("page_id", "strategy", "price", F.coalesce("currency", "page_currency").alias("currency"))
+    return [named("product:price:currency"), named("og:price:currency"), F.coalesce(F.nullif(content, F.lit("")), F.regexp_extract("html", item, 2)), data("data-currency"), data("data-price-currency")]
 
 
 def unescape_html(text: Column) -> Column:
@@ -316,7 +280,9 @@ def robots_verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url_id, allowed): the longest rule that fits decides, allowing ones first; no rule allows. Joined on the origin."""
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/?#]*", ""), "#.*$", "")
     placed = urls.select("url_id", F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1).alias("origin"), F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)).alias("path"))
-    fits = placed.join(rules, "origin").where(F.regexp_like("path", web.robots_pattern(F.col("pattern"))))
+    # Only rules with wildcards are patterns; most are prefixes.
+    plain = ~F.col("pattern").rlike(r"[*]|\$$")
+    fits = placed.join(rules, "origin").where(F.when(plain, F.startswith(F.col("path"), F.col("pattern"))).otherwise(F.regexp_like("path", web.robots_pattern(F.col("pattern")))))
     best = fits.groupBy("url_id").agg(F.max_by("allow", F.struct(F.length("pattern"), F.col("allow"))).alias("allow"))
     return placed.join(best, "url_id", "left").select("url_id", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
@@ -327,9 +293,6 @@ SUMMARIES = {"entry-summary", "summary"}
 FOREIGN = re.compile(r"related|recommend|upsell|cross-?sell|similar|recently|also-?bought|bought-?together|(?:^|[\s_-])(?:pbt|fbt)(?:$|[\s_-])|you-?may|(?:^|\s)carousel(?:\s|$)|products?-carousel", re.I)
 AUXILIARY = re.compile(r"product-card|card-wrapper|card-product|quick-view|quick-add|compare-drawer|compare-modal|predictive-search|search-modal|menu-drawer", re.I)
 FORMER = re.compile(r"old|was|compare|strike|regular|original|before|list|rrp|msrp|crossed", re.I)
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-STRUCK = {"del", "s", "strike"}
-HIDDEN = {"script", "style", "noscript", "template", "svg"}
 #: Marks of reviews and of their parts, by attribute, class or part of a class.
 WIDGETS = {"jdgm-rev", "yotpo-review", "okeReviews-review", "loox-review", "stamped-review", "spr-review"}
 LISTS = {"woocommerce-Reviews": {"review"}, "commentlist": {"review", "comment"}, "product-reviews": {"review"}, "salla-reviews": {"review"}, "zid-reviews": {"review"}}
@@ -339,119 +302,89 @@ STARS = ("reviewRating", {"stars", "rating", "jdgm-rev__rating", "yotpo-review-s
 FULL_STAR = {"on", "active", "jdgm--on", "yotpo-icon-star"}
 
 
-class _Outline(HTMLParser):
-    """A page's elements in order: tag, class, id, the element around each, and its text."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.elements: list[dict] = []
-        self.open: list[int] = []
-        self.pieces: list[tuple[list[int], str]] = []
-
-    def handle_starttag(self, tag, attrs):
-        given = {k: v or "" for k, v in attrs}
-        self.elements.append({"tag": tag, "class": given.get("class", ""), "id": given.get("id", ""), "around": list(self.open), "text": [], "given": given})
-        if tag not in VOID:
-            self.open.append(len(self.elements) - 1)
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.elements[self.open[i]]["tag"] == tag:
-                del self.open[i:]
-                break
-
-    def handle_data(self, data):
-        if self.open and self.elements[self.open[-1]]["tag"] in HIDDEN:
-            return
-        self.pieces.append((list(self.open), data))
-        for i in self.open:
-            self.elements[i]["text"].append(data)
-
-
-def sale_texts(html: str) -> list[dict]:
+def sale_texts(page: Outline) -> list[dict]:
     """The sale prices in a page's own price block, in the order in which they count, each with the struck-through texts beside it."""
-    page = _Outline()
-    page.feed(html)
     elements = page.elements
-    hint = lambda e: f"{e['tag']} {e['class']} {e['id']}"
-    text = lambda e: " ".join("".join(e["text"]).split())
-    inside = lambda i: [e for e in elements[i + 1 :] if i in e["around"]]
+    foreign = page.marked(lambda e: FOREIGN.search(e.hint) or AUXILIARY.search(e.hint))
+    struck_out = page.marked(lambda e: e.tag in STRUCK)
+    wrapped = page.marked(lambda e: "product__info-wrapper" in e.names)
+    summed = page.marked(lambda e: SUMMARIES & e.names)
+    outer = lambda marks, i: elements[i].parent >= 0 and marks[elements[i].parent]
 
-    def main_rank(e: dict) -> int | None:
-        classes, outer = set(e["class"].split()), [elements[j] for j in e["around"]]
-        if any(FOREIGN.search(hint(o)) or AUXILIARY.search(hint(o)) for o in outer) or AUXILIARY.search(hint(e)):
+    def main_rank(i: int) -> int | None:
+        e = elements[i]
+        if outer(foreign, i) or AUXILIARY.search(e.hint):
             return None
-        if e["id"].startswith("price-") and ("__main" in e["id"] or any("product__info-wrapper" in o["class"].split() for o in outer)):
+        if e.id.startswith("price-") and ("__main" in e.id or outer(wrapped, i)):
             return 0
-        if "price" in classes and any(SUMMARIES & set(o["class"].split()) for o in outer):
+        if "price" in e.names and outer(summed, i):
             return 1 + MAIN_CLASSES.index("product-info-price")
-        return next((1 + n for n, name in enumerate(MAIN_CLASSES) if name in classes), None)
+        return next((1 + n for n, name in enumerate(MAIN_CLASSES) if name in e.names), None)
 
     found = []
-    for _, i in sorted((rank, i) for i, e in enumerate(elements) if (rank := main_rank(e)) is not None):
-        parts = [j for j in range(i + 1, len(elements)) if i in elements[j]["around"] and "--on-sale" in elements[j]["class"]][:4]
-        for w in [*([] if "on-sale" in elements[i]["class"] else parts), i]:
-            struck = [text(e) for e in inside(w) if e["tag"] in STRUCK][:6]
-            for e in [e for e in inside(w) if "price-item--sale" in e["class"] or e["tag"] == "ins"][:8]:
-                if not any(elements[j]["tag"] in STRUCK for j in e["around"]) and not FORMER.search(f"{e['class']} {e['id']}") and 0 < len(text(e)) <= 60:
-                    explicit = "price-item--sale" in e["class"] or "on-sale" in elements[w]["class"]
-                    found.append({"text": text(e), "explicit": explicit, "struck": [s for s in struck if 0 < len(s) <= 40]})
+    for _, i in sorted((rank, i) for i in range(len(elements)) if (rank := main_rank(i)) is not None):
+        parts = [j for j in page.inside(i) if "--on-sale" in elements[j].classes][:4]
+        for w in [*([] if "on-sale" in elements[i].classes else parts), i]:
+            struck = [page.text(j) for j in page.inside(w) if elements[j].tag in STRUCK][:6]
+            for j in [j for j in page.inside(w) if "price-item--sale" in elements[j].classes or elements[j].tag == "ins"][:8]:
+                e, text = elements[j], page.text(j)
+                if not outer(struck_out, j) and not FORMER.search(f"{e.classes} {e.id}") and 0 < len(text) <= 60:
+                    explicit = "price-item--sale" in e.classes or "on-sale" in elements[w].classes
+                    found.append({"text": text, "explicit": explicit, "struck": [s for s in struck if 0 < len(s) <= 40]})
     return found
 
 
-def _is_part(e: dict, part: tuple[str, set[str], str]) -> bool:
+def _is_part(e: Element, part: tuple[str, set[str], str]) -> bool:
     item, names, pattern = part
-    return e["given"].get("itemprop") == item or bool(names & set(e["class"].split())) or bool(re.search(pattern, e["class"], re.I))
+    return e.given.get("itemprop") == item or bool(names & e.names) or bool(re.search(pattern, e.classes, re.I))
 
 
-def _stars(around: list[dict]) -> float | None:
-    """A rating from the element (first) and those in it: what its label says, its value, or the number of full stars."""
-    label = next((e["given"]["aria-label"] for e in around if "aria-label" in e["given"]), "")
+def _stars(page: Outline, at: int) -> float | None:
+    """A rating from an element and those in it: what its label says, its value, or the number of full stars."""
+    numbers = [at, *page.inside(at)]
+    around = [page.elements[j] for j in numbers]
+    label = next((e.given["aria-label"] for e in around if "aria-label" in e.given), "")
     told = re.search(r"(\d+(?:[.,]\d+)?)\s*(?:out of|/|من)\s*5", label, re.I) or re.search(r"(\d+(?:[.,]\d+)?)\s*stars?", label, re.I)
-    values = [e["given"].get("content") or "".join(e["text"]) for e in around if e["given"].get("itemprop") == "ratingValue"] + [e["given"][k] for e in around for k in ("data-score", "data-rating") if k in e["given"]]
+    values = [e.given.get("content") or page.text(j) for j, e in zip(numbers, around, strict=True) if e.given.get("itemprop") == "ratingValue"] + [e.given[k] for e in around for k in ("data-score", "data-rating") if k in e.given]
     for raw in [told.group(1)] if told else values[:1]:
         found = re.match(r"\s*\d+(?:[.,]\d+)?", raw)
         if found:
             return float(found.group().replace(",", "."))
-    full = sum(bool(FULL_STAR & (names := set(e["class"].split()))) or {"star", "filled"} <= names or bool(re.search("star[-_]full", e["class"])) for e in around[1:])
+    full = sum(bool(FULL_STAR & e.names) or {"star", "filled"} <= e.names or bool(re.search("star[-_]full", e.classes)) for e in around[1:])
     return float(full) if 0 < full <= 5 else None
 
 
 def review_blocks(html: str) -> list[dict]:
     """Reviews of microdata, then those of widgets outside headers, footers and navigation."""
-    page = _Outline()
-    page.feed(html)
+    page = Outline(html)
     elements = page.elements
-
-    def text(i: int, without: set[int]) -> str | None:
-        return " ".join("".join(f"{piece}" for outer, piece in page.pieces if i in outer and not without.intersection(outer)).split()) or None
+    framed = page.marked(lambda e: e.tag in ("header", "footer", "nav"))
+    listed_in = {name: page.marked(lambda e, name=name: name in e.names) for name in LISTS}
 
     def is_widget(i: int) -> bool:
         e = elements[i]
-        names, outer = set(e["class"].split()), [elements[j] for j in e["around"]]
-        if any(o["tag"] in ("header", "footer", "nav") for o in [e, *outer]):
+        if framed[i]:
             return False
-        listed = any(inner & names and any(name in o["class"].split() for o in outer) for name, inner in LISTS.items())
-        return bool(WIDGETS & names) or listed or e["given"].get("data-testid") == "review" or bool(re.search("customer-review|product-review", e["class"], re.I))
+        listed = any(inner & e.names and e.parent >= 0 and listed_in[name][e.parent] for name, inner in LISTS.items())
+        return bool(WIDGETS & e.names) or listed or e.given.get("data-testid") == "review" or bool(re.search("customer-review|product-review", e.classes, re.I))
 
     def read(i: int) -> dict:
-        inside = [j for j in range(i + 1, len(elements)) if i in elements[j]["around"]]
+        inside = page.inside(i)
         first = lambda part: next((j for j in inside if _is_part(elements[j], part)), None)
         body, author, stars = first(BODY), first(AUTHOR), first(STARS)
-        stars = stars if stars is not None else next((j for j in inside if "star" in elements[j]["given"].get("aria-label", "").lower()), None)
-        date = next((j for j in inside if elements[j]["tag"] == "time" or elements[j]["given"].get("itemprop") == "datePublished" or "datetime" in elements[j]["given"]), None)
-        rest = {j for j in inside if _is_part(elements[j], AUTHOR) or _is_part(elements[j], STARS) or elements[j]["tag"] == "time"}
-        given = elements[date]["given"] if date is not None else {}
-        at = i if stars is None else stars
-        name = text(author, set()) if author is not None else None
+        stars = stars if stars is not None else next((j for j in inside if "star" in elements[j].given.get("aria-label", "").lower()), None)
+        date = next((j for j in inside if elements[j].tag == "time" or elements[j].given.get("itemprop") == "datePublished" or "datetime" in elements[j].given), None)
+        rest = [j for j in inside if _is_part(elements[j], AUTHOR) or _is_part(elements[j], STARS) or elements[j].tag == "time"]
+        given = elements[date].given if date is not None else {}
+        name = page.text(author) if author is not None else None
         return {
-            "author": name and name[:120],
-            "rating": _stars([elements[at], *(elements[j] for j in range(at + 1, len(elements)) if at in elements[j]["around"])]),
-            "body": (text(body, set()) if body is not None else None) or text(i, rest),
-            "published": given.get("datetime") or given.get("content") or (text(date, set()) if date is not None else None),
+            "author": name[:120] if name else None,
+            "rating": _stars(page, i if stars is None else stars),
+            "body": (page.text(body) if body is not None else None) or page.text(i, rest) or None,
+            "published": given.get("datetime") or given.get("content") or ((page.text(date) or None) if date is not None else None),
         }
 
-    micro = [i for i, e in enumerate(elements) if e["given"].get("itemprop") == "review"]
+    micro = [i for i, e in enumerate(elements) if e.given.get("itemprop") == "review"]
     return [read(i) for i in [*micro, *(i for i in range(len(elements)) if is_widget(i))]]
 
 
@@ -465,7 +398,7 @@ def displayed_sales(pages: DataFrame) -> DataFrame:
 
     @F.arrow_udf(shape)
     def outline(found: pa.Array) -> pa.Array:
-        return pa.array([sale_texts(h or "") for h in found.to_pylist()], pa.list_(pa.struct([("text", pa.string()), ("explicit", pa.bool_()), ("struck", pa.list_(pa.string()))])))
+        return pa.array([sale_texts(Outline(h or "")) for h in found.to_pylist()], pa.list_(pa.struct([("text", pa.string()), ("explicit", pa.bool_()), ("struck", pa.list_(pa.string()))])))
 
     marked = pages.where(F.col("html").rlike("price-item--sale|(?i)<ins[ >]")).select("page_id", F.posexplode(outline("html")).alias("place", "w"))
     sales = marked.select("page_id", "place", "w.explicit", "w.struck", web.parse_amount(F.col("w.text")).alias("sale_price"), web.detect_currency(F.col("w.text")).alias("sale_currency")).where("sale_price IS NOT NULL")
@@ -475,21 +408,6 @@ def displayed_sales(pages: DataFrame) -> DataFrame:
     return first.drop("struck").join(former, "page_id", "left")
 
 
-def reconcile_sale(priced: DataFrame, sales: DataFrame) -> DataFrame:
-    """Prices against what the page shows: the sale where the price is the former one, the former price beside a sale."""
-    joined = priced.join(sales, "page_id", "left")
-    same = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) < 0.02, F.lit(False))
-    lower = (F.col("sale_price") < F.col("price")) & (same("compare_at", "price") | (F.col("compare_at").isNull() & F.col("explicit")))
-    beside = same("sale_price", "price") & (F.col("compare_at") > F.col("price")) & (F.col("original_price").isNull() | (F.col("compare_at") > F.col("original_price")))
-    former = F.coalesce("compare_at", "price")
-    return joined.select(
-        *[c for c in priced.columns if c not in ("price", "currency", "original_price")],
-        F.when(lower, F.col("sale_price")).otherwise(F.col("price")).alias("price"),
-        F.when(lower, F.coalesce("currency", "sale_currency")).otherwise(F.col("currency")).alias("currency"),
-        F.when(lower & (former > F.col("sale_price")), former).when(beside, F.col("compare_at")).otherwise(F.col("original_price")).alias("original_price"),
-    )
-
-
 def snapshots(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html, and http_status if there is one) as a browser shows them: with title, visible text and final address."""
     status = F.col("http_status") if "http_status" in pages.columns else F.lit(None).cast("int")
@@ -499,42 +417,6 @@ def snapshots(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", final.alias("final_url"), "html", title.alias("title"), visible_text(body).alias("visible_text"), status.alias("http_status"))
 
 
-def price_ranges(offers: DataFrame) -> DataFrame:
-    """(page_id, low_price, high_price) of pages whose offers differ in price."""
-    spans = offers.where("price IS NOT NULL").groupBy("page_id").agg(F.min("price").alias("low_price"), F.max(F.greatest("price", "high_price")).alias("high_price"))
-    return spans.where("low_price <> high_price")
-
-
-def analyze_pages(shown: DataFrame) -> DataFrame:
-    """One row for each snapshot: why it can't be used, or else price, currency, former price, range, availability, strategy and warnings."""
-    problem = web.page_problem(F.col("http_status"), F.col("title"), F.col("visible_text"), F.col("html"))
-    judged = shown.withColumn("problem", problem)
-    usable = judged.where("problem IS NULL")
-    offers = structured_offers(usable)
-    best = choose_offer(offers).select("page_id", F.lit(-1).alias("place"), F.lit("json-ld").alias("strategy"), "price", "currency", "availability")
-    others = price_candidates(usable).withColumn("availability", F.lit("unknown"))
-    first = best.unionByName(others).groupBy("page_id").agg(F.min_by(F.struct("strategy", "price", "currency", "availability"), "place").alias("p")).select("page_id", "p.*")
-    priced = reconcile_sale(first.withColumn("original_price", F.lit(None).cast("double")), displayed_sales(usable))
-    said = offers.where("availability <> 'unknown'").groupBy("page_id").agg(F.when(F.bool_or(F.col("availability").isin("in_stock", "limited")), "in_stock").otherwise(F.min_by("availability", "place")).alias("said"))
-    facts = priced.join(page_currencies(usable).withColumnRenamed("currency", "page_currency"), "page_id", "left").join(said, "page_id", "left")
-    facts = facts.join(page_availability(usable).withColumnRenamed("availability", "shown"), "page_id", "left").join(price_ranges(offers), "page_id", "left")
-    ranged = F.col("strategy") == "json-ld"
-    facts = facts.select(
-        "page_id",
-        "price",
-        F.coalesce("currency", "page_currency").alias("currency"),
-        "original_price",
-        F.when(ranged, F.col("low_price")).alias("low_price"),
-        F.when(ranged, F.col("high_price")).alias("high_price"),
-        F.coalesce(F.nullif("availability", F.lit("unknown")), "said", "shown", F.lit("unknown")).alias("availability"),
-        "strategy",
-    )
-    warnings = F.concat_ws(",", F.when(F.col("currency").isNull(), "CURRENCY_NOT_FOUND"), F.when(F.col("availability") == "unknown", "AVAILABILITY_UNKNOWN"), F.when(F.col("low_price").isNotNull(), "PRICE_RANGE"))
-    joined = judged.select("page_id", "title", "problem").join(facts.withColumn("warnings", warnings), "page_id", "left")
-    gone = F.when(F.col("title").rlike(web.NOT_FOUND_TITLE), "UNAVAILABLE").otherwise("PRICE_NOT_FOUND")
-    return joined.withColumn("problem", F.coalesce("problem", F.when(F.col("price").isNull(), gone))).drop("title")
-
-
 def product_info(shown: DataFrame) -> DataFrame:
     """(page_id, product_name, brand, image_url): markup first, then microdata, meta tags, headings and the title."""
     empty = F.lit("")

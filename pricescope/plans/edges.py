@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.operators import alerts
+from pricescope.operators import alerts, content
+from pricescope.plans import text as text_plans
 from pricescope.plans.history import _PAIRS, alert_table
 from pricescope.plans.sql import DOMAIN, with_layers
-from pricescope.session import shared_dir
-from pricescope.sources import fixtures
-from pricescope.sources.domain import Domain
-from pricescope.streaming.alerts import alert_stream
+from pricescope.session import checkpointed, keep_result, remove, shared_dir
+from pricescope.sources import written
+from pricescope.sources.domain import AS_OF, Domain
+from pricescope.streaming import sink
+from pricescope.streaming.alerts import alert_stream, version_stream
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    keep_result(path)
+    return path
 
 
 def money_text(amount: Column, currency: Column) -> Column:
@@ -68,68 +78,118 @@ def m05_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", money_text(F.col("x"), F.col("c")).alias("money"))
 
 
-LINKS = [(1, True, "https://own.com/a"), (1, False, "https://B.com/x/"), (1, False, "https://b.com/x#top"), (2, True, "https://own.com/b"), (2, False, "https://OWN.com/b/"), (3, True, "https://own.com/c"), (4, True, "https://own.com/d"), (4, False, "https://c.com/d")]
+def b05_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alert_table(spark, sf_dir)
+    kinds = [rows.where(w).agg(F.lit(n).alias("filter"), F.count("*").alias("n")) for n, w in (("active", "status <> 'dismissed'"), ("all", "true"), ("read", "status = 'read'"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+def _in_parts(rows: DataFrame, time: str, bounds: list[str], run: Callable[[DataFrame, str], None]) -> str:
+    """Feed a stream in parts by time: each is written to its input, and the same query is run again. Rows without a time come first.
 
+    Returns the folder with the stream's output (``out``), for the caller to drop.
+    """
+    spark = rows.sparkSession
+    folder = _folder(spark, "stream")
+    at = F.col(time)
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
+        after = F.lit(True) if low is None else at >= F.lit(low).cast("timestamp")
+        before = F.lit(True) if high is None else at < F.lit(high).cast("timestamp")
+        rows.where(F.coalesce(after & before, F.lit(low is None))).write.mode("append").parquet(f"{folder}/in")
+        run(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), folder)
+    return folder
 
-def b10_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_errors(spark.createDataFrame(LINKS, "product_id bigint, is_own boolean, url string"))
 
+def _appended(stream: DataFrame, folder: str) -> None:
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
 
-BRANDS = [("Acme Labs", "acme", "acme.com", 0), ("Nordic", "nordic", "nordic.example", 1), ("ACME LABS", "acme-2", "other.com", 2)]
 
+def _result(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """``rows`` of a stream's output, written for good; the stream's folder goes."""
+    held = checkpointed(rows)
+    remove(spark, folder)
+    return held
 
-def c09_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = spark.createDataFrame([(1, " acme labs"), (2, "ACME"), (3, "Nordic "), (4, " Unknown "), (5, None), (6, "acme-2"), (7, "")], "product_id bigint, brand string")
-    return canonical_brands(products, spark.createDataFrame(BRANDS, "name string, slug string, official_domain string, place int"))
 
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(type, source_id, n): the batch alerts of all competitors' observations, found by a stream that reads them in order of time, in four parts."""
+    d = Domain(spark, sf_dir)
+    rows = alerts.with_own_flag(d.observations, d.sources).where("NOT is_own_store").drop("is_own_store")
+    folder = _in_parts(rows, "scraped_at", ["1997-01-01", "1998-06-01", "2000-01-01"], lambda source, at: _appended(alert_stream(source), at))
+    return _result(spark, folder, spark.read.parquet(f"{folder}/out").groupBy("type", "source_id").agg(F.count("*").alias("n")))
 
-def c10_official(spark: SparkSession, sf_dir: str) -> DataFrame:
-    retailers = spark.createDataFrame([(1, "The Nordic store", "shop.com", True), (2, "X", "acme.com", True), (3, "Nordic", "n.com", False), (4, "Acme Labs outlet", "y.com", True)], "retailer_id bigint, retailer_name string, domain string, is_brand_store boolean")
-    return official_stores(retailers, spark.createDataFrame(BRANDS[:2], "name string, slug string, official_domain string, place int"))
 
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The versions of all pages, found by a stream that reads the looks at them in order of time, in three parts."""
+    folder = _in_parts(written.snapshots(spark, sf_dir), "captured_at", ["1998-01-01", "2000-01-01"], lambda source, at: _appended(version_stream(source), at))
+    looks = spark.read.parquet(f"{folder}/out")
+    last = F.max_by(F.struct(*content.REFRESHED), F.struct("captured_at", "snapshot_id")).alias("last")
+    changed = F.array_join(F.max(F.when(F.col("fresh"), F.col("changed"))), ",").alias("changed")
+    spans = looks.groupBy("source_id", "version").agg(changed, F.min("captured_at").alias("since"), F.max("captured_at").alias("last_seen"), last)
+    return _result(spark, folder, spans.select("source_id", "version", "changed", "since", "last_seen", "last.*"))
 
-def b05_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+ALERT = "alert_id string, type string, status string, product_id bigint, retailer_id bigint, change_percentage double, created_at timestamp"
+
+
+def _stored_alerts(spark: SparkSession, sf_dir: str) -> str:
+    """All alerts as a stream of three parts merged into a stored table, each part twice."""
     rows = alert_table(spark, sf_dir)
-    kinds = [rows.where(w).agg(F.lit(n).alias("filter"), F.count("*").alias("n")) for n, w in (("active", "status <> 'dismissed'"), ("all", "true"), ("read", "status = 'read'"))]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
+    def run(source: DataFrame, folder: str) -> None:
+        def write(batch: DataFrame, _: int) -> None:
+            for _again in range(2):
+                sink.merge_alerts(batch, f"{folder}/alerts", ALERT)
 
-def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(type, source_id, n): the batch alerts of all competitors' observations, found by a stream that reads them in order of time, in four parts.
+        source.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    return _in_parts(rows, "created_at", ["1997-01-01", "2000-01-01"], run)
+
+
+def alert_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored alerts by type and status, after all new ones were read; ``changed`` of them were."""
+    folder = _stored_alerts(spark, sf_dir)
+    table = f"{folder}/alerts"
+    changed = sink.mark_alerts(spark, table, ALERT)
+    counts = sink.read_alerts(spark, table, ALERT).groupBy("type", "status").agg(F.count("*").alias("n"))
+    return _result(spark, folder, counts.withColumn("changed", F.lit(changed).cast("bigint")))
 
-    A part is one trigger of the same query, which is run again for each.
-    """
-    d = Domain(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = alerts.with_own_flag(d.observations, d.sources).where("NOT is_own_store").drop("is_own_store")
-    bounds = ["1900-01-01", "1997-01-01", "1998-06-01", "2000-01-01", "2100-01-01"]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        part = rows.where(f"scraped_at >= timestamp'{low}' AND scraped_at < timestamp'{high}'")
-        part.write.mode("append").parquet(f"{folder}/in")
-        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
-        query = alert_stream(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("type", "source_id").agg(F.count("*").alias("n"))
+
+def alert_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored alerts of the last 180 days, after older partitions were dropped, and how many partitions are left."""
+    folder = _stored_alerts(spark, sf_dir)
+    table, now = f"{folder}/alerts", datetime.fromisoformat(AS_OF)
+    sink.expire_alerts(spark, table, now, 180)
+    left = len(sink.months(spark, table))
+    return _result(spark, folder, sink.live_alerts(spark, table, ALERT, now, 180).select("alert_id", "created_at", F.lit(left).alias("partitions")))
 
 
 QUERIES = {
     "m05_money_text": m05_money,
-    "b10_link_errors": b10_links,
     "b05_alert_filters": b05_status,
-    "c09_canonical_brands": c09_brands,
-    "c10_official_stores": c10_official,
     "k01_k02_alert_stream": stream_alerts,
+    "l03_version_stream": stream_versions,
+    "k06_a06_alert_sink": alert_sink,
+    "a11_partition_expiry": alert_expiry,
 }
 
 ORACLES = {
-    "b10_link_errors": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'DUPLICATE'), (2, 'OWN_URL'), (3, 'COMPETITORS')) t(product_id, error)",
+    "m05_money_text": """SELECT o_orderkey, CASE c WHEN 'USD' THEN sign || '$' || format('{:,.2f}', a) WHEN 'EUR' THEN sign || 'EUR ' || format('{:,.2f}', a) ELSE sign || format('{:.2f}', a) END AS money FROM (
+      SELECT o_orderkey, abs(o_totalprice) AS a, CASE WHEN o_orderkey % 3 = 0 AND o_totalprice > 0 THEN '-' ELSE '' END AS sign, CASE WHEN o_orderkey % 4 = 0 THEN 'EUR' WHEN o_orderkey % 4 <> 1 THEN 'USD' END AS c FROM orders)""",
     "b05_alert_filters": with_layers(
         DOMAIN, _PAIRS, select="SELECT 'active' AS filter, count(*) FILTER (status <> 'dismissed') AS n FROM alerts UNION ALL SELECT 'all', count(*) FROM alerts UNION ALL SELECT 'read', count(*) FILTER (status = 'read') FROM alerts"
     ),
-    "c09_canonical_brands": "WITH "
-    + fixtures.values_sql("expected", "product_id bigint, brand string", [(1, "Acme Labs"), (2, "Acme Labs"), (3, "Nordic"), (4, "Unknown"), (5, None), (6, "ACME LABS"), (7, None)])
-    + "\nSELECT * FROM expected",
-    "c10_official_stores": "SELECT * FROM (VALUES ('Nordic', CAST(1 AS BIGINT)), ('Acme Labs', 2), ('Acme Labs', 4)) t(brand, retailer_id)",
+    "l03_version_stream": text_plans.ORACLES["l02_l03_e06_versions"],
+    "k06_a06_alert_sink": with_layers(
+        DOMAIN, _PAIRS, select="SELECT type, CASE WHEN status = 'new' THEN 'read' ELSE status END AS status, count(*) AS n, (SELECT count(*) FROM alerts WHERE status = 'new') AS changed FROM alerts GROUP BY 1, 2"
+    ),
+    "a11_partition_expiry": with_layers(
+        DOMAIN,
+        _PAIRS,
+        f"live AS (SELECT * FROM alerts WHERE created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY)",
+        select=f"SELECT alert_id, created_at, (SELECT count(DISTINCT strftime(created_at, '%Y-%m')) FROM alerts WHERE strftime(created_at, '%Y-%m') >= strftime(TIMESTAMP '{AS_OF}' - INTERVAL 180 DAY, '%Y-%m')) AS partitions FROM live",
+    ),
     "k01_k02_alert_stream": with_layers(
         DOMAIN, _PAIRS, select="SELECT type, source_id, count(*) AS n FROM (SELECT * FROM changes UNION ALL SELECT * FROM outs) GROUP BY ALL"
     ),

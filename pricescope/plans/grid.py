@@ -148,6 +148,7 @@ def o04_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o05_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog's brands, one row each (thousands at most), numbered in one task."""
     counted = Domain(spark, sf_dir).products.groupBy("brand").agg(F.count("*").alias("product_count"))
     return counted.withColumn("is_focus", F.col("brand").isin(FOCUS)).withColumn("place", F.expr("row_number() OVER (ORDER BY is_focus DESC, brand COLLATE UNICODE)"))
 
@@ -157,8 +158,15 @@ def o08_restocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o09_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New listings: counted by brand, store and tone, as there are as many rows as gaps in the grid."""
-    return opportunities.pitches(_shelf(Domain(spark, sf_dir))).groupBy("brand", "retailer_id", "tone").agg(F.count("*").alias("n"), F.sum("in_stock_stores").alias("in_stock_stores"))
+    """New listings: counted by brand, store and tone, as there are as many as gaps in the grid."""
+    groups = opportunities.pitch_groups(_shelf(Domain(spark, sf_dir)))
+    return groups.groupBy("brand", "retailer_id", "tone").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("in_stock_stores")).alias("in_stock_stores"))
+
+
+def o09_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of new listings, cut to its first 200."""
+    d = Domain(spark, sf_dir)
+    return opportunities.first_pitches(_shelf(d), d.products, d.retailers).select("brand", "retailer_id", "product_id", "tone", "in_stock_stores", "store_missing")
 
 
 def o10_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +191,21 @@ def o06_unopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o07_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return opportunities.unopened_doors(_shelf(Domain(spark, sf_dir)))
+    """The first doors of the list, and how many there are."""
+    d = Domain(spark, sf_dir)
+    shelf = _shelf(d)
+    return opportunities.unopened_doors(shelf, d.retailers).join(opportunities.door_count(shelf)).select("brand", "retailer_id", "catalog_size", "other_brand_listings", "doors")
+
+
+def g08_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All briefs in the order in which they are shown."""
+    d = Domain(spark, sf_dir)
+    return opportunities.ordered_briefs(_shelf(d), d.retailers).select("place", "brand", "retailer_id", "covered")
+
+
+def o13_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = Domain(spark, sf_dir)
+    return opportunities.overview(_shelf(d), d.products, d.retailers)
 
 
 QUERIES = {
@@ -215,6 +237,9 @@ QUERIES = {
     "o07_unopened_doors": o07_doors,
     "o08_restocks": o08_restocks,
     "o09_c07_pitches": o09_pitches,
+    "o09_first_pitches": o09_first,
+    "g08_brief_order": g08_briefs,
+    "o13_overview": o13_overview,
     "o10_store_briefs": o10_briefs,
     "o11_summary": o11_summary,
     "g07_g09_ranked_restocks": g07_ranked,
@@ -279,6 +304,33 @@ briefs AS (
 unopened AS (
   SELECT product_id, brand FROM products JOIN stock USING (product_id) WHERE in_stock_stores > 0 AND product_id NOT IN (SELECT product_id FROM resolved WHERE NOT official))"""
 _S = (DOMAIN, LATEST, _SHELF)
+_DOORS = """
+doors AS (
+  SELECT brand, retailer_id, retailer_name, catalog_size, other_brand_listings FROM (SELECT retailer_id, CAST(sum(listed) AS BIGINT) AS other_brand_listings FROM partners GROUP BY 1) s
+    JOIN retailers USING (retailer_id), (SELECT brand, count(*) AS catalog_size FROM products GROUP BY brand) c
+  WHERE NOT EXISTS (SELECT 1 FROM partners p WHERE p.brand = c.brand AND p.retailer_id = s.retailer_id))"""
+_LISTS = """
+first_restocks AS (
+  SELECT *, row_number() OVER (ORDER BY rank DESC, in_stock_stores DESC, store_missing DESC, lower(name), retailer_name, product_id, retailer_id) AS place
+  FROM restocks JOIN (SELECT product_id, name FROM products) USING (product_id) JOIN (SELECT retailer_id, retailer_name FROM retailers) USING (retailer_id)),
+first_pitches AS (
+  SELECT *, row_number() OVER (ORDER BY tone DESC, in_stock_stores DESC, store_missing DESC, lower(name), retailer_name, product_id, retailer_id) AS place
+  FROM pitches JOIN (SELECT brand, retailer_id, catalog_size - listed AS store_missing FROM sized) USING (brand, retailer_id)
+    JOIN (SELECT product_id, name FROM products) USING (product_id) JOIN (SELECT retailer_id, retailer_name FROM retailers) USING (retailer_id)),
+placed_briefs AS (
+  SELECT *, row_number() OVER (ORDER BY covered, actionable_restocks DESC, pitches DESC, out_of_stock DESC, retailer_name, brand) AS place FROM briefs JOIN (SELECT retailer_id, retailer_name FROM retailers) USING (retailer_id))"""
+_OVERVIEW = """
+SELECT CASE WHEN covered THEN 'covered_stores' ELSE 'stores' END AS list, row_number() OVER (PARTITION BY covered ORDER BY place) AS place, brand, retailer_id, NULL AS product_id, NULL AS tone,
+  CASE WHEN covered THEN catalog_size ELSE pitches END AS value FROM placed_briefs
+UNION ALL SELECT 'restocks', place, brand, retailer_id, product_id, tone, in_stock_stores FROM first_restocks WHERE place <= 200
+UNION ALL SELECT 'new_listings', place, brand, retailer_id, product_id, tone, in_stock_stores FROM first_pitches WHERE place <= 200
+UNION ALL SELECT * FROM (SELECT 'unopened_products', row_number() OVER (ORDER BY lower(name), brand, product_id) AS n, brand, NULL, product_id, NULL, NULL FROM unopened JOIN (SELECT product_id, name FROM products) USING (product_id)) WHERE n <= 12
+UNION ALL SELECT * FROM (SELECT 'unopened_doors', row_number() OVER (ORDER BY other_brand_listings DESC, retailer_name, brand) AS n, brand, retailer_id, NULL, NULL, other_brand_listings FROM doors) WHERE n <= 20
+UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, * FROM (
+  SELECT 'restocks', count(*) FROM restocks UNION ALL SELECT 'new_listings', count(*) FROM pitches UNION ALL SELECT 'stores_with_gaps', count(*) FROM briefs WHERE NOT covered
+  UNION ALL SELECT 'unopened_products', count(*) FROM unopened UNION ALL SELECT 'unopened_doors', count(*) FROM doors UNION ALL SELECT 'products', count(*) FROM products
+  UNION ALL SELECT 'partner_stores', count(DISTINCT retailer_id) FROM partners
+  UNION ALL SELECT 'restocks_truncated', CAST(count(*) > 200 AS BIGINT) FROM restocks UNION ALL SELECT 'new_listings_truncated', CAST(count(*) > 200 AS BIGINT) FROM pitches)"""
 _C = (DOMAIN, LATEST, _COMPLIANCE)
 _T = "coalesce(regexp_replace(CAST({0} AS VARCHAR), '\\.0$', ''), '')"
 
@@ -371,11 +423,14 @@ ORACLES = {
     "o06_unopened_products": with_layers(*_S, select="SELECT * FROM unopened"),
     "o07_unopened_doors": with_layers(
         *_S,
-        select="""SELECT brand, retailer_id, catalog_size, other_brand_listings FROM (SELECT retailer_id, CAST(sum(listed) AS BIGINT) AS other_brand_listings FROM partners GROUP BY 1) s,
-          (SELECT brand, count(*) AS catalog_size FROM products GROUP BY 1) c WHERE NOT EXISTS (SELECT 1 FROM partners p WHERE p.brand = c.brand AND p.retailer_id = s.retailer_id)""",
+        _DOORS,
+        select="""SELECT brand, retailer_id, catalog_size, other_brand_listings, (SELECT count(*) FROM doors) AS doors FROM doors ORDER BY other_brand_listings DESC, retailer_name, brand LIMIT 20""",
     ),
     "o08_restocks": with_layers(*_S, select="SELECT * FROM restocks"),
     "o09_c07_pitches": with_layers(*_S, select="SELECT brand, retailer_id, tone, count(*) AS n, CAST(sum(in_stock_stores) AS BIGINT) AS in_stock_stores FROM pitches GROUP BY ALL"),
+    "o09_first_pitches": with_layers(*_S, _LISTS, select="SELECT brand, retailer_id, product_id, tone, in_stock_stores, store_missing FROM first_pitches WHERE place <= 200"),
+    "g08_brief_order": with_layers(*_S, _LISTS, select="SELECT place, brand, retailer_id, covered FROM placed_briefs"),
+    "o13_overview": with_layers(*_S, _DOORS, _LISTS, select=_OVERVIEW),
     "o10_store_briefs": with_layers(*_S, select="SELECT * FROM briefs"),
     "o11_summary": with_layers(
         *_S,

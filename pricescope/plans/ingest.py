@@ -5,75 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.functions import web
-from pricescope.operators import alerts, imports, pages, pricing, reports, tables
+from pricescope.operators import imports, page_prices, pages, pricing, reports, tables
 from pricescope.operators.matrix import select_products
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, with_layers
-from pricescope.sources import demo, fixtures, shop_pages
+from pricescope.sources import shop_pages
 from pricescope.sources.domain import Domain
 
 
-def _expected(columns: str, rows: list[tuple]) -> str:
-    return f"WITH {fixtures.values_sql('expected', columns, rows)}\nSELECT * FROM expected"
-
-
-def _one_column(rows: list[tuple], name: str, kind: str, make) -> tuple:
-    """A query that applies ``make`` to the fixture's texts, and the SQL of the results that it must give."""
-
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "id bigint, t string")
-        return texts.select("id", make(F.col("t")).alias(name))
-
-    return query, _expected(f"id bigint, {name} {kind}", [(i, want) for i, (_, want) in enumerate(rows)])
-
-
-#: Texts and what they must give.
-AMOUNTS = [("$1,234.56", 1234.56), ("1.234,56 €", 1234.56), ("12,50 €", 12.5), ("12,500", 12500.0), ("CHF 1'299.00", 1299.0), ("KWD 12.750", 12.75), ("45.50 60.00", 45.5), ("free", None), ("0.00", None), ("1 234,50", 1234.5), ("1.234.567", 1234567.0), (None, None)]
-CURRENCIES = [("AED 45.50", "AED"), ("45,50 €", "EUR"), ("US$ 5", "USD"), ("C$5", "CAD"), ("$5", "USD"), ("E£ 20", "EGP"), ("120 LE", "EGP"), ("SALE 5", None), ("١٢٠ ر.س", "SAR"), ("plain 5", None), (None, None), ("Dhs 20", "AED")]
-STOCK = [("http://schema.org/InStock", "in_stock"), ("OutOfStock", "out_of_stock"), ("sold out", "out_of_stock"), ("Pre-Order", "preorder"), ("LimitedAvailability", "limited"), ("low_stock", "limited"), ("soon", "unknown"), (None, "unknown"), ("https://schema.org/Discontinued", "out_of_stock")]
-NAMES = [("store-a.com", "Store A"), ("shop.brand.co.uk", "Brand"), ("mystore.example.com", "Mystore"), ("www.big_shop.net", "Big Shop"), ("m.com", "M"), ("", "")]
-ADDRESSES = [("https://a.com/x", True), ("ftp://a.com", False), ("http://localhost:3000", False), ("http://192.168.1.4/a", False), ("http://172.20.0.1", False), ("http://172.40.0.1", True), ("not an address", False), (None, False), ("http://printer.local/", False)]
-MESSAGES = [("Timeout 30000ms exceeded", "TIMEOUT"), ("page.goto: net::ERR_NAME_NOT_RESOLVED", "UNAVAILABLE"), ("net::ERR_CONNECTION_RESET", "UNAVAILABLE"), ("net::ERR_HTTP2_PROTOCOL_ERROR", "BLOCKED"), ("net::ERR_CERT_DATE_INVALID", "UNAVAILABLE"), ("Target closed", "RENDER_FAILURE"), ("odd", "UNKNOWN")]
-
-SNAPSHOTS = [
-    (1, 403, "x", "long enough text", "", "BLOCKED"),
-    (2, 404, "x", "long enough text", "", "UNAVAILABLE"),
-    (3, 503, "Just a moment...", "checking", "", "BLOCKED"),
-    (4, 500, "Oops", "server error here", "", "UNAVAILABLE"),
-    (5, 200, "Shampoo", "please solve the captcha", "", "BLOCKED"),
-    (6, 200, "Shampoo", "", "<p></p>", "EMPTY_PAGE"),
-    (7, 200, "Shampoo", "", '<script type="application/ld+json">', None),
-    (8, None, "Shampoo", "A very good shampoo", "", None),
-    (9, 200, "Shampoo", "A very good shampoo", '<form action="/validateCaptcha">', "BLOCKED"),
-]
-
-
-def h12_usability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([r[:5] for r in SNAPSHOTS], "id bigint, status int, title string, body string, html string")
-    return rows.select("id", web.page_problem(F.col("status"), F.col("title"), F.col("body"), F.col("html")).alias("problem"))
-
-
-_LD = '<script type="application/ld+json">{}</script>'
-HTML = [
-    (1, _LD.format('{"@type": "Product", "name": "Oil", "offers": {"price": "45.50", "priceCurrency": "AED", "availability": "http://schema.org/InStock"}}')),
-    (2, _LD.format('{"@graph": [{"@type": ["Thing", "Product"], "name": "Set", "brand": {"name": "B0"}, "offers": [{"price": 30, "priceCurrency": "USD", "availability": "OutOfStock"}, {"price": 32, "priceCurrency": "USD", "availability": "InStock"},]}]}')),
-    (3, "<meta property='product:price:amount' content='1.234,56'><meta property='product:price:currency' content='EUR'>"),
-    (4, '<span itemprop="price" content="19.99"></span><meta itemprop="priceCurrency" content="USD">'),
-    (5, "<div>Now only <b>$ 12.50</b> a piece</div><script>var p = '$ 99'</script>"),
-    (6, "<p>No price here</p>" + _LD.format("{broken")),
-    (7, _LD.format('/* c */ {"@type": "Product", "name": "Range", "offers": {"@type": "AggregateOffer", "lowPrice": "10", "highPrice": "20", "priceCurrency": "SAR"}, "aggregateRating": {"ratingValue": "4.5", "reviewCount": "12"}}')),
-    (8, '<button data-product-price="85">Buy</button>'),
-]
-
-
-def h01_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.structured_offers(spark.createDataFrame(HTML, "page_id bigint, html string")).drop("image", "high_price")
-
-
-def h03_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_prices(spark.createDataFrame(HTML, "page_id bigint, html string"))
-
-
 def h16_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     copy = pages.page_copy(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return copy.select("page_id", "title", "language", F.size("h1").alias("h1"), F.size("h2").alias("h2"), F.size("bullets").alias("bullets"), F.length("description").alias("description_length"), "images", "with_alt")
@@ -85,7 +23,7 @@ def _shown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def h13_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every product page: offers, sales shown, currency, stock, warnings, or why it can't be used."""
-    return pages.analyze_pages(_shown(spark, sf_dir))
+    return page_prices.analyze_pages(_shown(spark, sf_dir))
 
 
 def h17_info(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,58 +39,6 @@ def a13_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("page_id", "final_url", "title", F.length("visible_text").alias("text_length"), F.sha2("visible_text", 256).alias("text_hash"))
 
 
-#: Page, its address, its cart button, what it says of stock, and the price in its box.
-BOXES = [(1, "https://www.amazon.ae/dp/1", True, "In stock", "AED 19.50"), (2, "https://amazon.com/dp/2", False, "Currently unavailable.", ""), (3, "https://shop.com/3", False, "Currently unavailable.", "$ 5.00"), (4, "https://www.amazon.com/dp/4", True, "In stock", "")]
-
-
-def h19_buy_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(BOXES, "page_id bigint, url string, cart boolean, stock string, box string")
-    button = F.when(F.col("cart"), '<input id="add-to-cart-button">').otherwise("")
-    html = F.concat(F.lit("<main><p>Other sellers from AED 30.00</p></main><div id='availability'>"), "stock", F.lit("</div>"), button, F.lit('<div id="corePrice_feature_div"><span class="a-offscreen">'), "box", F.lit("</span></div>"))
-    shown = pages.snapshots(rows.select("page_id", "url", html.alias("html")))
-    return pages.buy_box(pages.analyze_pages(shown), shown).select("page_id", "price", "currency", "availability")
-
-
-ROBOTS = [
-    ("https://a.com", "User-agent: *\nDisallow: /cart\nAllow: /cart/view\nCrawl-delay: 2\n\nUser-agent: PriceBot\nUser-agent: other\nDisallow: /private # no\nDisallow: /*.pdf$\nAllow: /private/ok"),
-    ("https://b.com", "user-agent: *\r\ndisallow: /\r\nallow: /open\r\n"),
-    ("https://c.com", "Disallow: /\nUser-agent: *\nDisallow:\n"),
-]
-TARGETS = [
-    (1, "https://a.com/cart", True), (2, "https://a.com/private/x", False), (3, "https://a.com/private/ok?x=1", True), (4, "https://a.com/f/doc.pdf", False), (5, "https://a.com/f/doc.pdf?v=2", True),
-    (6, "https://b.com/x", False), (7, "https://b.com/open/1#top", True), (8, "https://c.com/any", True), (9, "https://d.com/", True), (10, "https://b.com", False),
-]
-
-
-def h05_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = pages.robots_rules(spark.createDataFrame(ROBOTS, "origin string, content string"), "PriceBot/1.0")
-    return pages.robots_verdicts(spark.createDataFrame([t[:2] for t in TARGETS], "url_id bigint, url string"), rules)
-
-
-STORES = [("a", "Own", True, 2), ("b", "Shop B", False, 1), ("c", "Shop C", False, 3)]
-CELLS = [(1, "a", "https://own.com/1", 500.0, False), (1, "b", None, 350.0, False), (1, "c", "https://www.c.com/1", None, True), (2, "a", "https://own.com/2", None, False), (2, "b", "nowhere", 20.0, False), (2, "c", None, None, False), (3, "b", "https://b.com/3", 0.0, False)]
-_CELLS = "row_id bigint, store_key string, url string, price double, out_of_stock boolean"
-
-
-def _planned(spark: SparkSession) -> DataFrame:
-    return imports.plan_sheet(spark.createDataFrame(STORES, "store_key string, name string, is_own_store boolean, listed int"), spark.createDataFrame(CELLS, _CELLS))
-
-
-def n01_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _planned(spark)
-
-
-def n01_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stores = spark.createDataFrame([("a", True), ("b", True)], "store_key string, is_own_store boolean")
-    rows = spark.createDataFrame([(1, "Oil"), (2, " oil "), (3, "Gel")], "row_id bigint, name string")
-    return imports.sheet_errors(stores, rows, spark.createDataFrame([(1, "a"), (2, "z"), (3, "z")], "row_id bigint, store_key string"))
-
-
-def n02_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(1, "https://own.com/1")], "row_id bigint, url string")
-    return imports.new_sources(_planned(spark), known).select("row_id", "url", "scraping_status", "observed_price")
-
-
 def n03_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheet prices are the observed ones; live prices come from the part table. One listing of each product."""
     d = Domain(spark, sf_dir)
@@ -228,69 +114,18 @@ def v11_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.headline(reports.price_actions(v01_decisions(spark, sf_dir)))
 
 
-LOGS = [
-    (1, "ceo", "2024-01-01 08:00:00", [("a", "sent")], {"compared": 10.0, "overpriced": 2.0}),
-    (2, "ceo", "2024-01-08 08:00:00", [("a", "failed"), ("b", "sent")], {"compared": 12.0, "overpriced": 5.0, "aligned": 1.0}),
-    (3, "ceo", "2024-01-15 08:00:00", [("a", "failed")], {"compared": 99.0}),
-    (4, "sales", "2024-01-16 08:00:00", [("c", "sent"), ("d", "sent")], {"restocks": 3.0}),
-]
-FIGURES = [("compared", 14.0), ("overpriced", 4.0), ("underpriced", 3.0), ("aligned", None), ("restocks", 9.0), ("newAlerts", 2.0)]
-
-
-def _logs(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(LOGS, "log_id bigint, audience string, created_at string, results array<struct<email: string, status: string>>, kpis map<string, double>")
-    return rows.withColumn("created_at", F.col("created_at").cast("timestamp"))
-
-
-def v12_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = spark.createDataFrame(FIGURES, "kpi string, value double")
-    return reports.key_figures(values, reports.previous_snapshot(_logs(spark), "ceo"), "ceo")
-
-
-def v14_recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = spark.createDataFrame([(1, "A@x.com", "ceo", True), (2, "b@x.com", "sales", True), (3, "c@x.com", "sales", False), (4, "d@x.com", "marketing", True)], "recipient_id bigint, email string, team string, is_active boolean")
-    wanted = spark.createDataFrame([(1, "auto"), (1, "auto"), (2, None), (3, "auto"), (4, "all"), (9, "auto")], "recipient_id bigint, audience string")
-    return reports.group_recipients(people, wanted)
-
-
-def v17_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.report_history(_logs(spark))
-
-
-def a19_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generated catalog's alerts by type."""
-    rows = alerts.with_previous(demo.catalog(spark).withColumn("is_own_store", F.col("retailer_id") == 0))
-    both = alerts.price_changes(rows).unionByName(alerts.stock_outs(rows))
-    return both.groupBy("type").agg(F.count("*").alias("n"))
-
+def h03_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first price of every page that tells one, however it was answered."""
+    return page_prices.page_prices(_shown(spark, sf_dir))
 
-_AMOUNT, _AMOUNT_SQL = _one_column(AMOUNTS, "amount", "double", web.parse_amount)
-_CURRENCY, _CURRENCY_SQL = _one_column(CURRENCIES, "currency", "string", web.detect_currency)
-_STOCK, _STOCK_SQL = _one_column(STOCK, "availability", "string", web.normalize_availability)
-_NAME, _NAME_SQL = _one_column(NAMES, "name", "string", web.store_name)
-_ADDRESS, _ADDRESS_SQL = _one_column(ADDRESSES, "scrapable", "boolean", web.is_scrapable)
-_MESSAGE, _MESSAGE_SQL = _one_column(MESSAGES, "code", "string", web.classify_error)
 
 QUERIES = {
+    "h03_h04_page_prices": h03_prices,
     "h13_h03_h04_h07_page_analysis": h13_analysis,
     "h17_product_info": h17_info,
     "h06_displayed_sales": h06_sales,
-    "h19_h20_buy_box": h19_buy_box,
     "a13_page_snapshots": a13_snapshots,
-    "h09_amounts": _AMOUNT,
-    "h10_currencies": _CURRENCY,
-    "h11_availability": _STOCK,
-    "t22_store_names": _NAME,
-    "h15_addresses": _ADDRESS,
-    "h14_errors": _MESSAGE,
-    "h12_usability": h12_usability,
-    "h01_structured_offers": h01_offers,
-    "h03_h04_page_prices": h03_prices,
-    "h05_robots": h05_robots,
     "h16_page_copy": h16_copy,
-    "n01_a12_plan_sheet": n01_plan,
-    "n01_sheet_errors": n01_errors,
-    "n02_import_sheet": n02_import,
     "n03_drift": n03_drift,
     "n04_keep_status": n04_keep_status,
     "n05_c13_d19_audit": n05_audit,
@@ -301,10 +136,6 @@ QUERIES = {
     "v01_v04_decisions": v01_decisions,
     "v10_g13_price_actions": v10_actions,
     "v11_headline": v11_headline,
-    "v12_v09_key_figures": v12_figures,
-    "v14_recipients": v14_recipients,
-    "v17_report_history": v17_history,
-    "a19_demo_alerts": a19_demo,
 }
 
 _ALL = (DOMAIN, LATEST, market(), ANALYSIS)
@@ -339,32 +170,11 @@ def _plain_html(x: str) -> str:
 
 
 ORACLES = {
-    "h13_h03_h04_h07_page_analysis": "WITH " + shop_pages.ANALYSIS_SQL + "\nSELECT * FROM analysed",
+    "h13_h03_h04_h07_page_analysis": "WITH " + shop_pages.ANALYSIS_SQL + "\nSELECT * EXCLUDE (kind_known) FROM analysed",
     "h17_product_info": shop_pages.INFO_SQL,
+    "h03_h04_page_prices": "WITH " + shop_pages.ANALYSIS_SQL.replace("problem IS NULL", "kind NOT IN (8, 9)") + "\nSELECT page_id, strategy, price, currency FROM analysed WHERE kind_known",
     "h06_displayed_sales": "WITH " + shop_pages.ANALYSIS_SQL + "\nSELECT page_id, sale AS sale_price, 'USD' AS sale_currency, price AS compare_at, kind = 5 AS explicit FROM told WHERE kind IN (5, 6)",
-    "h19_h20_buy_box": _expected("page_id bigint, price double, currency string, availability string", [(1, 19.5, "AED", "in_stock"), (2, 0.0, "AED", "out_of_stock"), (3, 30.0, "AED", "out_of_stock"), (4, 30.0, "AED", "in_stock")]),
     "a13_page_snapshots": f"""SELECT page_id, url AS final_url, {_plain_html("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, length({_plain_html(_TEXT_OF)}) AS text_length, sha256({_plain_html(_TEXT_OF)}) AS text_hash FROM pages""",
-    "h09_amounts": _AMOUNT_SQL,
-    "h10_currencies": _CURRENCY_SQL,
-    "h11_availability": _STOCK_SQL,
-    "t22_store_names": _NAME_SQL,
-    "h15_addresses": _ADDRESS_SQL,
-    "h14_errors": _MESSAGE_SQL,
-    "h12_usability": _expected("id bigint, problem string", [(r[0], r[5]) for r in SNAPSHOTS]),
-    "h01_structured_offers": _expected(
-        "page_id bigint, place int, name string, brand string, sku string, price double, currency string, availability string, rating double, rating_count int",
-        [
-            (1, 0, "Oil", None, None, 45.5, "AED", "in_stock", None, None),
-            (2, 0, "Set", "B0", None, 30.0, "USD", "out_of_stock", None, None),
-            (2, 1, "Set", "B0", None, 32.0, "USD", "in_stock", None, None),
-            (7, 0, "Range", None, None, 10.0, "SAR", "unknown", 4.5, 12),
-        ],
-    ),
-    "h03_h04_page_prices": _expected(
-        "page_id bigint, strategy string, price double, currency string",
-        [(1, "json-ld", 45.5, "AED"), (2, "json-ld", 32.0, "USD"), (3, "meta", 1234.56, "EUR"), (4, "microdata", 19.99, "USD"), (5, "visible-text", 12.5, "USD"), (7, "json-ld", 10.0, "SAR"), (8, "attributes", 85.0, None)],
-    ),
-    "h05_robots": _expected("url_id bigint, allowed boolean", [(t[0], t[2]) for t in TARGETS]),
     "h16_page_copy": f"""SELECT page_id, title, language, {_inner("h1")} AS h1, {_inner("h2")} AS h2, least(30, {_inner("li")}) AS bullets,
         list_max(list_filter(list_transform(list_transform(regexp_extract_all(b, '(?is)<p(?:\\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(
           replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))),
@@ -373,21 +183,6 @@ ORACLES = {
       FROM (SELECT page_id, {_BODY} AS b,
         nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title,
         nullif(lower(regexp_extract(html, '(?i)<html[^>]*\\blang=["'']([A-Za-z-]+)', 1)), '') AS language FROM pages)""",
-    "n01_a12_plan_sheet": _expected(
-        "row_id bigint, store_key string, is_own_store boolean, sort_order int, outcome string, url string, domain string, price double, availability string",
-        [
-            (1, "a", True, 0, "SOURCE", "https://own.com/1", "own.com", 500.0, "unknown"),
-            (1, "b", False, 1, "MISSING_URL", None, None, 350.0, "unknown"),
-            (1, "c", False, 2, "SOURCE", "https://www.c.com/1", "c.com", None, "out_of_stock"),
-            (2, "a", True, 0, "SOURCE", "https://own.com/2", "own.com", None, "unknown"),
-            (2, "b", False, 1, "INVALID_URL", "nowhere", None, 20.0, "unknown"),
-            (3, "b", False, 1, "SOURCE", "https://b.com/3", "b.com", None, "unknown"),
-        ],
-    ),
-    "n01_sheet_errors": _expected("error string, detail string", [("OWN_STORES", "2"), ("UNKNOWN_STORE", "z"), ("DUPLICATE_NAME", "oil")]),
-    "n02_import_sheet": _expected(
-        "row_id bigint, url string, scraping_status string, observed_price double", [(1, "https://www.c.com/1", "success", 0.0), (2, "https://own.com/2", "pending", None), (3, "https://b.com/3", "pending", None)]
-    ),
     "n03_drift": with_layers(
         DOMAIN,
         LATEST,
@@ -440,7 +235,4 @@ ORACLES = {
         _DECIDED,
         select="""SELECT count(*) AS actions, count(*) FILTER (priority = 'high') AS urgent, CASE WHEN count(*) FILTER (priority = 'high') > 0 THEN 'critical' WHEN count(*) > 0 THEN 'attention' ELSE 'healthy' END AS status FROM actions""",
     ),
-    "v12_v09_key_figures": _expected("kpi string, place bigint, value double, delta double", [("compared", 1, 14.0, 2.0), ("overpriced", 2, 4.0, -1.0), ("underpriced", 3, 3.0, None), ("newAlerts", 6, 2.0, None)]),
-    "v14_recipients": _expected("audience string, emails string", [("ceo", "a@x.com"), ("sales", "b@x.com"), ("all", "d@x.com"), ("rejected", "9,c@x.com")]),
-    "v17_report_history": _expected("log_id bigint, audience string, sent int, failed int", [(4, "sales", 2, 0), (3, "ceo", 0, 1), (2, "ceo", 1, 1), (1, "ceo", 1, 0)]),
 }

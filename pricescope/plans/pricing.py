@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.functions.numeric import is_valid_price, percent_over, round_half_up, round_money, round_percent
+from pricescope.functions.numeric import percent_over, round_half_up, round_money, round_percent
 from pricescope.operators import pricing
+from pricescope.operators.bundle import product_overviews
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, pct, r2, with_layers
-from pricescope.sources.domain import Domain
+from pricescope.session import checkpointed
+from pricescope.sources.domain import AS_OF, Domain
+from pricescope.sources.layout import drop_table, store_by_source
 
 ANALYSIS_COLUMNS = (
     "product_id currency status reason own_price market_minimum market_maximum market_average market_median versus_minimum versus_maximum versus_average "
@@ -83,12 +89,36 @@ def m01_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_suppkey", "currency", round_money(x, F.col("currency")).alias("amount"), round_percent(x / 3).alias("percent"), round_half_up(x).alias("whole"))
 
 
-def b01_valid_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = spark.createDataFrame([(1, 1.5), (2, 0.0), (3, -4.0), (4, float("nan")), (5, float("inf")), (6, None), (7, 1e-9)], "id int, price double")
-    return prices.select("id", is_valid_price(F.col("price")).alias("valid"))
+def p17_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product's document, its lists as text: sources with prices in cents, and the newest five points of each source in the last year."""
+    d = Domain(spark, sf_dir)
+    whole = product_overviews(d.products, d.retailers, d.sources, d.observations, datetime.fromisoformat(AS_OF) - timedelta(days=365), newest=5)
+    cents = lambda price: F.coalesce(F.round(price * 100).cast("bigint").cast("string"), F.lit("-"))
+    row = lambda r: F.concat_ws(":", r["source_id"], cents(r["price"]), F.coalesce(r["exclusion"], F.lit("-")))
+    point = lambda x: F.concat_ws(":", x["source_id"], F.unix_seconds(x["scraped_at"]), cents(x["price"]))
+    return whole.select(
+        "product_id",
+        "product.name",
+        "analysis.status",
+        "analysis.position",
+        "analysis.suggested_price",
+        F.array_join(F.transform("rows", row), ",").alias("rows"),
+        F.array_join(F.transform("history", point), ",").alias("history"),
+    )
+
+
+def d01_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest observations from a table stored by source."""
+    table = f"observations_{uuid.uuid4().hex}"
+    stored = store_by_source(Domain(spark, sf_dir).observations, table, buckets=8)
+    newest = checkpointed(pricing.latest_per_source(stored))
+    drop_table(spark, table)
+    return newest
 
 
 QUERIES = {
+    "p17_overview": p17_overview,
+    "d01_stored_by_source": d01_stored,
     "d01_latest_observation": latest,
     "p01_source_inputs": inputs,
     "p02_own_source": p02_own_source,
@@ -101,13 +131,29 @@ QUERIES = {
     "p16_due_for_refresh": p16_due_for_refresh,
     "p18_with_out_of_stock": p18_with_out_of_stock,
     "m01_m02_m03_rounding": m01_rounding,
-    "b01_valid_price": b01_valid_price,
 }
 
 _MARKET = (DOMAIN, LATEST, market())
+_SINCE = f"TIMESTAMP '{datetime.fromisoformat(AS_OF) - timedelta(days=365)}'"
 _X = "(l_extendedprice / l_quantity)"
 
 ORACLES = {
+    "p17_overview": with_layers(
+        *_MARKET, ANALYSIS,
+        f"""points AS (
+  SELECT product_id, source_id, price, scraped_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY scraped_at DESC, price DESC) AS place FROM (
+      SELECT product_id, source_id, price, scraped_at FROM observations WHERE scraped_at >= {_SINCE} AND price > 0
+      UNION ALL SELECT product_id, source_id, price, scraped_at FROM (
+        SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY scraped_at DESC, order_key DESC, order_line DESC, price DESC) AS rn FROM observations WHERE scraped_at < {_SINCE}) WHERE rn = 1 AND price > 0))
+  WHERE place <= 5)""",
+        select="""SELECT p.product_id, name, status, position, suggested_price, coalesce(r.rows, '') AS rows, coalesce(h.history, '') AS history
+          FROM products p LEFT JOIN analysis a USING (product_id)
+          LEFT JOIN (SELECT product_id, string_agg(source_id || ':' || coalesce(CAST(CAST(round(p * 100) AS BIGINT) AS VARCHAR), '-') || ':' || coalesce(x, '-'), ',' ORDER BY sort_order, source_id) AS rows FROM (
+            SELECT product_id, source_id, sort_order, CASE WHEN success AND valid THEN price END AS p, CASE WHEN exclusion <> 'FAILED' THEN exclusion END AS x FROM market JOIN retailers USING (retailer_id)) GROUP BY 1) r USING (product_id)
+          LEFT JOIN (SELECT product_id, string_agg(source_id || ':' || CAST(epoch(scraped_at) AS BIGINT) || ':' || CAST(round(price * 100) AS BIGINT), ',' ORDER BY source_id, scraped_at, price) AS history FROM points GROUP BY 1) h USING (product_id)""",
+    ),
+    "d01_stored_by_source": with_layers(DOMAIN, LATEST, select="SELECT * FROM latest"),
     "d01_latest_observation": with_layers(DOMAIN, LATEST, select="SELECT * FROM latest"),
     "p01_source_inputs": with_layers(*_MARKET, select="SELECT product_id, source_id, retailer_id, is_own_store, sort_order, success, price, currency, availability FROM inputs"),
     "p02_own_source": with_layers(*_MARKET, select="SELECT product_id, any_value(own_price) AS own_price, any_value(reference_currency) AS reference_currency FROM market GROUP BY product_id"),
@@ -133,5 +179,4 @@ ORACLES = {
     "m01_m02_m03_rounding": f"""SELECT l_orderkey, l_linenumber, l_suppkey, currency, CASE currency WHEN 'USD' THEN {r2(_X)} WHEN 'JPY' THEN {r2(_X, 0)} ELSE {r2(_X, 3)} END AS amount,
         {r2(f"({_X} / 3)")} AS percent, CAST(floor({_X} + 0.5) AS BIGINT) AS whole
       FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'JPY' ELSE 'KWD' END AS currency FROM lineitem)""",
-    "b01_valid_price": "SELECT * FROM (VALUES (1, TRUE), (2, FALSE), (3, FALSE), (4, FALSE), (5, FALSE), (6, FALSE), (7, TRUE)) t(id, valid)",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pricescope.plans import edges, grid, history, ingest, pricing, runs, slices, text
+from pricescope.plans import cases, edges, grid, history, ingest, pricing, report, runs, slices, text
 
-MODULES = [pricing, history, grid, text, ingest, edges, slices, runs]
+MODULES = [pricing, history, grid, text, ingest, edges, slices, runs, report, cases]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}

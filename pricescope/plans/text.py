@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pricescope.functions import lexicon, text
 from pricescope.operators import content, reviews
 from pricescope.operators.listing import with_place
-from pricescope.session import checkpointed
+from pricescope.operators.matrix import select_products
 from pricescope.sources import written
+from pricescope.sources.domain import Domain
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +30,15 @@ def t06_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t08_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document against the next one by id. Tokens are written once, as both sides of the join read them."""
-    docs = checkpointed(documents(spark, sf_dir).select("doc_id", text.tokens(F.col("text")).alias("tokens")).select("doc_id", F.size("tokens").alias("n"), F.array_distinct("tokens").alias("terms")))
-    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("next_n"), F.col("terms").alias("next_terms"))
-    return docs.join(other, "doc_id").select("doc_id", text.vocabulary_overlap(F.col("n"), F.col("terms"), F.col("next_n"), F.col("next_terms")).alias("similarity"))
+    """Each document against the next one by id: a document goes to two pairs, its own and that of the one before."""
+    terms = text.distinct_tokens(F.col("text"))
+    held = documents(spark, sf_dir).select("doc_id", "text", terms.alias("terms"))
+    # Repeated tokens matter to short texts only.
+    n = F.when(F.size("terms") >= lexicon.LEAST_TOKENS, F.size("terms")).otherwise(F.size(text.tokens(F.col("text"))))
+    sides = held.select("doc_id", F.struct(n.alias("n"), "terms").alias("one")).select(F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("doc_id"), "one")
+    pairs = sides.groupBy("doc_id").agg(F.collect_list("one").alias("two")).where(F.size("two") == 2)
+    a, b = F.get("two", 0), F.get("two", 1)
+    return pairs.select("doc_id", text.vocabulary_overlap(a["n"], a["terms"], b["n"], b["terms"]).alias("similarity"))
 
 
 def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,6 +168,12 @@ def t14_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.overview(_pages(spark, sf_dir), written.review_products(spark, sf_dir).select("product_id"))
 
 
+def t20_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products checked last, the most recent first, and whether some were left out."""
+    products = select_products(Domain(spark, sf_dir).products, demo=False)
+    return content.capped_overview(_pages(spark, sf_dir), products).select("product_id", "recency", "score", "band", "truncated")
+
+
 def t19_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.overview_summary(t14_scores(spark, sf_dir))
 
@@ -210,6 +222,7 @@ QUERIES = {
     "t14_t17_t18_overview": t14_scores,
     "t15_missing_facts": t15_facts,
     "t16_similarities": t16_similarities,
+    "t20_content_overview": t20_overview,
     "t19_overview_summary": t19_summary,
     "t21_domains": t21_domains,
     "t23_language": t23_language,
@@ -395,7 +408,8 @@ marked AS (
 numbered AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY source_id ORDER BY captured_at, snapshot_id) AS version FROM marked),
 versions AS (
   SELECT source_id, any_value(is_own_store) AS is_own_store, version, CASE WHEN bool_or(k = 1) THEN '' ELSE any_value(concat_ws(',', CASE WHEN title IS DISTINCT FROM lt THEN 'title' END, CASE WHEN description IS DISTINCT FROM ld THEN 'description' END,
-      CASE WHEN bullets IS DISTINCT FROM lb THEN 'bullets' END)) FILTER (fresh) END AS changed, min(captured_at) AS since, max(captured_at) AS last_seen
+      CASE WHEN bullets IS DISTINCT FROM lb THEN 'bullets' END)) FILTER (fresh) END AS changed, min(captured_at) AS since, max(captured_at) AS last_seen,
+    max_by({'rating': rating, 'images': images, 'language': language}, (captured_at, snapshot_id)) AS seen
   FROM numbered GROUP BY source_id, version)""",
 )
 
@@ -426,6 +440,10 @@ FROM lists a JOIN lists b ON b.doc_id = a.doc_id + 1""",
     "t14_t17_t18_overview": _of_pages("SELECT * FROM overview"),
     "t15_missing_facts": _of_pages("SELECT * FROM facts"),
     "t16_similarities": _of_pages("SELECT * FROM likeness"),
+    "t20_content_overview": _of_pages(
+        """SELECT product_id, recency, score, CASE WHEN score IS NULL THEN 'not_captured' WHEN score >= 85 THEN 'good' ELSE 'needs_work' END AS band, truncated
+          FROM (SELECT p_partkey AS product_id, row_number() OVER (ORDER BY p_partkey % 400, p_partkey) AS recency, count(*) OVER () > 500 AS truncated FROM part WHERE p_partkey % 97 <> 0) LEFT JOIN overview USING (product_id) WHERE recency <= 500"""
+    ),
     "t19_overview_summary": _of_pages(
         "SELECT count(*) AS analyzed, CAST(floor(avg(score) + 0.5) AS BIGINT) AS average_score, count(*) FILTER (band = 'needs_work') AS needs_work, count(*) FILTER (band = 'not_captured') AS not_captured FROM overview"
     ),
@@ -440,7 +458,7 @@ FROM lists a JOIN lists b ON b.doc_id = a.doc_id + 1""",
            ELSE array_to_string(themes[1:len(themes) - 1], ', ') || ', and ' || themes[len(themes)] END AS listed FROM r"""
     ),
     "l01_page_digests": "SELECT sha256(html) AS hash, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1",
-    "l02_l03_e06_versions": "WITH " + ",".join(_VERSIONS) + "\nSELECT * EXCLUDE (is_own_store) FROM versions",
+    "l02_l03_e06_versions": "WITH " + ",".join(_VERSIONS) + "\nSELECT * EXCLUDE (is_own_store, seen), seen.rating AS rating, seen.images AS images, seen.language AS language FROM versions",
     "l04_d06_latest_versions": "WITH " + ",".join(_VERSIONS) + "\nSELECT source_id, max(version) AS version_count, max_by(since, version) AS content_since FROM versions GROUP BY 1",
     "u01_u04_sentiment_themes": _over("SELECT review_id, sentiment, by_words, array_to_string(themes, ',') AS themes FROM r"),
     "u05_summaries": _over(_summary("product_id")),

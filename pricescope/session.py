@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,16 +37,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Folders with the tables that results read; see ``drop_results``.
+_results: set[str] = set()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder: whatever reads it twice doesn't compute it twice, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    named = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    keep_result(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_result(path: str) -> None:
+    """Remember a table in the shared folder that a result reads."""
+    _results.add(path)
+
+
+def drop_results(spark: SparkSession) -> int:
+    """Remove the tables that this session's results read, once the results are written or no longer wanted; how many there were."""
+    gone = list(_results)
+    for path in gone:
+        remove(spark, path)
+    return len(gone)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whichever that is."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _results.discard(path)

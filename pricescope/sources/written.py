@@ -134,11 +134,14 @@ _SNAPSHOT = {
     "captured_at": "CAST(l_shipdate AS TIMESTAMP)",
     "title": "CASE WHEN l_linenumber <> 6 THEN 'Title ' || substring('AABBA', CAST(l_orderkey % 5 + 1 AS INT), 1) END",
     "description": "'Text ' || CAST(year(l_shipdate) AS VARCHAR(4))",
+    "rating": "CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_linenumber AS DOUBLE) END",
+    "images": "CAST(l_orderkey % 7 AS INT)",
+    "language": "CASE WHEN l_orderkey % 2 = 0 THEN 'en' ELSE 'ar' END",
 }
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Looks at the pages of parts: snapshot_id, source_id, is_own_store, captured_at, title, description, bullets."""
+    """Looks at the pages of parts: snapshot_id, source_id, is_own_store, captured_at, the tracked title, description and bullets, and rating, images and language."""
     rows = _table(spark, sf_dir, "lineitem")
     return rows.select(*[F.expr(e).alias(n) for n, e in _SNAPSHOT.items()], F.array(F.when(F.col("l_quantity") > 25, "b1").otherwise("b0")).alias("bullets"))
 

@@ -1,59 +1,104 @@
-"""Price-change and stock-out alerts over a stream of observations.
+"""Price-change and stock-out alerts, and versions of page copy, over streams. State is one small row for each source.
 
-State is one observation for each source: the newest by its own time. A late row never replaces a newer one and raises
-no alert, so a stream whose rows come in order of time gives the batch rules' alerts. Sources are dealt to buckets by a hash,
-and a bucket's sources are one state, so that a call of the state function compares whole arrays.
+A source's state is the newest observation (or snapshot) by its own time. A late row never replaces a newer one and raises no alert, so a stream whose
+rows come in order of time gives the batch rules' results. Rows without a time can't be placed: they raise nothing and change no
+state. States live in RocksDB, keyed by source, so their number is bounded by disk; with ``forget`` those of sources that nobody has
+seen for so long go.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from pricescope.operators.alerts import LEAST_CHANGE
+from pricescope.operators.content import REFRESHED, TRACKED
 
-ALERTS = "type string, source_id bigint, previous_price double, price double, scraped_at timestamp"
-#: Times are kept in microseconds.
-STATE = "source_id array<bigint>, price array<double>, availability array<string>, scraped_at array<bigint>"
-COLUMNS = ["source_id", "price", "availability", "scraped_at"]
-#: Buckets of sources. A bucket's state is rewritten when one of its sources is seen: some thousand sources each are well.
-BUCKETS = 64
-
-
-def _judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fresh = pd.concat(list(frames)).sort_values(["source_id", "scraped_at", "order_key", "order_line", "price"], kind="stable")
-    rows = fresh[COLUMNS]
-    if state.exists:
-        known = pd.DataFrame(dict(zip(COLUMNS, map(list, state.get), strict=True))).astype({"source_id": "int64", "price": "float64"})
-        known["scraped_at"] = pd.to_datetime(known["scraped_at"], unit="us").astype(rows["scraped_at"].dtype)
-        since = rows["source_id"].map(known.set_index("source_id")["scraped_at"])
-        rows = rows[~(rows["scraped_at"] < since)]
-        # A source's known observation comes before its fresh ones.
-        rows = pd.concat([known, rows]).sort_values("source_id", kind="stable")
-    rows = rows.reset_index(drop=True)
-    before = rows.groupby("source_id")[["price", "availability"]].shift()
-    seen = rows["source_id"].eq(rows["source_id"].shift())
-    valid = lambda x: x.gt(0) & x.lt(float("inf"))
-    changed = seen & valid(before["price"]) & valid(rows["price"]) & (rows["price"] - before["price"]).abs().ge(LEAST_CHANGE)
-    gone = seen & rows["availability"].eq("out_of_stock") & before["availability"].ne("out_of_stock")
-    moves = rows[changed].assign(type="PRICE_CHANGE", previous_price=before["price"])
-    outs = rows[gone].assign(type="OUT_OF_STOCK", previous_price=float("nan"))
-    last = rows.groupby("source_id").tail(1)
-    state.update((last["source_id"].tolist(), last["price"].tolist(), last["availability"].tolist(), last["scraped_at"].astype("datetime64[us]").astype("int64").tolist()))
-    yield from (found[["type", "source_id", "previous_price", "price", "scraped_at"]] for found in (moves, outs) if len(found))
-
-
-def alert_stream(observations: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Alerts of a streaming table of competitors' observations."""
-    wanted = observations.select("source_id", "price", "availability", "scraped_at", "order_key", "order_line")
-    dealt = wanted.withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInPandasWithState(_judge, ALERTS, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def version_stream(snapshots: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Content seen for the first time: one row for each source and digest within the watermark."""
-    return snapshots.withWatermark("captured_at", delay).dropDuplicatesWithinWatermark(["source_id", "hash"])
+#: Times are microseconds inside the state functions.
+ALERTS = "type string, source_id bigint, previous_price double, price double, at bigint"
+SEEN = "price double, availability string, at bigint"
+#: What a look at a page tells: a new version with the fields that changed, or that the current one still stands.
+LOOKS = "source_id bigint, version bigint, fresh boolean, changed array<string>, at bigint, snapshot_id bigint, rating double, images int, language string"
+VERSION = "version bigint, digests array<string>, at bigint"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _valid(price: float | None) -> bool:
+    return price is not None and 0 < price < float("inf")
+
+
+class PriceWatch(StatefulProcessor):
+    """Alerts of one source: its last observation against each new one."""
+
+    def __init__(self, forget: int | None = None):
+        self.forget = forget
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", SEEN, self.forget) if self.forget else handle.getValueState("last", SEEN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self.last.get() if self.last.exists() else None
+        fresh = [r for r in rows if r.at is not None and (last is None or r.at >= last[2])]
+        low = lambda price: float("-inf") if price is None else price
+        for r in sorted(fresh, key=lambda r: (r.at, r.order_key, r.order_line, low(r.price))):
+            if last is not None:
+                if _valid(last[0]) and _valid(r.price) and abs(r.price - last[0]) >= LEAST_CHANGE:
+                    yield Row(type="PRICE_CHANGE", source_id=key[0], previous_price=last[0], price=r.price, at=r.at)
+                if r.availability == "out_of_stock" and last[1] != "out_of_stock":
+                    yield Row(type="OUT_OF_STOCK", source_id=key[0], previous_price=None, price=r.price, at=r.at)
+            last = (r.price, r.availability, r.at)
+        if fresh:
+            self.last.update(last)
+
+    def close(self) -> None:
+        pass
+
+
+class VersionWatch(StatefulProcessor):
+    """Versions of one page: a look whose copy differs from the last one's is a new version, though it may have been there before."""
+
+    def init(self, handle) -> None:
+        self.current = handle.getValueState("current", VERSION)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.current.get() if self.current.exists() else None
+        version, digests, since = state or (0, None, None)
+        fresh = [r for r in rows if r.at is not None and (since is None or r.at >= since)]
+        for r in sorted(fresh, key=lambda r: (r.at, r.snapshot_id)):
+            now = [hashlib.sha256(json.dumps(r[f]).encode()).hexdigest() for f in TRACKED]
+            changed = [f for f, a, b in zip(TRACKED, now, digests or now, strict=True) if a != b]
+            is_new = digests is None or bool(changed)
+            version += is_new
+            yield Row(source_id=key[0], version=version, fresh=is_new, changed=changed, at=r.at, snapshot_id=r.snapshot_id, **{f: r[f] for f in REFRESHED})
+            digests, since = now, r.at
+        if fresh:
+            self.current.update((version, digests, since))
+
+    def close(self) -> None:
+        pass
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Keyed state of any size needs the store on disk; queries that are started later use it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+
+def alert_stream(observations: DataFrame, forget: int | None = None) -> DataFrame:
+    """Alerts of a streaming table of competitors' observations. ``forget``: milliseconds after which an unseen source's state goes."""
+    keep_state_on_disk(observations.sparkSession)
+    wanted = observations.select("source_id", "price", "availability", F.unix_micros("scraped_at").alias("at"), "order_key", "order_line")
+    found = wanted.groupBy("source_id").transformWithState(PriceWatch(forget), ALERTS, "Append", "ProcessingTime" if forget else "None")
+    return found.withColumn("scraped_at", F.timestamp_micros("at")).drop("at")
+
+
+def version_stream(snapshots: DataFrame) -> DataFrame:
+    """Every look at a page, with its version: new versions have ``fresh``, others only extend theirs."""
+    keep_state_on_disk(snapshots.sparkSession)
+    wanted = snapshots.select("source_id", "snapshot_id", F.unix_micros("captured_at").alias("at"), *TRACKED, *REFRESHED)
+    looks = wanted.groupBy("source_id").transformWithState(VersionWatch(), LOOKS, "Append", "None")
+    return looks.withColumn("captured_at", F.timestamp_micros("at")).drop("at")

@@ -1,6 +1,6 @@
 """Prices without a currency beside them take the page's."""
 
-from pricescope.operators import pages
+from pricescope.operators import page_prices, pages
 
 
 def test_page_currency(spark):
@@ -13,7 +13,7 @@ def test_page_currency(spark):
         (6, '<i data-price="7" data-currency="nothing"></i><p>CA$ 1, CA$ 2, $ 3</p>'),
         (7, "<p>no price, but EUR</p>"),
     ]
-    rows = spark.createDataFrame(html, "page_id bigint, html string")
-    assert {r["page_id"]: r["currency"] for r in pages.page_currencies(rows).collect()} == {1: "EUR", 2: "SAR", 3: "USD", 5: "AED", 6: "CAD"}
-    assert {r["page_id"]: (r["strategy"], r["currency"]) for r in pages.page_prices(rows).collect()}[1] == ("attributes", "EUR")
-    assert {r["page_id"]: r["currency"] for r in pages.page_prices(rows).collect()}[4] is None
+    rows = pages.snapshots(spark.createDataFrame([(i, f"https://shop.com/{i}", h) for i, h in html], "page_id bigint, url string, html string"))
+    assert {r["page_id"]: r["currency"] for r in page_prices.page_currencies(rows).collect()} == {1: "EUR", 2: "SAR", 3: "USD", 5: "AED", 6: "CAD"}
+    assert {r["page_id"]: (r["strategy"], r["currency"]) for r in page_prices.page_prices(rows).collect()}[1] == ("attributes", "EUR")
+    assert {r["page_id"]: r["currency"] for r in page_prices.page_prices(rows).collect()}[4] is None

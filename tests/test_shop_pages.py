@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricescope.operators import pages, runs
+from pricescope.operators.page_prices import analyze_pages
 
 BLOCK = '<div class="product__block--price">{}</div>'
 LD = '<script type="application/ld+json">{{"@type": "Product", "offers": {{"price": "{}", "priceCurrency": "USD", "availability": "InStock"}}}}</script>'
@@ -28,15 +29,15 @@ CASES = [
 
 def test_displayed_sales(spark):
     rows = spark.createDataFrame([(i, "https://shop.com/" + str(i), f"<html><head><title>Oil</title></head><body><h1>A good oil</h1>{h}</body></html>") for i, h, _, _ in CASES], "page_id bigint, url string, html string")
-    got = {r["page_id"]: (r["price"], r["original_price"]) for r in pages.analyze_pages(pages.snapshots(rows)).collect()}
+    got = {r["page_id"]: (r["price"], r["original_price"]) for r in analyze_pages(pages.snapshots(rows)).collect()}
     assert got == {i: (price, former) for i, _, price, former in CASES}
 
 
 def test_pages_of_nothing(spark):
     rows = spark.createDataFrame([(1, "https://a.com", None, None), (2, None, "", 500), (3, "https://a.com", "<p>some words that are no price</p>", 200)], "page_id bigint, url string, html string, http_status int")
-    got = {r["page_id"]: r["problem"] for r in pages.analyze_pages(pages.snapshots(rows)).collect()}
+    got = {r["page_id"]: r["problem"] for r in analyze_pages(pages.snapshots(rows)).collect()}
     assert got[2] == "UNAVAILABLE" and got[3] == "PRICE_NOT_FOUND" and set(got) == {1, 2, 3}
-    assert pages.analyze_pages(pages.snapshots(rows.limit(0))).count() == 0
+    assert analyze_pages(pages.snapshots(rows.limit(0))).count() == 0
     assert pages.product_info(pages.snapshots(rows)).count() == 3
 
 
