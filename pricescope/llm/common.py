@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricescope.session import remove, shared_dir
+from pricescope.session import keep_result, remove, shared_dir
 
 #: Whitespace that separates words in most contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,14 +23,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    ``session.drop_results`` removes it when nothing reads it any more.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    keep_result(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class Scratch:
-    """Tables that an operator writes to the shared folder and removes when nothing reads them any more."""
+    """Tables that an operator writes to the shared folder and removes when it reads them no more; ``session.drop_results`` removes the others."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.made = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
@@ -40,6 +44,7 @@ class Scratch:
         paths = self.made.setdefault(name, [])
         path = f"{self.folder}/{name}-{len(paths)}"
         df.write.parquet(path)
+        keep_result(path)
         paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -237,8 +237,12 @@ def matches_of(index: Index, text: str) -> list[tuple[str, float, int, int]]:
     breaks = [k for k, c in enumerate(lowered) if c == "\n"]
     sets = dict(zip(index.names, index.sets, strict=True))
     inside = [(sets[name], first, last) for name, _, first, last in found]
+    # Of a template that matches the whole text (or lies in one that does), no span tells more: none is searched for.
+    covered = [s for s, low, high in inside if low == 0 and high == len(breaks)]
     wider: list[tuple[set, int, int]] = []
     for i in present:
+        if any(index.sets[i] <= s for s in covered):
+            continue
         taken = []
         for a, b, d in index.spans(run, i):
             first, last = bisect_left(breaks, places[a][0]), bisect_left(breaks, places[b + 1][0])

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,10 @@ def positions(hashes: np.ndarray, n_bits: int) -> list[np.ndarray]:
     return [mix(hashes + np.uint64(0xD1B54A32D192ED03 * (j + 1) & (1 << 64) - 1)) & np.uint64(n_bits - 1) for j in range(HASHES)]
 
 
+def count_lines(text: Column) -> Column:
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+
+
 def filter_size(n_lines: int) -> int:
     """Bits of the filters for so many lines: a power of two."""
     return max(SEGMENT_BITS, 1 << (max(1, n_lines * BITS) - 1).bit_length())
@@ -157,7 +161,7 @@ def lines_to_drop(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """(doc_id, gone): the SHA-256 digests of the keys whose lines each document loses; documents that lose none have no row."""
     scratch = Scratch(docs.sparkSession, "lines")
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
-    lines = known.agg(F.coalesce(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1), F.lit(0))).head()[0]
+    lines = known.agg(F.coalesce(F.sum(count_lines(F.col("text"))), F.lit(0))).head()[0]
     twice = repeat_filter(known.select("text"), filter_size(lines), min_chars)
     suspected = scratch.table(suspects(known, twice, min_chars), "suspects")
     ends = suspected.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
@@ -209,8 +213,7 @@ def edit_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     edited = joined.select("__row", lost.alias("edited")).select("__row", "edited.n_dropped", "edited.kept")
     untouched = marked.where("NOT touched").select("__row", F.lit(0).cast("bigint").alias("n_dropped"), F.col("__row.text").alias("kept"))
     text = F.coalesce("__row.text", F.lit(""))
-    n_lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
-    return untouched.unionByName(edited).select("__row", n_lines.cast("long").alias("n_lines"), "n_dropped", F.coalesce("kept", F.lit("")).alias("kept"))
+    return untouched.unionByName(edited).select("__row", count_lines(text).alias("n_lines"), "n_dropped", F.coalesce("kept", F.lit("")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
