@@ -162,7 +162,7 @@ def _gathered(pages: DataFrame, said: dict[str, Column]) -> DataFrame:
     sale, regular = meta("product:sale_price:amount"), F.coalesce(meta("product:price:amount"), meta("og:price:amount"))
     code = F.coalesce(meta("product:sale_price:currency"), meta("product:price:currency"), meta("og:price:currency"))
     told = F.to_json(F.struct(*[c.alias(n) for n, c in said.items()])) if said else F.lit(None).cast("string")
-    read = pages.select("page_id", told.alias("said"), "html", "visible_text", _read(F.col("html"), scripts_of("html"), F.col("final_url")).alias("r"))
+    read = _held(pages.select("page_id", told.alias("said"), "html", "visible_text", "final_url"), r=_read(F.col("html"), scripts_of("html"), F.col("final_url")))
     raw = read.select(
         "page_id",
         F.concat(

@@ -89,7 +89,11 @@ def keep_state_on_disk(spark: SparkSession) -> None:
 
 
 def alert_stream(observations: DataFrame, forget: int | None = None) -> DataFrame:
-    """Alerts of a streaming table of competitors' observations. ``forget``: milliseconds after which an unseen source's state goes."""
+    """Alerts of a streaming table of competitors' observations.
+
+    ``forget``: milliseconds after which an unseen source's state goes. That is by the clock, so such a stream runs on: don't start it with
+    ``availableNow``, which waits for its end.
+    """
     keep_state_on_disk(observations.sparkSession)
     wanted = observations.select("source_id", "price", "availability", F.unix_micros("scraped_at").alias("at"), "order_key", "order_line")
     found = wanted.groupBy("source_id").transformWithState(PriceWatch(forget), ALERTS, "Append", "ProcessingTime" if forget else "None")
