@@ -34,6 +34,25 @@ def test_inclusion_follows_the_weights(spark):
         assert r["low"] >= np.floor(want + 1e-9) and r["high"] <= np.ceil(want - 1e-9)
 
 
+def test_inclusion_with_unequal_sizes(spark):
+    """200 sources of 40 documents of 1 to 400 words: by weight and class of size, documents are taken as often as they should be."""
+    docs = spark.range(8_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id * 7919 % 401 AS int)) AS text", "lpad(id DIV 40, 3, '0') AS source", "CASE id % 3 WHEN 0 THEN 0.5D WHEN 1 THEN 2D ELSE 1D END AS wish")
+    got = mixing.mix(docs, weight=F.col("wish")).join(docs.select("doc_id", "wish"), "doc_id").toPandas()
+    got["p"] = 0.0
+    got["floor"] = 0
+    for _, rows in got.groupby("source"):
+        want = levels(rows.groupby("wish")["size"].sum().to_dict(), rows.target.iloc[0])
+        got.loc[rows.index, "floor"] = [int(np.floor(want[w] + 1e-9)) for w in rows.wish]
+        got.loc[rows.index, "p"] = [want[w] - np.floor(want[w] + 1e-9) for w in rows.wish]
+        assert abs((rows["size"] * rows.copies).sum() - rows.target.iloc[0]) <= rows["size"].median()
+    assert set(got.copies - got.floor) <= {0, 1}
+    got["kind"] = got["size"].map(lambda n: int(n).bit_length())
+    for (_, kind), rows in got[got.p > 1e-6].groupby(["wish", "kind"]):
+        if kind >= 5:
+            taken, p = (rows.copies - rows.floor).sum(), rows.p
+            assert abs(taken - p.sum()) <= 4 * np.sqrt((p * (1 - p)).sum()) + 0.03 * len(rows)
+
+
 def test_mixing_by_shuffle_is_the_same(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     whole = plain(mixing.mix(docs).toPandas())
