@@ -17,13 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of long texts for all cores, where the input has fewer splits than there are cores; large inputs stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def t05_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.count_words(F.col("text")).alias("words"), F.size(text.tokens(F.col("text"))).alias("tokens"))
 
 
 def t06_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent terms of each language."""
-    terms = text.term_counts(documents(spark, sf_dir), ["lang", "doc_id"], "text")
+    terms = text.term_counts(_dealt(documents(spark, sf_dir).select("lang", "doc_id", "text")), ["lang", "doc_id"], "text")
     usage = terms.groupBy("lang", "term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
     place = F.expr("row_number() OVER (PARTITION BY lang ORDER BY documents DESC, occurrences DESC, term)")
     return usage.withColumn("place", place).where("place <= 50")
@@ -32,7 +38,7 @@ def t06_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t08_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the next one by id: a document goes to two pairs, its own and that of the one before."""
     terms = text.distinct_tokens(F.col("text"))
-    held = documents(spark, sf_dir).select("doc_id", "text", terms.alias("terms"))
+    held = _dealt(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", terms.alias("terms"))
     # Repeated tokens matter to short texts only.
     n = F.when(F.size("terms") >= lexicon.LEAST_TOKENS, F.size("terms")).otherwise(F.size(text.tokens(F.col("text"))))
     sides = held.select("doc_id", F.struct(n.alias("n"), "terms").alias("one")).select(F.explode(F.array(F.col("doc_id"), F.col("doc_id") - 1)).alias("doc_id"), "one")
