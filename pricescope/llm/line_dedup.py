@@ -85,7 +85,7 @@ def partial_filters(texts: DataFrame, n_bits: int, min_chars: int) -> DataFrame:
         owner = (bits // np.uint64(SEGMENT_BITS)).astype(np.int64)
         segments, begin = np.unique(owner, return_index=True)
         places = (bits % np.uint64(SEGMENT_BITS)).astype("<u4")
-        return {int(s): places[b:e].tobytes() for s, b, e in zip(segments, begin, [*begin[1:], len(bits)], strict=True)}
+        return {int(s): places[b:e].tobytes() for s, b, e in zip(segments, begin, np.append(begin, len(bits))[1:], strict=True)}
 
     def send(gathered: list[np.ndarray]) -> pa.RecordBatch:
         hashes, times = np.unique(np.concatenate(gathered), return_counts=True)
