@@ -181,16 +181,29 @@ def door_count(shelf: Shelf) -> DataFrame:
     return _stores(shelf).agg(F.coalesce(F.sum("lacks"), F.lit(0)).alias("doors"))
 
 
-def unopened_doors(shelf: Shelf, retailers: DataFrame, limit: int = DOOR_LIMIT) -> DataFrame:
-    """The first partner stores of other brands that list nothing of a brand: those that list most, then by name and brand.
+def every_door(shelf: Shelf) -> DataFrame:
+    """All pairs of a partner store and a brand of which it lists nothing: (brand, retailer_id, catalog_size, other_brand_listings).
+
+    As many rows as the result has: stores are dealt to tasks and meet the brands, which are one row each; pairs that are listed go by an
+    anti-join on the pair.
+    """
+    stores = _stores(shelf).where("lacks > 0").select("retailer_id", "other_brand_listings")
+    return stores.crossJoin(_brand_sizes(shelf)).join(shelf.partners.select("brand", "retailer_id"), ["brand", "retailer_id"], "left_anti")
+
+
+def _brand_sizes(shelf: Shelf) -> DataFrame:
+    return shelf.catalog.where("brand IS NOT NULL").groupBy("brand").agg(F.count("*").alias("catalog_size"))
+
+
+def first_doors(shelf: Shelf, retailers: DataFrame, limit: int = DOOR_LIMIT) -> DataFrame:
+    """The first doors of the overview's list: those of stores that list most, then by name and brand.
 
     Pairs are unfolded for the first ``limit`` stores only: each of them lacks a brand at least, so they hold the list.
     """
     named = _stores(shelf).where("lacks > 0").join(retailers.select("retailer_id", "retailer_name"), "retailer_id")
     order = [F.col("other_brand_listings").desc(), F.collate("retailer_name", "UNICODE"), F.col("retailer_id")]
     first = named.orderBy(*order).limit(limit).drop("lacks")
-    sizes = shelf.catalog.where("brand IS NOT NULL").groupBy("brand").agg(F.count("*").alias("catalog_size"))
-    lacking = sizes.join(F.broadcast(first)).join(shelf.partners.select("brand", "retailer_id"), ["brand", "retailer_id"], "left_anti")
+    lacking = _brand_sizes(shelf).join(F.broadcast(first)).join(shelf.partners.select("brand", "retailer_id"), ["brand", "retailer_id"], "left_anti")
     return lacking.orderBy(*order, F.collate("brand", "UNICODE"), "brand").limit(limit)
 
 
@@ -235,7 +248,7 @@ def overview(shelf: Shelf, products: DataFrame, retailers: DataFrame) -> DataFra
         tagged(rank_opportunities(restocks(shelf), products, retailers), "restocks", *best, value=F.col("in_stock_stores")),
         tagged(first_pitches(shelf, products, retailers), "new_listings", *best, value=F.col("in_stock_stores")),
         tagged(unopened.orderBy(*names).limit(PRODUCT_LIMIT), "unopened_products", *names),
-        tagged(unopened_doors(shelf, retailers), "unopened_doors", *doors, value=F.col("other_brand_listings")),
+        tagged(first_doors(shelf, retailers), "unopened_doors", *doors, value=F.col("other_brand_listings")),
         one(door_count(shelf), "unopened_doors", "doors"),
         one(shelf.catalog.agg(F.count("*").alias("n")), "products", "n"),
         one(shelf.partners.agg(F.countDistinct("retailer_id").alias("n")), "partner_stores", "n"),

@@ -191,10 +191,8 @@ def o06_unopened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def o07_doors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first doors of the list, and how many there are."""
-    d = Domain(spark, sf_dir)
-    shelf = _shelf(d)
-    return opportunities.unopened_doors(shelf, d.retailers).join(opportunities.door_count(shelf)).select("brand", "retailer_id", "catalog_size", "other_brand_listings", "doors")
+    """All doors; the overview shows the first of them."""
+    return opportunities.every_door(_shelf(Domain(spark, sf_dir))).select("brand", "retailer_id", "catalog_size", "other_brand_listings")
 
 
 def g08_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +422,7 @@ ORACLES = {
     "o07_unopened_doors": with_layers(
         *_S,
         _DOORS,
-        select="""SELECT brand, retailer_id, catalog_size, other_brand_listings, (SELECT count(*) FROM doors) AS doors FROM doors ORDER BY other_brand_listings DESC, retailer_name, brand LIMIT 20""",
+        select="SELECT brand, retailer_id, catalog_size, other_brand_listings FROM doors",
     ),
     "o08_restocks": with_layers(*_S, select="SELECT * FROM restocks"),
     "o09_c07_pitches": with_layers(*_S, select="SELECT brand, retailer_id, tone, count(*) AS n, CAST(sum(in_stock_stores) AS BIGINT) AS in_stock_stores FROM pitches GROUP BY ALL"),

@@ -162,7 +162,7 @@ def new_listings(t: Tables) -> DataFrame:
 
 
 def unopened_doors(t: Tables) -> DataFrame:
-    rows = opportunities.unopened_doors(t.shelf, t.d.retailers).join(t.d.retailers.select("retailer_id", "domain"), "retailer_id")
+    rows = opportunities.first_doors(t.shelf, t.d.retailers).join(t.d.retailers.select("retailer_id", "domain"), "retailer_id")
     order = [F.col("other_brand_listings").desc(), F.collate("retailer_name", "UNICODE"), F.col("retailer_id"), F.collate("brand", "UNICODE")]
     return _entries(rows, "unopenedDoors", order, F.col("retailer_name"), page_link(APP, "opportunities", brand=F.col("brand"), view=F.lit("stores")), F.col("brand"), F.col("domain"), F.col("other_brand_listings"))
 
