@@ -50,7 +50,7 @@ def latest_versions(snapshots: DataFrame) -> DataFrame:
 def content_text(prefix: str = "") -> Column:
     """All copy of a page, one part a line; empty parts left out."""
     parts = [F.array("title", "meta", "description"), F.col("h1"), F.col("h2"), F.col("bullets"), F.col("faq")]
-    return F.array_join(F.filter(F.concat(*parts), lambda x: x != ""), "\n")
+    return F.array_join(F.array_remove(F.concat(*parts), ""), "\n")
 
 
 def utf16_length(value: Column) -> Column:
@@ -74,19 +74,38 @@ def metrics(pages: DataFrame) -> DataFrame:
     )
 
 
+def store_words() -> Column:
+    """The words of a page's store: of its name and its host's first label."""
+    host = F.get(F.split(F.coalesce(text.domain_of(F.col("url")), F.lit("")), r"\."), F.lit(0))
+    return text.tokens(F.concat_ws(" ", "retailer_name", host))
+
+
 def store_tokens(pages: DataFrame) -> DataFrame:
     """The words of the names and hosts of a product's stores: they aren't keywords."""
-    host = F.get(F.split(F.coalesce(text.domain_of(F.col("url")), F.lit("")), r"\."), F.lit(0))
-    return pages.select("product_id", F.explode(text.tokens(F.concat_ws(" ", "retailer_name", host))).alias("token")).distinct()
+    return pages.select("product_id", F.explode(store_words()).alias("token")).distinct()
+
+
+def _of_product(value: Column) -> Column:
+    return value.over(Window.partitionBy("product_id"))
 
 
 def page_terms(pages: DataFrame) -> DataFrame:
-    """(product_id, source_id, is_own_store, term, n) without the terms that hold a store's word."""
-    keys = ["product_id", "source_id", "is_own_store"]
-    terms = text.term_counts(pages.withColumn("copy", content_text()), keys, "copy")
-    parts = terms.withColumn("part", F.explode(F.split("term", " ")))
-    banned = parts.join(store_tokens(pages).withColumnRenamed("token", "part"), ["product_id", "part"], "left_semi")
-    return terms.join(banned.select(*keys, "term").distinct(), [*keys, "term"], "left_anti")
+    """(product_id, source_id, is_own_store, captured, first_own, term, n) without the terms that hold a store's word.
+
+    ``captured`` competitors' pages and the first own source come from windows over a product's pages, as do its stores' words: no
+    side is joined, so none is broadcast.
+    """
+    keys = ["product_id", "source_id", "is_own_store", "captured", "first_own", "banned"]
+    marked = pages.withColumns({"copy": content_text(), "store_words": store_words()}).select("product_id", "source_id", "is_own_store", "copy", "store_words")
+    marked = marked.withColumns(
+        {
+            "captured": _of_product(F.count_if(~F.col("is_own_store"))),
+            "first_own": _of_product(F.min(F.when(F.col("is_own_store"), F.col("source_id")))),
+            "banned": F.flatten(_of_product(F.collect_set("store_words"))),
+        }
+    )
+    terms = text.term_counts(marked, keys, "copy")
+    return terms.where(~F.arrays_overlap("banned", F.split("term", " "))).drop("banned")
 
 
 def least_pages(n: Column) -> Column:
@@ -99,19 +118,14 @@ def keyword_gap(pages: DataFrame) -> DataFrame:
 
     Limited by kind, in order of pages, occurrences, phrases first, and the term.
     """
-    own_source = first_own(pages).select("source_id")
-    terms = page_terms(pages)
-    competitors = pages.where("NOT is_own_store").groupBy("product_id").agg(F.count("*").alias("pages_captured"))
-    usage = terms.where("NOT is_own_store").groupBy("product_id", "term").agg(F.count("*").alias("pages"), F.sum("n").alias("occurrences"))
-    own = terms.join(own_source, "source_id", "left_semi").select("product_id", "term", F.col("n").alias("own"))
-    market = usage.join(competitors, "product_id").where(F.col("pages") >= least_pages(F.col("pages_captured"))).join(own, ["product_id", "term"], "left")
-    kinds = market.select("product_id", "term", F.when(F.col("own") > 0, "shared").otherwise("missing").alias("kind"), "pages", "occurrences", F.coalesce("own", F.lit(0)).alias("own"))
-    unique = own.where("own >= 2").join(usage, ["product_id", "term"], "left_anti").select(
-        "product_id", "term", F.lit("unique").alias("kind"), F.lit(0).cast("long").alias("pages"), F.col("own").alias("occurrences"), "own"
-    )
+    rival, of_own = ~F.col("is_own_store"), F.col("source_id") == F.col("first_own")
+    usage = page_terms(pages).groupBy("product_id", "captured", "term").agg(F.count_if(rival).alias("pages"), F.sum(F.when(rival, F.col("n"))).alias("occurrences"), F.max(F.when(of_own, F.col("n"))).alias("own"))
+    of_market = (F.col("pages") > 0) & (F.col("pages") >= least_pages(F.col("captured")))
+    kind = F.when(of_market, F.when(F.col("own") > 0, "shared").otherwise("missing")).when((F.col("pages") == 0) & (F.col("own") >= 2), "unique")
+    found = usage.select("product_id", "term", kind.alias("kind"), "pages", F.coalesce("occurrences", "own").alias("occurrences"), F.coalesce("own", F.lit(0)).alias("own")).where("kind IS NOT NULL")
     place = F.expr("row_number() OVER (PARTITION BY product_id, kind ORDER BY pages DESC, occurrences DESC, contains(term, ' ') AND kind <> 'unique' DESC, term)")
     limit = F.create_map(*[F.lit(x) for pair in LIMITS.items() for x in pair])
-    return kinds.unionByName(unique).withColumn("place", place).where(F.col("place") <= F.try_element_at(limit, F.col("kind")))
+    return found.withColumn("place", place).where(F.col("place") <= F.try_element_at(limit, F.col("kind")))
 
 
 def first_own(pages: DataFrame) -> DataFrame:
@@ -121,28 +135,36 @@ def first_own(pages: DataFrame) -> DataFrame:
 
 
 def attribute_table(pages: DataFrame) -> DataFrame:
-    """(product_id, attribute, own, competitors_with): own is null where the own page isn't captured."""
-    found = pages.withColumn("found", text.detect_attributes(content_text()))
-    own = first_own(found).select("product_id", F.col("found").alias("own_found"))
-    by_product = found.where("NOT is_own_store").select("product_id", F.explode("found").alias("attribute")).groupBy("product_id", "attribute").agg(F.count("*").alias("competitors_with"))
-    every = pages.select("product_id").distinct().withColumn("attribute", F.explode(F.array(*[F.lit(a) for a, _, _ in lexicon.ATTRIBUTES])))
-    joined = every.join(by_product, ["product_id", "attribute"], "left").join(own, "product_id", "left")
-    return joined.select("product_id", "attribute", F.array_contains("own_found", F.col("attribute")).alias("own"), F.coalesce("competitors_with", F.lit(0)).alias("competitors_with"))
+    """(product_id, attribute, own, competitors_with, captured): own is null where the own page isn't captured.
+
+    One aggregation by product; the facts are its columns before they become rows.
+    """
+    names = [name for name, _, _ in lexicon.ATTRIBUTES]
+    own = F.col("is_own_store")
+    found = pages.withColumn("copy", content_text()).select("product_id", "source_id", "is_own_store", text.detect_attributes(F.col("copy")).alias("found"))
+    grouped = found.groupBy("product_id").agg(
+        F.min_by(F.when(own, F.col("found")), F.when(own, F.col("source_id"))).alias("own_found"),
+        F.count_if(~own).alias("captured"),
+        *[F.count_if(~own & F.array_contains("found", name)).alias(f"with_{name}") for name in names],
+    )
+    rows = F.array(*[F.struct(F.lit(name).alias("attribute"), F.col(f"with_{name}").alias("competitors_with")) for name in names])
+    every = grouped.select("product_id", "own_found", "captured", F.inline(rows))
+    return every.select("product_id", "attribute", F.array_contains("own_found", F.col("attribute")).alias("own"), "competitors_with", "captured")
 
 
-def missing_facts(attributes: DataFrame, pages: DataFrame) -> DataFrame:
+def missing_facts(attributes: DataFrame) -> DataFrame:
     """Facts that at least half of the captured competitors mention and the own page doesn't."""
-    captured = pages.where("NOT is_own_store").groupBy("product_id").agg(F.count("*").alias("captured"))
-    joined = attributes.join(captured, "product_id")
-    return joined.where(~F.col("own") & (F.col("competitors_with") >= F.greatest(F.lit(1.0), F.col("captured") / 2))).select("product_id", "attribute")
+    asked = F.greatest(F.lit(1.0), F.col("captured") / 2)
+    return attributes.where(~F.col("own") & (F.col("competitors_with") >= asked)).select("product_id", "attribute")
 
 
 def similarities(pages: DataFrame) -> DataFrame:
-    """(product_id, source_id, similarity): each competitor's description against the own one."""
-    described = pages.where("description <> ''").withColumn("tokens", text.tokens(F.col("description")))
-    own = first_own(described).select("product_id", F.col("tokens").alias("own_tokens"))
-    joined = described.where("NOT is_own_store").join(own, "product_id")
-    return joined.select("product_id", "source_id", "retailer_name", text.similarity(F.col("own_tokens"), F.col("tokens")).alias("similarity"))
+    """(product_id, source_id, similarity): each competitor's description against the own one, which is the product's first row in order."""
+    described = pages.where("description <> ''").select("product_id", "source_id", "retailer_name", "is_own_store", text.tokens(F.col("description")).alias("tokens"))
+    in_order = Window.partitionBy("product_id").orderBy(F.coalesce("is_own_store", F.lit(False)).desc(), "source_id")
+    first = F.first(F.struct("is_own_store", "tokens")).over(in_order)
+    compared = described.withColumn("first", first).where("NOT is_own_store AND first.is_own_store")
+    return compared.select("product_id", "source_id", "retailer_name", text.similarity(F.col("first.tokens"), F.col("tokens")).alias("similarity"))
 
 
 def check_table(pages: DataFrame) -> DataFrame:
@@ -158,10 +180,11 @@ def check_table(pages: DataFrame) -> DataFrame:
     )
     most = similarities(pages).groupBy("product_id").agg(F.max("similarity").alias("most_similar"))
     missing = keyword_gap(pages).where("kind = 'missing'").groupBy("product_id").agg(F.count("*").alias("missing_keywords"))
-    facts = missing_facts(attribute_table(pages), pages).groupBy("product_id").agg(F.count("*").alias("missing_facts"))
+    facts = missing_facts(attribute_table(pages)).groupBy("product_id").agg(F.count("*").alias("missing_facts"))
     rows = own
     for side in (peers, most, missing, facts):
-        rows = rows.join(side, "product_id", "left")
+        # As many rows as products: too many to broadcast, however small the table of products is on disk.
+        rows = rows.join(side.hint("merge"), "product_id", "left")
     rows = rows.fillna(0, ["peers", "bullet_peers", "faq_peers", "rating_peers", "missing_keywords", "missing_facts"])
 
     def within(name: str, length: str, limits: tuple[int, int]) -> Column:
@@ -207,7 +230,7 @@ def capped_overview(pages: DataFrame, products: DataFrame, limit: int = MOST_PRO
 
 def overview(pages: DataFrame, products: DataFrame) -> DataFrame:
     """Every product with its score, band, and the key of each sort; nulls come last in either direction."""
-    rows = products.join(scores(check_table(pages)), "product_id", "left")
+    rows = products.join(scores(check_table(pages)).hint("merge"), "product_id", "left")
     band = F.when(F.col("score").isNull(), "not_captured").when(F.col("score") >= lexicon.GOOD_SCORE, "good").otherwise("needs_work")
     return rows.select("product_id", "score", "fails", "warnings", band.alias("band"), (F.col("fails") * 100 + F.col("warnings")).alias("issues"))
 

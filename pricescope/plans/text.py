@@ -159,7 +159,7 @@ def t07_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t15_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.missing_facts(content.attribute_table(_pages(spark, sf_dir)), _pages(spark, sf_dir))
+    return content.missing_facts(content.attribute_table(_pages(spark, sf_dir)))
 
 
 def t16_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,6 +42,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(keys: DataFrame, *by: str) -> DataFrame:
+    """Slim rows from which long texts are made, dealt to tasks by a key: a few megabytes of them are one split of their file.
+
+    The number of tasks is given, so adaptive execution doesn't merge them by the size of the slim rows.
+    """
+    spark = keys.sparkSession
+    return keys.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def _one_of(values: list, place: Column, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), place.cast("int"))
 
@@ -50,7 +59,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_id, product_id, retailer_id, is_own_store, rating, body. Line items of one key are one review."""
     place = (F.col("l_orderkey") * 3 + F.col("l_linenumber") * 5) % len(REVIEW_TEXTS)
     body = F.concat(_one_of([t for _, t in REVIEW_TEXTS], place, "string"), F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit(" item "), F.col("l_partkey"))).otherwise(""))
-    items = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    lines = dealt(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey", "l_linenumber")
+    items = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
     return items.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("review_id"),
         F.col("l_partkey").alias("product_id"),
@@ -103,7 +113,7 @@ _PAGE = {
 
 def content_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy of every part's pages at five stores; one in nine isn't captured."""
-    k = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")).where("(p + s) % 9 <> 0").withColumn("k", F.expr("p * 5 + s"))
+    k = dealt(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")), "p").select("p", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("s")).where("(p + s) % 9 <> 0").withColumn("k", F.expr("p * 5 + s"))
     times = lambda n, make: F.transform(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < n), make)
     copy = lambda place: _one_of(COPY, place % len(COPY), "string")
     more = F.when(F.col("k") % 3 != 0, F.concat(F.lit(" "), copy(F.col("p") + F.col("s") + 1))).otherwise("")
