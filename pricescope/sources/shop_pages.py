@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricescope.sources.written import dealt
+
 #: Ways to tell a price, by the part's number; {price}, {sale} (80 % of it), {higher} and {name} are filled in.
 BODIES = [
     # 0: structured data
@@ -52,7 +54,7 @@ PAGE = '<!DOCTYPE html><html lang="en"><head>{head}</head><body>{body}</body></h
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, http_status, html."""
     # A row of a part becomes a page: rows are dealt to all cores first.
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").repartition(spark.sparkContext.defaultParallelism)
+    part = dealt(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     cents = F.round(F.col("p_retailprice") * 100).cast("bigint")
     money = lambda c: F.concat_ws("", F.floor(c / 100), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0"))
     kind = F.col("p_partkey") % len(BODIES)
