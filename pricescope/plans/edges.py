@@ -40,13 +40,14 @@ def normal_url(url: Column) -> Column:
 
 def link_errors(links: DataFrame) -> DataFrame:
     """(product_id, error) of products to be created: 1 to 20 competitors, none the own address, none twice."""
-    marked = links.withColumn("u", normal_url(F.col("url")))
-    own = marked.where("is_own").select("product_id", F.col("u").alias("own_u"))
-    rivals = marked.where("NOT is_own")
-    number = marked.groupBy("product_id").agg(F.count_if(~F.col("is_own")).alias("n")).where("n < 1 OR n > 20").select("product_id", F.lit("COMPETITORS").alias("error"))
-    same = rivals.join(own, "product_id").where("u = own_u").select("product_id", F.lit("OWN_URL").alias("error")).distinct()
-    twice = rivals.groupBy("product_id", "u").agg(F.count("*").alias("n")).where("n > 1").select("product_id", F.lit("DUPLICATE").alias("error")).distinct()
-    return number.unionByName(same).unionByName(twice)
+    addresses = links.select("product_id", "is_own", normal_url(F.col("url")).alias("u")).groupBy("product_id", "u").agg(
+        F.count_if(~F.col("is_own")).alias("n"), F.bool_or("is_own").alias("own")
+    )
+    found = addresses.groupBy("product_id").agg(
+        F.sum("n").alias("n"), F.bool_or(F.col("own") & F.col("u").isNotNull() & (F.col("n") > 0)).alias("same"), F.bool_or(F.col("n") > 1).alias("twice")
+    )
+    errors = {"COMPETITORS": ~F.col("n").between(1, 20), "OWN_URL": F.col("same"), "DUPLICATE": F.col("twice")}
+    return found.select("product_id", F.explode(F.array_compact(F.array(*[F.when(wrong, F.lit(error)) for error, wrong in errors.items()]))).alias("error"))
 
 
 def canonical_brands(products: DataFrame, brands: DataFrame) -> DataFrame:
