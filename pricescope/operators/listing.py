@@ -92,9 +92,9 @@ def with_place(rows: DataFrame, *order: Column, name: str = "place") -> DataFram
     """``rows`` numbered from 1 in an order without ties, with no task that holds them all.
 
     Rows are dealt by ranges of the order and sorted there; a range starts where those before it end. The table of ranges has one
-    row for each partition.
+    row for each partition. The rows are written before they are dealt: ranges are found by a look at a sample, which would compute them twice.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = checkpointed(rows).repartitionByRange(*order).sortWithinPartitions(*order)
     # The lower 33 bits count the rows of a partition, the bits above them the partitions.
     held = checkpointed(ranged.withColumn("__at", F.monotonically_increasing_id()))
     ranges = held.groupBy(F.shiftright("__at", 33).alias("__range")).agg(F.count("*").alias("__n"))

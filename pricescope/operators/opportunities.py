@@ -212,8 +212,8 @@ def ordered_briefs(shelf: Shelf, retailers: DataFrame, observation: Observation
     briefs = store_briefs(shelf).join(retailers.select("retailer_id", "retailer_name"), "retailer_id")
     if observation:
         counts = [F.coalesce(F.sum("out_of_stock"), F.lit(0)).alias("restocks"), F.coalesce(F.sum("pitches"), F.lit(0)).alias("new_listings"), F.count_if(~F.col("covered")).alias("stores_with_gaps")]
-        # Written before rows are dealt by ranges: sampling for ranges would count them twice.
-        briefs = checkpointed(briefs.observe(observation, *counts))
+        # ``with_place`` writes them once before they are dealt by ranges, so they are counted once.
+        briefs = briefs.observe(observation, *counts)
     most = [F.col(c).desc() for c in ("actionable_restocks", "pitches", "out_of_stock")]
     return with_place(briefs, F.col("covered"), *most, F.collate("retailer_name", "UNICODE"), F.collate("brand", "UNICODE"), F.col("retailer_id"), F.col("brand"))
 

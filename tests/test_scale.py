@@ -3,8 +3,8 @@
 import re
 
 from pricescope.functions import lexicon, text
-from pricescope.operators import content, opportunities
-from pricescope.plans import registry
+from pricescope.operators import content, listing, opportunities
+from pricescope.plans import edges, registry
 from pricescope.sources import shop_pages, written
 
 
@@ -62,3 +62,25 @@ def test_own_page_is_the_first(spark, sf_dir):
     pages = spark.createDataFrame([page(1, True, "keratin keratin shop2 argan"), page(2, True, "biotin biotin"), page(3, False, "argan biotin")], shape)
     found = {(r["term"], r["kind"], r["pages"], r["own"]) for r in content.keyword_gap(pages).collect()}
     assert found == {("argan", "shared", 1, 1), ("biotin", "missing", 1, 0), ("argan biotin", "missing", 1, 0), ("keratin", "unique", 0, 2)}
+
+
+def test_link_errors_in_one_read(spark):
+    """Every rule of every product by aggregation; an address that is null is none of the own ones."""
+    links = [(1, True, "https://a.com/"), (1, False, "https://A.com"), (2, True, None), (2, False, None), (3, True, "https://c.com"), (4, False, "https://d.com/1"), (4, False, "https://d.com/1#x")]
+    links += [(5, True, "https://e.com")] + [(5, False, f"https://e.com/{i}") for i in range(21)]
+    errors = edges.link_errors(spark.createDataFrame(links, "product_id bigint, is_own boolean, url string"))
+    assert "Join" not in plan(errors) and "Union" not in plan(errors)
+    assert sorted(map(tuple, errors.collect())) == [(1, "OWN_URL"), (3, "COMPETITORS"), (4, "DUPLICATE"), (5, "COMPETITORS")]
+
+
+def test_places_compute_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(100, numPartitions=4).mapInArrow(look, "id bigint")
+    assert [tuple(r) for r in listing.with_place(rows, text.F.col("id").desc()).orderBy("place").limit(2).collect()] == [(99, 1), (98, 2)]
+    assert read.value == 100
