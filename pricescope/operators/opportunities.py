@@ -31,9 +31,12 @@ def reference_retailers(listed: DataFrame, products: DataFrame, retailers: DataF
     return joined.where(F.coalesce("is_brand_store", F.lit(False)) | F.coalesce("all_own", F.lit(False))).select("retailer_id")
 
 
-def resolve_listings(listed: DataFrame, products: DataFrame, retailers: DataFrame) -> DataFrame:
-    """The best source for each product and store: in stock over out of stock over unknown, priced first, then by order."""
-    reference = reference_retailers(listed, products, retailers).withColumn("is_reference", F.lit(True))
+def resolve_listings(listed: DataFrame, products: DataFrame, retailers: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """The best source for each product and store: in stock over out of stock over unknown, priced first, then by order.
+
+    ``sources`` are those of ``listed`` without observations, where there is such a table: who owns a store needs no prices.
+    """
+    reference = reference_retailers(listed if sources is None else sources, products, retailers).withColumn("is_reference", F.lit(True))
     price = F.when(is_valid_price(F.col("price")), F.col("price"))
     rows = listed.join(products.select("product_id", "brand"), "product_id").join(retailers.select("retailer_id"), "retailer_id", "left_semi").join(reference, "retailer_id", "left")
     state = listing_state()

@@ -9,6 +9,7 @@ from pricescope.operators import brands, listing, matrix, opportunities, pricing
 from pricescope.plans import history
 from pricescope.plans.history import _PAIRS
 from pricescope.plans.sql import ANALYSIS, DOMAIN, LATEST, market, pct, with_layers
+from pricescope.session import checkpointed
 from pricescope.sources.domain import Domain
 
 FOCUS = ["Brand#23"]
@@ -129,18 +130,22 @@ def v05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.compliance_report(_compliance(Domain(spark, sf_dir))).select("brand", "retailer_id", "below_official", "listings")
 
 
+def _listings(d: Domain) -> DataFrame:
+    return opportunities.resolve_listings(_listed(d), d.products, d.retailers, d.sources)
+
+
 def _shelf(d: Domain) -> opportunities.Shelf:
-    return opportunities.build_shelf(opportunities.resolve_listings(_listed(d), d.products, d.retailers), d.products)
+    """Listings are written once: what is made of a shelf reads them several times."""
+    return opportunities.build_shelf(checkpointed(_listings(d)), d.products)
 
 
 def o01_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
-    return opportunities.resolve_listings(_listed(d), d.products, d.retailers)
+    return _listings(Domain(spark, sf_dir))
 
 
 def o02_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = Domain(spark, sf_dir)
-    return opportunities.reference_retailers(_listed(d), d.products, d.retailers)
+    return opportunities.reference_retailers(d.sources, d.products, d.retailers)
 
 
 def o04_shelf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,7 @@ class Tables:
     @property
     def shelf(self) -> opportunities.Shelf:
         if self._shelf is None:
-            listings = opportunities.resolve_listings(grid._listed(self.d), self.d.products, self.d.retailers)
-            self._shelf = opportunities.build_shelf(checkpointed(listings), self.d.products)
+            self._shelf = grid._shelf(self.d)
         return self._shelf
 
     @property
