@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricescope.session import checkpointed
@@ -16,9 +16,14 @@ def source_counts(sources: DataFrame) -> DataFrame:
 
 
 def retailer_stats(retailers: DataFrame, sources: DataFrame) -> DataFrame:
-    """Every retailer with products, last check, failures and successes, and its health; retailers without sources are idle."""
-    stats = sources.groupBy("retailer_id").agg(
-        F.countDistinct("product_id").alias("product_count"),
+    """Every retailer with products, last check, failures and successes, and its health; retailers without sources are idle.
+
+    A product counts at the first of its sources at a store, found by sorting, which spills; distinct counts would hold all pairs of a
+    store and a product in several hash tables of one task at once.
+    """
+    first = F.row_number().over(Window.partitionBy("retailer_id", "product_id").orderBy("product_id")) == 1
+    stats = sources.withColumn("first", first & F.col("product_id").isNotNull()).groupBy("retailer_id").agg(
+        F.count_if("first").alias("product_count"),
         F.max("last_scraped_at").alias("last_scraped_at"),
         F.count_if(F.col("scraping_status") == "failed").alias("failed"),
         F.count_if(F.col("scraping_status") == "success").alias("succeeded"),

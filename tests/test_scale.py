@@ -94,3 +94,25 @@ def test_parts_are_in_every_match(spark):
     facts = ["all hair types", "dry skin", "خال من سلفات", "خالي  من العطور", "طبيب الجلد", "مختبرة من قبل", "avoid contact with eyes", "12.5 fl. oz", "vitamin c", "country of origin", "واقي الشمس", "no parabens"]
     rows = spark.createDataFrame([(f"xx {f} yy",) for f in facts], "t string")
     assert [bool(r[0]) for r in rows.select(text.F.size(text.detect_attributes(rows.t)) > 0).collect()] == [True] * len(facts)
+
+
+def test_shelf_is_computed_once(spark, sf_dir):
+    """What is made of listings reads them, not the observations that they come from; who owns a store is asked of the sources alone."""
+    for name in ("o09_c07_pitches", "o09_first_pitches", "o11_summary", "e10_store_cards"):
+        assert "lineitem" not in plan(registry.QUERIES[name](spark, sf_dir)), name
+    assert "max_by" not in plan(registry.QUERIES["o02_reference_retailers"](spark, sf_dir))
+
+
+def test_retailers_hold_no_pairs_in_hash_tables(spark):
+    """Products of a store are counted once each, null not at all, without a distinct count's hash tables of pairs."""
+    sources = [(1, 7, "failed", 1), (1, 7, "success", 2), (2, 7, "success", 3), (None, 7, "success", 4), (1, 8, "failed", 5)]
+    rows = spark.createDataFrame(sources, "product_id bigint, retailer_id bigint, scraping_status string, last_scraped_at bigint")
+    stats = listing.retailer_stats(spark.createDataFrame([(7,), (8,), (9,)], "retailer_id bigint"), rows)
+    found = sorted((r["retailer_id"], r["product_count"], r["last_scraped_at"], r["failed"], r["succeeded"], r["health"]) for r in stats.collect())
+    assert found == [(7, 2, 4, 1, 3, "degraded"), (8, 1, 5, 1, 0, "failing"), (9, 0, None, 0, 0, "idle")]
+    assert "distinct" not in plan(stats)
+
+
+def test_compare_run_reads_observations_once(spark, sf_dir):
+    """Sources, checks, newest observations and the analysis are written once; the result reads them and no line of an order."""
+    assert "lineitem" not in plan(registry.QUERIES["p15_compare_run"](spark, sf_dir))
