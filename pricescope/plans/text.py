@@ -28,11 +28,7 @@ def t05_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t06_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent terms of each language."""
-    terms = text.term_counts(_dealt(documents(spark, sf_dir).select("lang", "doc_id", "text")), ["lang", "doc_id"], "text")
-    usage = terms.groupBy("lang", "term").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
-    place = F.expr("row_number() OVER (PARTITION BY lang ORDER BY documents DESC, occurrences DESC, term)")
-    return usage.withColumn("place", place).where("place <= 50")
+    return text.top_terms(_dealt(documents(spark, sf_dir).select("lang", "doc_id", "text")), "lang", "doc_id", "text", 50)
 
 
 def t08_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,3 +116,20 @@ def test_retailers_hold_no_pairs_in_hash_tables(spark):
 def test_compare_run_reads_observations_once(spark, sf_dir):
     """Sources, checks, newest observations and the analysis are written once; the result reads them and no line of an order."""
     assert "lineitem" not in plan(registry.QUERIES["p15_compare_run"](spark, sf_dir))
+
+
+def test_words_are_made_once(spark, sf_dir):
+    """No filter on the number of a text's words goes beneath, to a task that reads the file and makes all of them once more."""
+    assert "Filter (size(regexp_extract_all" not in plan(registry.QUERIES["t06_d13_d14_term_counts"](spark, sf_dir))
+
+
+def test_top_terms_miss_no_pair(spark):
+    """Pairs of frequent words alone are counted; the first terms are those of all, with ties, repeats, empty texts and a null group."""
+    texts = [("a", "argan oil argan oil"), ("a", "argan oil of oil argan"), ("a", "zinc argan oil"), ("a", None), ("b", "the 12"), ("b", "rare words alone"), (None, "shea shea shea"), (None, ""), ("", "shea oil")]
+    rows = spark.createDataFrame([(g, i, t) for i, (g, t) in enumerate(texts)], "lang string, doc_id int, t string")
+    place = text.F.expr("row_number() OVER (PARTITION BY lang ORDER BY documents DESC, occurrences DESC, term)")
+    usage = text.term_counts(rows, ["lang", "doc_id"], "t").groupBy("lang", "term").agg(text.F.count("*").alias("documents"), text.F.sum("n").alias("occurrences"))
+    for n in (1, 2, 3, 50):
+        every = {tuple(r) for r in usage.withColumn("place", place).where(text.F.col("place") <= n).collect()}
+        assert {tuple(r) for r in text.top_terms(rows, "lang", "doc_id", "t", n).collect()} == every
+    assert {("a", "argan oil", 3, 4, 3), (None, "shea shea", 1, 2, 2), ("b", "rare words", 1, 1, 3)} <= every
