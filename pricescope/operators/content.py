@@ -95,17 +95,16 @@ def page_terms(pages: DataFrame) -> DataFrame:
     ``captured`` competitors' pages and the first own source come from windows over a product's pages, as do its stores' words: no
     side is joined, so none is broadcast.
     """
-    keys = ["product_id", "source_id", "is_own_store", "captured", "first_own", "banned"]
+    keys = ["product_id", "source_id", "is_own_store", "captured", "first_own"]
     marked = pages.withColumns({"copy": content_text(), "store_words": store_words()}).select("product_id", "source_id", "is_own_store", "copy", "store_words")
     marked = marked.withColumns(
         {
             "captured": _of_product(F.count_if(~F.col("is_own_store"))),
             "first_own": _of_product(F.min(F.when(F.col("is_own_store"), F.col("source_id")))),
-            "banned": F.flatten(_of_product(F.collect_set("store_words"))),
+            "banned": _of_product(F.collect_set("store_words")),
         }
     )
-    terms = text.term_counts(marked, keys, "copy")
-    return terms.where(~F.arrays_overlap("banned", F.split("term", " "))).drop("banned")
+    return text.term_counts(marked.withColumn("banned", F.array_distinct(F.flatten("banned"))), keys, "copy", "banned")
 
 
 def least_pages(n: Column) -> Column:

@@ -133,3 +133,9 @@ def test_top_terms_miss_no_pair(spark):
         every = {tuple(r) for r in usage.withColumn("place", place).where(text.F.col("place") <= n).collect()}
         assert {tuple(r) for r in text.top_terms(rows, "lang", "doc_id", "t", n).collect()} == every
     assert {("a", "argan oil", 3, 4, 3), (None, "shea shea", 1, 2, 2), ("b", "rare words", 1, 1, 3)} <= every
+
+
+def test_store_words_go_before_pairs(spark, sf_dir):
+    """A store's word is judged as a word, not by cutting up every pair that was made with it; nothing is broadcast to be compared."""
+    gap = plan(registry.QUERIES["t07_g11_keyword_gap"](spark, sf_dir))
+    assert "arrays_overlap" not in gap and "Filter (size(" not in gap and "Broadcast" not in gap
