@@ -31,11 +31,11 @@ def with_latest(sources: DataFrame, latest: DataFrame) -> DataFrame:
     return sources.join(latest, "source_id", "left")
 
 
-def pricing_inputs(listed: DataFrame) -> DataFrame:
-    """What of a listed source counts for pricing: price, currency and availability only after a successful check."""
+def pricing_inputs(listed: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """What of a listed source counts for pricing: price, currency and availability only after a successful check; and the columns ``also``."""
     success = (F.col("scraping_status") == "success") & F.col("scraped_at").isNotNull()
     kept = [F.when(F.col("success"), F.col(c)).alias(c) for c in ("price", "currency", "availability")]
-    return listed.withColumn("success", F.coalesce(success, F.lit(False))).select("product_id", "source_id", "retailer_id", "is_own_store", "sort_order", "success", *kept)
+    return listed.withColumn("success", F.coalesce(success, F.lit(False))).select("product_id", "source_id", "retailer_id", "is_own_store", "sort_order", "success", *kept, *also)
 
 
 def select_market(inputs: DataFrame, include_out_of_stock: bool = False) -> DataFrame:
@@ -43,20 +43,22 @@ def select_market(inputs: DataFrame, include_out_of_stock: bool = False) -> Data
 
     The own source is the product's first own one, usable if checked and valid. The reference currency is the own one,
     or else the most frequent of the competitors checked, the first seen of equally frequent ones. All windows share the
-    partitioning by product, so there is one shuffle.
+    partitioning by product, so there is one shuffle; those by currency come first, so there is one
+    sort; without the repartitioning the planner would shuffle for them by currency, too.
     """
     valid = is_valid_price(F.col("price"))
     own = F.expr("min(CASE WHEN is_own_store THEN struct(sort_order, source_id, success, price, currency) END) OVER (PARTITION BY product_id)")
     usable = F.col("own.success") & is_valid_price(F.col("own.price"))
     counted = F.col("success") & ~F.col("is_own_store") & F.col("currency").isNotNull()
-    votes = (
-        inputs.withColumn("own", own)
-        .withColumn("valid", valid)
-        .withColumn("votes", F.when(counted, F.expr("count_if(success AND NOT is_own_store) OVER (PARTITION BY product_id, currency)")))
-        .withColumn("seen", F.when(counted, F.expr("min(CASE WHEN success AND NOT is_own_store THEN sort_order END) OVER (PARTITION BY product_id, currency)")))
+    votes = inputs.repartition("product_id").withColumns(
+        {
+            "valid": valid,
+            "votes": F.when(counted, F.expr("count_if(success AND NOT is_own_store) OVER (PARTITION BY product_id, currency)")),
+            "seen": F.when(counted, F.expr("min(CASE WHEN success AND NOT is_own_store THEN sort_order END) OVER (PARTITION BY product_id, currency)")),
+        }
     )
     leading = F.expr("max(CASE WHEN votes IS NOT NULL THEN struct(votes, -seen AS first, currency) END) OVER (PARTITION BY product_id)")
-    judged = votes.withColumn("leading", leading).select(
+    judged = votes.withColumns({"leading": leading, "own": own}).select(
         *inputs.columns,
         "valid",
         F.when(usable, F.col("own.price")).alias("own_price"),
@@ -77,8 +79,8 @@ def exclusion(include_out_of_stock: bool = False) -> Column:
     return F.when(~F.col("is_own_store"), ladder)
 
 
-def market_stats(market: DataFrame) -> DataFrame:
-    """One row for each product: counts, and exact minimum, maximum, mean and median of the included competitors."""
+def market_stats(market: DataFrame, *more: Column) -> DataFrame:
+    """One row for each product: counts, and exact minimum, maximum, mean and median of the included competitors; and what ``more`` aggregates."""
     included = ~F.col("is_own_store") & F.col("exclusion").isNull()
     price = F.when(included, F.col("price"))
     return market.groupBy("product_id").agg(
@@ -93,11 +95,12 @@ def market_stats(market: DataFrame) -> DataFrame:
         F.count_if(included & (F.col("price") < F.col("own_price"))).alias("cheaper"),
         F.count_if(included & (F.col("price") == F.col("own_price"))).alias("equal"),
         F.count_if(included & (F.col("price") > F.col("own_price"))).alias("more_expensive"),
+        *more,
     )
 
 
-def analyse(stats: DataFrame, low: float = 5.0, high: float = 10.0) -> DataFrame:
-    """Status, rounded market figures, gaps, position and suggestion.
+def analyse(stats: DataFrame, low: float = 5.0, high: float = 10.0, also: tuple[str, ...] = ()) -> DataFrame:
+    """Status, rounded market figures, gaps, position and suggestion; and the columns ``also``.
 
     Gaps compare with the unrounded market; the position is that of the rounded gap; the suggestion is a share of the
     rounded median.
@@ -116,6 +119,7 @@ def analyse(stats: DataFrame, low: float = 5.0, high: float = 10.0) -> DataFrame
         "competitor_count",
         "successful_competitor_count",
         *[F.when(ok, F.col(x)).alias(x) for x in ("cheaper", "equal", "more_expensive")],
+        *also,
     )
     placed = figures.withColumn("position", gap_position(F.col("gap_percentage"), low, high))
     share = F.create_map(*[F.lit(x) for pair in SUGGESTED_SHARE.items() for x in pair])
@@ -138,20 +142,21 @@ def comparison_rows(sources: DataFrame, retailers: DataFrame, market: DataFrame)
 
     Excluded rows show their difference as well. A missing currency is noted as assumed; a failed check has an error.
     """
-    facts = market.select("source_id", "success", "valid", "price", F.col("currency").alias("own_currency"), "availability", "own_price", "reference_currency", "exclusion")
+    facts = market.select("source_id", "success", "valid", "price", "currency", "availability", "own_price", "reference_currency", "exclusion")
     joined = sources.join(retailers.select("retailer_id", "retailer_name", "domain"), "retailer_id").join(facts, "source_id")
+    return joined.select("product_id", *[c.alias(name) for name, c in compared().items()])
+
+
+def compared() -> dict[str, Column]:
+    """The columns of a comparison row by name, of a source with its market selection and its retailer."""
     price = F.when(F.col("success") & F.col("valid"), F.col("price"))
-    return joined.select(
-        "product_id",
-        "source_id",
-        "retailer_name",
-        "is_own_store",
-        "sort_order",
-        price.alias("price"),
-        F.coalesce("own_currency", "reference_currency").alias("currency"),
-        F.when(F.col("success"), F.coalesce("availability", F.lit("unknown"))).alias("availability"),
-        F.when(~F.col("is_own_store"), percent_over(price, F.col("own_price"))).alias("difference_percentage"),
-        F.when(F.col("exclusion") != "FAILED", F.col("exclusion")).alias("exclusion"),
-        (F.col("success") & F.col("own_currency").isNull() & F.col("reference_currency").isNotNull()).alias("currency_assumed"),
-        F.when(F.col("scraping_status") == "failed", F.coalesce("last_error", F.lit("Scrape failed"))).alias("error"),
-    )
+    return {
+        **{c: F.col(c) for c in ("source_id", "retailer_name", "is_own_store", "sort_order")},
+        "price": price,
+        "currency": F.coalesce("currency", "reference_currency"),
+        "availability": F.when(F.col("success"), F.coalesce("availability", F.lit("unknown"))),
+        "difference_percentage": F.when(~F.col("is_own_store"), percent_over(price, F.col("own_price"))),
+        "exclusion": F.when(F.col("exclusion") != "FAILED", F.col("exclusion")),
+        "currency_assumed": F.col("success") & F.col("currency").isNull() & F.col("reference_currency").isNotNull(),
+        "error": F.when(F.col("scraping_status") == "failed", F.coalesce("last_error", F.lit("Scrape failed"))),
+    }

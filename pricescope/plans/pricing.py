@@ -92,7 +92,7 @@ def m01_rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p17_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every product's document, its lists as text: sources with prices in cents, and the newest five points of each source in the last year."""
     d = Domain(spark, sf_dir)
-    whole = product_overviews(d.products, d.retailers, d.sources, d.observations, datetime.fromisoformat(AS_OF) - timedelta(days=365), newest=5)
+    whole = product_overviews(d.products, d.retailers, d.sources, d.observations, datetime.fromisoformat(AS_OF) - timedelta(days=365), newest=5, shown=["price", "exclusion"])
     cents = lambda price: F.coalesce(F.round(price * 100).cast("bigint").cast("string"), F.lit("-"))
     row = lambda r: F.concat_ws(":", r["source_id"], cents(r["price"]), F.coalesce(r["exclusion"], F.lit("-")))
     point = lambda x: F.concat_ws(":", x["source_id"], F.unix_seconds(x["scraped_at"]), cents(x["price"]))

@@ -1,9 +1,10 @@
 """What must hold for large inputs: whole results, no broadcast of tables as large as the products, long texts made by many tasks."""
 
 import re
+from datetime import datetime
 
 from pricescope.functions import lexicon, text
-from pricescope.operators import content, listing, opportunities
+from pricescope.operators import bundle, content, listing, opportunities, pricing
 from pricescope.plans import edges, registry
 from pricescope.sources import shop_pages, written
 
@@ -139,3 +140,30 @@ def test_store_words_go_before_pairs(spark, sf_dir):
     """A store's word is judged as a word, not by cutting up every pair that was made with it; nothing is broadcast to be compared."""
     gap = plan(registry.QUERIES["t07_g11_keyword_gap"](spark, sf_dir))
     assert "arrays_overlap" not in gap and "Filter (size(" not in gap and "Broadcast" not in gap
+
+
+def test_overview_computes_sources_once(spark, sf_dir):
+    """Sources, their newest observations, and the points on either side of the window's start: lines are read for each of these once."""
+    assert plan(registry.QUERIES["p17_overview"](spark, sf_dir)).count("FileScan parquet [l_") == 4
+    # One window by product and currency, one by product, on one sort.
+    market = plan(pricing.select_market(spark.createDataFrame([], SOURCE)))
+    assert [len(re.findall(rf"- {step} ", market)) for step in ("Window", "Sort", "Exchange")] == [2, 1, 1]
+
+
+SOURCE = "product_id int, source_id int, retailer_id int, is_own_store boolean, sort_order int, success boolean, price double, currency string, availability string"
+
+
+def test_overview_has_every_product(spark):
+    """A product without sources has empty lists; a source of an unknown store counts in the market but has no row."""
+    frame = spark.createDataFrame
+    products = frame([(1, "a", "B", "1", "USD", None), (2, "b", "B", "1", "USD", None)], "product_id int, name string, brand string, size string, currency string, last_checked_at timestamp")
+    sources = [(10, 1, 5, True, 0, "success", None), (11, 1, 6, False, 1, "success", None), (12, 1, 7, False, 2, "failed", None)]
+    sources = frame(sources, "source_id int, product_id int, retailer_id int, is_own_store boolean, sort_order int, scraping_status string, last_error string")
+    at = datetime(2001, 1, 1)
+    seen = [(s, 1, price, price, "USD", "in_stock", at, 1, 1) for s, price in ((10, 10.0), (11, 8.0))]
+    seen = frame(seen, "source_id int, product_id int, price double, original_price double, currency string, availability string, scraped_at timestamp, order_key int, order_line int")
+    stores = frame([(5, "Own", "own.com"), (7, "Seven", "seven.com")], "retailer_id int, retailer_name string, domain string")
+    found = {r["product_id"]: r for r in bundle.product_overviews(products, stores, sources, seen, datetime(2000, 1, 1)).collect()}
+    assert (found[2]["analysis"], found[2]["rows"], found[2]["history"]) == (None, [], [])
+    assert [(r["source_id"], r["retailer_name"], r["price"], r["error"]) for r in found[1]["rows"]] == [(10, "Own", 10.0, None), (12, "Seven", None, "Scrape failed")]
+    assert found[1]["analysis"]["market_minimum"] == 8.0 and len(found[1]["history"]) == 2
