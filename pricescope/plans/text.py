@@ -9,6 +9,7 @@ from pricescope.functions import lexicon, text
 from pricescope.operators import content, reviews
 from pricescope.operators.listing import with_place
 from pricescope.operators.matrix import select_products
+from pricescope.session import checkpointed
 from pricescope.sources import written
 from pricescope.sources.domain import Domain
 
@@ -77,7 +78,8 @@ def d15_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g12_praised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = reviews.theme_stats(_reviews(spark, sf_dir), ["retailer_id"])
+    # Both lists read it: reviews are judged once.
+    stats = checkpointed(reviews.theme_stats(_reviews(spark, sf_dir), ["retailer_id"]))
     both = [reviews.top_themes(stats, ["retailer_id"], kind).withColumn("kind", F.lit(kind)) for kind in ("praised", "complained")]
     return both[0].unionByName(both[1]).select("kind", "retailer_id", "theme", "place")
 
