@@ -203,7 +203,7 @@ def test_words_of_the_lexicons_say_something(spark):
 
 def test_reviews_are_judged_once(spark, sf_dir):
     """Insights come of one count of the reviews: a text's themes are found in one place of the plan, in no filter."""
-    for name in ("d17_q16_insight_counts", "u17_i02_campaign", "v08_campaign_slice", "g12_top_themes"):
+    for name in ("d17_q16_insight_counts", "u17_i02_campaign", "v08_campaign_slice", "g12_top_themes", "u09_store_rules"):
         assert "lineitem" not in plan(registry.QUERIES[name](spark, sf_dir)), name
     for name in ("u13_brand_insights", "u14_competitor_weaknesses", "u15_store_issues", "d15_theme_stats"):
         shown = plan(registry.QUERIES[name](spark, sf_dir))
