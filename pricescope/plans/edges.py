@@ -17,7 +17,7 @@ from pricescope.session import checkpointed, keep_result, remove, shared_dir
 from pricescope.sources import written
 from pricescope.sources.domain import AS_OF, Domain
 from pricescope.streaming import sink
-from pricescope.streaming.alerts import alert_stream, version_stream
+from pricescope.streaming.alerts import store_alerts, stored_alerts, version_stream
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -114,11 +114,25 @@ def _result(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(type, source_id, n): the batch alerts of all competitors' observations, found by a stream that reads them in order of time, in four parts."""
+    """(type, source_id, n): the batch alerts of all competitors' observations, found by a stream that reads them in order of time, in four parts.
+
+    The observations are made and joined once, not for each part.
+    """
     d = Domain(spark, sf_dir)
-    rows = alerts.with_own_flag(d.observations, d.sources).where("NOT is_own_store").drop("is_own_store")
-    folder = _in_parts(rows, "scraped_at", ["1997-01-01", "1998-06-01", "2000-01-01"], lambda source, at: _appended(alert_stream(source), at))
-    return _result(spark, folder, spark.read.parquet(f"{folder}/out").groupBy("type", "source_id").agg(F.count("*").alias("n")))
+    columns = ["source_id", "price", "availability", "scraped_at", "order_key", "order_line"]
+    rows = checkpointed(alerts.with_own_flag(d.observations, d.sources).where("NOT is_own_store").select(*columns))
+
+    def run(source: DataFrame, folder: str) -> None:
+        def write(batch: DataFrame, batch_id: int) -> None:
+            store_alerts(batch, batch_id, f"{folder}/alerts")
+
+        source.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    folder = _in_parts(rows, "scraped_at", ["1997-01-01", "1998-06-01", "2000-01-01"], run)
+    found = _result(spark, folder, stored_alerts(spark, f"{folder}/alerts").groupBy("type", "source_id").agg(F.count("*").alias("n")))
+    for path in {name.rsplit("/", 1)[0] for name in rows.inputFiles()}:
+        remove(spark, path)
+    return found
 
 
 def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

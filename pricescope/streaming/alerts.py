@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+from pricescope.functions.numeric import is_valid_price
 from pricescope.operators.alerts import LEAST_CHANGE
 from pricescope.operators.content import REFRESHED, TRACKED
+from pricescope.session import remove
 
 #: Times are microseconds inside the state functions.
 ALERTS = "type string, source_id bigint, previous_price double, price double, at bigint"
@@ -106,3 +108,45 @@ def version_stream(snapshots: DataFrame) -> DataFrame:
     wanted = snapshots.select("source_id", "snapshot_id", F.unix_micros("captured_at").alias("at"), *TRACKED, *REFRESHED)
     looks = wanted.groupBy("source_id").transformWithState(VersionWatch(), LOOKS, "Append", "None")
     return looks.withColumn("captured_at", F.timestamp_micros("at")).drop("at")
+
+
+#: A stored row: an alert by its type, or the newest observation of a source.
+NEWEST = "NEWEST"
+STORED = "source_id bigint, previous_price double, price double, availability string, scraped_at timestamp"
+
+
+def store_alerts(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """The rules of ``PriceWatch`` for a batch of a stream as one sort by source: for large batches, in which most sources have new rows.
+
+    Each batch stores its alerts and the newest observation of every source so far as Parquet (``batch=<id>/type=<type>``). Those of the batch
+    before are the state: they meet the new rows in one shuffle, no source is looked up on its own, and a batch that is run again stores the
+    same. A row older than its source's newest is late. States before the last two batches go.
+    """
+    spark = batch.sparkSession
+    rows = batch.where("scraped_at IS NOT NULL").select("source_id", "price", "availability", "scraped_at", "order_key", "order_line", F.lit(1).alias("fresh"))
+    if batch_id > 0:
+        state = spark.read.schema(f"{STORED}, type string").parquet(f"{folder}/batch={batch_id - 1}").where(F.col("type") == NEWEST)
+        rows = rows.unionByName(state.select("source_id", "price", "availability", "scraped_at", F.lit(0).alias("fresh")), allowMissingColumns=True)
+    over = "OVER (PARTITION BY source_id ORDER BY scraped_at, fresh, order_key, order_line, price)"
+    held = rows.withColumns(
+        {
+            "previous": F.expr(f"lag(struct(price, availability)) {over}"),
+            "last": F.expr(f"lead(1) {over}").isNull(),
+            # Late rows stand before their source's state.
+            "known": F.expr("max(CASE WHEN fresh = 0 THEN scraped_at END) OVER (PARTITION BY source_id)"),
+        }
+    )
+    before, now = F.col("previous.price"), F.col("price")
+    judged = (F.col("fresh") == 1) & F.col("previous").isNotNull() & F.coalesce(F.col("scraped_at") >= F.col("known"), F.lit(True))
+    moved = judged & is_valid_price(before) & is_valid_price(now) & (F.abs(now - before) >= LEAST_CHANGE)
+    went = judged & (F.col("availability") == "out_of_stock") & ~F.col("previous.availability").eqNullSafe("out_of_stock")
+    kinds = F.array_compact(F.array(F.when(moved, "PRICE_CHANGE"), F.when(went, "OUT_OF_STOCK"), F.when(F.col("last"), NEWEST)))
+    found = held.select("source_id", before.alias("previous_price"), "price", "availability", "scraped_at", F.explode(kinds).alias("type"))
+    found.withColumn("previous_price", F.when(F.col("type") == "PRICE_CHANGE", F.col("previous_price"))).write.mode("overwrite").partitionBy("type").parquet(f"{folder}/batch={batch_id}")
+    remove(spark, f"{folder}/batch={batch_id - 2}/type={NEWEST}")
+
+
+def stored_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    """(type, source_id, previous_price, price, scraped_at) of all batches that ``store_alerts`` stored."""
+    rows = spark.read.schema(f"{STORED}, batch bigint, type string").option("basePath", folder).parquet(folder)
+    return rows.where(F.col("type") != NEWEST).select("type", "source_id", "previous_price", "price", "scraped_at")

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from pricescope.functions import text
 from pricescope.operators import bundle, content, pricing
+from pricescope.plans import edges
 from pricescope.session import checkpointed, drop_results, shared_dir
 from pricescope.sources.domain import AS_OF, Domain
 from pricescope.sources.layout import drop_table, store_by_source
 from pricescope.streaming import sink
-from pricescope.streaming.alerts import alert_stream, version_stream
+from pricescope.streaming.alerts import PriceWatch, alert_stream, store_alerts, stored_alerts, version_stream
 
 
 def run(stream, folder):
@@ -66,6 +67,32 @@ def test_alerts_of_late_and_undated_rows(spark):
     assert got == sorted([("OUT_OF_STOCK", 2, None, 4.0), ("OUT_OF_STOCK", 1, None, 11.0), ("OUT_OF_STOCK", 2, None, 4.0), ("PRICE_CHANGE", 1, 10.0, 11.0), ("PRICE_CHANGE", 1, 11.0, 12.0)], key=repr)
 
 
+def test_stored_alerts_of_late_and_undated_rows(spark):
+    """Batches that meet the state as a table raise what the state functions raise; a batch that is run again stores the same, an empty one keeps the state."""
+    parts = [
+        [(1, 10.0, "in_stock", day(2), 1, 1), (2, None, None, day(1), 1, 1), (1, 99.0, None, None, 9, 9)],
+        [(1, 5.0, "in_stock", day(1), 2, 1), (2, 4.0, "out_of_stock", day(2), 2, 1)],
+        [],
+        [(1, 11.0, "out_of_stock", day(3), 3, 1), (1, 12.0, "out_of_stock", day(3), 3, 2), (2, float("nan"), "in_stock", day(3), 3, 1), (2, 4.0, "out_of_stock", day(4), 4, 1)],
+        [(1, 12.0, "in_stock", day(3), 0, 1), (3, 1.0, "out_of_stock", day(1), 1, 1)],
+    ]
+    folder = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
+    for i, rows in enumerate([[], *parts]):
+        for _again in range(2):
+            store_alerts(spark.createDataFrame(rows, OBSERVATION), i, folder)
+    got = sorted(((r["type"], r["source_id"], r["previous_price"], r["price"]) for r in stored_alerts(spark, folder).collect()), key=repr)
+    assert got == sorted([("OUT_OF_STOCK", 2, None, 4.0), ("OUT_OF_STOCK", 1, None, 11.0), ("OUT_OF_STOCK", 2, None, 4.0), ("PRICE_CHANGE", 1, 10.0, 11.0), ("PRICE_CHANGE", 1, 11.0, 12.0)], key=repr)
+
+
+def test_alert_stream_looks_up_no_source_on_its_own(spark, sf_dir, monkeypatch):
+    """Large batches meet the stored state in one shuffle; observations are made once, not for each part."""
+    made = []
+    monkeypatch.setattr(edges, "checkpointed", lambda rows: made.append(rows) or checkpointed(rows))
+    monkeypatch.setattr(PriceWatch, "handleInputRows", None)
+    assert edges.stream_alerts(spark, sf_dir).count() > 0
+    assert len(made) == 2
+
+
 def test_state_can_be_forgotten(spark):
     """Such a stream runs on, as its state goes by the clock: it is only planned here."""
     folder = f"{shared_dir(spark)}/test-{uuid.uuid4().hex}"
