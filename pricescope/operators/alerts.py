@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricescope.functions.numeric import is_valid_price, percent_over
@@ -20,11 +20,27 @@ def with_previous(observations: DataFrame) -> DataFrame:
     return observations.withColumn("previous", previous).withColumn("step", F.expr(f"row_number() {over}"))
 
 
+def _moved() -> Column:
+    before, now = F.col("previous.price"), F.col("price")
+    return F.col("previous").isNotNull() & is_valid_price(before) & is_valid_price(now) & (F.abs(now - before) >= LEAST_CHANGE)
+
+
+def _went() -> Column:
+    return F.col("previous").isNotNull() & (F.col("availability") == "out_of_stock") & ~F.col("previous.availability").eqNullSafe("out_of_stock")
+
+
+def raised(pairs: DataFrame) -> DataFrame:
+    """(type, product_id, source_id, step, change_percentage, scraped_at) of price changes and stock-outs: one read of the pairs for both."""
+    kinds = F.array_compact(F.array(F.when(_moved(), "PRICE_CHANGE"), F.when(_went(), "OUT_OF_STOCK")))
+    found = pairs.where(~F.col("is_own_store")).select("product_id", "source_id", "step", "price", F.col("previous.price").alias("before"), "scraped_at", F.explode(kinds).alias("type"))
+    change = F.when(F.col("type") == "PRICE_CHANGE", percent_over(F.col("price"), F.col("before")))
+    return found.select("type", "product_id", "source_id", "step", change.alias("change_percentage"), "scraped_at")
+
+
 def price_changes(pairs: DataFrame) -> DataFrame:
     """Competitors' prices that moved: both valid, by at least half a cent."""
     before, now = F.col("previous.price"), F.col("price")
-    moved = F.col("previous").isNotNull() & is_valid_price(before) & is_valid_price(now) & (F.abs(now - before) >= LEAST_CHANGE)
-    return pairs.where(~F.col("is_own_store") & moved).select(
+    return pairs.where(~F.col("is_own_store") & _moved()).select(
         F.lit("PRICE_CHANGE").alias("type"),
         "product_id",
         "source_id",
@@ -39,8 +55,7 @@ def price_changes(pairs: DataFrame) -> DataFrame:
 
 def stock_outs(pairs: DataFrame) -> DataFrame:
     """Competitors' listings that went out of stock; a first observation is no transition."""
-    went = F.col("previous").isNotNull() & (F.col("availability") == "out_of_stock") & ~F.col("previous.availability").eqNullSafe("out_of_stock")
-    return pairs.where(~F.col("is_own_store") & went).select(
+    return pairs.where(~F.col("is_own_store") & _went()).select(
         F.lit("OUT_OF_STOCK").alias("type"),
         "product_id",
         "source_id",

@@ -133,8 +133,12 @@ def analyse(stats: DataFrame, low: float = 5.0, high: float = 10.0, also: tuple[
 
 def analyse_products(sources: DataFrame, observations: DataFrame, include_out_of_stock: bool = False) -> DataFrame:
     """The whole slice, from observations to suggestions: one row for each product with sources."""
-    inputs = pricing_inputs(with_latest(sources, latest_per_source(observations)))
-    return analyse(market_stats(select_market(inputs, include_out_of_stock)))
+    return analyse_listed(with_latest(sources, latest_per_source(observations)), include_out_of_stock)
+
+
+def analyse_listed(listed: DataFrame, include_out_of_stock: bool = False) -> DataFrame:
+    """The slice from sources with their newest observations on; see ``with_latest``."""
+    return analyse(market_stats(select_market(pricing_inputs(listed), include_out_of_stock)))
 
 
 def comparison_rows(sources: DataFrame, retailers: DataFrame, market: DataFrame) -> DataFrame:

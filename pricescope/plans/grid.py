@@ -105,9 +105,9 @@ def r01_official(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.official_prices(_listed(Domain(spark, sf_dir)))
 
 
-def _compliance(d: Domain) -> DataFrame:
+def _compliance(d: Domain, listed: DataFrame | None = None) -> DataFrame:
     shown = matrix.select_products(d.products, demo=False)
-    return brands.store_compliance(_listed(d), shown, d.retailers)
+    return brands.store_compliance(_listed(d) if listed is None else listed, shown, d.retailers)
 
 
 def r02_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,13 +130,13 @@ def v05_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brands.compliance_report(_compliance(Domain(spark, sf_dir))).select("brand", "retailer_id", "below_official", "listings")
 
 
-def _listings(d: Domain) -> DataFrame:
-    return opportunities.resolve_listings(_listed(d), d.products, d.retailers, d.sources)
+def _listings(d: Domain, listed: DataFrame | None = None) -> DataFrame:
+    return opportunities.resolve_listings(_listed(d) if listed is None else listed, d.products, d.retailers, d.sources)
 
 
-def _shelf(d: Domain) -> opportunities.Shelf:
+def _shelf(d: Domain, listed: DataFrame | None = None) -> opportunities.Shelf:
     """Listings are written once: what is made of a shelf reads them several times."""
-    return opportunities.build_shelf(checkpointed(_listings(d)), d.products)
+    return opportunities.build_shelf(checkpointed(_listings(d, listed)), d.products)
 
 
 def o01_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

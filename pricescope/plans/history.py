@@ -47,8 +47,8 @@ def q05_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.limit(200).select("source_id", "price", "scraped_at")
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = Domain(spark, sf_dir)
+def pairs(spark: SparkSession, sf_dir: str, d: Domain | None = None) -> DataFrame:
+    d = d or Domain(spark, sf_dir)
     return alerts.with_previous(alerts.with_own_flag(d.observations, d.sources))
 
 
@@ -72,9 +72,9 @@ def k03_k04_gap_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.gap_alerts(now.join(before, "product_id", "left"))
 
 
-def alert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price changes and stock-outs as stored alerts."""
-    both = alerts.price_changes(pairs(spark, sf_dir)).unionByName(alerts.stock_outs(pairs(spark, sf_dir)))
+def alert_table(spark: SparkSession, sf_dir: str, d: Domain | None = None) -> DataFrame:
+    """Price changes and stock-outs as stored alerts. ``d`` is a domain some of whose tables are written already."""
+    both = alerts.raised(pairs(spark, sf_dir, d))
     status = F.when(F.col("source_id") % 7 == 0, "dismissed").when(F.col("source_id") % 3 == 0, "read").otherwise("new")
     return both.select(
         F.concat_ws("-", "source_id", "step", "type").alias("alert_id"),

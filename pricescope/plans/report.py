@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,17 +41,32 @@ ALERT_PAGE, TALKING_POINTS = 100, 4
 
 
 class Tables:
-    """What several sections read. Listings are resolved once."""
+    """What several sections read, each written once when the first of them asks for it: sources, sources with their newest observations, listings,
+    compliance and alerts."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir, self.d = spark, sf_dir, Domain(spark, sf_dir)
-        self._shelf = None
 
-    @property
+    @cached_property
+    def sourced(self) -> Domain:
+        self.d.sources = checkpointed(self.d.sources)
+        return self.d
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        return checkpointed(grid._listed(self.sourced))
+
+    @cached_property
     def shelf(self) -> opportunities.Shelf:
-        if self._shelf is None:
-            self._shelf = grid._shelf(self.d)
-        return self._shelf
+        return grid._shelf(self.sourced, self.listed)
+
+    @cached_property
+    def compliance(self) -> DataFrame:
+        return checkpointed(grid._compliance(self.sourced, self.listed))
+
+    @cached_property
+    def alerts(self) -> DataFrame:
+        return checkpointed(history.alert_table(self.spark, self.sf_dir, self.sourced))
 
     @property
     def names(self) -> DataFrame:
@@ -76,7 +91,7 @@ def _entries(rows: DataFrame, section: str, order: list[Column], subject: Column
 
 
 def decisions(t: Tables) -> DataFrame:
-    chosen = reports.decisions(pricing.analyse_products(t.d.sources, t.d.observations), select_products(t.d.products, demo=False), LIMITS["decisions"]).join(t.names, "product_id")
+    chosen = reports.decisions(pricing.analyse_listed(t.listed), select_products(t.d.products, demo=False), LIMITS["decisions"]).join(t.names, "product_id")
     order = [F.abs("gap_percentage").desc(), F.col("name"), F.col("product_id")]
     return _entries(chosen, "decisions", order, F.col("name"), page_link(APP, "product", F.col("product_id")), F.col("product_brand"), value=F.col("gap_percentage"), note=F.col("direction"))
 
@@ -89,12 +104,12 @@ def _alerts(t: Tables, section: str, rows: DataFrame, page: str, order: list[Col
 
 
 def price_changes(t: Tables) -> DataFrame:
-    rows = history.alert_table(t.spark, t.sf_dir).where("type = 'PRICE_CHANGE'")
+    rows = t.alerts.where("type = 'PRICE_CHANGE'")
     return _alerts(t, "priceChanges", rows, "product", [F.abs(F.coalesce("change_percentage", F.lit(0.0))).desc()])
 
 
 def out_of_stock(t: Tables) -> DataFrame:
-    return _alerts(t, "outOfStock", history.alert_table(t.spark, t.sf_dir).where("type = 'OUT_OF_STOCK'"), "product", [])
+    return _alerts(t, "outOfStock", t.alerts.where("type = 'OUT_OF_STOCK'"), "product", [])
 
 
 def content_changes(t: Tables) -> DataFrame:
@@ -114,14 +129,14 @@ def content_changes(t: Tables) -> DataFrame:
 
 def brand_compliance(t: Tables) -> DataFrame:
     """Every brand, with its partner stores' prices below and above the official one."""
-    partners = grid._compliance(t.d).where("NOT is_brand_store")
+    partners = t.compliance.where("NOT is_brand_store")
     listed = brands.brand_list(select_products(t.d.products, demo=False), partners, grid.FOCUS)
     note = F.concat_ws("/", "above_official", "out_of_stock", "product_count", "store_count")
     return _entries(listed, "brandCompliance", [F.col("place")], F.col("brand"), page_link(APP, "brand", F.col("brand")), F.col("brand"), value=F.col("below_official"), note=note)
 
 
 def store_compliance(t: Tables) -> DataFrame:
-    rows = brands.compliance_report(grid._compliance(t.d), LIMITS["storeCompliance"])
+    rows = brands.compliance_report(t.compliance, LIMITS["storeCompliance"])
     order = [F.col("below_official").desc(), F.col("retailer_name"), F.col("brand")]
     note = F.concat_ws("/", "listings", "out_of_stock", F.coalesce(F.format_number("average_gap", 2), F.lit("-")))
     return _entries(rows, "storeCompliance", order, F.col("retailer_name"), page_link(APP, "brand", F.col("brand")), F.col("brand"), F.col("domain"), F.col("below_official"), note)

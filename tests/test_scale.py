@@ -4,8 +4,8 @@ import re
 from datetime import datetime
 
 from pricescope.functions import lexicon, text
-from pricescope.operators import bundle, content, listing, opportunities, pricing
-from pricescope.plans import edges, registry
+from pricescope.operators import alerts, bundle, content, listing, opportunities, pricing
+from pricescope.plans import edges, history, registry
 from pricescope.sources import shop_pages, written
 
 
@@ -208,3 +208,19 @@ def test_reviews_are_judged_once(spark, sf_dir):
     for name in ("u13_brand_insights", "u14_competitor_weaknesses", "u15_store_issues", "d15_theme_stats"):
         shown = plan(registry.QUERIES[name](spark, sf_dir))
         assert shown.count("lineitem.parquet") == 1 and not re.search(r"Filter [^\n]*(?:aggregate|RLIKE|regexp)", shown), name
+
+
+def test_report_reads_lines_once_a_table(spark, sf_dir):
+    """Sections read sources, newest observations, compliance and alerts that are written once; the report itself reads no prices of lines."""
+    shown = plan(registry.QUERIES["v15_report_entries"](spark, sf_dir))
+    assert "l_tax" not in shown and "l_returnflag" not in shown
+
+
+def test_alerts_are_raised_in_one_read(spark, sf_dir):
+    d = history.Domain(spark, sf_dir)
+    pairs = alerts.with_previous(alerts.with_own_flag(d.observations, d.sources))
+    columns = ["type", "product_id", "source_id", "step", "change_percentage", "scraped_at"]
+    both = alerts.price_changes(pairs).select(*columns).unionByName(alerts.stock_outs(pairs).select(*columns))
+    found = alerts.raised(pairs)
+    assert plan(found).count("l_returnflag") and len(re.findall("Window ", plan(found))) * 2 == len(re.findall("Window ", plan(both)))
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, both.collect()))
