@@ -150,10 +150,11 @@ def page_reviews(pages: DataFrame, most: int = 50) -> DataFrame:
 
     @F.arrow_udf(f"array<{shape}>")
     def blocks(found: pa.Array) -> pa.Array:
-        return pa.array([review_blocks(h or "") for h in found.to_pylist()], pa.list_(pa.struct([("author", pa.string()), ("rating", pa.float64()), ("body", pa.string()), ("published", pa.string())])))
+        return pa.array([review_blocks(h) if h else [] for h in found.to_pylist()], pa.list_(pa.struct([("author", pa.string()), ("rating", pa.float64()), ("body", pa.string()), ("published", pa.string())])))
 
-    marked = pages.where(F.col("html").rlike(r"(?i)review|commentlist"))
-    found = marked.select("page_id", F.posexplode(blocks("html")).alias("place", "r")).select("page_id", (F.col("place") + 1_000_000).alias("place"), "r.*")
+    # No filter: it would go beneath, and make pages that are made once more. Outer, so that no list is asked for its size there.
+    marked = pages.select("page_id", F.when(F.col("html").rlike(r"(?i)review|commentlist"), F.col("html")).alias("html"))
+    found = marked.select("page_id", F.posexplode_outer(blocks("html")).alias("place", "r")).where("place IS NOT NULL").select("page_id", (F.col("place") + 1_000_000).alias("place"), "r.*")
     first = structured_reviews(pages, most).select("page_id", F.col("n").alias("place"), "author", "rating", "body", "published")
     return _clean_reviews(first.unionByName(found), most)
 
@@ -295,6 +296,7 @@ AUXILIARY = re.compile(r"product-card|card-wrapper|card-product|quick-view|quick
 FORMER = re.compile(r"old|was|compare|strike|regular|original|before|list|rrp|msrp|crossed", re.I)
 #: Marks of reviews and of their parts, by attribute, class or part of a class.
 WIDGETS = {"jdgm-rev", "yotpo-review", "okeReviews-review", "loox-review", "stamped-review", "spr-review"}
+NAMED = re.compile("customer-review|product-review", re.I)
 LISTS = {"woocommerce-Reviews": {"review"}, "commentlist": {"review", "comment"}, "product-reviews": {"review"}, "salla-reviews": {"review"}, "zid-reviews": {"review"}}
 BODY = ("reviewBody", {"review-body", "review-content", "review-text", "jdgm-rev__body", "yotpo-review-content", "okeReviews-review-body", "loox-review-content", "comment-text", "woocommerce-review__body"}, r"review[-_]body|review-content")
 AUTHOR = ("author", {"review-author", "author", "jdgm-rev__author", "yotpo-user-name", "okeReviews-reviewerName", "comment-author"}, r"reviewer|author")
@@ -336,7 +338,7 @@ def sale_texts(page: Outline) -> list[dict]:
 
 def _is_part(e: Element, part: tuple[str, set[str], str]) -> bool:
     item, names, pattern = part
-    return e.given.get("itemprop") == item or bool(names & e.names) or bool(re.search(pattern, e.classes, re.I))
+    return e.given.get("itemprop") == item or bool(e.names) and (not names.isdisjoint(e.names) or bool(re.search(pattern, e.classes, re.I)))
 
 
 def _stars(page: Outline, at: int) -> float | None:
@@ -358,15 +360,21 @@ def review_blocks(html: str) -> list[dict]:
     """Reviews of microdata, then those of widgets outside headers, footers and navigation."""
     page = Outline(html)
     elements = page.elements
-    framed = page.marked(lambda e: e.tag in ("header", "footer", "nav"))
-    listed_in = {name: page.marked(lambda e, name=name: name in e.names) for name in LISTS}
+    # Marks are made only of what the page has.
+    names = set().union(*[e.names for e in elements])
+    framed = page.marked(lambda e: e.tag in ("header", "footer", "nav")) if any(e.tag in ("header", "footer", "nav") for e in elements) else None
+    listed_in = {name: page.marked(lambda e, name=name: name in e.names) for name in LISTS if name in names}
 
     def is_widget(i: int) -> bool:
         e = elements[i]
-        if framed[i]:
+        if framed and framed[i]:
             return False
-        listed = any(inner & e.names and e.parent >= 0 and listed_in[name][e.parent] for name, inner in LISTS.items())
-        return bool(WIDGETS & e.names) or listed or e.given.get("data-testid") == "review" or bool(re.search("customer-review|product-review", e.classes, re.I))
+        if e.given.get("data-testid") == "review":
+            return True
+        if not e.names:
+            return False
+        listed = any(LISTS[name] & e.names and e.parent >= 0 and marks[e.parent] for name, marks in listed_in.items())
+        return bool(WIDGETS & e.names) or listed or bool(NAMED.search(e.classes))
 
     def read(i: int) -> dict:
         inside = page.inside(i)

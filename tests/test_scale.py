@@ -4,8 +4,8 @@ import re
 from datetime import datetime
 
 from pricescope.functions import lexicon, text
-from pricescope.operators import alerts, bundle, content, listing, opportunities, pricing
-from pricescope.plans import edges, history, registry
+from pricescope.operators import alerts, bundle, content, listing, opportunities, outline, pricing
+from pricescope.plans import cases, edges, history, registry
 from pricescope.sources import shop_pages, written
 
 
@@ -224,3 +224,15 @@ def test_alerts_are_raised_in_one_read(spark, sf_dir):
     found = alerts.raised(pairs)
     assert plan(found).count("l_returnflag") and len(re.findall("Window ", plan(found))) * 2 == len(re.findall("Window ", plan(both)))
     assert sorted(map(repr, found.collect())) == sorted(map(repr, both.collect()))
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    """One pattern reads plain pages; whatever else a page has goes to the parser; the outline is the same."""
+    plain = ["", "text alone", "<DIV Class='a B' id=\"\" hidden>x<br><p>y</DIV> tail", "<p>a</p></b><i>open <s>z", "<a x='1' x=\"2\">twice</a\n>", "<svg><p>no</p></svg>yes", "<ul><li class=\"review\">ä<li>ن</ul>", "<p\n data-score='4.5' >é > f</p>"]
+    plain += [page.replace("{body}", "it is").replace("{stars}", "4") for page in cases.WIDGETS]
+    odd = ["a &amp; b", "<p title='&quot;'>x</p>", "<!-- <p> --><p>x</p>", "<script>if (a < b) '</p>'</script><p>x</p>", "<br/>x", "<p class=a>x</p>", "a < b > c", "<p title='a>b'>x</p>", "<p title=\"<\">x", "<title>a<b></title>", "<p", "</p x>", "<x:y z:w='1'>t</x:y>", "<p a = 'b'>x", "<p a='1'b='2'>x", "<!DOCTYPE html><p>x"]
+    shown = lambda page: (page.elements, page.texts)
+    fast = [shown(outline.Outline(h)) for h in plain + odd]
+    assert all(hasattr(outline.Outline(h), "rawdata") == (h in odd) for h in plain + odd)
+    monkeypatch.setattr(outline.Outline, "_read_plain", lambda self, html: False)
+    assert fast == [shown(outline.Outline(h)) for h in plain + odd]
