@@ -5,7 +5,7 @@ from datetime import datetime
 
 from pricescope.functions import lexicon, text
 from pricescope.operators import alerts, bundle, content, listing, opportunities, outline, pricing
-from pricescope.plans import cases, edges, history, registry
+from pricescope.plans import cases, edges, history, registry, runs
 from pricescope.sources import shop_pages, written
 
 
@@ -236,3 +236,11 @@ def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
     assert all(hasattr(outline.Outline(h), "rawdata") == (h in odd) for h in plain + odd)
     monkeypatch.setattr(outline.Outline, "_read_plain", lambda self, html: False)
     assert fast == [shown(outline.Outline(h)) for h in plain + odd]
+
+
+def test_compare_run_writes_what_is_judged(spark, sf_dir, monkeypatch):
+    """Addresses and former prices aren't written."""
+    written_tables = []
+    monkeypatch.setattr(runs, "checkpointed", lambda rows: written_tables.append(rows.columns) or rows)
+    runs.p15_compare(spark, sf_dir)
+    assert "url" not in written_tables[0] and "original_price" not in written_tables[2]
